@@ -1,0 +1,40 @@
+"""Every registered query over the test tables, with its SQL counterpart."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+import oracle
+from broadsheet import bindings
+from broadsheet.plans.questions import QUESTIONS
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+# The years a question reads of the two large facts; all years where it is not listed.
+YEARS = {
+    "q1_state_trend": (2019, 2024),
+    "q2_city_contribution": (2024, 2024),
+    "q3_category_strength": (2019, 2024),
+    "q9_print_efficiency": (2024, 2024),
+    "q11_frequent_declines": (2019, 2024),
+}
+
+
+def _question(name: str, **parameters) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return QUESTIONS[name](bindings.star(spark, sf_dir, YEARS.get(name)), **parameters)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {name: _question(name) for name in QUESTIONS} | {
+    "q3_category_strength_inr": _question("q3_category_strength", amount="ad_revenue_inr"),
+    "q6_revenue_per_copy_single": _question("q6_revenue_per_copy", fanout=False),
+    "q7_relaunch_best_three": _question("q7_relaunch_priority", order="best_first", limit=3),
+    "q7_relaunch_distributed": _question("q7_relaunch_priority", one_task_rows=0),
+    "q11_frequent_declines_single": _question("q11_frequent_declines", fanout=False),
+}
+
+ORACLE: dict[str, str] = dict(oracle.QUESTIONS)

@@ -1,0 +1,493 @@
+"""The same results as plain SQL for DuckDB, over the same Parquet views.
+
+`VIEWS` derives the star schema; `sql(body, *views)` puts the views a query needs in front of it.
+Ratios are doubles; they pass through DECIMAL(38,12) before rounding so that ties go away from zero.
+"""
+
+from __future__ import annotations
+
+
+def rnd(expression: str, digits: int) -> str:
+    return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+
+
+def big(expression: str) -> str:
+    return f"CAST({expression} AS BIGINT)"
+
+
+def code(prefix: str, number: str, width: int) -> str:
+    return f"'{prefix}' || lpad(CAST({number} AS VARCHAR), {width}, '0')"
+
+
+CITY = code("C", "n_nationkey", 3)
+
+VIEWS = {
+    "city_data": f"""
+        SELECT {CITY} AS city_id, n_name AS city, r_name AS state,
+               'Tier ' || CAST(n_nationkey % 3 + 1 AS VARCHAR) AS tier
+        FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "edition_months": """
+        SELECT l_suppkey, s_nationkey, n_nationkey, r_name,
+               CAST(date_trunc('month', l_shipdate) AS DATE) + INTERVAL 24 YEAR AS month,
+               CAST(SUM(l_quantity) AS BIGINT) AS sold,
+               CAST(COALESCE(SUM(CASE WHEN l_returnflag = 'R' AND l_linenumber <= 1 + s_nationkey % 7
+                                      THEN l_quantity END), 0) AS BIGINT) AS returned
+        FROM lineitem
+        JOIN supplier ON l_suppkey = s_suppkey
+        JOIN nation ON s_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey
+        GROUP BY 1, 2, 3, 4, 5""",
+    "print_sales": f"""
+        SELECT {code('ED', 'l_suppkey', 6)} AS edition_id, {CITY} AS city_id, r_name AS state,
+               sold AS copies_sold, returned AS copies_returned, sold - returned AS net_circulation,
+               year(month) AS year, month(month) AS month_num
+        FROM edition_months""",
+    "ad_category": """
+        SELECT DISTINCT 'A00' || substr(o_orderpriority, 1, 1) AS ad_category_id,
+               substr(o_orderpriority, 3) AS standard_ad_category
+        FROM orders""",
+    "ad_revenue": f"""
+        SELECT {code('ED', 'o_custkey % (SELECT COUNT(*) FROM supplier)', 6)} AS edition_id,
+               'A00' || substr(o_orderpriority, 1, 1) AS ad_category,
+               CAST(o_totalprice AS DECIMAL(18,2)) AS ad_revenue,
+               year(o_orderdate) + 24 AS year, quarter(o_orderdate) AS quarter_num,
+               CAST(round_even(o_totalprice
+                    * CASE WHEN o_orderkey % 10 BETWEEN 4 AND 6 THEN CAST(88.14 AS DOUBLE)
+                           WHEN o_orderkey % 10 BETWEEN 7 AND 8 THEN CAST(103.39 AS DOUBLE)
+                           ELSE CAST(1 AS DOUBLE) END * 100, 0) / 100 AS DECIMAL(18,2)) AS ad_revenue_inr
+        FROM orders""",
+    "raw_ad_revenue": f"""
+        SELECT o_orderkey, {code('ED', 'o_custkey % (SELECT COUNT(*) FROM supplier)', 6)} AS edition_id,
+               'A00' || substr(o_orderpriority, 1, 1) AS ad_category,
+               CASE quarter(o_orderdate)
+                    WHEN 2 THEN CAST(year(o_orderdate) + 24 AS VARCHAR) || '-Q2'
+                    WHEN 4 THEN '4th Qtr ' || CAST(year(o_orderdate) + 24 AS VARCHAR)
+                    ELSE 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) || '-'
+                         || CAST(year(o_orderdate) + 24 AS VARCHAR) END AS quarter,
+               o_totalprice AS ad_revenue,
+               CASE o_orderkey % 10
+                    WHEN 0 THEN 'INR' WHEN 1 THEN ' inr ' WHEN 2 THEN 'In Rupees'
+                    WHEN 3 THEN chr(9) || 'IN RUPEES ' WHEN 4 THEN 'USD' WHEN 5 THEN 'usd'
+                    WHEN 6 THEN ' Usd' WHEN 7 THEN 'EUR' WHEN 8 THEN 'eur' || chr(9)
+                    ELSE 'GBP' END AS currency,
+               CASE WHEN o_orderstatus = 'P' THEN 'Seasonal booking' END AS comments
+        FROM orders""",
+    "city_readiness": f"""
+        SELECT CAST(c_nationkey AS BIGINT) * 100000 + (year(o_orderdate) + 24) * 10
+                 + quarter(o_orderdate) AS row_id,
+               {code('C', 'c_nationkey', 3)} AS city_id,
+               CAST(year(o_orderdate) + 24 AS VARCHAR) || '-Q'
+                 || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter,
+               year(o_orderdate) + 24 AS year, quarter(o_orderdate) AS quarter_num,
+               {rnd("COUNT(*) FILTER (o_orderstatus = 'F') * 100 / COUNT(*)", 2)} AS literacy_rate,
+               {rnd("COUNT(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) * 100 / COUNT(*)", 2)}
+                 AS smartphone_penetration,
+               {rnd("COUNT(*) FILTER (o_totalprice > 100000) * 100 / COUNT(*)", 2)}
+                 AS internet_penetration
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        GROUP BY c_nationkey, year(o_orderdate), quarter(o_orderdate)""",
+    "digital_plot": f"""
+        SELECT MIN(event_id) AS row_id, event_type AS platform,
+               strftime(MIN(ts), '%Y-%m') AS launch_month,
+               'A00' || CAST(user_id % 25 % 5 + 1 AS VARCHAR) AS ad_category_id,
+               CAST(SUM(event_id % 1000) AS BIGINT) AS dev_cost,
+               CAST(SUM(event_id % 100) AS BIGINT) AS marketing_cost,
+               COUNT(DISTINCT user_id) AS users_reached, COUNT(*) AS downloads_or_accesses,
+               {rnd('CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*)', 2)}
+                 AS avg_bounce_rate,
+               CASE WHEN COUNT(*) % 2 = 0
+                    THEN event_type || ' from ' || {code('C', 'user_id % 25', 3)} END
+                 AS cumulative_feedback_from_customers,
+               {code('C', 'user_id % 25', 3)} AS city_id
+        FROM events
+        GROUP BY event_type, user_id % 25""",
+    "readiness_scores": """
+        SELECT city_id,
+               CAST(CAST(SUM(CAST(literacy_rate + smartphone_penetration + internet_penetration
+                                  AS DECIMAL(18,6))) AS DOUBLE) / (3 * COUNT(*))
+                    AS DECIMAL(20,10)) AS readiness
+        FROM city_readiness GROUP BY city_id""",
+    "engagement_scores": """
+        SELECT city_id, CAST(SUM(users_reached + downloads_or_accesses) AS BIGINT) AS engagement
+        FROM digital_plot GROUP BY city_id""",
+    "decline_rates": f"""
+        SELECT city_id, {rnd('CAST(SUM(change) AS DOUBLE) / COUNT(*)', 8)} AS decline
+        FROM (SELECT city_id,
+                     CAST((net - LAG(net) OVER w) * 100 / NULLIF(LAG(net) OVER w, 0)
+                          AS DECIMAL(28,10)) AS change
+              FROM (SELECT city_id, year, CAST(SUM(net_circulation) AS BIGINT) AS net
+                    FROM print_sales GROUP BY city_id, year)
+              WINDOW w AS (PARTITION BY city_id ORDER BY year))
+        WHERE change IS NOT NULL
+        GROUP BY city_id""",
+    # The many-to-many join written out: what the pre-aggregated form has to equal.
+    "joined_years": """
+        SELECT cd.city_id, cd.city, ar.year, SUM(CAST(ps.net_circulation AS HUGEINT)) AS net,
+               SUM(ar.ad_revenue_inr) AS revenue
+        FROM city_data cd
+        JOIN print_sales ps ON cd.city_id = ps.city_id
+        JOIN ad_revenue ar ON ps.edition_id = ar.edition_id AND ps.year = ar.year
+        GROUP BY cd.city_id, cd.city, ar.year""",
+    "single_years": """
+        SELECT cd.city_id, cd.city, p.year, SUM(p.net) AS net, SUM(a.revenue) AS revenue
+        FROM (SELECT edition_id, city_id, year, SUM(net_circulation) AS net
+              FROM print_sales GROUP BY ALL) p
+        JOIN (SELECT edition_id, year, SUM(ad_revenue_inr) AS revenue
+              FROM ad_revenue GROUP BY ALL) a USING (edition_id, year)
+        JOIN city_data cd USING (city_id)
+        GROUP BY cd.city_id, cd.city, p.year""",
+}
+
+NEEDS = {
+    "print_sales": ["edition_months"],
+    "readiness_scores": ["city_readiness"],
+    "engagement_scores": ["digital_plot"],
+    "decline_rates": ["print_sales"],
+    "joined_years": ["city_data", "print_sales", "ad_revenue"],
+    "single_years": ["city_data", "print_sales", "ad_revenue"],
+}
+
+
+def sql(body: str, *views: str) -> str:
+    """The query with the views it needs, in dependency order, as leading CTEs."""
+    ordered: list[str] = []
+
+    def need(view: str) -> None:
+        for other in NEEDS.get(view, []):
+            need(other)
+        if view not in ordered:
+            ordered.append(view)
+
+    for view in views:
+        need(view)
+    ctes = ",\n".join(f"{view} AS ({VIEWS[view]})" for view in ordered)
+    head = f"WITH {ctes}" if ctes else ""
+    text = body.strip()
+    if head and text.upper().startswith("WITH "):
+        return f"{head},\n{text[5:]}"
+    return f"{head}\n{text}"
+
+
+def pct(current: str, previous: str) -> str:
+    return f"CAST(({current} - {previous}) * 100 AS DOUBLE) / NULLIF({previous}, 0)"
+
+
+def state_trend() -> str:
+    changes = ",\n".join(
+        rnd(pct(c, f"LAG({c}) OVER w"), 2) + f" AS YoY_{m}_Change_Percent"
+        for m, c in (
+            ("Sold", "Total_Copies_Sold"),
+            ("Returned", "Total_Copies_Returned"),
+            ("Net", "Total_Net_Circulation"),
+        )
+    )
+    return sql(
+        f"""
+        SELECT year, state AS State, Total_Copies_Sold, Total_Copies_Returned,
+               Total_Net_Circulation, {changes}
+        FROM (SELECT year, state, {big('SUM(copies_sold)')} AS Total_Copies_Sold,
+                     {big('SUM(copies_returned)')} AS Total_Copies_Returned,
+                     {big('SUM(net_circulation)')} AS Total_Net_Circulation
+              FROM print_sales WHERE year BETWEEN 2019 AND 2024 GROUP BY year, state)
+        WINDOW w AS (PARTITION BY state ORDER BY year)""",
+        "print_sales",
+    )
+
+
+def city_contribution() -> str:
+    mean = lambda c: rnd(f"CAST(SUM(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / COUNT({c})", 2)
+    return sql(
+        f"""
+        WITH city_stats AS (
+            SELECT c.city_id, c.city, {big('SUM(copies_sold)')} AS sold,
+                   {big('SUM(net_circulation)')} AS net,
+                   {rnd('SUM(copies_returned) * 100 / NULLIF(SUM(copies_sold), 0)', 2)} AS pct
+            FROM print_sales p JOIN city_data c USING (city_id)
+            WHERE p.year = 2024 GROUP BY c.city_id, c.city)
+        SELECT city, sold AS Total_Copies_Sold, net AS Total_Net_Circulation,
+               {mean('literacy_rate')} AS literacy_rate,
+               {mean('smartphone_penetration')} AS smartphone_penetration,
+               {mean('internet_penetration')} AS internet_penetration,
+               pct AS Return_Percent,
+               CASE WHEN pct < 10 THEN 'Highly Profitable' WHEN pct < 20 THEN 'Moderately Profitable'
+                    WHEN pct < 30 THEN 'Marginally Profitable' ELSE 'Needs Review' END
+                 AS Profitable_Category
+        FROM city_stats cs LEFT JOIN city_readiness cr ON cs.city_id = cr.city_id
+        WHERE cr.year = 2024
+        GROUP BY cs.city_id, city, sold, net, pct""",
+        "print_sales",
+        "city_data",
+        "city_readiness",
+    )
+
+
+def category_strength(amount: str = "ad_revenue", source: str = "ad_revenue") -> str:
+    years = range(2019, 2025)
+    cells = ",\n".join(f"MAX(total) FILTER (year = {y}) AS r{y}" for y in years)
+    all_present = " AND ".join(f"r{y} IS NOT NULL" for y in years)
+    best = f"CASE WHEN {all_present} THEN GREATEST({', '.join(f'r{y}' for y in years)}) END"
+    rises = " + ".join(f"CASE WHEN r{y} > r{y - 1} THEN 1 ELSE 0 END" for y in years if y > 2019)
+    return sql(
+        f"""
+        WITH cells AS (
+            SELECT standard_ad_category, {cells}
+            FROM (SELECT standard_ad_category, year, SUM({amount}) AS total
+                  FROM {source} JOIN ad_category ON ad_category = ad_category_id
+                  WHERE year BETWEEN 2019 AND 2024
+                  GROUP BY standard_ad_category, year)
+            GROUP BY standard_ad_category),
+        metrics AS (
+            SELECT *, CAST(r2024 - r2019 AS DOUBLE) / NULLIF(CAST(r2019 AS DOUBLE), 0) AS growth,
+                   {rises} AS consistency,
+                   CASE WHEN r2024 = {best} THEN 1.0 WHEN r2023 = {best} THEN 0.8 ELSE 0.4 END AS peak,
+                   CASE WHEN r2024 > r2022 AND r2022 < r2021 THEN 1.0 ELSE 0.6 END AS recovery
+            FROM cells),
+        scored AS (
+            SELECT *, CASE WHEN growth > 0.20 THEN 30 WHEN growth > 0.10 THEN 25
+                           WHEN growth > 0.05 THEN 20 WHEN growth > -0.05 THEN 15
+                           WHEN growth > -0.10 THEN 10 WHEN growth > -0.25 THEN 5 ELSE 0 END
+                      + consistency * 6 + peak * 20 + recovery * 20 AS score
+            FROM metrics)
+        SELECT standard_ad_category, {', '.join(f'CAST(r{y} AS DOUBLE) AS revenue_{y}' for y in years)},
+               {rnd('growth * 100', 2)} AS net_growth_percent,
+               CAST(consistency AS INTEGER) AS consistency_score,
+               CAST(peak AS DOUBLE) AS peak_timing_score,
+               CAST(recovery AS DOUBLE) AS recovery_score,
+               CAST(score AS DOUBLE) AS total_strength_score,
+               CASE WHEN score >= 80 THEN 'STRONG: Sustained Growth'
+                    WHEN score >= 60 THEN 'STABLE: Consistent Performer'
+                    WHEN score >= 40 THEN 'WATCH: Plateauing'
+                    WHEN score >= 20 THEN 'DECLINING: Needs Intervention'
+                    ELSE 'CRITICAL: Severe Decline' END AS final_verdict
+        FROM scored""",
+        "ad_revenue",
+        "ad_category",
+    )
+
+
+def revenue_by_city() -> str:
+    return sql(
+        f"""
+        SELECT city, state, CAST(SUM(r.total) AS DOUBLE) AS Total_City_Ad_Revenue,
+               {big('SUM(e.net)')} AS Total_City_Net_Circulation,
+               {rnd('CAST(SUM(r.total) AS DOUBLE) / NULLIF(SUM(e.net), 0)', 2)}
+                 AS Revenue_Per_Net_Copy_Ratio
+        FROM city_data
+        JOIN (SELECT edition_id, city_id, SUM(net_circulation) AS net
+              FROM print_sales GROUP BY edition_id, city_id) e USING (city_id)
+        JOIN (SELECT edition_id, SUM(ad_revenue_inr) AS total
+              FROM ad_revenue GROUP BY edition_id) r USING (edition_id)
+        GROUP BY city, state""",
+        "city_data",
+        "print_sales",
+        "ad_revenue",
+    )
+
+
+def ready_but_unengaged() -> str:
+    return sql(
+        f"""
+        SELECT city, state, {rnd('readiness', 2)} AS Avg_Readiness_Score,
+               engagement AS Total_Engagement
+        FROM city_data JOIN readiness_scores USING (city_id) JOIN engagement_scores USING (city_id)
+        WHERE readiness > (SELECT CAST(SUM(readiness) AS DOUBLE) / COUNT(*) FROM readiness_scores)
+          AND engagement < (SELECT SUM(engagement) / COUNT(*) FROM engagement_scores)""",
+        "city_data",
+        "readiness_scores",
+        "engagement_scores",
+    )
+
+
+def revenue_per_copy(view: str = "joined_years") -> str:
+    change = "CAST((ratio - previous) * 100 AS DOUBLE) / NULLIF(CAST(previous AS DOUBLE), 0)"
+    return sql(
+        f"""
+        SELECT city, year, CAST(ratio AS DOUBLE) AS Revenue_Per_Copy_Ratio,
+               CAST(previous AS DOUBLE) AS Previous_Year_Ratio,
+               {rnd(change, 2)} AS YoY_Ratio_Change_Percentage,
+               CASE WHEN previous IS NULL THEN 'No Prior Year Data'
+                    WHEN ratio > previous THEN 'Improving (Wider Margin)'
+                    WHEN ratio < previous THEN 'Worsening (Tighter Margin)'
+                    ELSE 'Stable' END AS Ratio_Trend
+        FROM (SELECT city, year, ratio,
+                     LAG(ratio) OVER (PARTITION BY city_id ORDER BY year) AS previous
+              FROM (SELECT city_id, city, year,
+                           CAST({rnd('CAST(revenue AS DOUBLE) / CAST(net AS DOUBLE)', 4)}
+                                AS DECIMAL(18,4)) AS ratio
+                    FROM {view} WHERE net > 0))""",
+        view,
+    )
+
+
+def relaunch_priority(order: str | None = None, limit: int | None = None) -> str:
+    tile = "NTILE(4) OVER (ORDER BY {}, city_id)"
+    tiles = {
+        "Readiness_Priority": tile.format("readiness DESC NULLS LAST"),
+        "Engagement_Priority": tile.format("engagement ASC NULLS FIRST"),
+        "Decline_Priority": tile.format("decline ASC NULLS FIRST"),
+    }
+    cut = f"ORDER BY Prioritization_Score {order}, Avg_Readiness_Score DESC, city LIMIT {limit}"
+    return sql(
+        f"""
+        SELECT *, Readiness_Priority + Engagement_Priority + Decline_Priority AS Prioritization_Score
+        FROM (SELECT city, state, tier, {rnd('readiness', 4)} AS Avg_Readiness_Score,
+                     engagement AS Total_Engagement, {rnd('decline', 2)} AS Avg_Decline_Rate_Percent,
+                     {', '.join(f'CAST({t} AS INTEGER) AS {n}' for n, t in tiles.items())}
+              FROM city_data JOIN readiness_scores USING (city_id)
+              JOIN engagement_scores USING (city_id) JOIN decline_rates USING (city_id))
+        {cut if limit else ''}""",
+        "city_data",
+        "readiness_scores",
+        "engagement_scores",
+        "decline_rates",
+    )
+
+
+def sharpest_falls() -> str:
+    return sql(
+        f"""
+        SELECT city AS city_name, year,
+               CAST(year AS VARCHAR) || '-' || lpad(CAST(month_num AS VARCHAR), 2, '0') AS month,
+               net AS net_circulation, {rnd('change', 2)} AS MoM_Decline_Percentage
+        FROM (SELECT *, {pct('net', 'previous')} AS change
+              FROM (SELECT *, LAG(net) OVER (PARTITION BY city_id ORDER BY year, month_num) AS previous
+                    FROM (SELECT city_id, city, year, month_num, {big('SUM(net_circulation)')} AS net
+                          FROM print_sales JOIN city_data USING (city_id)
+                          GROUP BY city_id, city, year, month_num))
+              WHERE net < previous)
+        ORDER BY change ASC NULLS FIRST, city_id, year, month_num
+        LIMIT 3""",
+        "print_sales",
+        "city_data",
+    )
+
+
+def print_efficiency() -> str:
+    return sql(
+        f"""
+        SELECT city AS city_name, printed AS copies_printed_2024, net AS net_circulation_2024,
+               {rnd('ratio', 4)} AS efficiency_ratio, CAST(r AS INTEGER) AS efficiency_rank_2024
+        FROM (SELECT *, RANK() OVER (ORDER BY ratio DESC NULLS LAST) AS r
+              FROM (SELECT city_id, {big('SUM(net_circulation)')} AS net,
+                           {big('SUM(copies_sold + copies_returned)')} AS printed,
+                           {rnd('SUM(net_circulation) / NULLIF(SUM(copies_sold + copies_returned), 0)', 8)}
+                             AS ratio
+                    FROM print_sales WHERE year = 2024
+                    GROUP BY city_id HAVING SUM(copies_sold + copies_returned) > 0))
+        JOIN city_data USING (city_id)
+        WHERE r <= 5""",
+        "print_sales",
+        "city_data",
+    )
+
+
+def internet_growth() -> str:
+    return sql(
+        f"""
+        SELECT city AS city_name, q1 AS internet_rate_q1_2021, q4 AS internet_rate_q4_2021,
+               {rnd('q4 - q1', 4)} AS delta_internet_rate
+        FROM (SELECT city_id, MAX(internet_penetration) FILTER (quarter_num = 1) AS q1,
+                     MAX(internet_penetration) FILTER (quarter_num = 4) AS q4
+              FROM city_readiness WHERE year = 2021 AND quarter_num IN (1, 4)
+              GROUP BY city_id
+              HAVING COUNT(*) FILTER (quarter_num = 1) > 0 AND COUNT(*) FILTER (quarter_num = 4) > 0)
+        JOIN city_data USING (city_id)""",
+        "city_readiness",
+        "city_data",
+    )
+
+
+def frequent_declines(view: str = "joined_years") -> str:
+    return sql(
+        f"""
+        SELECT city AS city_name, {big('SUM(p)')} AS num_print_declines,
+               {big('SUM(a)')} AS num_ad_declines, {big('SUM(p) + SUM(a)')} AS total_decline_events
+        FROM (SELECT city_id, city,
+                     CASE WHEN net < LAG(net) OVER w THEN 1 ELSE 0 END AS p,
+                     CASE WHEN revenue < LAG(revenue) OVER w THEN 1 ELSE 0 END AS a
+              FROM {view} WHERE year BETWEEN 2020 AND 2024
+              WINDOW w AS (PARTITION BY city_id ORDER BY year))
+        GROUP BY city_id, city
+        ORDER BY total_decline_events DESC, num_print_declines DESC, city, city_id
+        LIMIT 5""",
+        view,
+    )
+
+
+def pilot_performance() -> str:
+    users, downloads = "SUM(users_reached)", "SUM(downloads_or_accesses)"
+    cost = "SUM(dev_cost + marketing_cost)"
+    bounce = "CAST(SUM(CAST(avg_bounce_rate AS DECIMAL(18,6))) AS DOUBLE) / COUNT(avg_bounce_rate)"
+    return sql(
+        f"""
+        SELECT platform, {big(users)} AS users_reached, {big(downloads)} AS downloads_or_accesses,
+               {rnd(f'{downloads} / NULLIF({users}, 0)', 4)} AS downloads_per_user,
+               {rnd(bounce, 2)} AS avg_bounce_rate, {big(cost)} AS total_cost,
+               {rnd(f'{cost} / NULLIF({downloads}, 0)', 2)} AS cost_per_access
+        FROM digital_plot GROUP BY platform""",
+        "digital_plot",
+    )
+
+
+def circulation_change() -> str:
+    return sql(
+        f"""
+        SELECT first_net, last_net, {rnd(pct('last_net', 'first_net'), 2)} AS change_percent
+        FROM (SELECT {big('SUM(net_circulation) FILTER (year = 2019)')} AS first_net,
+                     {big('SUM(net_circulation) FILTER (year = 2024)')} AS last_net
+              FROM print_sales)""",
+        "print_sales",
+    )
+
+
+def category_share() -> str:
+    return sql(
+        f"""
+        SELECT standard_ad_category, CAST(revenue AS DOUBLE) AS revenue,
+               {rnd('CAST(revenue * 100 AS DOUBLE) / CAST(SUM(revenue) OVER () AS DOUBLE)', 2)}
+                 AS share_percent
+        FROM (SELECT standard_ad_category, SUM(ad_revenue_inr) AS revenue
+              FROM ad_revenue JOIN ad_category ON ad_category = ad_category_id
+              GROUP BY standard_ad_category)""",
+        "ad_revenue",
+        "ad_category",
+    )
+
+
+def revenue_circulation_correlation() -> str:
+    return sql(
+        f"""
+        SELECT state AS State, COUNT(*) AS edition_years,
+               {rnd('corr(revenue, net)', 6)} AS correlation
+        FROM (SELECT edition_id, year, state, CAST(SUM(net_circulation) AS DOUBLE) AS net
+              FROM print_sales GROUP BY ALL)
+        JOIN (SELECT edition_id, year, CAST(SUM(ad_revenue_inr) AS DOUBLE) AS revenue
+              FROM ad_revenue GROUP BY ALL) USING (edition_id, year)
+        GROUP BY state""",
+        "print_sales",
+        "ad_revenue",
+    )
+
+
+QUESTIONS = {
+    "q1_state_trend": state_trend(),
+    "q2_city_contribution": city_contribution(),
+    "q3_category_strength": category_strength(),
+    "q3_category_strength_inr": category_strength("ad_revenue_inr"),
+    "q4_revenue_by_city": revenue_by_city(),
+    "q5_ready_but_unengaged": ready_but_unengaged(),
+    "q6_revenue_per_copy": revenue_per_copy(),
+    "q6_revenue_per_copy_single": revenue_per_copy("single_years"),
+    "q7_relaunch_priority": relaunch_priority(),
+    "q7_relaunch_best_three": relaunch_priority("ASC", 3),
+    "q7_relaunch_distributed": relaunch_priority(),
+    "q8_sharpest_falls": sharpest_falls(),
+    "q9_print_efficiency": print_efficiency(),
+    "q10_internet_growth": internet_growth(),
+    "q11_frequent_declines": frequent_declines(),
+    "q11_frequent_declines_single": frequent_declines("single_years"),
+    "k1_pilot_performance": pilot_performance(),
+    "k2_circulation_change": circulation_change(),
+    "k3_category_share": category_share(),
+    "k4_revenue_circulation": revenue_circulation_correlation(),
+}

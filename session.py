@@ -1,0 +1,24 @@
+"""A local Spark session for tests and the benchmark."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def local_session(cores: str | int | None = None, **settings: str) -> SparkSession:
+    cores = cores or os.environ.get("BENCH_CPUS", "8")
+    builder = (
+        SparkSession.builder.master(f"local[{cores}]")
+        .appName("broadsheet")
+        .config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "8g")
+    )
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
