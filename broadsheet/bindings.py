@@ -14,8 +14,24 @@ YEAR_SHIFT = 24
 CITY_GROUPS = 25
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# The columns used, under fixed types: no job has to read a footer to plan a query.
+SOURCES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_nationkey int",
+    "supplier": "s_suppkey long, s_nationkey int",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+    "props string",
+}
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SOURCES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _code(prefix: str, number, width: int):
@@ -36,7 +52,7 @@ def _in_years(df: DataFrame, column: str, years: tuple[int, int] | None) -> Data
 
 
 def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    nation, region = source(spark, sf_dir, "nation"), source(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
 
 
@@ -55,7 +71,7 @@ def _edition_months(spark: SparkSession, sf_dir: str, years: tuple[int, int] | N
     Returned lines count up to a line number that depends on the nation, known only after the
     join; a sum per possible limit keeps it to one aggregation of the line items.
     """
-    lines = _in_years(_table(spark, sf_dir, "lineitem"), "l_shipdate", years)
+    lines = _in_years(source(spark, sf_dir, "lineitem"), "l_shipdate", years)
     copies = F.col("l_quantity").cast("long")
     returned = F.col("l_returnflag") == "R"
     limits = range(1, 8)
@@ -68,7 +84,7 @@ def _edition_months(spark: SparkSession, sf_dir: str, years: tuple[int, int] | N
             for n in limits
         ],
     )
-    supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    supplier = source(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = monthly.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
         _cities(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")
     )
@@ -128,7 +144,7 @@ def raw_print_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ad_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priorities = _table(spark, sf_dir, "orders").select("o_orderpriority").distinct()
+    priorities = source(spark, sf_dir, "orders").select("o_orderpriority").distinct()
     return priorities.select(
         F.concat(F.lit("A00"), F.substring("o_orderpriority", 1, 1)).alias("ad_category_id"),
         F.expr("substring(o_orderpriority, 3)").alias("standard_ad_category"),
@@ -136,8 +152,8 @@ def ad_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bookings(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None) -> DataFrame:
-    orders = _in_years(_table(spark, sf_dir, "orders"), "o_orderdate", years)
-    suppliers = _table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("_suppliers"))
+    orders = _in_years(source(spark, sf_dir, "orders"), "o_orderdate", years)
+    suppliers = source(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("_suppliers"))
     year = F.year("o_orderdate") + YEAR_SHIFT
     quarter = F.quarter("o_orderdate")
     text = (
@@ -198,14 +214,14 @@ def raw_city_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_large": F.col("o_totalprice") > 100000,
     }
     per_customer = (
-        _table(spark, sf_dir, "orders")
+        source(spark, sf_dir, "orders")
         .groupBy("o_custkey", year.alias("_year"), quarter.alias("_quarter"))
         .agg(
             F.count(F.lit(1)).alias("_n"),
             *[F.count_if(test).alias(name) for name, test in flags.items()],
         )
     )
-    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    customer = source(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     per_city = (
         per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", "_year", "_quarter")
@@ -240,7 +256,7 @@ def city_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digital_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event type x city; users are counted through one row per user, not in one group's set."""
     per_user = (
-        _table(spark, sf_dir, "events")
+        source(spark, sf_dir, "events")
         .groupBy("event_type", "user_id")
         .agg(
             F.count(F.lit(1)).alias("_n"),
@@ -279,15 +295,27 @@ def digital_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class Star(dict):
+    """The six clean tables by name, each planned when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, years: tuple[int, int] | None):
+        super().__init__()
+        self._builders = {
+            "city_data": lambda: city_data(spark, sf_dir),
+            "ad_category": lambda: ad_category(spark, sf_dir),
+            "print_sales": lambda: print_sales(spark, sf_dir, years),
+            "ad_revenue": lambda: ad_revenue(spark, sf_dir, years),
+            "city_readiness": lambda: city_readiness(spark, sf_dir),
+            "digital_plot": lambda: digital_plot(spark, sf_dir),
+        }
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._builders[name]()
+        return self[name]
+
+
 def star(
     spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None
 ) -> dict[str, DataFrame]:
     """The six clean tables. `years` limits the two large facts at the scan."""
-    return {
-        "city_data": city_data(spark, sf_dir),
-        "ad_category": ad_category(spark, sf_dir),
-        "print_sales": print_sales(spark, sf_dir, years),
-        "ad_revenue": ad_revenue(spark, sf_dir, years),
-        "city_readiness": city_readiness(spark, sf_dir),
-        "digital_plot": digital_plot(spark, sf_dir),
-    }
+    return Star(spark, sf_dir, years)

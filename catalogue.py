@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import oracle
-from broadsheet import bindings
+from broadsheet import bindings, operators
+from broadsheet.functions import half_even, month_key, strict_greatest
+from broadsheet.plans import cleaning
 from broadsheet.plans.questions import QUESTIONS
+from broadsheet.schemas import CLEAN, RAW
+from broadsheet.sources import load_table, publish, write_clean
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,4 +43,272 @@ QUERIES: dict[str, Query] = {name: _question(name) for name in QUESTIONS} | {
     "q11_frequent_declines_single": _question("q11_frequent_declines", fanout=False),
 }
 
-ORACLE: dict[str, str] = dict(oracle.QUESTIONS)
+
+
+def _raw(name: str) -> Query:
+    """A raw table, columns beyond its schema left out."""
+    builder = {
+        "ad_revenue": bindings.raw_ad_revenue,
+        "city_readiness": bindings.raw_city_readiness,
+        "digital_plot": bindings.digital_plot,
+        "print_sales": bindings.raw_print_sales,
+    }[name]
+    return lambda spark, sf_dir: builder(spark, sf_dir).select(*RAW[name].names)
+
+
+def _source(name: str, *columns: str) -> Query:
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = bindings.source(spark, sf_dir, name)
+        return df.select(*columns) if columns else df
+
+    return read
+
+
+def _star_table(name: str, *columns: str) -> Query:
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = bindings.star(spark, sf_dir)[name]
+        return df.select(*columns) if columns else df
+
+    return read
+
+
+def _then(read: Query, step: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: step(read(spark, sf_dir))
+
+
+def _per_table(step: Callable[[DataFrame, str], DataFrame], **tables: Query) -> Query:
+    """A quality check over several tables, as one result."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = [step(read(spark, sf_dir), name) for name, read in tables.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    return run
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# ---- sources, sinks, catalog ----------------------------------------------------------------
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pilot table written as CSV, feedback with quoted line breaks, and read back."""
+    feedback = F.regexp_replace("cumulative_feedback_from_customers", " from ", ',\n"from" ')
+    pilot = _raw("digital_plot")(spark, sf_dir).withColumn(
+        "cumulative_feedback_from_customers", feedback
+    )
+    path = operators.scratch_dir(spark, "digital_plot") + ".csv"
+    write_clean(pilot, "digital_plot", path, "csv")
+    return load_table(spark, "digital_plot", path)
+
+
+def published_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City contribution asked of published tables: clean files, partitioned by year, as tables."""
+    folder = operators.scratch_dir(spark, "clean")
+    star = bindings.star(spark, sf_dir)
+    manifest = {}
+    for name in ("city_data", "print_sales", "city_readiness"):
+        path = f"{folder}/{name}.parquet"
+        write_clean(star[name], name, path)
+        manifest[path] = name
+    before = spark.catalog.currentDatabase()
+    database = "circulation_" + folder.rsplit("-", 1)[-1][:12]
+    publish(spark, manifest, database, f"{folder}/warehouse")
+    tables = {name: spark.table(f"{database}.{name}") for name in manifest.values()}
+    spark.catalog.setCurrentDatabase(before)
+    return QUESTIONS["q2_city_contribution"](tables)
+
+
+# ---- cleaning -------------------------------------------------------------------------------
+
+
+def _last_purchase(df: DataFrame) -> DataFrame:
+    """Events with a column that only purchases set."""
+    return df.select(
+        "event_id", "user_id", F.when(F.col("event_type") == "purchase", F.col("props")).alias("last")
+    )
+
+
+def rate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion by a joined rate table, for codes kept as they came."""
+    rates = spark.createDataFrame(
+        [("USD", 88.14), ("EUR", 103.39), ("INR", 1.0)], "currency string, rate double"
+    )
+    raw = bindings.raw_ad_revenue(spark, sf_dir)
+    converted = operators.in_rupees(raw, "ad_revenue", "currency", "ad_revenue_inr", rates)
+    return converted.select("o_orderkey", "currency", "ad_revenue_inr")
+
+
+def keyed_ad_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_ad_revenue(bindings.raw_ad_revenue(spark, sf_dir))
+
+
+def _from_raw(question: str, table: str, **parameters) -> Query:
+    """A question over one table cleaned from its raw form, the dimensions as they are."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cleaned = cleaning.CLEANERS[table](_raw(table)(spark, sf_dir))
+        tables = {"ad_category": bindings.ad_category(spark, sf_dir), table: cleaned}
+        return QUESTIONS[question](tables, **parameters)
+
+    return run
+
+
+# ---- joins, windows, scalar functions ---------------------------------------------------------
+
+
+def fanout_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = bindings.star(spark, sf_dir)
+    sums = operators.fanout_sums(
+        star["print_sales"],
+        star["ad_revenue"],
+        on=["edition_id", "year"],
+        group_by=["State", "year"],
+        left_sums={"net": "Net_Circulation"},
+        right_sums={"revenue": "ad_revenue_inr"},
+    )
+    return sums.select(
+        "State", "year", F.col("net").cast("long").alias("net"), F.col("revenue").cast("double")
+    )
+
+
+def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = bindings.source(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    return operators.global_row_number(orders, order, "position")
+
+
+def order_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = bindings.source(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    return operators.global_ntile(orders, 4, order, "quartile")
+
+
+def largest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines ranked up to 5 by quantity: many share the highest rank, and all of them stay."""
+    lines = bindings.source(spark, sf_dir, "lineitem")
+    columns = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+    return operators.rank_at_most(lines.select(*columns), "l_quantity", 5, "quantity_rank")
+
+
+def best_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's best year of orders, null unless every year has some."""
+    years = range(1995, 2002)
+    orders = bindings.source(spark, sf_dir, "orders")
+    yearly = orders.groupBy("o_custkey").agg(
+        *[
+            F.max(F.when(F.year("o_orderdate") == y, F.col("o_totalprice"))).alias(f"y{y}")
+            for y in years
+        ]
+    )
+    return yearly.select("o_custkey", strict_greatest(*[f"y{y}" for y in years]).alias("best"))
+
+
+def month_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = bindings.print_sales(spark, sf_dir)
+    return sales.groupBy(month_key("year", "month_num").alias("month")).agg(
+        F.sum("Copies_Sold").alias("sold")
+    )
+
+
+def half_even_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line prices after discount in eighths, where ties are common."""
+    lines = bindings.source(spark, sf_dir, "lineitem")
+    eighth = F.floor("l_extendedprice") + F.col("l_quantity") / 8
+    return lines.groupBy("l_orderkey").agg(
+        F.sum(half_even(eighth).cast("decimal(18,2)")).cast("double").alias("amount")
+    )
+
+
+def states_ignoring_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = operators.case_insensitive(_raw("print_sales")(spark, sf_dir), "State")
+    sums = sales.groupBy("State").agg(F.sum("Net_Circulation").alias("net"))
+    return sums.select(F.lower(F.collate("State", "UTF8_BINARY")).alias("state"), "net")
+
+
+_QUALITY = {
+    name: _raw(name) for name in ("ad_revenue", "city_readiness", "digital_plot", "print_sales")
+}
+_MOMENTS = ("mean", "std", "p25", "p50", "p75")
+
+QUERIES |= {
+    "s1_csv_round_trip": csv_round_trip,
+    "s7_published_answer": published_answer,
+    "s10_print_sales": _star_table("print_sales"),
+    "s11_ad_revenue": _star_table(
+        "ad_revenue", "edition_id", "ad_category", "year", "quarter_num", "ad_revenue", "ad_revenue_inr"
+    ),
+    "s12_city_data": _star_table("city_data"),
+    "s13_ad_category": _star_table("ad_category"),
+    "s13_city_readiness": _star_table("city_readiness"),
+    "s13_digital_plot": _star_table("digital_plot"),
+    "d1_null_counts": _per_table(operators.null_counts, **_QUALITY),
+    "d2_duplicate_rows": _per_table(
+        operators.duplicate_rows,
+        **_QUALITY,
+        lineitem=_source("lineitem", "l_orderkey", "l_linenumber"),
+    ),
+    "d3_shape": _per_table(operators.shape, **_QUALITY),
+    "d4_column_types": _per_table(
+        operators.column_types, ad_revenue=_raw("ad_revenue"), digital_plot=_raw("digital_plot")
+    ),
+    "d5_numeric_profile": _then(
+        _per_table(
+            operators.numeric_profile,
+            lineitem=_source("lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+            ad_revenue=_raw("ad_revenue"),
+        ),
+        lambda df: _rounded(df, *_MOMENTS),
+    ),
+    "d6_categorical_profile": _per_table(
+        operators.categorical_profile, ad_revenue=_raw("ad_revenue"), events=_source("events")
+    ),
+    "d_whole_profile": _then(
+        _per_table(operators.profile, digital_plot=_raw("digital_plot")),
+        lambda df: _rounded(df, "value"),
+    ),
+    "d7_forward_fill": _then(
+        _source("events"), lambda df: operators.forward_fill(_last_purchase(df), "last", "event_id")
+    ),
+    "d7_forward_fill_by_user": _then(
+        _source("events"),
+        lambda df: operators.forward_fill(_last_purchase(df), "last", "event_id", ["user_id"]),
+    ),
+    "d8_constant_fill": _then(
+        bindings.raw_ad_revenue,
+        lambda df: cleaning.fill_missing_comments(df).select("o_orderkey", "comments"),
+    ),
+    "d9_quarter_parts": _then(
+        bindings.raw_ad_revenue,
+        lambda df: cleaning.with_quarter_parts(df).select(
+            "o_orderkey", "quarter", "year", "quarter_num"
+        ),
+    ),
+    "d15_rate_table": rate_table,
+    "d16_half_even": half_even_amounts,
+    "d22_sample": _then(_raw("ad_revenue"), lambda df: operators.sample_rows(df, 10, seed=7)),
+    "d23_head": _then(_raw("city_readiness"), lambda df: operators.head(df, "row_id")),
+    "d24_distinct_states": _then(
+        _raw("print_sales"), lambda df: operators.distinct_values(df, "State")
+    ),
+    "d25_clean_ad_revenue": keyed_ad_revenue,
+    "d25_clean_city_readiness": _then(_raw("city_readiness"), cleaning.clean_city_readiness),
+    "d25_clean_digital_plot": _then(_raw("digital_plot"), cleaning.clean_digital_plot),
+    "d25_clean_print_sales": _then(
+        _raw("print_sales"),
+        lambda df: cleaning.clean_print_sales(df).select(*CLEAN["print_sales"].names),
+    ),
+    "q1_from_raw": _from_raw("q1_state_trend", "print_sales"),
+    "q3_from_raw": _from_raw("q3_category_strength", "ad_revenue", amount="ad_revenue_inr"),
+    "j3_fanout_sums": fanout_by_state,
+    "w5_ntile": order_quartiles,
+    "w6_row_number": order_positions,
+    "w7_rank_at_most": largest_lines,
+    "x5_strict_greatest": best_year,
+    "x9_month_key": month_keys,
+    "m2_case_insensitive": states_ignoring_case,
+}
+
+ORACLE: dict[str, str] = oracle.QUESTIONS | oracle.OPERATORS

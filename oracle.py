@@ -172,7 +172,7 @@ def pct(current: str, previous: str) -> str:
     return f"CAST(({current} - {previous}) * 100 AS DOUBLE) / NULLIF({previous}, 0)"
 
 
-def state_trend() -> str:
+def state_trend_body(source: str = "print_sales") -> str:
     changes = ",\n".join(
         rnd(pct(c, f"LAG({c}) OVER w"), 2) + f" AS YoY_{m}_Change_Percent"
         for m, c in (
@@ -181,17 +181,18 @@ def state_trend() -> str:
             ("Net", "Total_Net_Circulation"),
         )
     )
-    return sql(
-        f"""
+    return f"""
         SELECT year, state AS State, Total_Copies_Sold, Total_Copies_Returned,
                Total_Net_Circulation, {changes}
         FROM (SELECT year, state, {big('SUM(copies_sold)')} AS Total_Copies_Sold,
                      {big('SUM(copies_returned)')} AS Total_Copies_Returned,
                      {big('SUM(net_circulation)')} AS Total_Net_Circulation
-              FROM print_sales WHERE year BETWEEN 2019 AND 2024 GROUP BY year, state)
-        WINDOW w AS (PARTITION BY state ORDER BY year)""",
-        "print_sales",
-    )
+              FROM {source} WHERE year BETWEEN 2019 AND 2024 GROUP BY year, state)
+        WINDOW w AS (PARTITION BY state ORDER BY year)"""
+
+
+def state_trend() -> str:
+    return sql(state_trend_body(), "print_sales")
 
 
 def city_contribution() -> str:
@@ -221,7 +222,9 @@ def city_contribution() -> str:
     )
 
 
-def category_strength(amount: str = "ad_revenue", source: str = "ad_revenue") -> str:
+def category_strength(
+    amount: str = "ad_revenue", source: str = "ad_revenue", view: str = "ad_revenue"
+) -> str:
     years = range(2019, 2025)
     cells = ",\n".join(f"MAX(total) FILTER (year = {y}) AS r{y}" for y in years)
     all_present = " AND ".join(f"r{y} IS NOT NULL" for y in years)
@@ -260,7 +263,7 @@ def category_strength(amount: str = "ad_revenue", source: str = "ad_revenue") ->
                     WHEN score >= 20 THEN 'DECLINING: Needs Intervention'
                     ELSE 'CRITICAL: Severe Decline' END AS final_verdict
         FROM scored""",
-        "ad_revenue",
+        view,
         "ad_category",
     )
 
@@ -491,3 +494,359 @@ QUESTIONS = {
     "k3_category_share": category_share(),
     "k4_revenue_circulation": revenue_circulation_correlation(),
 }
+
+
+VIEWS |= {
+    "raw_city_readiness": """
+        SELECT row_id, city_id, quarter, literacy_rate, smartphone_penetration, internet_penetration
+        FROM city_readiness""",
+    "raw_print_sales": """
+        SELECT 'ED' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS edition_id,
+               'C' || lpad(CAST(s_nationkey AS VARCHAR), 3, '0') AS "City_ID",
+               CASE WHEN r_name <> 'ASIA' THEN r_name WHEN n_nationkey % 3 = 0 THEN 'Uttar-Pradesh'
+                    WHEN n_nationkey % 3 = 1 THEN 'Uttar pradesh' ELSE 'Uttar Pradesh' END AS "State",
+               CASE l_suppkey % 5 WHEN 0 THEN strftime(month, '%Y-%m')
+                    WHEN 1 THEN strftime(month, '%Y-%m-%d') WHEN 2 THEN strftime(month, '%Y/%m/%d')
+                    WHEN 3 THEN strftime(month, '%b-%Y') ELSE 'unknown' END AS "Month",
+               sold AS "Copies Sold", returned AS copies_returned,
+               sold - returned AS "Net_Circulation"
+        FROM edition_months""",
+    # What cleaning has to arrive at, from the facts behind the raw texts rather than from the texts.
+    "clean_print_sales": """
+        SELECT 'ED' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS edition_id,
+               'C' || lpad(CAST(s_nationkey AS VARCHAR), 3, '0') AS "City_ID",
+               CASE WHEN r_name = 'ASIA' THEN 'Uttar Pradesh' ELSE r_name END AS "State",
+               CASE WHEN l_suppkey % 5 < 4 THEN CAST(month AS DATE) END AS "Month",
+               sold AS "Copies_Sold", returned AS copies_returned,
+               sold - returned AS "Net_Circulation"
+        FROM edition_months""",
+    "clean_ad_revenue": """
+        SELECT o_orderkey, 'A00' || substr(o_orderpriority, 1, 1) AS ad_category,
+               year(o_orderdate) + 24 AS year, quarter(o_orderdate) AS quarter_num,
+               upper(trim(currency, ' ' || chr(9))) AS currency,
+               round_even(r.ad_revenue * CASE WHEN o_orderkey % 10 <= 3 THEN CAST(1 AS DOUBLE)
+                                     WHEN o_orderkey % 10 <= 6 THEN CAST(88.14 AS DOUBLE)
+                                     WHEN o_orderkey % 10 <= 8 THEN CAST(103.39 AS DOUBLE) END
+                          * 100, 0) / 100 AS ad_revenue_inr,
+               r.edition_id, r.quarter, r.ad_revenue,
+               COALESCE(r.comments, 'No Commensts') AS comments
+        FROM raw_ad_revenue r JOIN orders USING (o_orderkey)""",
+}
+NEEDS |= {
+    "raw_city_readiness": ["city_readiness"],
+    "raw_print_sales": ["edition_months"],
+    "clean_print_sales": ["edition_months"],
+    "clean_ad_revenue": ["raw_ad_revenue"],
+}
+
+RAW_COLUMNS = {
+    "ad_revenue": "edition_id, ad_category, quarter, ad_revenue, currency, comments",
+    "city_readiness": "row_id, city_id, quarter, literacy_rate, smartphone_penetration, "
+    "internet_penetration",
+    "digital_plot": "row_id, platform, launch_month, ad_category_id, dev_cost, marketing_cost, "
+    "users_reached, downloads_or_accesses, avg_bounce_rate, cumulative_feedback_from_customers, city_id",
+    "print_sales": 'edition_id, City_ID, State, "Month", "Copies Sold", copies_returned, Net_Circulation',
+}
+RAW_VIEWS = {
+    "ad_revenue": "raw_ad_revenue",
+    "city_readiness": "raw_city_readiness",
+    "digital_plot": "digital_plot",
+    "print_sales": "raw_print_sales",
+}
+
+
+def _names(table: str) -> list[str]:
+    return [c.strip().strip('"') for c in RAW_COLUMNS[table].split(",")]
+
+
+def union(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+def null_counts() -> str:
+    return sql(
+        union(
+            [
+                f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", "
+                f"COUNT(*) - COUNT(\"{c}\") AS nulls FROM {view}"
+                for t, view in RAW_VIEWS.items()
+                for c in _names(t)
+            ]
+        ),
+        *RAW_VIEWS.values(),
+    )
+
+
+def duplicate_rows() -> str:
+    counts = {t: (RAW_COLUMNS[t], view) for t, view in RAW_VIEWS.items()}
+    counts["lineitem"] = ("l_orderkey, l_linenumber", "lineitem")
+    return sql(
+        union(
+            [
+                f"SELECT '{t}' AS \"table\", (SELECT COUNT(*) FROM {view}) - "
+                f"(SELECT COUNT(*) FROM (SELECT DISTINCT {columns} FROM {view})) AS duplicates"
+                for t, (columns, view) in counts.items()
+            ]
+        ),
+        *RAW_VIEWS.values(),
+    )
+
+
+def shapes() -> str:
+    return sql(
+        union(
+            [
+                f"SELECT '{t}' AS \"table\", COUNT(*) AS rows, {len(_names(t))} AS columns FROM {view}"
+                for t, view in RAW_VIEWS.items()
+            ]
+        ),
+        *RAW_VIEWS.values(),
+    )
+
+
+SPARK_TYPES = {"row_id": "bigint", "ad_revenue": "double", "avg_bounce_rate": "double"} | {
+    c: "bigint" for c in ("dev_cost", "marketing_cost", "users_reached", "downloads_or_accesses")
+}
+
+
+def column_types() -> str:
+    return sql(
+        union(
+            [
+                f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", "
+                f"'{SPARK_TYPES.get(c, 'string')}' AS type, COUNT(*) AS rows FROM {RAW_VIEWS[t]}"
+                for t in ("ad_revenue", "digital_plot")
+                for c in _names(t)
+            ]
+        ),
+        "raw_ad_revenue",
+        "digital_plot",
+    )
+
+
+def _figures(column: str) -> dict[str, str]:
+    value = f"CAST({column} AS DOUBLE)"
+    quartiles = {f"p{p}": f"QUANTILE_CONT({value}, {p / 100})" for p in (25, 50, 75)}
+    return {
+        "count": f"COUNT({column})",
+        "mean": f"ROUND(AVG({value}), 6)",
+        "std": f"ROUND(STDDEV_SAMP({value}), 6)",
+        "min": f"MIN({value})",
+        **{q: f"ROUND({e}, 6)" for q, e in quartiles.items()},
+        "max": f"MAX({value})",
+    }
+
+
+def numeric_profile() -> str:
+    columns = [("lineitem", "lineitem", c) for c in "l_quantity l_extendedprice l_discount l_tax".split()]
+    columns.append(("ad_revenue", "raw_ad_revenue", "ad_revenue"))
+    return sql(
+        union(
+            [
+                f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", "
+                + ", ".join(f'{e} AS "{m}"' for m, e in _figures(c).items())
+                + f" FROM {view}"
+                for t, view, c in columns
+            ]
+        ),
+        "raw_ad_revenue",
+    )
+
+
+def _categories(table: str, view: str, columns: list[str]) -> str:
+    return union(
+        [
+            f"""SELECT '{table}' AS "table", '{c}' AS "column", {big('SUM(n)')} AS "count",
+                       COUNT(*) AS "unique", FIRST({c} ORDER BY n DESC, {c}) AS top, MAX(n) AS freq
+                FROM (SELECT {c}, COUNT(*) AS n FROM {view} WHERE {c} IS NOT NULL GROUP BY {c})"""
+            for c in columns
+        ]
+    )
+
+
+def categorical_profile() -> str:
+    texts = [c for c in _names("ad_revenue") if c != "ad_revenue"]
+    return sql(
+        union(
+            [
+                _categories("ad_revenue", "raw_ad_revenue", texts),
+                _categories("events", "events", ["event_type", "props"]),
+            ]
+        ),
+        "raw_ad_revenue",
+    )
+
+
+def whole_profile() -> str:
+    """Every metric of the pilot table as rows of (table, column, metric, value, text)."""
+    names = _names("digital_plot")
+    numeric = [c for c in names if c in SPARK_TYPES]
+    texts = [c for c in names if c not in SPARK_TYPES]
+
+    def cell(column: str, metric: str, value: str, text: str, source: str) -> str:
+        return (
+            f"SELECT 'digital_plot' AS \"table\", {column} AS \"column\", '{metric}' AS metric, "
+            f"CAST({value} AS DOUBLE) AS value, CAST({text} AS VARCHAR) AS text FROM {source}"
+        )
+
+    distinct = f"(SELECT DISTINCT {RAW_COLUMNS['digital_plot']} FROM digital_plot)"
+    parts = [
+        cell("NULL", "rows", "COUNT(*)", "NULL", "digital_plot"),
+        cell("NULL", "columns", str(len(names)), "NULL", "(SELECT 1)"),
+        cell("NULL", "duplicates", f"COUNT(*) - (SELECT COUNT(*) FROM {distinct})", "NULL", "digital_plot"),
+    ]
+    for c in names:
+        parts.append(cell(f"'{c}'", "nulls", f"COUNT(*) - COUNT({c})", "NULL", "digital_plot"))
+        parts.append(cell(f"'{c}'", "type", "NULL", f"'{SPARK_TYPES.get(c, 'string')}'", "(SELECT 1)"))
+    for c in numeric:
+        parts += [cell(f"'{c}'", m, e, "NULL", "digital_plot") for m, e in _figures(c).items()]
+    for c in texts:
+        source = f"({_categories('digital_plot', 'digital_plot', [c])})"
+        parts += [cell(f"'{c}'", m, f'"{m}"', "NULL", source) for m in ("count", "unique", "freq")]
+        parts.append(cell(f"'{c}'", "top", "NULL", "top", source))
+    return sql(union(parts), "digital_plot")
+
+
+_PURCHASE = "CASE WHEN event_type = 'purchase' THEN props END"
+
+
+def forward_fill(partition: str = "") -> str:
+    return f"""
+        SELECT event_id, user_id,
+               LAST_VALUE({_PURCHASE} IGNORE NULLS) OVER ({partition} ORDER BY event_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last
+        FROM events"""
+
+
+_MONTH_PARTS = """year("Month") AS year, month("Month") AS month_num,
+               strftime("Month", '%B') AS month_name, quarter("Month") AS quarter"""
+
+OPERATORS = {
+    "s1_csv_round_trip": sql(
+        """
+        SELECT * EXCLUDE (cumulative_feedback_from_customers),
+               replace(cumulative_feedback_from_customers, ' from ', ',' || chr(10) || '"from" ')
+                 AS cumulative_feedback_from_customers
+        FROM digital_plot""",
+        "digital_plot",
+    ),
+    "s7_published_answer": city_contribution(),
+    "s10_print_sales": sql(
+        """
+        SELECT edition_id, city_id AS "City_ID", state AS "State", "Month",
+               copies_sold AS "Copies_Sold", copies_returned, net_circulation AS "Net_Circulation",
+               year, month_num, strftime("Month", '%B') AS month_name, quarter("Month") AS quarter
+        FROM (SELECT *, make_date(year, month_num, 1) AS "Month" FROM print_sales)""",
+        "print_sales",
+    ),
+    "s11_ad_revenue": sql(
+        """
+        SELECT edition_id, ad_category, year, quarter_num, CAST(ad_revenue AS DOUBLE) AS ad_revenue,
+               CAST(ad_revenue_inr AS DOUBLE) AS ad_revenue_inr
+        FROM ad_revenue""",
+        "ad_revenue",
+    ),
+    "s12_city_data": sql("SELECT * FROM city_data", "city_data"),
+    "s13_ad_category": sql("SELECT * FROM ad_category", "ad_category"),
+    "s13_city_readiness": sql("SELECT * FROM city_readiness", "city_readiness"),
+    "s13_digital_plot": sql("SELECT * FROM digital_plot", "digital_plot"),
+    "d1_null_counts": null_counts(),
+    "d2_duplicate_rows": duplicate_rows(),
+    "d3_shape": shapes(),
+    "d4_column_types": column_types(),
+    "d5_numeric_profile": numeric_profile(),
+    "d6_categorical_profile": categorical_profile(),
+    "d_whole_profile": whole_profile(),
+    "d7_forward_fill": forward_fill(),
+    "d7_forward_fill_by_user": forward_fill("PARTITION BY user_id"),
+    "d8_constant_fill": """
+        SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Seasonal booking'
+                                ELSE 'No Commensts' END AS comments
+        FROM orders""",
+    "d9_quarter_parts": sql(
+        """
+        SELECT o_orderkey, quarter, year(o_orderdate) + 24 AS year, quarter(o_orderdate) AS quarter_num
+        FROM raw_ad_revenue JOIN orders USING (o_orderkey)""",
+        "raw_ad_revenue",
+    ),
+    "d15_rate_table": sql(
+        """
+        SELECT o_orderkey, currency,
+               round_even(ad_revenue * CASE currency WHEN 'USD' THEN CAST(88.14 AS DOUBLE)
+                                       WHEN 'EUR' THEN CAST(103.39 AS DOUBLE)
+                                       WHEN 'INR' THEN CAST(1 AS DOUBLE) END * 100, 0) / 100
+                 AS ad_revenue_inr
+        FROM raw_ad_revenue""",
+        "raw_ad_revenue",
+    ),
+    "d16_half_even": """
+        SELECT l_orderkey,
+               CAST(SUM(round_even(CAST(floor(l_extendedprice) + l_quantity / 8 AS DECIMAL(18,4)), 2))
+                    AS DOUBLE) AS amount
+        FROM lineitem GROUP BY l_orderkey""",
+    "d23_head": sql("SELECT * FROM raw_city_readiness ORDER BY row_id LIMIT 5", "raw_city_readiness"),
+    "d24_distinct_states": sql("SELECT DISTINCT State FROM raw_print_sales", "raw_print_sales"),
+    "d25_clean_ad_revenue": sql("SELECT * FROM clean_ad_revenue", "clean_ad_revenue"),
+    "d25_clean_city_readiness": sql("SELECT * FROM city_readiness", "city_readiness"),
+    "d25_clean_digital_plot": sql(
+        """
+        SELECT * EXCLUDE (cumulative_feedback_from_customers, launched),
+               LAST_VALUE(cumulative_feedback_from_customers IGNORE NULLS) OVER (ORDER BY row_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                 AS cumulative_feedback_from_customers,
+               year(launched) AS launch_year, month(launched) AS launch_month_num,
+               strftime(launched, '%B') AS launch_month_name, quarter(launched) AS launch_quarter
+        FROM (SELECT *, CAST(launch_month || '-01' AS DATE) AS launched FROM digital_plot)""",
+        "digital_plot",
+    ),
+    "d25_clean_print_sales": sql(
+        f"SELECT *, {_MONTH_PARTS} FROM clean_print_sales", "clean_print_sales"
+    ),
+    "q1_from_raw": sql(
+        state_trend_body("(SELECT *, year(\"Month\") AS year FROM clean_print_sales)"),
+        "clean_print_sales",
+    ),
+    "q3_from_raw": category_strength(
+        "CAST(ad_revenue_inr AS DECIMAL(18,2))", "clean_ad_revenue", "clean_ad_revenue"
+    ),
+    "j3_fanout_sums": sql(
+        """
+        SELECT ps.state AS "State", ps.year, CAST(SUM(ps.net_circulation) AS BIGINT) AS net,
+               CAST(SUM(ar.ad_revenue_inr) AS DOUBLE) AS revenue
+        FROM print_sales ps
+        JOIN ad_revenue ar ON ps.edition_id = ar.edition_id AND ps.year = ar.year
+        GROUP BY ps.state, ps.year""",
+        "print_sales",
+        "ad_revenue",
+    ),
+    "w5_ntile": """
+        SELECT o_orderkey, o_totalprice,
+               CAST(NTILE(4) OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS quartile
+        FROM orders""",
+    "w6_row_number": """
+        SELECT o_orderkey, o_totalprice,
+               ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position
+        FROM orders""",
+    "w7_rank_at_most": """
+        SELECT * FROM (
+            SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity,
+                   CAST(RANK() OVER (ORDER BY l_quantity DESC) AS INTEGER) AS quantity_rank
+            FROM lineitem)
+        WHERE quantity_rank <= 5""",
+    "x5_strict_greatest": """
+        SELECT o_custkey, CASE WHEN COUNT(DISTINCT year(o_orderdate)) = 7
+                               THEN MAX(o_totalprice) END AS best
+        FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY o_custkey""",
+    "x9_month_key": sql(
+        """
+        SELECT strftime(month, '%Y-%m') AS month, CAST(SUM(sold) AS BIGINT) AS sold
+        FROM edition_months GROUP BY 1""",
+        "edition_months",
+    ),
+    "m2_case_insensitive": sql(
+        """
+        SELECT lower("State") AS state, CAST(SUM("Net_Circulation") AS BIGINT) AS net
+        FROM raw_print_sales GROUP BY 1""",
+        "raw_print_sales",
+    ),
+}
