@@ -275,7 +275,7 @@ def digital_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("_marketing").alias("marketing_cost"),
         F.count(F.lit(1)).alias("users_reached"),
         F.sum("_n").alias("downloads_or_accesses"),
-        (F.sum("_value").cast("double") / F.sum("_n")).alias("_bounce"),
+        (F.sum("_value") / F.sum("_n")).alias("_bounce"),
     )
     said = F.concat(F.col("event_type"), F.lit(" from "), _city_id(F.col("_city")))
     return pilot.select(
@@ -287,7 +287,7 @@ def digital_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
         "marketing_cost",
         "users_reached",
         "downloads_or_accesses",
-        F.round("_bounce", 2).alias("avg_bounce_rate"),
+        F.round("_bounce", 2).cast("double").alias("avg_bounce_rate"),
         F.when(F.col("downloads_or_accesses") % 2 == 0, said).alias(
             "cumulative_feedback_from_customers"
         ),

@@ -5,6 +5,7 @@ from .measures import (
     money,
     month_key,
     pct_change,
+    rounded,
     safe_ratio,
     strict_greatest,
     strict_sum,
@@ -23,6 +24,7 @@ __all__ = [
     "quarter_number",
     "quarter_year",
     "respell",
+    "rounded",
     "safe_ratio",
     "strict_greatest",
     "strict_sum",

@@ -28,10 +28,10 @@ def strict_sum(*columns: Column | str) -> Column:
     return reduce(lambda a, b: a + b, map(_column, columns))
 
 
-def exact_mean(value: Column | str, divisor: int = 1) -> Column:
-    """AVG(value) / divisor over exact decimals; null for a group without values."""
+def exact_mean(value: Column | str) -> Column:
+    """AVG(value) as double from an exact decimal sum; null for a group without values."""
     value = _column(value).cast(RATE)
-    return F.sum(value) / F.nullif(F.count(value) * divisor, F.lit(0))
+    return F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0))
 
 
 def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:
@@ -46,8 +46,21 @@ def pct_change(current: Column | str, previous: Column | str) -> Column:
     return safe_ratio((current - previous) * 100, previous)
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """Round a quotient of whole numbers or decimals, ties away from zero.
+
+    A quotient that is a tie in decimals may come out a last bit below it as a double; twelve
+    decimal places are where the two agree.
+    """
+    return F.round(_column(value).cast("decimal(38,12)"), digits).cast("double")
+
+
 def half_even(value: Column | str, digits: int = 2) -> Column:
-    """Round a double to `digits`, ties to the even neighbour, by scaling, rounding and unscaling."""
+    """Round a figure that is a double by nature: scale, nearest or even whole number, unscale.
+
+    This is how both data frames and databases round doubles, ties included; `rounded` is how
+    databases round decimals.
+    """
     scale = float(10**digits)
     return F.rint(_column(value) * scale) / scale
 

@@ -25,10 +25,11 @@ def running_total(
     order_by: list[Column | str],
     name: str,
     by: list[str] | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Add `name`: the sum of `weight` up to and including the row, per `by`, along `order_by`.
 
-    `order_by` must tell all rows of a group apart.
+    `order_by` must tell all rows of a group apart. `total` also adds the sum over the group.
     """
     keys, order = list(by or []), [_column(c) for c in order_by]
     parts = pin(
@@ -36,11 +37,13 @@ def running_total(
         .repartitionByRange(*[F.col(k) for k in keys], *order)
         .withColumn("_part", F.spark_partition_id())
     )
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         parts.groupBy(*keys, "_part")
         .agg(F.sum("_weight").alias("_sum"))
-        .select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+        .withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        .withColumn("_total", F.sum("_sum").over(group))
     )
     inside = (
         Window.partitionBy(*keys, "_part")
@@ -52,13 +55,17 @@ def running_total(
     for key in keys:
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     return local.join(offsets.alias("r"), same).select(
-        *[F.col(f"l.{c}") for c in df.columns], (F.col("_local") + F.col("_offset")).alias(name)
+        *[F.col(f"l.{c}") for c in df.columns],
+        (F.col("_local") + F.col("_offset")).alias(name),
+        *([F.col("_total").alias(total)] if total else []),
     )
 
 
-def global_row_number(df: DataFrame, order_by: list[Column | str], name: str) -> DataFrame:
+def global_row_number(
+    df: DataFrame, order_by: list[Column | str], name: str, total: str | None = None
+) -> DataFrame:
     """ROW_NUMBER() OVER (ORDER BY order_by) for any number of rows; the order must be total."""
-    return running_total(df, F.lit(1).cast("long"), order_by, name)
+    return running_total(df, F.lit(1).cast("long"), order_by, name, total=total)
 
 
 def global_ntile(df: DataFrame, n: int, order_by: list[Column | str], name: str) -> DataFrame:
@@ -66,8 +73,7 @@ def global_ntile(df: DataFrame, n: int, order_by: list[Column | str], name: str)
 
     The first `rows mod n` tiles get one row more than the others.
     """
-    numbered = global_row_number(df, order_by, "_position")
-    total = numbered.agg(F.count(F.lit(1)).alias("_rows"))
+    numbered = global_row_number(df, order_by, "_position", total="_rows")
     tile = F.expr(
         f"""CASE WHEN _position - 1 < (_rows % {n}) * (_rows div {n} + 1)
                  THEN (_position - 1) div (_rows div {n} + 1) + 1
@@ -76,7 +82,7 @@ def global_ntile(df: DataFrame, n: int, order_by: list[Column | str], name: str)
                         div greatest(_rows div {n}, 1) + 1
             END"""
     ).cast("int")
-    return numbered.crossJoin(F.broadcast(total)).select(*df.columns, tile.alias(name))
+    return numbered.select(*df.columns, tile.alias(name))
 
 
 def rank_at_most(df: DataFrame, value: str, k: int, name: str) -> DataFrame:
@@ -108,9 +114,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float])
     """
     values = long_values(df, columns, "double").where(~F.isnan("value"))
     counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_total(counted, "_n", ["value"], "_upto", by=["column"])
-    sizes = placed.groupBy("column").agg(F.sum("_n").alias("_size"))
-    placed = placed.join(F.broadcast(sizes), "column")  # one row per profiled column
+    placed = running_total(counted, "_n", ["value"], "_upto", by=["column"], total="_size")
 
     def value_at(rank: Column) -> Column:
         hit = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))

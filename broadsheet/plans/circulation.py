@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import band, exact_mean, month_key, pct_change, safe_ratio, strict_sum
+from ..functions import band, exact_mean, half_even, month_key, pct_change, rounded, safe_ratio, strict_sum
 from ..operators import rank_at_most
 
 Tables = dict[str, DataFrame]
@@ -38,7 +38,7 @@ def state_trend(tables: Tables, first_year: int = 2019, last_year: int = 2024) -
     )
     by_year = Window.partitionBy("State").orderBy("year")
     changes = {
-        f"YoY_{m}_Change_Percent": F.round(
+        f"YoY_{m}_Change_Percent": rounded(
             pct_change(f"Total_{c}", F.lag(f"Total_{c}").over(by_year)), 2
         )
         for m, c in measures.items()
@@ -64,7 +64,7 @@ def city_contribution(tables: Tables, year: int = 2024) -> DataFrame:
         .agg(
             F.sum("sold").alias("Total_Copies_Sold"),
             F.sum("net").alias("Total_Net_Circulation"),
-            F.round(safe_ratio(F.sum("returned") * 100, F.sum("sold")), 2).alias("Return_Percent"),
+            rounded(safe_ratio(F.sum("returned") * 100, F.sum("sold")), 2).alias("Return_Percent"),
         )
     )
     rates = ["literacy_rate", "smartphone_penetration", "internet_penetration"]
@@ -72,7 +72,7 @@ def city_contribution(tables: Tables, year: int = 2024) -> DataFrame:
         tables["city_readiness"]
         .where(F.col("year") == year)
         .groupBy("city_id")
-        .agg(*[F.round(exact_mean(r), 2).cast("double").alias(r) for r in rates])
+        .agg(*[half_even(exact_mean(r)).alias(r) for r in rates])
     )
     steps = [
         ("<", 10, "Highly Profitable"),
@@ -125,7 +125,7 @@ def sharpest_falls(
             "year",
             month_key("year", "month_num").alias("month"),
             "net_circulation",
-            F.round("_change", 2).alias("MoM_Decline_Percentage"),
+            rounded("_change", 2).alias("MoM_Decline_Percentage"),
         )
         .orderBy("MoM_Decline_Percentage", "city_name", "month")
     )
@@ -147,7 +147,7 @@ def print_efficiency(tables: Tables, year: int = 2024, k: int = 5) -> DataFrame:
             F.sum(strict_sum("Copies_Sold", "copies_returned")).alias(printed),
         )
         .where(F.col(printed) > 0)
-        .withColumn("_ratio", F.round(safe_ratio(net, printed), 8))
+        .withColumn("_ratio", rounded(safe_ratio(net, printed), 8))
     )
     ranked = rank_at_most(metrics, "_ratio", k, rank)
     return (
@@ -156,7 +156,7 @@ def print_efficiency(tables: Tables, year: int = 2024, k: int = 5) -> DataFrame:
             F.col("city").alias("city_name"),
             printed,
             net,
-            F.round("_ratio", 4).alias("efficiency_ratio"),
+            rounded("_ratio", 4).alias("efficiency_ratio"),
             rank,
         )
         .orderBy(rank, "city_name")
@@ -172,5 +172,5 @@ def circulation_change(tables: Tables, first_year: int = 2019, last_year: int =
             for name, y in (("first_net", first_year), ("last_net", last_year))
         ]
     )
-    change = F.round(pct_change("last_net", "first_net"), 2)
+    change = rounded(pct_change("last_net", "first_net"), 2)
     return totals.select("first_net", "last_net", change.alias("change_percent"))

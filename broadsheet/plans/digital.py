@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import exact_mean, pct_change, safe_ratio, strict_sum
-from ..operators import at_most_rows, global_ntile
+from ..functions import exact_mean, half_even, pct_change, rounded, safe_ratio, strict_sum
+from ..operators import at_most_rows, global_ntile, pin
 from .circulation import Tables, sum_by, with_city
 
-SCORE = "decimal(20,10)"
+SCORE = "decimal(28,10)"  # for means over scores and comparisons with them
 
 
 def readiness_scores(city_readiness: DataFrame) -> DataFrame:
@@ -21,9 +21,7 @@ def readiness_scores(city_readiness: DataFrame) -> DataFrame:
             for c in ("literacy_rate", "smartphone_penetration", "internet_penetration")
         ]
     )
-    return city_readiness.groupBy("city_id").agg(
-        exact_mean(rates, 3).cast(SCORE).alias("readiness")
-    )
+    return city_readiness.groupBy("city_id").agg((exact_mean(rates) / 3).alias("readiness"))
 
 
 def engagement_scores(digital_plot: DataFrame) -> DataFrame:
@@ -37,16 +35,16 @@ def decline_rates(print_sales: DataFrame) -> DataFrame:
     """Mean yearly percentage change of net circulation per city, growth included."""
     yearly = sum_by(print_sales, ["City_ID", "year"], net="Net_Circulation")
     previous = F.lag("net").over(Window.partitionBy("City_ID").orderBy("year"))
-    changes = yearly.withColumn("_change", pct_change("net", previous).cast("decimal(28,10)"))
+    changes = yearly.withColumn("_change", pct_change("net", previous).cast(SCORE))
     changes = changes.where(F.col("_change").isNotNull())
     rate = F.sum("_change").cast("double") / F.count("_change")
     return changes.groupBy(F.col("City_ID").alias("city_id")).agg(
-        F.round(rate, 8).alias("decline")
+        rounded(rate, 8).alias("decline")
     )
 
 
 def _mean(df: DataFrame, column: str, name: str) -> DataFrame:
-    total = F.sum(F.col(column).cast("decimal(28,10)"))
+    total = F.sum(F.col(column).cast(SCORE))
     return df.agg((total / F.nullif(F.count(column), F.lit(0))).alias(name))
 
 
@@ -60,7 +58,9 @@ def ready_but_unengaged(tables: Tables) -> DataFrame:
     means = _mean(readiness, "readiness", "_readiness").crossJoin(
         _mean(engagement, "engagement", "_engagement")
     )
-    above = (F.col("readiness") > F.col("_readiness")) & (F.col("engagement") < F.col("_engagement"))
+    above = (F.col("readiness").cast(SCORE) > F.col("_readiness")) & (
+        F.col("engagement") < F.col("_engagement")
+    )
     scored = readiness.join(engagement, "city_id").crossJoin(F.broadcast(means)).where(above)
     return (
         with_city(scored, tables["city_data"], "city", "state")
@@ -68,7 +68,7 @@ def ready_but_unengaged(tables: Tables) -> DataFrame:
         .select(
             "city",
             "state",
-            F.round("readiness", 2).cast("double").alias("Avg_Readiness_Score"),
+            half_even("readiness").alias("Avg_Readiness_Score"),
             F.col("engagement").alias("Total_Engagement"),
         )
     )
@@ -104,16 +104,16 @@ def relaunch_priority(
             {name: F.ntile(4).over(Window.orderBy(*keys)) for name, keys in priorities.items()}
         )
     else:
-        tiled = cities
+        tiled = pin(cities)  # read by three orders
         for name, keys in priorities.items():
             tiled = global_ntile(tiled, 4, keys, name)
     ranked = tiled.select(
         "city",
         "state",
         "tier",
-        F.round("readiness", 4).cast("double").alias("Avg_Readiness_Score"),
+        half_even("readiness", 4).alias("Avg_Readiness_Score"),
         F.col("engagement").alias("Total_Engagement"),
-        F.round("decline", 2).alias("Avg_Decline_Rate_Percent"),
+        rounded("decline", 2).alias("Avg_Decline_Rate_Percent"),
         *priorities,
         strict_sum(*priorities).alias("Prioritization_Score"),
     )
@@ -141,7 +141,7 @@ def internet_growth(tables: Tables, year: int = 2021, first: int = 1, last: int
         )
         .where(F.col(f"_has_{first}") & F.col(f"_has_{last}"))
     )
-    growth = F.round(F.col(rates[last]) - F.col(rates[first]), 4)
+    growth = half_even(F.col(rates[last]) - F.col(rates[first]), 4)
     return (
         with_city(pairs, tables["city_data"], "city")
         .select(F.col("city").alias("city_name"), *rates.values(), growth.alias("delta_internet_rate"))
@@ -159,10 +159,10 @@ def pilot_performance(tables: Tables) -> DataFrame:
         .agg(
             users.alias("users_reached"),
             downloads.alias("downloads_or_accesses"),
-            F.round(safe_ratio(downloads, users), 4).alias("downloads_per_user"),
-            F.round(exact_mean("avg_bounce_rate"), 2).cast("double").alias("avg_bounce_rate"),
+            rounded(safe_ratio(downloads, users), 4).alias("downloads_per_user"),
+            half_even(exact_mean("avg_bounce_rate")).alias("avg_bounce_rate"),
             F.sum(cost).alias("total_cost"),
-            F.round(safe_ratio(F.sum(cost), downloads), 2).alias("cost_per_access"),
+            rounded(safe_ratio(F.sum(cost), downloads), 2).alias("cost_per_access"),
         )
         .orderBy(F.desc("downloads_per_user"), "platform")
     )

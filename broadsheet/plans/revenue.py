@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import band, money, safe_ratio, strict_greatest
+from ..functions import band, half_even, money, rounded, safe_ratio, strict_greatest
 from ..operators import fanout_sums
 from .circulation import Tables, sum_by, with_city
 
@@ -89,7 +89,7 @@ def category_strength(
     return scored.select(
         "standard_ad_category",
         *[F.col(c).cast("double").alias(c) for c in revenue.values()],
-        F.round(F.col("_growth") * 100, 2).alias("net_growth_percent"),
+        half_even(F.col("_growth") * 100).alias("net_growth_percent"),
         "consistency_score",
         "peak_timing_score",
         "recovery_score",
@@ -116,7 +116,7 @@ def revenue_by_city(tables: Tables) -> DataFrame:
         .agg(
             F.sum("revenue").cast("double").alias("Total_City_Ad_Revenue"),
             F.sum("net").alias("Total_City_Net_Circulation"),
-            F.round(safe_ratio(F.sum("revenue"), F.sum("net")), 2).alias(
+            half_even(safe_ratio(F.sum("revenue"), F.sum("net"))).alias(
                 "Revenue_Per_Net_Copy_Ratio"
             ),
         )
@@ -163,7 +163,7 @@ def revenue_per_copy(tables: Tables, fanout: bool = True) -> DataFrame:
             "city_id",
             "city",
             "year",
-            F.round(safe_ratio("revenue", "net"), 4).cast("decimal(18,4)").alias("ratio"),
+            rounded(safe_ratio("revenue", "net"), 4).cast("decimal(18,4)").alias("ratio"),
         )
     )
     by_year = Window.partitionBy("city_id").orderBy("year")
@@ -235,7 +235,7 @@ def category_share(tables: Tables, amount: str = "ad_revenue_inr") -> DataFrame:
         .select(
             "standard_ad_category",
             F.col("revenue").cast("double").alias("revenue"),
-            F.round(safe_ratio(F.col("revenue") * 100, "_total"), 2).alias("share_percent"),
+            rounded(safe_ratio(F.col("revenue") * 100, "_total"), 2).alias("share_percent"),
         )
         .orderBy(F.desc("revenue"), "standard_ad_category")
     )
@@ -254,7 +254,7 @@ def revenue_circulation_correlation(tables: Tables) -> DataFrame:
         .groupBy("State")
         .agg(
             F.count(F.lit(1)).alias("edition_years"),
-            F.round(F.corr("revenue", F.col("net").cast("double")), 6).alias("correlation"),
+            rounded(F.corr("revenue", F.col("net").cast("double")), 6).alias("correlation"),
         )
         .orderBy("State")
     )

@@ -71,11 +71,15 @@ def load_all(
 
 
 def malformed_rows(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Rows of a CSV file that do not fit the schema, with the offending text."""
+    """Rows of a CSV file that do not fit the schema, with the offending text.
+
+    Only columns a query asks for are parsed, so the filter asks for all of them.
+    """
     schema = T.StructType([*RAW[name].fields, T.StructField("_corrupt_record", T.StringType())])
     rows = (
         spark.read.schema(schema)
         .options(**csv_options(name), columnNameOfCorruptRecord="_corrupt_record")
         .csv(path)
     )
-    return rows.where(F.col("_corrupt_record").isNotNull())
+    all_columns = F.hash(*[F.col(f"`{c}`") for c in RAW[name].names]) >= F.lit(-(2**31))
+    return rows.where(F.col("_corrupt_record").isNotNull() & all_columns)

@@ -133,8 +133,8 @@ def _last_purchase(df: DataFrame) -> DataFrame:
 
 def rate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversion by a joined rate table, for codes kept as they came."""
-    rates = spark.createDataFrame(
-        [("USD", 88.14), ("EUR", 103.39), ("INR", 1.0)], "currency string, rate double"
+    rates = spark.sql(
+        "SELECT * FROM VALUES ('USD', 88.14D), ('EUR', 103.39D), ('INR', 1D) AS r(currency, rate)"
     )
     raw = bindings.raw_ad_revenue(spark, sf_dir)
     converted = operators.in_rupees(raw, "ad_revenue", "currency", "ad_revenue_inr", rates)

@@ -1,14 +1,19 @@
 """The same results as plain SQL for DuckDB, over the same Parquet views.
 
 `VIEWS` derives the star schema; `sql(body, *views)` puts the views a query needs in front of it.
-Ratios are doubles; they pass through DECIMAL(38,12) before rounding so that ties go away from zero.
+Ratios are doubles; they pass through DECIMAL(38,10) before rounding so that ties go away from zero.
 """
 
 from __future__ import annotations
 
 
 def rnd(expression: str, digits: int) -> str:
-    return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+
+
+def even(expression: str, digits: int = 2) -> str:
+    scale = f"CAST({10**digits} AS DOUBLE)"
+    return f"round_even(({expression}) * {scale}, 0) / {scale}"
 
 
 def big(expression: str) -> str:
@@ -103,9 +108,10 @@ VIEWS = {
         GROUP BY event_type, user_id % 25""",
     "readiness_scores": """
         SELECT city_id,
-               CAST(CAST(SUM(CAST(literacy_rate + smartphone_penetration + internet_penetration
-                                  AS DECIMAL(18,6))) AS DOUBLE) / (3 * COUNT(*))
-                    AS DECIMAL(20,10)) AS readiness
+               CAST(SUM(CAST(literacy_rate AS DECIMAL(18,6))
+                        + CAST(smartphone_penetration AS DECIMAL(18,6))
+                        + CAST(internet_penetration AS DECIMAL(18,6))) AS DOUBLE)
+                 / COUNT(*) / 3 AS readiness
         FROM city_readiness GROUP BY city_id""",
     "engagement_scores": """
         SELECT city_id, CAST(SUM(users_reached + downloads_or_accesses) AS BIGINT) AS engagement
@@ -196,7 +202,9 @@ def state_trend() -> str:
 
 
 def city_contribution() -> str:
-    mean = lambda c: rnd(f"CAST(SUM(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / COUNT({c})", 2)
+    def mean(c: str) -> str:
+        return even(f"CAST(SUM(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / COUNT({c})")
+
     return sql(
         f"""
         WITH city_stats AS (
@@ -252,7 +260,7 @@ def category_strength(
                       + consistency * 6 + peak * 20 + recovery * 20 AS score
             FROM metrics)
         SELECT standard_ad_category, {', '.join(f'CAST(r{y} AS DOUBLE) AS revenue_{y}' for y in years)},
-               {rnd('growth * 100', 2)} AS net_growth_percent,
+               {even('growth * 100')} AS net_growth_percent,
                CAST(consistency AS INTEGER) AS consistency_score,
                CAST(peak AS DOUBLE) AS peak_timing_score,
                CAST(recovery AS DOUBLE) AS recovery_score,
@@ -273,7 +281,7 @@ def revenue_by_city() -> str:
         f"""
         SELECT city, state, CAST(SUM(r.total) AS DOUBLE) AS Total_City_Ad_Revenue,
                {big('SUM(e.net)')} AS Total_City_Net_Circulation,
-               {rnd('CAST(SUM(r.total) AS DOUBLE) / NULLIF(SUM(e.net), 0)', 2)}
+               {even('CAST(SUM(r.total) AS DOUBLE) / NULLIF(SUM(e.net), 0)')}
                  AS Revenue_Per_Net_Copy_Ratio
         FROM city_data
         JOIN (SELECT edition_id, city_id, SUM(net_circulation) AS net
@@ -290,10 +298,12 @@ def revenue_by_city() -> str:
 def ready_but_unengaged() -> str:
     return sql(
         f"""
-        SELECT city, state, {rnd('readiness', 2)} AS Avg_Readiness_Score,
+        SELECT city, state, {even('readiness')} AS Avg_Readiness_Score,
                engagement AS Total_Engagement
         FROM city_data JOIN readiness_scores USING (city_id) JOIN engagement_scores USING (city_id)
-        WHERE readiness > (SELECT CAST(SUM(readiness) AS DOUBLE) / COUNT(*) FROM readiness_scores)
+        WHERE CAST(readiness AS DECIMAL(28,10)) > (
+                SELECT CAST(SUM(CAST(readiness AS DECIMAL(28,10))) AS DOUBLE) / COUNT(*)
+                FROM readiness_scores)
           AND engagement < (SELECT SUM(engagement) / COUNT(*) FROM engagement_scores)""",
         "city_data",
         "readiness_scores",
@@ -333,7 +343,7 @@ def relaunch_priority(order: str | None = None, limit: int | None = None) -> str
     return sql(
         f"""
         SELECT *, Readiness_Priority + Engagement_Priority + Decline_Priority AS Prioritization_Score
-        FROM (SELECT city, state, tier, {rnd('readiness', 4)} AS Avg_Readiness_Score,
+        FROM (SELECT city, state, tier, {even('readiness', 4)} AS Avg_Readiness_Score,
                      engagement AS Total_Engagement, {rnd('decline', 2)} AS Avg_Decline_Rate_Percent,
                      {', '.join(f'CAST({t} AS INTEGER) AS {n}' for n, t in tiles.items())}
               FROM city_data JOIN readiness_scores USING (city_id)
@@ -388,7 +398,7 @@ def internet_growth() -> str:
     return sql(
         f"""
         SELECT city AS city_name, q1 AS internet_rate_q1_2021, q4 AS internet_rate_q4_2021,
-               {rnd('q4 - q1', 4)} AS delta_internet_rate
+               {even('q4 - q1', 4)} AS delta_internet_rate
         FROM (SELECT city_id, MAX(internet_penetration) FILTER (quarter_num = 1) AS q1,
                      MAX(internet_penetration) FILTER (quarter_num = 4) AS q4
               FROM city_readiness WHERE year = 2021 AND quarter_num IN (1, 4)
@@ -425,7 +435,7 @@ def pilot_performance() -> str:
         f"""
         SELECT platform, {big(users)} AS users_reached, {big(downloads)} AS downloads_or_accesses,
                {rnd(f'{downloads} / NULLIF({users}, 0)', 4)} AS downloads_per_user,
-               {rnd(bounce, 2)} AS avg_bounce_rate, {big(cost)} AS total_cost,
+               {even(bounce)} AS avg_bounce_rate, {big(cost)} AS total_cost,
                {rnd(f'{cost} / NULLIF({downloads}, 0)', 2)} AS cost_per_access
         FROM digital_plot GROUP BY platform""",
         "digital_plot",
