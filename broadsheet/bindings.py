@@ -72,15 +72,15 @@ def _edition_months(spark: SparkSession, sf_dir: str, years: tuple[int, int] | N
     join; a sum per possible limit keeps it to one aggregation of the line items.
     """
     lines = _in_years(source(spark, sf_dir, "lineitem"), "l_shipdate", years)
-    copies = F.col("l_quantity").cast("long")
-    returned = F.col("l_returnflag") == "R"
+    copies = "CAST(l_quantity AS BIGINT)"
     limits = range(1, 8)
     monthly = lines.groupBy(
         "l_suppkey", F.trunc(F.col("l_shipdate").cast("date"), "month").alias("_month")
     ).agg(
-        F.sum(copies).alias("sold"),
+        F.expr(f"sum({copies}) AS sold"),
+        F.max("l_shipdate").alias("_last_day"),
         *[
-            F.sum(F.when(returned & (F.col("l_linenumber") <= n), copies)).alias(f"_returned_{n}")
+            F.expr(f"sum(if(l_returnflag = 'R' AND l_linenumber <= {n}, {copies}, NULL)) AS _returned_{n}")
             for n in limits
         ],
     )
@@ -119,7 +119,8 @@ def print_sales(
 def raw_print_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month as text in four notations and some unreadable, one state in three spellings."""
     notation = F.col("l_suppkey") % 5
-    month = F.col("month")
+    # Off an aggregate, so that filters on the parsed text stay above the aggregation.
+    month = F.add_months(F.trunc(F.col("_last_day").cast("date"), "month"), 12 * YEAR_SHIFT)
     text = (
         F.when(notation == 0, F.date_format(month, "yyyy-MM"))
         .when(notation == 1, F.date_format(month, "yyyy-MM-dd"))

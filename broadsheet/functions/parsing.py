@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 YEAR_PATTERN = r"(\d{4})"
 QUARTER_PATTERN = r"(?i)([Qq]\d|Qtr\d|[1-4]th\s*Qtr)"
 
-# Formats tried in turn for a month or date column.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM", "yyyy/MM/dd", "MMM-yy", "MMM-yyyy", "yyyy-MM-dd HH:mm:ss")
+# Notations understood in a month or date column: the shape of the text and its format.
+DATE_FORMATS = {
+    r"^\d{4}-\d{2}$": "yyyy-MM",
+    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
+    r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd",
+    r"^[A-Za-z]{3}-\d{2}$": "MMM-yy",
+    r"^[A-Za-z]{3}-\d{4}$": "MMM-yyyy",
+}
 
 
 def _column(c: Column | str) -> Column:
@@ -49,10 +56,18 @@ def respell(text: Column | str, spellings: dict[str, str]) -> Column:
     )
 
 
-def parse_date(text: Column | str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Date by the first format that fits, null when none does."""
+def parse_date(text: Column | str, formats: dict[str, str] | None = None) -> Column:
+    """Date by the format whose shape the text has, null when none fits or the date is no date.
+
+    Only the one fitting format is tried: a failed parse costs far more than a pattern.
+    """
     text = _column(text)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("date")
+    parsed = reduce(
+        lambda case, f: case.when(text.rlike(f[0]), F.try_to_timestamp(text, F.lit(f[1]))),
+        (formats or DATE_FORMATS).items(),
+        F,
+    )
+    return parsed.cast("date")
 
 
 def date_parts(date: Column | str, prefix: str = "", month: str = "month_num") -> dict[str, Column]:

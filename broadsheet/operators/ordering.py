@@ -8,6 +8,8 @@ part of the rows is split as long as a further order column tells its rows apart
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,19 +21,10 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def running_total(
-    df: DataFrame,
-    weight: Column | str,
-    order_by: list[Column | str],
-    name: str,
-    by: list[str] | None = None,
-    total: str | None = None,
-) -> DataFrame:
-    """Add `name`: the sum of `weight` up to and including the row, per `by`, along `order_by`.
-
-    `order_by` must tell all rows of a group apart. `total` also adds the sum over the group.
-    """
-    keys, order = list(by or []), [_column(c) for c in order_by]
+def _ranged(
+    df: DataFrame, weight: Column | str, order: list[Column], keys: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The pinned range partitions, and per partition what lies before it, in it and in all."""
     parts = pin(
         df.withColumn("_weight", _column(weight))
         .repartitionByRange(*[F.col(k) for k in keys], *order)
@@ -45,20 +38,42 @@ def running_total(
         .withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_sum").over(group))
     )
+    return parts, offsets
+
+
+def _within(
+    parts: DataFrame, offsets: DataFrame, order: list[Column], keys: list[str], name: str
+) -> DataFrame:
+    """Add `name`, the running sum, to the rows of the partitions listed in `offsets`."""
+    same = F.col("l._part") == F.col("r._part")
+    for key in keys:
+        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    columns = [F.col(f"l.{c}") for c in parts.columns]
+    located = parts.alias("l").join(offsets.alias("r"), same).select(*columns, "_offset", "_total")
     inside = (
         Window.partitionBy(*keys, "_part")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = parts.withColumn("_local", F.sum("_weight").over(inside)).alias("l")
-    same = F.col("l._part") == F.col("r._part")
-    for key in keys:
-        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    return local.join(offsets.alias("r"), same).select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        (F.col("_local") + F.col("_offset")).alias(name),
-        *([F.col("_total").alias(total)] if total else []),
-    )
+    return located.withColumn(name, F.sum("_weight").over(inside) + F.col("_offset"))
+
+
+def running_total(
+    df: DataFrame,
+    weight: Column | str,
+    order_by: list[Column | str],
+    name: str,
+    by: list[str] | None = None,
+    total: str | None = None,
+) -> DataFrame:
+    """Add `name`: the sum of `weight` up to and including the row, per `by`, along `order_by`.
+
+    `order_by` must tell all rows of a group apart. `total` also adds the sum over the group.
+    """
+    keys, order = list(by or []), [_column(c) for c in order_by]
+    parts, offsets = _ranged(df, weight, order, keys)
+    summed = _within(parts, offsets, order, keys, name)
+    return summed.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
 
 
 def global_row_number(
@@ -109,24 +124,31 @@ def rank_at_most(df: DataFrame, value: str, k: int, name: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float]) -> DataFrame:
     """(column, <point names>…) with linearly interpolated quantiles; nulls and NaN are left out.
 
-    Values are counted first, then located by their position in the running count, so no task
-    holds more than its range of the distinct values of a column.
+    Values are counted first and located by their position in the running count. The partition
+    sums tell which partitions hold a wanted position; only those are sorted.
     """
     values = long_values(df, columns, "double").where(~F.isnan("value"))
     counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_total(counted, "_n", ["value"], "_upto", by=["column"], total="_size")
-
-    def value_at(rank: Column) -> Column:
-        hit = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(hit, F.col("value")))
+    order = [F.col("value")]
+    parts, offsets = _ranged(counted, "_n", order, ["column"])
 
     def position(p: float) -> Column:
-        return (F.col("_size") - 1) * F.lit(p)
-
-    found = placed.groupBy("column").agg(
-        F.max("_size").alias("_size"),
-        *[value_at(F.floor(position(p))).alias(f"_lo_{q}") for q, p in points.items()],
-        *[value_at(F.ceil(position(p))).alias(f"_hi_{q}") for q, p in points.items()],
+        return (F.col("_total") - 1) * F.lit(p)
+
+    def holds(start: Column, end: Column, rank: Column) -> Column:
+        return (start <= rank) & (rank < end)
+
+    ranks = {f"_lo_{q}": F.floor(position(p)) for q, p in points.items()}
+    ranks |= {f"_hi_{q}": F.ceil(position(p)) for q, p in points.items()}
+    start, end = F.col("_offset"), F.col("_offset") + F.col("_sum")
+    wanted = reduce(lambda a, b: a | b, [holds(start, end, r) for r in ranks.values()])
+    placed = _within(parts, offsets.where(wanted), order, ["column"], "_upto")
+    first = F.col("_upto") - F.col("_n")
+    found = placed.groupBy("column", "_total").agg(
+        *[
+            F.max(F.when(holds(first, F.col("_upto"), r), F.col("value"))).alias(name)
+            for name, r in ranks.items()
+        ]
     )
 
     def between(q: str, p: float) -> Column:

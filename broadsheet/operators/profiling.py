@@ -81,7 +81,7 @@ def numeric_profile(df: DataFrame, name: str, quantiles: str = "exact") -> DataF
             F.max(v).alias("max"),
         ]
         if quantiles == "approx":
-            parts += [F.percentile_approx(v, p, 100_000).alias(q) for q, p in QUARTILES.items()]
+            parts += [F.percentile_approx(v, p).alias(q) for q, p in QUARTILES.items()]
         return F.struct(*parts)
 
     rows = df.agg(F.array(*[figures(c) for c in columns]).alias("_f")).select(
