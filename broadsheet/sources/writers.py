@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import CLEAN, PARTITIONED_BY
@@ -73,11 +73,10 @@ def _publish_one(spark: SparkSession, path: str, table: str) -> tuple[str, str |
         columns = PARTITIONED_BY.get(table, [])
         writer = _laid_out(df, table).write.mode("overwrite")
         (writer.partitionBy(*columns) if columns else writer).saveAsTable(table)
-    except AnalysisException as error:
-        missing = error.getCondition() == "PATH_NOT_FOUND"
+    except Exception as error:  # kept as a status; publish raises it once all tables were tried
+        analysis = isinstance(error, AnalysisException)
+        missing = analysis and error.getCondition() == "PATH_NOT_FOUND"
         return ("missing" if missing else "failed"), str(error).splitlines()[0]
-    except (PySparkException, KeyError) as error:
-        return "failed", str(error).splitlines()[0]
     return "published", None
 
 
