@@ -15,7 +15,7 @@ import time
 
 import catalogue
 from broadsheet import bindings
-from broadsheet.functions import money
+from broadsheet.functions import money_sum
 from pyspark.sql import functions as F
 from session import local_session
 
@@ -37,12 +37,12 @@ def plain_join(spark, sf_dir: str):
     star = bindings.star(spark, sf_dir)
     cities = star["city_data"].select("city_id", "city")
     sales = star["print_sales"].select("edition_id", "year", "City_ID", "Net_Circulation")
-    revenue = star["ad_revenue"].select("edition_id", "year", money("ad_revenue_inr").alias("amount"))
+    revenue = star["ad_revenue"].select("edition_id", "year", "ad_revenue_inr")
     joined = sales.join(cities, sales["City_ID"] == cities["city_id"]).join(
         revenue, ["edition_id", "year"]
     )
     return joined.groupBy(cities["city_id"], "city", "year").agg(
-        F.sum("Net_Circulation").alias("net"), F.sum("amount").alias("revenue")
+        F.sum("Net_Circulation").alias("net"), money_sum("ad_revenue_inr").alias("revenue")
     )
 
 

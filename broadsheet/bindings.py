@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import rounded
+
 YEAR_SHIFT = 24
 CITY_GROUPS = 25
 
@@ -230,7 +232,7 @@ def raw_city_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def share(c: str):
-        return F.round(F.col(c) * 100 / F.col("_n"), 2)
+        return rounded(F.col(c) * 100 / F.col("_n"), 2)
 
     return per_city.select(
         (F.col("c_nationkey").cast("long") * 100_000 + F.col("_year") * 10 + F.col("_quarter")).alias(
@@ -261,7 +263,7 @@ def digital_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("event_type", "user_id")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.sum(F.col("value").cast("decimal(18,2)")).alias("_value"),
+            F.sum(F.rint(F.col("value") * 100).cast("long")).alias("_hundredths"),
             F.min("event_id").alias("_first"),
             F.min("ts").alias("_ts"),
             F.sum(F.col("event_id") % 1000).alias("_dev"),
@@ -276,7 +278,7 @@ def digital_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("_marketing").alias("marketing_cost"),
         F.count(F.lit(1)).alias("users_reached"),
         F.sum("_n").alias("downloads_or_accesses"),
-        (F.sum("_value") / F.sum("_n")).alias("_bounce"),
+        rounded(F.sum("_hundredths") / (F.sum("_n") * 100), 2).alias("avg_bounce_rate"),
     )
     said = F.concat(F.col("event_type"), F.lit(" from "), _city_id(F.col("_city")))
     return pilot.select(
@@ -288,7 +290,7 @@ def digital_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
         "marketing_cost",
         "users_reached",
         "downloads_or_accesses",
-        F.round("_bounce", 2).cast("double").alias("avg_bounce_rate"),
+        "avg_bounce_rate",
         F.when(F.col("downloads_or_accesses") % 2 == 0, said).alias(
             "cumulative_feedback_from_customers"
         ),

@@ -2,7 +2,7 @@ from .measures import (
     band,
     exact_mean,
     half_even,
-    money,
+    money_sum,
     month_key,
     pct_change,
     rounded,
@@ -17,7 +17,7 @@ __all__ = [
     "date_parts",
     "exact_mean",
     "half_even",
-    "money",
+    "money_sum",
     "month_key",
     "parse_date",
     "pct_change",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import band, half_even, money, rounded, safe_ratio, strict_greatest
+from ..functions import band, half_even, money_sum, rounded, safe_ratio, strict_greatest
 from ..operators import fanout_sums
 from .circulation import Tables, sum_by, with_city
 
@@ -50,17 +50,17 @@ def category_strength(
         raise ValueError("the recovery score needs at least four years")
     revenue = {y: f"revenue_{y}" for y in years}
     booked = tables["ad_revenue"].where(F.col("year").between(first_year, last_year))
-    per_code = booked.groupBy("ad_category").agg(
-        *[
-            F.sum(F.when(F.col("year") == y, money(amount))).alias(column)
-            for y, column in revenue.items()
-        ]
-    )
+    per_code = booked.groupBy("ad_category", "year").agg(money_sum(amount).alias("total"))
     categories = tables["ad_category"]
-    yearly = sum_by(
-        per_code.join(categories, per_code.ad_category == categories.ad_category_id),
-        ["standard_ad_category"],
-        **{column: column for column in revenue.values()},
+    yearly = (
+        per_code.join(categories, per_code.ad_category == categories.ad_category_id)
+        .groupBy("standard_ad_category")
+        .agg(
+            *[
+                F.sum(F.when(F.col("year") == y, F.col("total"))).alias(column)
+                for y, column in revenue.items()
+            ]
+        )
     )
 
     def rev(back: int):
@@ -106,7 +106,7 @@ def revenue_by_city(tables: Tables) -> DataFrame:
     An edition sold in several cities counts its whole revenue in each.
     """
     revenue = (
-        tables["ad_revenue"].groupBy("edition_id").agg(F.sum(money("ad_revenue_inr")).alias("revenue"))
+        tables["ad_revenue"].groupBy("edition_id").agg(money_sum("ad_revenue_inr").alias("revenue"))
     )
     editions = sum_by(tables["print_sales"], ["edition_id", "City_ID"], net="Net_Circulation")
     per_city = sum_by(editions.join(revenue, "edition_id"), ["City_ID"], revenue="revenue", net="net")
@@ -134,11 +134,11 @@ def _city_years(
         sales, revenue = sales.where(within), revenue.where(within)
     sums = fanout_sums(
         sales,
-        revenue.select("edition_id", "year", money("ad_revenue_inr").alias("_amount")),
+        revenue,
         on=["edition_id", "year"],
         group_by=["City_ID", "year"],
-        left_sums={"net": "Net_Circulation"},
-        right_sums={"revenue": "_amount"},
+        left_sums={"net": F.sum("Net_Circulation")},
+        right_sums={"revenue": money_sum("ad_revenue_inr")},
         multiply=fanout,
     )
     return sum_by(
@@ -223,7 +223,7 @@ def frequent_declines(
 def category_share(tables: Tables, amount: str = "ad_revenue_inr") -> DataFrame:
     """K3: each ad category's revenue and its share of all revenue."""
     categories = tables["ad_category"]
-    per_code = tables["ad_revenue"].groupBy("ad_category").agg(F.sum(money(amount)).alias("revenue"))
+    per_code = tables["ad_revenue"].groupBy("ad_category").agg(money_sum(amount).alias("revenue"))
     sums = sum_by(
         per_code.join(categories, per_code.ad_category == categories.ad_category_id),
         ["standard_ad_category"],
@@ -247,7 +247,7 @@ def revenue_circulation_correlation(tables: Tables) -> DataFrame:
     revenue = (
         tables["ad_revenue"]
         .groupBy("edition_id", "year")
-        .agg(F.sum(money("ad_revenue_inr")).cast("double").alias("revenue"))
+        .agg(money_sum("ad_revenue_inr").cast("double").alias("revenue"))
     )
     return (
         circulation.join(revenue, ["edition_id", "year"])

@@ -6,7 +6,7 @@ forward fill needs.
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+MONEY_SUM = T.DecimalType(28, 2)
 RATE = T.DecimalType(18, 6)
 
 

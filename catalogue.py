@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import oracle
 from broadsheet import bindings, operators
-from broadsheet.functions import half_even, month_key, strict_greatest
+from broadsheet.functions import half_even, money_sum, month_key, strict_greatest
 from broadsheet.plans import cleaning
 from broadsheet.plans.questions import QUESTIONS
 from broadsheet.schemas import CLEAN, RAW
@@ -166,8 +166,8 @@ def fanout_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         star["ad_revenue"],
         on=["edition_id", "year"],
         group_by=["State", "year"],
-        left_sums={"net": "Net_Circulation"},
-        right_sums={"revenue": "ad_revenue_inr"},
+        left_sums={"net": F.sum("Net_Circulation")},
+        right_sums={"revenue": money_sum("ad_revenue_inr")},
     )
     return sums.select(
         "State", "year", F.col("net").cast("long").alias("net"), F.col("revenue").cast("double")

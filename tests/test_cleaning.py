@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 
@@ -63,6 +64,12 @@ def test_rounded_takes_ties_as_decimals(column):
     ]
 
 
+def test_money_sum_is_exact_beyond_a_long(table, rows):
+    huge = [(1, 90_000_000_000_000.25)] * 2000 + [(1, None), (2, -0.01), (2, 10.03), (3, None)]
+    result = rows(table("k int, v double", *huge).groupBy("k").agg(fn.money_sum("v")).orderBy("k"))
+    assert result == [(1, Decimal("180000000000000500.00")), (2, Decimal("10.02")), (3, None)]
+
+
 def test_dates(column):
     texts = ["2021-01", "2021-01-31", "2021/03/02", "May-19", "Jun-2020", "2021-02-03 04:05:06",
              "2021-13", "January", "", None]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from broadsheet import operators
+from broadsheet.functions import money_sum
 from broadsheet.operators.ordering import exact_quantiles
 
 
@@ -44,7 +45,7 @@ def test_fanout_sums_equal_the_plain_join(facts, rows):
         .agg(F.sum("net").alias("net"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"))
     )
     fast = operators.fanout_sums(
-        left, right, ["k", "y"], ["g", "y"], {"net": "net"}, {"amount": "amount"}
+        left, right, ["k", "y"], ["g", "y"], {"net": F.sum("net")}, {"amount": money_sum("amount")}
     )
     assert sorted(rows(fast), key=str) == sorted(rows(plain), key=str)
     assert ("n", 1, None, None) in rows(fast)
@@ -54,7 +55,7 @@ def test_fanout_sums_with_every_row_once(facts, rows):
     left, right = facts
     once = operators.fanout_sums(
         left.where("k = 'hot'"), right.where("k = 'hot'"), ["k", "y"], ["y"],
-        {"net": "net"}, {"amount": "amount"}, multiply=False,
+        {"net": F.sum("net")}, {"amount": money_sum("amount")}, multiply=False,
     ).select("y", F.col("net").cast("long"))
     expected = left.where("k = 'hot'").groupBy("y").agg(F.sum("net"))
     assert sorted(rows(once)) == sorted(rows(expected))
