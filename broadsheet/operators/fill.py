@@ -1,22 +1,24 @@
 """Forward fill along a row number, spread over many tasks.
 
 A window over the whole order would be one task. Instead the order column is cut into blocks of
-2**20 numbers; row numbers are unique, so no block can hold more rows than that however the
-values lie. Rows are filled inside their block, and what a block inherits from earlier blocks is
-found on a table with one row per block, by the same step on blocks of blocks: three levels cover
-every 64-bit number, the last with at most 16 rows. It is plain column arithmetic on the data, so
-a recomputed task gets the same blocks, and one shuffle of the rows serves window and join alike.
+2**16 numbers; row numbers are unique, so no block can hold more rows than that however the values
+lie. Each block starts from a head, the last value of all blocks before it, which joins its rows as
+one more row in front; then a window inside the block does the rest. The heads come from a table
+of one row per block, by the same step on blocks of blocks: four levels cover every 64-bit number.
+
+It is plain column arithmetic on the data, so a recomputed task gets the same blocks. The rows are
+shuffled once and joined with nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_BITS = 20
-_TOP = 60
+_BITS = 16
+_TOP = 48
 
 
 def forward_fill(
@@ -32,53 +34,39 @@ def forward_fill(
     if not isinstance(df.schema[order_by].dataType, T.IntegralType):
         raise TypeError(f"{order_by} must be a whole-number column")
     keys = list(partition_by or [])
-    order = F.coalesce(
-        F.col(order_by).cast("long"), F.raise_error(F.lit(f"{order_by} is null")).cast("long")
-    )
-    rows = df.withColumn("_block", F.shiftright(order, _BITS))
-    tails = rows.groupBy(*keys, "_block").agg(_last_value(column, order_by).alias("_tail"))
-    inherited = _inherited(tails, keys, _BITS)
-    within = Window.partitionBy(*keys, "_block").orderBy(order_by)
-    own = F.last(column, ignorenulls=True).over(
-        within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    missing = F.raise_error(F.lit(f"{order_by} is null")).cast("long")
+    position = F.coalesce(F.col(order_by).cast("long"), missing)
+    values = df.select(*keys, position.alias("_position"), F.col(column).alias("_value"))
+    heads = _heads(values, keys, _BITS).withColumnRenamed("_value", column)
+    rows = df.withColumns({"_block": F.shiftright(position, _BITS), "_row": F.lit(True)})
+    block = Window.partitionBy(*keys, "_block").orderBy(F.asc_nulls_first(order_by))
+    upto = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.unionByName(heads, allowMissingColumns=True)
+        .withColumn(column, F.last(column, ignorenulls=True).over(upto))
+        .where("_row")
+        .select(*df.columns)
     )
-    filled = _join(rows.withColumn("_own", own), inherited, keys, "_block")
-    return filled.select(
-        *[
-            F.coalesce("_own", "_carry").alias(c) if c == column else F.col(f"l.{c}").alias(c)
-            for c in df.columns
-        ]
-    )
-
 
-def _last_value(column: str, order_by: str) -> Column:
-    """Last non-null value of a group: rows with a null order do not count for max_by."""
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order_by)))
 
-
-def _inherited(tails: DataFrame, keys: list[str], shift: int) -> DataFrame:
-    """Per (keys, _block) the last non-null `_tail` of an earlier block, as `_carry`."""
-    before = (Window.unboundedPreceding, -1)
-    if shift >= _TOP:
-        window = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*before)
-        return tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(window)).drop(
-            "_tail"
-        )
-    nested = tails.withColumn("_parent", F.shiftright("_block", _BITS))
-    window = Window.partitionBy(*keys, "_parent").orderBy("_block").rowsBetween(*before)
-    nested = nested.withColumn("_near", F.last("_tail", ignorenulls=True).over(window))
-    parents = nested.groupBy(*keys, F.col("_parent").alias("_block")).agg(
-        _last_value("_tail", "_block").alias("_tail")
+def _heads(values: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """(keys, _block, _value): per block of positions, the last value of the blocks before it."""
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_position")))
+    tails = values.groupBy(*keys, F.shiftright("_position", _BITS).alias("_next")).agg(
+        last.alias("_value")
     )
-    above = _inherited(parents, keys, shift + _BITS)
-    return _join(nested, above, keys, "_parent").select(
-        *[F.col(f"l.{c}").alias(c) for c in [*keys, "_block"]],
-        F.coalesce("_near", "_carry").alias("_carry"),
+    tails = tails.withColumnRenamed("_next", "_position")
+    group = [*keys]
+    if bits < _TOP:
+        above = _heads(tails, keys, bits + _BITS)
+        parent = F.shiftright("_position", _BITS)
+        tails = tails.withColumn("_block", parent).unionByName(above, allowMissingColumns=True)
+        group = [*keys, "_block"]
+    before = (
+        Window.partitionBy(*group)
+        .orderBy(F.asc_nulls_first("_position"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-
-
-def _join(left: DataFrame, carry: DataFrame, keys: list[str], block: str) -> DataFrame:
-    same = F.col(f"l.{block}") == F.col("r._block")
-    for key in keys:
-        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    return left.alias("l").join(carry.alias("r"), same, "left")
+    carried = tails.withColumn("_value", F.last("_value", ignorenulls=True).over(before))
+    own = carried.where(F.col("_position").isNotNull())  # without the heads from above
+    return own.select(*keys, F.col("_position").alias("_block"), "_value")
