@@ -72,7 +72,7 @@ def half_even(value: Column | str, digits: int = 2) -> Column:
     databases round decimals.
     """
     scale = float(10**digits)
-    return F.rint(_column(value) * scale) / scale
+    return F.rint(_column(value) * scale) / scale + 0.0  # no negative zero
 
 
 def strict_greatest(*columns: Column | str) -> Column:

@@ -15,6 +15,14 @@ from ..operators import rank_at_most
 
 Tables = dict[str, DataFrame]
 
+# Share of copies returned, in percent, below which a city earns its label.
+PROFITABILITY = [
+    ("<", 10, "Highly Profitable"),
+    ("<", 20, "Moderately Profitable"),
+    ("<", 30, "Marginally Profitable"),
+]
+UNPROFITABLE = "Needs Review"
+
 
 def with_city(sums: DataFrame, city_data: DataFrame, *columns: str) -> DataFrame:
     """Inner join of per-City_ID sums with the named columns of the city dimension."""
@@ -74,11 +82,6 @@ def city_contribution(tables: Tables, year: int = 2024) -> DataFrame:
         .groupBy("city_id")
         .agg(*[half_even(exact_mean(r)).alias(r) for r in rates])
     )
-    steps = [
-        ("<", 10, "Highly Profitable"),
-        ("<", 20, "Moderately Profitable"),
-        ("<", 30, "Marginally Profitable"),
-    ]
     return (
         cities.join(readiness, "city_id")
         .select(
@@ -87,7 +90,7 @@ def city_contribution(tables: Tables, year: int = 2024) -> DataFrame:
             "Total_Net_Circulation",
             *rates,
             "Return_Percent",
-            band("Return_Percent", steps, "Needs Review").alias("Profitable_Category"),
+            band("Return_Percent", PROFITABILITY, UNPROFITABLE).alias("Profitable_Category"),
         )
         .orderBy(F.desc("Total_Copies_Sold"), F.desc("Total_Net_Circulation"), "city")
     )

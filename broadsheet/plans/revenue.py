@@ -6,13 +6,11 @@ sums over that join from two pre-aggregated sides.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import band, half_even, money_sum, rounded, safe_ratio, strict_greatest
+from ..functions import band, half_even, money_sum, rounded, safe_ratio, strict_greatest, strict_sum
 from ..operators import fanout_sums
 from .circulation import Tables, sum_by, with_city
 
@@ -33,6 +31,19 @@ VERDICTS = [
 ]
 LOWEST_VERDICT = "CRITICAL: Severe Decline"
 
+# Peak and recovery scores, and the weight of each score in the whole.
+PEAK_SCORES = {"last year": 1.0, "year before": 0.8, "earlier": 0.4}
+RECOVERY_SCORES = {True: 1.0, False: 0.6}
+WEIGHTS = {"consistency_score": 6, "peak_timing_score": 20, "recovery_score": 20}
+
+# Labels of the change of a ratio.
+TREND_LABELS = {
+    "first": "No Prior Year Data",
+    "up": "Improving (Wider Margin)",
+    "down": "Worsening (Tighter Margin)",
+    "same": "Stable",
+}
+
 
 def category_strength(
     tables: Tables,
@@ -75,16 +86,20 @@ def category_strength(
     scored = yearly.withColumns(
         {
             "_growth": growth,
-            "consistency_score": reduce(lambda a, b: a + b, rises),
-            "peak_timing_score": F.when(rev(0) == best, 1.0).when(rev(1) == best, 0.8).otherwise(0.4),
-            "recovery_score": F.when(recovered, 1.0).otherwise(0.6),
+            "consistency_score": strict_sum(*rises),
+            "peak_timing_score": F.when(rev(0) == best, PEAK_SCORES["last year"])
+            .when(rev(1) == best, PEAK_SCORES["year before"])
+            .otherwise(PEAK_SCORES["earlier"]),
+            "recovery_score": F.when(recovered, RECOVERY_SCORES[True]).otherwise(
+                RECOVERY_SCORES[False]
+            ),
         }
     ).withColumn(
         "total_strength_score",
-        band("_growth", GROWTH_POINTS, 0)
-        + F.col("consistency_score") * 6
-        + F.col("peak_timing_score") * 20
-        + F.col("recovery_score") * 20,
+        strict_sum(
+            band("_growth", GROWTH_POINTS, 0),
+            *[F.col(score) * weight for score, weight in WEIGHTS.items()],
+        ),
     )
     return scored.select(
         "standard_ad_category",
@@ -170,10 +185,10 @@ def revenue_per_copy(tables: Tables, fanout: bool = True) -> DataFrame:
     lagged = ratios.withColumn("previous", F.lag("ratio").over(by_year))
     change = (F.col("ratio") - F.col("previous")) * 100 / F.nullif("previous", F.lit(0))
     trend = (
-        F.when(F.col("previous").isNull(), "No Prior Year Data")
-        .when(F.col("ratio") > F.col("previous"), "Improving (Wider Margin)")
-        .when(F.col("ratio") < F.col("previous"), "Worsening (Tighter Margin)")
-        .otherwise("Stable")
+        F.when(F.col("previous").isNull(), TREND_LABELS["first"])
+        .when(F.col("ratio") > F.col("previous"), TREND_LABELS["up"])
+        .when(F.col("ratio") < F.col("previous"), TREND_LABELS["down"])
+        .otherwise(TREND_LABELS["same"])
     )
     return lagged.select(
         "city",

@@ -13,7 +13,7 @@ def rnd(expression: str, digits: int) -> str:
 
 def even(expression: str, digits: int = 2) -> str:
     scale = f"CAST({10**digits} AS DOUBLE)"
-    return f"round_even(({expression}) * {scale}, 0) / {scale}"
+    return f"(round_even(({expression}) * {scale}, 0) / {scale} + CAST(0 AS DOUBLE))"
 
 
 def big(expression: str) -> str:
@@ -207,7 +207,7 @@ def city_contribution() -> str:
 
     return sql(
         f"""
-        WITH city_stats AS (
+        WITH sold_2024 AS (
             SELECT c.city_id, c.city, {big('SUM(copies_sold)')} AS sold,
                    {big('SUM(net_circulation)')} AS net,
                    {rnd('SUM(copies_returned) * 100 / NULLIF(SUM(copies_sold), 0)', 2)} AS pct
@@ -221,7 +221,7 @@ def city_contribution() -> str:
                CASE WHEN pct < 10 THEN 'Highly Profitable' WHEN pct < 20 THEN 'Moderately Profitable'
                     WHEN pct < 30 THEN 'Marginally Profitable' ELSE 'Needs Review' END
                  AS Profitable_Category
-        FROM city_stats cs LEFT JOIN city_readiness cr ON cs.city_id = cr.city_id
+        FROM sold_2024 cs LEFT JOIN city_readiness cr ON cs.city_id = cr.city_id
         WHERE cr.year = 2024
         GROUP BY cs.city_id, city, sold, net, pct""",
         "print_sales",
