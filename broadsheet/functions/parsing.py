@@ -62,12 +62,11 @@ def parse_date(text: Column | str, formats: dict[str, str] | None = None) -> Col
     Only the one fitting format is tried: a failed parse costs far more than a pattern.
     """
     text = _column(text)
-    parsed = reduce(
-        lambda case, f: case.when(text.rlike(f[0]), F.try_to_timestamp(text, F.lit(f[1]))),
+    return reduce(
+        lambda case, f: case.when(text.rlike(f[0]), F.try_to_date(text, f[1])),
         (formats or DATE_FORMATS).items(),
         F,
     )
-    return parsed.cast("date")
 
 
 def date_parts(date: Column | str, prefix: str = "", month: str = "month_num") -> dict[str, Column]:

@@ -30,6 +30,12 @@ def clean_to_files(spark: SparkSession, raw_folder: str, clean_folder: str, **lo
     return manifest
 
 
+def publish_quality(spark: SparkSession, raw_folder: str, **load) -> None:
+    """Store the quality profile of the raw files as table `data_quality` of the current database."""
+    quality = profile_all(load_all(spark, raw_folder, **load))
+    quality.write.mode("overwrite").saveAsTable("data_quality")
+
+
 def published(spark: SparkSession) -> dict[str, DataFrame]:
     """The published tables of the current database."""
     return {name: spark.table(name) for name in CLEAN}
@@ -40,6 +46,12 @@ def answer_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: ask(tables) for name, ask in QUESTIONS.items()}
 
 
+def publish_answers(answers: dict[str, DataFrame]) -> None:
+    """Store answers as tables of the current database, for dashboards to read."""
+    for name, df in answers.items():
+        df.write.mode("overwrite").saveAsTable(name)
+
+
 def run(
     spark: SparkSession, raw_folder: str, clean_folder: str, database: str, **load
 ) -> dict[str, DataFrame]:

@@ -10,6 +10,12 @@ from ..schemas import MULTILINE, RAW
 
 FORMATS = ("csv", "parquet", "json", "orc")
 
+# Texts of a CSV cell that mean it is missing, beside the empty cell.
+MISSING_MARKS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 
 def format_of(path: str) -> str | None:
     """Format by suffix, Parquet for a path without one, None for an unsupported suffix."""
@@ -36,18 +42,27 @@ def load_table(
     path: str,
     fmt: str | None = None,
     schema: T.StructType | None = None,
+    missing_marks: tuple[str, ...] = MISSING_MARKS,
 ) -> DataFrame:
     """One table under its schema (raw by default), format by argument or by suffix.
 
-    A missing path or an unsupported format fails here, before any job runs.
+    Texts of a CSV file that mark a missing value are read as null. A missing path or an
+    unsupported format fails here, before any job runs.
     """
     fmt = fmt or format_of(path)
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format for {path}; one of {', '.join(FORMATS)}")
-    reader = spark.read.schema(schema or RAW[name]).format(fmt)
-    if fmt == "csv":
-        reader = reader.options(**csv_options(name))
-    return reader.load(path)
+    schema = schema or RAW[name]
+    reader = spark.read.schema(schema).format(fmt)
+    if fmt != "csv":
+        return reader.load(path)
+    df = reader.options(**csv_options(name)).load(path)
+    texts = [f.name for f in schema if isinstance(f.dataType, T.StringType)]
+    if not missing_marks or not texts:
+        return df
+    return df.withColumns(
+        {c: F.when(~F.col(f"`{c}`").isin(*missing_marks), F.col(f"`{c}`")) for c in texts}
+    )
 
 
 def load_all(

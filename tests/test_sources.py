@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from broadsheet import bindings
+from broadsheet.operators.pinning import checkpoint_dir
 from broadsheet.plans import job
 from broadsheet.schemas import RAW
 from broadsheet.sources import (
@@ -41,6 +42,16 @@ def test_csv_with_quoted_newlines_and_empty_cells(spark, pilot_csv):
     assert df.first().launch_month == "2021-01"
 
 
+def test_marks_of_missing_texts(spark, tmp_path):
+    path = tmp_path / "ad_category.csv"
+    path.write_text('ad_category_id,standard_ad_category\nA1,None\nA2,NA\nA3,""\nA4,Nan bread\n')
+    texts = [r[0] for r in load_table(spark, "ad_category", str(path)).orderBy("ad_category_id")
+             .select("standard_ad_category").collect()]
+    assert texts == [None, None, None, "Nan bread"]
+    kept = load_table(spark, "ad_category", str(path), missing_marks=())
+    assert kept.where("standard_ad_category = 'NA'").count() == 1
+
+
 def test_csv_round_trip(spark, pilot_csv, tmp_path):
     df = load_table(spark, "digital_plot", pilot_csv)
     write_clean(df, "digital_plot", str(tmp_path / "again.csv"), "csv")
@@ -148,5 +159,34 @@ def test_raw_files_to_answers(spark, sf_dir, tmp_path):
     counts = {name: df.count() for name, df in answers.items()}
     assert set(counts) == set(job.QUESTIONS) and all(counts.values())
     assert counts["q9_print_efficiency"] >= 5 and counts["q8_sharpest_falls"] == 3
-    quality = job.profile_all(load_all(spark, str(raw)))
+    job.publish_quality(spark, str(raw))
+    quality = spark.table("newspaper.data_quality")
     assert {r.table for r in quality.select("table").distinct().collect()} == set(RAW)
+    job.publish_answers({"q8_sharpest_falls": answers["q8_sharpest_falls"]})
+    assert spark.table("newspaper.q8_sharpest_falls").count() == 3
+
+
+class _Cluster:
+    """What checkpoint_dir asks of a session on a cluster."""
+
+    def __init__(self, setting):
+        self.setting = setting
+        self.sparkContext = self
+        self.conf = self
+        self.master = "yarn"
+        self.folder = None
+
+    def get(self, key, default):
+        return self.setting or default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_a_cluster_has_to_name_the_checkpoint_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(_Cluster(None))
+    assert checkpoint_dir(_Cluster("hdfs:///shared")) == "hdfs:///shared"
