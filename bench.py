@@ -14,11 +14,12 @@ import statistics
 import sys
 import time
 
-import catalogue
-from broadsheet import bindings
-from broadsheet.functions import money_sum
 from pyspark.sql import functions as F
-from session import local_session
+
+from broadsheet import bindings, catalogue
+from broadsheet.functions import money_sum
+from broadsheet.plans.revenue import _city_years
+from broadsheet.session import local_session
 
 HEADLINE = [name for name in catalogue.QUERIES if re.match(r"q\d+_", name)] + [
     "d1_null_counts",
@@ -48,8 +49,6 @@ def plain_join(spark, sf_dir: str):
 
 
 def aggregated_join(spark, sf_dir: str):
-    from broadsheet.plans.revenue import _city_years
-
     return _city_years(bindings.star(spark, sf_dir), fanout=True)
 
 

@@ -8,13 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import oracle
-from broadsheet import bindings, operators
-from broadsheet.functions import half_even, money_sum, month_key, strict_greatest
-from broadsheet.plans import cleaning
-from broadsheet.plans.questions import QUESTIONS
-from broadsheet.schemas import CLEAN, RAW
-from broadsheet.sources import load_table, publish, write_clean
+from . import bindings, operators, oracle
+from .functions import half_even, money_sum, month_key, strict_greatest
+from .plans import cleaning
+from .plans.questions import QUESTIONS
+from .schemas import CLEAN, RAW
+from .sources import load_table, publish, write_clean
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,7 +104,10 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City contribution asked of published tables: clean files, partitioned by year, as tables."""
+    """City contribution asked of published tables: clean files, partitioned by year, as tables.
+
+    The database of this run lives in the scratch folder and stays until that is cleared.
+    """
     folder = operators.scratch_dir(spark, "clean")
     star = bindings.star(spark, sf_dir)
     manifest = {}

@@ -57,7 +57,7 @@ def differences(df, connection: duckdb.DuckDBPyConnection, sql: str) -> tuple[in
 
 def main(sf_dir: str, *names: str) -> int:
     import __spark_entry__ as entry
-    from session import local_session
+    from broadsheet.session import local_session
 
     spark, connection, failed = local_session(), duck(sf_dir), 0
     oracle = entry.oracle_sql()

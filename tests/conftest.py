@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from session import local_session
+    from broadsheet.session import local_session
 
     warehouse = tmp_path_factory.mktemp("warehouse")
     session = local_session(

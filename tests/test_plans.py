@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-import catalogue
+from broadsheet import catalogue
 
 QUESTIONS = [n for n in catalogue.QUERIES if re.match(r"[qk]\d+_", n)]
 
