@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from . import bindings, operators, oracle
 from .functions import half_even, money_sum, month_key, strict_greatest
-from .plans import cleaning
+from .plans import cleaning, job
 from .plans.questions import QUESTIONS
 from .schemas import CLEAN, RAW
-from .sources import load_table, publish, write_clean
+from .sources import load_all, load_table, publish, write_clean
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +103,44 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_table(spark, "digital_plot", path)
 
 
+def every_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readiness table written in each format and read back under its schema."""
+    readiness = _raw("city_readiness")(spark, sf_dir)
+    parts = []
+    for fmt in ("csv", "json", "orc", "parquet"):
+        path = operators.scratch_dir(spark, "city_readiness") + f".{fmt}"
+        write_clean(readiness, "city_readiness", path, fmt)
+        parts.append(load_table(spark, "city_readiness", path).withColumn("format", F.lit(fmt)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> str:
+    """All six raw tables as CSV files in a scratch folder."""
+    folder = operators.scratch_dir(spark, "raw")
+    tables = {name: read(spark, sf_dir) for name, read in _QUALITY.items()}
+    tables |= {n: bindings.star(spark, sf_dir)[n] for n in ("ad_category", "city_data")}
+    for name, df in tables.items():
+        write_clean(df, name, f"{folder}/{name}.csv", "csv")
+    return folder
+
+
+def loaded_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = load_all(spark, raw_files(spark, sf_dir))
+    return reduce(
+        DataFrame.unionByName, [operators.shape(df, name) for name, df in tables.items()]
+    )
+
+
+def answer_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV files, cleaned into Parquet files, asked for the revenue per copy."""
+    clean = operators.scratch_dir(spark, "clean")
+    manifest = job.clean_to_files(spark, raw_files(spark, sf_dir), clean)
+    tables = {
+        name: load_table(spark, name, path, schema=CLEAN[name]) for path, name in manifest.items()
+    }
+    return QUESTIONS["q6_revenue_per_copy"](tables)
+
+
 def published_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City contribution asked of published tables: clean files, partitioned by year, as tables.
 
@@ -237,7 +275,10 @@ _MOMENTS = ("mean", "std", "p25", "p50", "p75")
 
 QUERIES |= {
     "s1_csv_round_trip": csv_round_trip,
+    "s2_every_format": every_format,
+    "s3_load_all": loaded_shapes,
     "s7_published_answer": published_answer,
+    "q6_from_files": answer_from_files,
     "s10_print_sales": _star_table("print_sales"),
     "s11_ad_revenue": _star_table(
         "ad_revenue", "edition_id", "ad_category", "year", "quarter_num", "ad_revenue", "ad_revenue_inr"

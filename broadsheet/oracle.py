@@ -542,7 +542,15 @@ VIEWS |= {
                COALESCE(r.comments, 'No Commensts') AS comments
         FROM raw_ad_revenue r JOIN orders USING (o_orderkey)""",
 }
+VIEWS["joined_clean"] = """
+        SELECT cd.city_id, cd.city, ar.year, SUM(CAST("Net_Circulation" AS HUGEINT)) AS net,
+               SUM(CAST(ar.ad_revenue_inr AS DECIMAL(18,2))) AS revenue
+        FROM city_data cd
+        JOIN clean_print_sales ps ON cd.city_id = ps."City_ID"
+        JOIN clean_ad_revenue ar ON ps.edition_id = ar.edition_id AND year(ps."Month") = ar.year
+        GROUP BY cd.city_id, cd.city, ar.year"""
 NEEDS |= {
+    "joined_clean": ["city_data", "clean_print_sales", "clean_ad_revenue"],
     "raw_city_readiness": ["city_readiness"],
     "raw_print_sales": ["edition_months"],
     "clean_print_sales": ["edition_months"],
@@ -602,18 +610,19 @@ def duplicate_rows() -> str:
     )
 
 
-def shapes() -> str:
-    return sql(
-        union(
-            [
-                f"SELECT '{t}' AS \"table\", COUNT(*) AS rows, {len(_names(t))} AS columns FROM {view}"
-                for t, view in RAW_VIEWS.items()
-            ]
-        ),
-        *RAW_VIEWS.values(),
+def shapes_body() -> str:
+    return union(
+        [
+            f"SELECT '{t}' AS \"table\", COUNT(*) AS rows, {len(_names(t))} AS columns FROM {view}"
+            for t, view in RAW_VIEWS.items()
+        ]
     )
 
 
+def shapes() -> str:
+    return sql(shapes_body(), *RAW_VIEWS.values())
+
+
 SPARK_TYPES = {"row_id": "bigint", "ad_revenue": "double", "avg_bounce_rate": "double"} | {
     c: "bigint" for c in ("dev_cost", "marketing_cost", "users_reached", "downloads_or_accesses")
 }
@@ -740,7 +749,26 @@ OPERATORS = {
         FROM digital_plot""",
         "digital_plot",
     ),
+    "s2_every_format": sql(
+        """
+        SELECT r.*, format FROM raw_city_readiness r
+        CROSS JOIN (VALUES ('csv'), ('json'), ('orc'), ('parquet')) AS f(format)""",
+        "raw_city_readiness",
+    ),
+    "s3_load_all": sql(
+        union(
+            [
+                shapes_body(),
+                "SELECT 'ad_category', COUNT(*), 2 FROM ad_category",
+                "SELECT 'city_data', COUNT(*), 4 FROM city_data",
+            ]
+        ),
+        *RAW_VIEWS.values(),
+        "ad_category",
+        "city_data",
+    ),
     "s7_published_answer": city_contribution(),
+    "q6_from_files": revenue_per_copy("joined_clean"),
     "s10_print_sales": sql(
         """
         SELECT edition_id, city_id AS "City_ID", state AS "State", "Month",

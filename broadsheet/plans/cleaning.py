@@ -7,7 +7,6 @@ fill of the pilot feedback.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import date_parts, parse_date, quarter_number, quarter_year, respell, tidy
 from ..operators import forward_fill, in_rupees

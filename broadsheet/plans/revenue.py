@@ -139,7 +139,7 @@ def revenue_by_city(tables: Tables) -> DataFrame:
     )
 
 
-def _city_years(
+def city_years(
     tables: Tables, fanout: bool, first_year: int | None = None, last_year: int | None = None
 ) -> DataFrame:
     """(city_id, city, year, net, revenue) over print sales joined to ad revenue by edition-year."""
@@ -172,7 +172,7 @@ def revenue_per_copy(tables: Tables, fanout: bool = True) -> DataFrame:
     without positive circulation are left out, and the previous value is the one before them.
     """
     ratios = (
-        _city_years(tables, fanout)
+        city_years(tables, fanout)
         .where(F.col("net") > 0)
         .select(
             "city_id",
@@ -218,7 +218,7 @@ def frequent_declines(
         return F.when(F.col(measure) < F.lag(measure).over(by_year), 1).otherwise(0)
 
     return (
-        _city_years(tables, fanout, first_year, last_year)
+        city_years(tables, fanout, first_year, last_year)
         .where(F.col("year") >= flags_from)
         .withColumns({"_print": declined("net"), "_ad": declined("revenue")})
         .groupBy("city_id", "city")
