@@ -45,7 +45,7 @@ VIEWS = {
     "print_sales": f"""
         SELECT {code('ED', 'l_suppkey', 6)} AS edition_id, {CITY} AS city_id, r_name AS state,
                sold AS copies_sold, returned AS copies_returned, sold - returned AS net_circulation,
-               year(month) AS year, month(month) AS month_num
+               CAST(year(month) AS INTEGER) AS year, CAST(month(month) AS INTEGER) AS month_num
         FROM edition_months""",
     "ad_category": """
         SELECT DISTINCT 'A00' || substr(o_orderpriority, 1, 1) AS ad_category_id,
@@ -55,7 +55,7 @@ VIEWS = {
         SELECT {code('ED', 'o_custkey % (SELECT COUNT(*) FROM supplier)', 6)} AS edition_id,
                'A00' || substr(o_orderpriority, 1, 1) AS ad_category,
                CAST(o_totalprice AS DECIMAL(18,2)) AS ad_revenue,
-               year(o_orderdate) + 24 AS year, quarter(o_orderdate) AS quarter_num,
+               CAST(year(o_orderdate) + 24 AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter_num,
                CAST(round_even(o_totalprice
                     * CASE WHEN o_orderkey % 10 BETWEEN 4 AND 6 THEN CAST(88.14 AS DOUBLE)
                            WHEN o_orderkey % 10 BETWEEN 7 AND 8 THEN CAST(103.39 AS DOUBLE)
@@ -83,7 +83,7 @@ VIEWS = {
                {code('C', 'c_nationkey', 3)} AS city_id,
                CAST(year(o_orderdate) + 24 AS VARCHAR) || '-Q'
                  || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter,
-               year(o_orderdate) + 24 AS year, quarter(o_orderdate) AS quarter_num,
+               CAST(year(o_orderdate) + 24 AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter_num,
                {rnd("COUNT(*) FILTER (o_orderstatus = 'F') * 100 / COUNT(*)", 2)} AS literacy_rate,
                {rnd("COUNT(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) * 100 / COUNT(*)", 2)}
                  AS smartphone_penetration,
@@ -532,7 +532,7 @@ VIEWS |= {
         FROM edition_months""",
     "clean_ad_revenue": """
         SELECT o_orderkey, 'A00' || substr(o_orderpriority, 1, 1) AS ad_category,
-               year(o_orderdate) + 24 AS year, quarter(o_orderdate) AS quarter_num,
+               CAST(year(o_orderdate) + 24 AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter_num,
                upper(trim(currency, ' ' || chr(9))) AS currency,
                round_even(r.ad_revenue * CASE WHEN o_orderkey % 10 <= 3 THEN CAST(1 AS DOUBLE)
                                      WHEN o_orderkey % 10 <= 6 THEN CAST(88.14 AS DOUBLE)
@@ -737,8 +737,8 @@ def forward_fill(partition: str = "") -> str:
         FROM events"""
 
 
-_MONTH_PARTS = """year("Month") AS year, month("Month") AS month_num,
-               strftime("Month", '%B') AS month_name, quarter("Month") AS quarter"""
+_MONTH_PARTS = """CAST(year("Month") AS INTEGER) AS year, CAST(month("Month") AS INTEGER) AS month_num,
+               strftime("Month", '%B') AS month_name, CAST(quarter("Month") AS INTEGER) AS quarter"""
 
 OPERATORS = {
     "s1_csv_round_trip": sql(
@@ -773,7 +773,7 @@ OPERATORS = {
         """
         SELECT edition_id, city_id AS "City_ID", state AS "State", "Month",
                copies_sold AS "Copies_Sold", copies_returned, net_circulation AS "Net_Circulation",
-               year, month_num, strftime("Month", '%B') AS month_name, quarter("Month") AS quarter
+               year, month_num, strftime("Month", '%B') AS month_name, CAST(quarter("Month") AS INTEGER) AS quarter
         FROM (SELECT *, make_date(year, month_num, 1) AS "Month" FROM print_sales)""",
         "print_sales",
     ),
@@ -803,7 +803,7 @@ OPERATORS = {
         FROM orders""",
     "d9_quarter_parts": sql(
         """
-        SELECT o_orderkey, quarter, year(o_orderdate) + 24 AS year, quarter(o_orderdate) AS quarter_num
+        SELECT o_orderkey, quarter, CAST(year(o_orderdate) + 24 AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter_num
         FROM raw_ad_revenue JOIN orders USING (o_orderkey)""",
         "raw_ad_revenue",
     ),
@@ -832,8 +832,8 @@ OPERATORS = {
                LAST_VALUE(cumulative_feedback_from_customers IGNORE NULLS) OVER (ORDER BY row_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                  AS cumulative_feedback_from_customers,
-               year(launched) AS launch_year, month(launched) AS launch_month_num,
-               strftime(launched, '%B') AS launch_month_name, quarter(launched) AS launch_quarter
+               CAST(year(launched) AS INTEGER) AS launch_year, CAST(month(launched) AS INTEGER) AS launch_month_num,
+               strftime(launched, '%B') AS launch_month_name, CAST(quarter(launched) AS INTEGER) AS launch_quarter
         FROM (SELECT *, CAST(launch_month || '-01' AS DATE) AS launched FROM digital_plot)""",
         "digital_plot",
     ),
@@ -841,7 +841,7 @@ OPERATORS = {
         f"SELECT *, {_MONTH_PARTS} FROM clean_print_sales", "clean_print_sales"
     ),
     "q1_from_raw": sql(
-        state_trend_body("(SELECT *, year(\"Month\") AS year FROM clean_print_sales)"),
+        state_trend_body("(SELECT *, CAST(year(\"Month\") AS INTEGER) AS year FROM clean_print_sales)"),
         "clean_print_sales",
     ),
     "q3_from_raw": category_strength(
