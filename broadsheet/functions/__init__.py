@@ -1,6 +1,7 @@
 from .measures import (
     band,
     exact_mean,
+    exact_sum,
     half_even,
     money_sum,
     month_key,
@@ -16,6 +17,7 @@ __all__ = [
     "band",
     "date_parts",
     "exact_mean",
+    "exact_sum",
     "half_even",
     "money_sum",
     "month_key",

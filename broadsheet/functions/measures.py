@@ -11,26 +11,30 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from ..schemas import MONEY_SUM, RATE
+from pyspark.sql import types as T
 
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money_sum(amount: Column | str) -> Column:
-    """SUM of an amount with two decimals, exact whatever the order of the rows.
+def exact_sum(value: Column | str, digits: int) -> Column:
+    """SUM of a double with that many decimals, the same whatever the order of the rows.
 
-    Rows are added as whole hundredths, which costs a fraction of adding decimals. The hundredths
-    go in two parts of 20 bits and more, so that neither sum can outgrow a long; the decimal is
-    made once per group.
+    Rows are added as whole units of the last digit, which costs a fraction of adding decimals.
+    The units go in two parts, 20 bits and the rest, so that neither sum can outgrow a long; the
+    decimal is made once per group.
     """
-    hundredths = F.rint(_column(amount) * 100).cast("long")
-    high = F.sum(F.shiftright(hundredths, 20)).cast("decimal(20,0)")
-    low = F.sum(hundredths.bitwiseAND(F.lit((1 << 20) - 1)))
+    units = F.rint(_column(value) * 10**digits).cast("long")
+    high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1)))
     total = (high * F.lit(1 << 20) + low).cast("decimal(28,0)")
-    return (total * F.lit(Decimal("0.01"))).cast(MONEY_SUM)
+    return (total * F.lit(Decimal(1).scaleb(-digits))).cast(T.DecimalType(26 + digits, digits))
+
+
+def money_sum(amount: Column | str) -> Column:
+    """SUM of an amount in whole hundredths, as DECIMAL(28,2)."""
+    return exact_sum(amount, 2)
 
 
 def strict_sum(*columns: Column | str) -> Column:
@@ -39,9 +43,9 @@ def strict_sum(*columns: Column | str) -> Column:
 
 
 def exact_mean(value: Column | str) -> Column:
-    """AVG(value) as double from an exact decimal sum; null for a group without values."""
-    value = _column(value).cast(RATE)
-    return F.sum(value).cast("double") / F.nullif(F.count(value), F.lit(0))
+    """AVG of values with up to six decimals, as double; null for a group without values."""
+    total = exact_sum(value, 6).cast("double")
+    return total / F.nullif(F.count(_column(value)), F.lit(0))
 
 
 def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:

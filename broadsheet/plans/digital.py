@@ -15,12 +15,7 @@ SCORE = "decimal(28,10)"  # for means over scores and comparisons with them
 
 def readiness_scores(city_readiness: DataFrame) -> DataFrame:
     """Mean of the three rates per city; a row with a missing rate does not count."""
-    rates = strict_sum(
-        *[
-            F.col(c).cast("decimal(18,6)")
-            for c in ("literacy_rate", "smartphone_penetration", "internet_penetration")
-        ]
-    )
+    rates = strict_sum("literacy_rate", "smartphone_penetration", "internet_penetration")
     return city_readiness.groupBy("city_id").agg((exact_mean(rates) / 3).alias("readiness"))
 
 

@@ -6,9 +6,6 @@ forward fill needs.
 
 from pyspark.sql import types as T
 
-MONEY_SUM = T.DecimalType(28, 2)
-RATE = T.DecimalType(18, 6)
-
 
 def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, dtype) for name, dtype in columns.items()])
