@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from broadsheet.operators.pinning import scratch_dir
 
@@ -27,6 +28,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """`df`, a table of narrow rows, marked for broadcast if it has at most so many; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads 64-bit values evenly."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -39,10 +45,14 @@ def shingle_hashes(texts: list[bytes], k: int) -> list[np.ndarray]:
 
     Texts are lower-cased in A-Z; one without words has no shingle.
     """
-    split = [t.lower().split() for t in texts]
+    return run_hashes([t.lower().split() for t in texts], k)
+
+
+def run_hashes(split: list[list[bytes]], k: int) -> list[np.ndarray]:
+    """Per list of words the hash of every run of `k`; of the whole list if it is shorter."""
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     if not sizes.sum():
-        return [np.empty(0, np.uint64)] * len(texts)
+        return [np.empty(0, np.uint64)] * len(split)
     words = pd.util.hash_array(np.array([w for ws in split for w in ws], dtype=object))
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(words), np.uint64)

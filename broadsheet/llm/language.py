@@ -7,8 +7,9 @@ a parameter (`per_language` rows each). Their subword counts are made by Spark t
 texts; the driver gets only those counts.
 
 A fifth of the sample is kept from the descent. On it a temperature is fitted, so that the score
-is a calibrated probability, and the score below which a text is rejected is set: the `reject`
-quantile of the scores there, at most `ceiling`.
+is a calibrated probability, and two bounds are set below which a text is rejected: the `reject`
+quantile of the scores there, and that of the share of a text's subwords that training has seen, each
+at most `ceiling`.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-BUCKETS = 8192
+BUCKETS = 1 << 15
 RUNS = (2, 3, 4)
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -31,13 +31,16 @@ _CHUNK = 1 << 20
 
 @dataclass(frozen=True)
 class Model:
-    """`scores` is the table of embeddings times the linear layer: one row per bucket."""
+    """`scores` is the table of embeddings times the linear layer: one row per bucket; `seen` says
+    which buckets training has met."""
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray
     temperature: float
     threshold: float
+    least_seen: float
 
 
 def subword_counts(text: str) -> np.ndarray:
@@ -48,7 +51,7 @@ def subword_counts(text: str) -> np.ndarray:
     """
     counts = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(text), _CHUNK):
-        # Chunks overlap so that no run is lost, and the last run length decides by how much.
+        # Chunks overlap so that no run is lost; the few inside the overlap count twice.
         chunk = text[max(0, at - RUNS[-1] + 1) : at + _CHUNK].lower()
         codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         ascii_other = (codes < 97) | ((codes > 122) & (codes < 170))
@@ -56,14 +59,19 @@ def subword_counts(text: str) -> np.ndarray:
         gap = codes == 32
         keep = np.ones(len(codes), bool)
         keep[1:] = ~(gap[1:] & gap[:-1])
-        codes = np.concatenate([[np.uint64(32)], codes[keep], [np.uint64(32)]]).astype(np.uint64)
+        codes = codes[keep]
+        codes = codes[int(len(codes) > 0 and codes[0] == 32) :]
+        codes = codes[: len(codes) - int(len(codes) > 0 and codes[-1] == 32)]
+        if not len(codes):
+            continue
+        codes = np.concatenate([[np.uint64(32)], codes, [np.uint64(32)]]).astype(np.uint64)
         rolled = codes.copy()
         for n in range(2, RUNS[-1] + 1):
             if len(codes) < n:
                 break
             rolled = rolled[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
             if n in RUNS:
-                spread = (rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)
+                spread = (rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
                 counts += np.bincount(spread.astype(np.int64), minlength=BUCKETS)
     return counts
 
@@ -133,11 +141,9 @@ def train(
     rows = [r for r in _sample(usable, per_language, most_languages) if r["bucket"]]
     names = sorted({r["lang"] for r in rows})
     if not rows:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        n = np.array(r["n"], np.float32)
-        x[i, r["bucket"]] = n / n.sum()
+        none = np.zeros(0, np.float32)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), none, np.zeros(BUCKETS, bool), 1.0, 0.0, 0.0)
+    shares = [(np.array(r["bucket"]), np.array(r["n"], np.float32) / sum(r["n"])) for r in rows]
     y = np.array([names.index(r["lang"]) for r in rows])
     held = np.arange(len(rows)) % 5 == 0
     fit = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
@@ -151,16 +157,20 @@ def train(
         order = rng.permutation(fit)
         for at in range(0, len(order), 32):
             batch = order[at : at + 32]
-            mean = x[batch] @ embed
+            # Only the buckets that the batch has, as a dense table.
+            touched, place = np.unique(np.concatenate([shares[i][0] for i in batch]), return_inverse=True)
+            x = np.zeros((len(batch), len(touched)), np.float32)
+            row = np.repeat(np.arange(len(batch)), [len(shares[i][0]) for i in batch])
+            x[row, place] = np.concatenate([shares[i][1] for i in batch])
+            mean = x @ embed[touched]
             error = (_softmax(mean @ layer + bias) - goal[y[batch]]) / len(batch)
             back = error @ layer.T
             layer -= step * (mean.T @ error)
             bias -= step * 0.1 * error.sum(axis=0)
-            touched = np.flatnonzero(x[batch].any(axis=0))
-            embed[touched] -= step * 20 * (x[np.ix_(batch, touched)].T @ back)
+            embed[touched] -= step * 20 * (x.T @ back)
     scores = (embed @ layer).astype(np.float32)
     check = np.flatnonzero(held) if held.any() else fit
-    z = x[check] @ scores + bias
+    z = np.stack([shares[i][1] @ scores[shares[i][0]] for i in check]) + bias
 
     def loss(t: float) -> float:
         return float(-np.log(_softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean())
@@ -168,47 +178,48 @@ def train(
     temperature = min(np.geomspace(0.1, 10, 81), key=loss)
     confidence = _softmax(z / temperature).max(axis=1)
     threshold = min(float(np.quantile(confidence, reject)), ceiling)
-    return Model(names, scores, bias, float(temperature), threshold)
+    seen = np.zeros(BUCKETS, bool)
+    for i in fit:
+        seen[shares[i][0]] = True
+    known = [float(shares[i][1][seen[shares[i][0]]].sum()) for i in check]
+    least_seen = min(float(np.quantile(known, reject)), ceiling)
+    return Model(names, scores, bias, seen, float(temperature), threshold, least_seen)
 
 
-def predict(text: str | None, model: Model) -> tuple[str, float]:
-    """Language and calibrated score; `und` and 0 for null, for no letter, or if none is known."""
+def predict(text: str | None, model: Model) -> tuple[str, float, bool]:
+    """Language, calibrated score, and whether to reject it; `und` and 0 for null, for no letter,
+    or if no language is known."""
     if not model.languages or not has_letter(text):
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, True
     counts = subword_counts(text)
     at = np.flatnonzero(counts)
     n = counts[at].astype(np.float64)
     z = (n @ model.scores[at]) / n.sum() + model.bias
     p = _softmax(z[None, :].astype(np.float64) / model.temperature)[0]
     best = int(p.argmax())
-    return model.languages[best], float(p[best])
+    unsure = p[best] < model.threshold or n[model.seen[at]].sum() < model.least_seen * n.sum()
+    return model.languages[best], float(p[best]), bool(unsure)
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred`, `score` and `rejected`; columns of these names are replaced.
 
-    A rejected row has no language (`und`) or a score below the model's threshold. Only the text
+    A rejected row has no language (`und`) or falls below a bound of the model. Only the text
     goes to Python; the model travels with the function, its size is fixed by buckets times
     languages.
     """
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def tell(texts: pa.Array) -> pa.Array:
         told = [predict(t.as_py(), model) for t in texts]
         return pa.StructArray.from_arrays(
-            [pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())],
-            ["lang", "score"],
+            [pa.array([t[i] for t in told], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))],
+            ["lang", "score", "rejected"],
         )
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     told = docs.select(*rest, tell(F.col(text)).alias("__told"))
-    lang, score = F.col("__told.lang"), F.col("__told.score")
-    return told.select(
-        *rest,
-        lang.alias("lang_pred"),
-        score.alias("score"),
-        ((lang == UNKNOWN) | (score < F.lit(model.threshold))).alias("rejected"),
-    )
+    return told.select(*rest, F.col("__told.lang").alias("lang_pred"), "__told.score", "__told.rejected")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -30,8 +30,8 @@ from .common import mix, portions
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_PORTION = 2 << 20
-_MOST_CHUNKS = 400_000
+_PORTION = 1 << 20
+_MOST_CHUNKS = 200_000
 
 
 class Vocabulary:
@@ -56,6 +56,8 @@ class Vocabulary:
             raise ValueError(f"{path} has no byte pieces, so not every text can be spelt")
         spelt = [model.id_to_piece(i) for i in plain]
         self.longest = max(map(len, spelt))
+        if self.longest > 255:
+            raise ValueError(f"{path} has pieces of more than 255 characters")
         self.weight = np.full(size, self.byte_weight)
         self.weight[plain] = weight
         self._index(spelt, np.array(plain, np.int32))
@@ -125,8 +127,8 @@ class Lattices:
         self.number: dict[str, int] = {}
         self.base, self.length = np.empty(1024, np.int64), np.empty(1024, np.int64)
         self.first = np.empty(1 << 16, np.int64)
-        self.upto = np.empty(1 << 16)
-        self.back, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+        self.upto = np.empty(1 << 16, np.float32)
+        self.back, self.piece = np.empty(1 << 16, np.uint8), np.empty(1 << 16, np.int32)
         self.nodes = self.edges = 0
 
     def add(self, chunks: list[str]) -> None:
@@ -213,7 +215,7 @@ class Lattices:
         run = np.cumsum(share)
         run -= np.repeat(run[first] - share[first], per_node)
         run[first + per_node - 1] = 2.0  # no draw goes past the last edge
-        return first, run, back[order].astype(np.int32), piece[order]
+        return first, run, back[order], piece[order]
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The number of every chunk; new ones are filtered first."""
@@ -251,7 +253,7 @@ def sample(
         while len(where):
             place = (start[where] + node_end).astype(np.uint64)
             bits = mix(stream[where] + place * np.uint64(0x9E3779B97F4A7C15))
-            u = (bits >> np.uint64(11)).astype(float) * 2.0**-53
+            u = (bits >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
             node = base[where] + node_end - 1
             edge = held.first[node]
             past = np.flatnonzero(held.upto[edge] <= u)
@@ -303,48 +305,55 @@ def encoded(
     seed: int = 0,
     sharpness: float = 1.0,
 ) -> Column:
-    """Sampled piece ids of the text (null: null, empty: none) under the row's key, a long.
+    """(ids, lossless): sampled piece ids of the text (null: null, empty: none) under the row's
+    key, and whether decoding them has given back the text (null: true).
 
     Rows of equal key and text get equal pieces. A null key is a key like any other. Texts are
     handled some two million bytes at a time, or one by one if longer.
     """
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held = lattices(model_path, sharpness)
         for texts, keys in batches:
             values = texts.to_pylist()
             numbers = np.array(keys.to_pylist(), np.int64).astype(np.uint64)
-            sizes, ids = [np.zeros(1, np.int64)], []
+            sizes, ids, same = [np.zeros(1, np.int64)], [np.empty(0, np.int32)], []
             for a, b in portions(values, _PORTION):
-                offsets, found = sample([v or "" for v in values[a:b]], numbers[a:b], held, seed)
+                part = [v or "" for v in values[a:b]]
+                offsets, found = sample(part, numbers[a:b], held, seed)
+                back = spelt_texts(offsets, found, held.words)
+                same += [x == y for x, y in zip(back, part, strict=True)]
                 sizes.append(sizes[-1][-1] + offsets[1:])
                 ids.append(found)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(sizes), pa.int32()),
-                pa.array(np.concatenate(ids) if ids else [], pa.int32()),
+                pa.array(np.concatenate(ids), pa.int32()),
                 mask=pa.array([v is None for v in values], pa.bool_()),
             )
-            yield lists
+            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "lossless"])
 
     return encode(text, F.xxhash64(key))
 
 
+def spelt_texts(offsets: np.ndarray, ids: np.ndarray, words: Vocabulary) -> list[str]:
+    """The texts that runs of ids spell."""
+    spelling, ends = words.bytes_of, offsets.tolist()
+    data = [spelling[i] for i in ids.tolist()]
+    return [b"".join(data[a:b]).decode("utf-8", "surrogatepass") for a, b in zip(ends, ends[1:])]
+
+
 def decoded(ids: Column, model_path: str) -> Column:
     """The text that piece ids spell; null for null ids."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spelling = vocabulary(model_path, 1.0).bytes_of
+        words = vocabulary(model_path, 1.0)
         for lists in batches:
-            found = []
-            for ids in lists:
-                held = ids.values
-                if held is None:
-                    found.append(None)
-                    continue
-                data = b"".join([spelling[i] for i in held.to_numpy().tolist()])
-                found.append(data.decode("utf-8", "surrogatepass"))
-            yield pa.array(found, pa.string())
+            sizes = [len(x.values or ()) for x in lists]
+            offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            found = spelt_texts(offsets, lists.flatten().to_numpy(), words)
+            nulls = lists.is_null().to_pylist()
+            yield pa.array([None if null else t for t, null in zip(found, nulls)], pa.string())
 
     return decode(ids)

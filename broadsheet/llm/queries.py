@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pieces, repetition, sharding
+from . import (
+    archive,
+    decontaminate,
+    jaccard_join,
+    language,
+    licenses,
+    paragraphs,
+    pieces,
+    repetition,
+    secrets,
+    sharding,
+)
+from broadsheet.operators.pinning import scratch_dir
+
 from .common import table
 
 
@@ -25,14 +38,45 @@ def default_model() -> str:
 def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, and whether decoding gives its text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = default_model()
-    ids = pieces.encoded(F.col("text"), F.col("doc_id"), model)
-    spelt = docs.withColumn("ids", ids)
+    spelt = docs.select("doc_id", pieces.encoded(F.col("text"), F.col("doc_id"), default_model()).alias("p"))
     return spelt.select(
         "doc_id",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        "ids",
-        pieces.decoded(F.col("ids"), model).eqNullSafe(F.col("text")).alias("lossless"),
+        F.coalesce(F.size("p.ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        "p.ids",
+        "p.lossless",
+    )
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back by byte ranges."""
+    path = scratch_dir(spark, "warc")
+    archive.write_archive(table(spark, sf_dir, "pages"), path)
+    records = archive.read_archive(spark, path)
+    response = F.col("record_type") == "response"
+    return records.select(
+        archive.page_number(F.col("record_id")).alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long"))
+        .otherwise(F.col("payload_length"))
+        .alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        archive.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of strong secrets, and of weak ones beside a complementary part."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_spans(docs, ["doc_id"])
+
+    def of_kind(*kinds: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secrets.STRONG],
+        F.sha2(secrets.written(of_kind(*secrets.STRONG)), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
     )
 
 
@@ -59,6 +103,12 @@ def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined by 0.85 similar sets of four-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_groups(docs, words=4, percent=85)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and score of every document, learnt from four fifths of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -67,13 +117,36 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(marked, model).drop("text")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates found in every document."""
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document contains four fifths or more."""
+    return decontaminate.contained_items(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op10_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat within or across documents, and which of them are removed."""
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op2_sampled_pieces,
+        op3_warc,
+        op4_secrets,
         op5_interleaved_shards,
+        op6_jaccard_join,
         op7_language,
+        op8_licenses,
+        op9_decontamination,
+        op10_repeated_paragraphs,
     )
 }
 ORACLE: dict[str, str] = {}
