@@ -209,7 +209,9 @@ def raw_ad_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_city_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_city_readiness(
+    spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None
+) -> DataFrame:
     year, quarter = F.year("o_orderdate") + YEAR_SHIFT, F.quarter("o_orderdate")
     flags = {
         "_f": F.col("o_orderstatus") == "F",
@@ -217,7 +219,7 @@ def raw_city_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_large": F.col("o_totalprice") > 100000,
     }
     per_customer = (
-        source(spark, sf_dir, "orders")
+        _in_years(source(spark, sf_dir, "orders"), "o_orderdate", years)
         .groupBy("o_custkey", year.alias("_year"), quarter.alias("_quarter"))
         .agg(
             F.count(F.lit(1)).alias("_n"),
@@ -250,8 +252,10 @@ def raw_city_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def city_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_city_readiness(spark, sf_dir).withColumnsRenamed(
+def city_readiness(
+    spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None
+) -> DataFrame:
+    return raw_city_readiness(spark, sf_dir, years).withColumnsRenamed(
         {"_year": "year", "_quarter": "quarter_num"}
     )
 
@@ -308,7 +312,7 @@ class Star(dict):
             "ad_category": lambda: ad_category(spark, sf_dir),
             "print_sales": lambda: print_sales(spark, sf_dir, years),
             "ad_revenue": lambda: ad_revenue(spark, sf_dir, years),
-            "city_readiness": lambda: city_readiness(spark, sf_dir),
+            "city_readiness": lambda: city_readiness(spark, sf_dir, years),
             "digital_plot": lambda: digital_plot(spark, sf_dir),
         }
 
@@ -320,5 +324,5 @@ class Star(dict):
 def star(
     spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None
 ) -> dict[str, DataFrame]:
-    """The six clean tables. `years` limits the two large facts at the scan."""
+    """The six clean tables. `years` limits the tables that have years at the scan."""
     return Star(spark, sf_dir, years)

@@ -4,32 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings, operators, oracle
-from .functions import half_even, money_sum, month_key, strict_greatest
+from .functions import DATE_FORMATS, exact_mean, half_even, money_sum, month_key, rounded, strict_greatest
 from .plans import cleaning, job
 from .plans.questions import QUESTIONS
 from .schemas import CLEAN, RAW
-from .sources import load_all, load_table, publish, write_clean
+from .sources import load_all, load_table, malformed_rows, publish, write_clean
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The years a question reads of the two large facts; all years where it is not listed.
-YEARS = {
-    "q1_state_trend": (2019, 2024),
-    "q2_city_contribution": (2024, 2024),
-    "q3_category_strength": (2019, 2024),
-    "q9_print_efficiency": (2024, 2024),
-    "q11_frequent_declines": (2019, 2024),
-}
+
+def years_of(name: str, **parameters) -> tuple[int, int] | None:
+    """The years a question asks for under its parameters: `year`, or `first_year` to `last_year`.
+
+    None means all years. It is what the question itself compares years with, so that the range
+    may be applied at the scan already.
+    """
+    bound = signature(QUESTIONS[name]).bind({}, **parameters)
+    bound.apply_defaults()
+    asked = bound.arguments
+    first, last = (asked.get(c, asked.get("year")) for c in ("first_year", "last_year"))
+    return None if first is None or last is None else (first, last)
 
 
 def _question(name: str, **parameters) -> Query:
+    years = years_of(name, **parameters)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return QUESTIONS[name](bindings.star(spark, sf_dir, YEARS.get(name)), **parameters)
+        return QUESTIONS[name](bindings.star(spark, sf_dir, years), **parameters)
 
     return run
 
@@ -38,7 +45,9 @@ QUERIES: dict[str, Query] = {name: _question(name) for name in QUESTIONS} | {
     "q3_category_strength_inr": _question("q3_category_strength", amount="ad_revenue_inr"),
     "q6_revenue_per_copy_single": _question("q6_revenue_per_copy", fanout=False),
     "q7_relaunch_best_three": _question("q7_relaunch_priority", order="best_first", limit=3),
-    "q7_relaunch_distributed": _question("q7_relaunch_priority", one_task_rows=0),
+    "q7_relaunch_distributed": _question("q7_relaunch_priority"),
+    "q2_city_contribution_2023": _question("q2_city_contribution", year=2023),
+    "q1_state_trend_late": _question("q1_state_trend", first_year=2022, last_year=2025),
     "q11_frequent_declines_single": _question("q11_frequent_declines", fanout=False),
 }
 
@@ -144,7 +153,7 @@ def answer_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City contribution asked of published tables: clean files, partitioned by year, as tables.
 
-    The database of this run lives in the scratch folder and stays until that is cleared.
+    The database of this run lives in the scratch folder and is dropped once the answer is stored.
     """
     folder = operators.scratch_dir(spark, "clean")
     star = bindings.star(spark, sf_dir)
@@ -153,12 +162,47 @@ def published_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{name}.parquet"
         write_clean(star[name], name, path)
         manifest[path] = name
-    before = spark.catalog.currentDatabase()
     database = "circulation_" + folder.rsplit("-", 1)[-1][:12]
-    publish(spark, manifest, database, f"{folder}/warehouse")
-    tables = {name: spark.table(f"{database}.{name}") for name in manifest.values()}
-    spark.catalog.setCurrentDatabase(before)
-    return QUESTIONS["q2_city_contribution"](tables)
+    try:
+        publish(spark, manifest, database, f"{folder}/warehouse")
+        tables = {name: spark.table(f"{database}.{name}") for name in manifest.values()}
+        return operators.pin(QUESTIONS["q2_city_contribution"](tables))  # a row per city
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
+
+
+def reordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readiness table from CSV files with their columns in another order and one too many, a
+    rate that is not a number, and what the quality report counts of short and long rows."""
+    path = operators.scratch_dir(spark, "reordered") + ".csv"
+    readiness = _raw("city_readiness")(spark, sf_dir)
+    unread = F.when(F.col("row_id") % 5 == 0, F.lit("NaN")).otherwise(F.col("literacy_rate").cast("string"))
+    changed = readiness.withColumns({"literacy_rate": unread, "remark": F.lit("x")})
+    order = ["quarter", "remark", "literacy_rate", "row_id", "internet_penetration", "city_id", "smartphone_penetration"]
+    write_clean(changed.select(*order), "city_readiness", path, "csv")
+    return load_table(spark, "city_readiness", path)
+
+
+def malformed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of a CSV file have too few or too many cells."""
+    path = operators.scratch_dir(spark, "malformed") + ".csv"
+    cells = [F.coalesce(F.col(c), F.lit("")) for c in ("city_id", "city", "state", "tier")]
+    number = F.substring("city_id", 2, 9).cast("int")
+    line = (
+        F.when(number % 4 == 1, F.concat_ws(",", *cells[:3]))
+        .when(number % 4 == 2, F.concat_ws(",", *cells, F.lit("more")))
+        .otherwise(F.concat_ws(",", *cells))
+    )
+    lines = bindings.city_data(spark, sf_dir).select(line.alias("value"))
+    header = spark.createDataFrame([("city_id,city,state,tier",)], "value string")
+    header.union(lines).coalesce(1).write.text(path)
+    return malformed_rows(spark, "city_data", path).agg(F.count(F.lit(1)).alias("malformed"))
+
+
+def unread_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters and months that are there but cannot be read, per raw table."""
+    counts = job.unread_labels({name: read(spark, sf_dir) for name, read in _QUALITY.items()})
+    return counts.select("table", "column", F.col("value").alias("unread"))
 
 
 # ---- cleaning -------------------------------------------------------------------------------
@@ -196,6 +240,29 @@ def _from_raw(question: str, table: str, **parameters) -> Query:
     return run
 
 
+# A notation beyond those understood by default, with its format.
+DAY_FIRST = {r"^\d{2}/\d{2}/\d{4}$": "dd/MM/yyyy"}
+
+
+def state_trend_mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State trend of raw sales whose states and codes come in mixed case and whose unread months
+    are in a notation that the caller names."""
+    raw = _raw("print_sales")(spark, sf_dir)
+    lower = F.col("Copies Sold") % 2 == 0
+    mixed = raw.withColumns(
+        {
+            "State": F.when(lower, F.lower("State")).otherwise(F.upper("State")),
+            "edition_id": F.when(lower, F.lower("edition_id")).otherwise(F.col("edition_id")),
+            "Month": F.when(F.col("Month").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.date_format(F.try_to_date("Month"), "dd/MM/yyyy"))
+            .otherwise(F.col("Month")),
+        }
+    )
+    formats = DATE_FORMATS | DAY_FIRST
+    cleaned = cleaning.clean_print_sales(mixed, {"(?i)uttar[- ]pradesh": "Uttar Pradesh"}, formats)
+    answer = QUESTIONS["q1_state_trend"]({"print_sales": cleaned})
+    return answer.withColumn("State", F.upper("State"))
+
+
 # ---- joins, windows, scalar functions ---------------------------------------------------------
 
 
@@ -214,6 +281,16 @@ def fanout_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def net_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and means of prices after discount, which have more decimals than an amount."""
+    lines = bindings.source(spark, sf_dir, "lineitem").withColumn(
+        "net", F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000
+    )
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(
+        rounded(money_sum("net"), 4).alias("net"), rounded(exact_mean("net"), 8).alias("mean")
+    )
+
+
 def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = bindings.source(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
@@ -276,6 +353,8 @@ _MOMENTS = ("mean", "std", "p25", "p50", "p75")
 QUERIES |= {
     "s1_csv_round_trip": csv_round_trip,
     "s2_every_format": every_format,
+    "s1_columns_by_name": reordered_files,
+    "s1_malformed_rows": malformed_files,
     "s3_load_all": loaded_shapes,
     "s7_published_answer": published_answer,
     "q6_from_files": answer_from_files,
@@ -315,14 +394,22 @@ QUERIES |= {
     "d7_forward_fill": _then(
         _source("events"), lambda df: operators.forward_fill(_last_purchase(df), "last", "event_id")
     ),
+    "d7_forward_fill_sparse": _then(
+        _source("events"),
+        lambda df: operators.forward_fill(
+            _last_purchase(df).withColumn("place", F.col("event_id") * 2**20), "last", "place"
+        ).drop("place"),
+    ),
     "d7_forward_fill_by_user": _then(
         _source("events"),
         lambda df: operators.forward_fill(_last_purchase(df), "last", "event_id", ["user_id"]),
     ),
+    "a1_sums_of_long_decimals": net_prices,
     "d8_constant_fill": _then(
         bindings.raw_ad_revenue,
         lambda df: cleaning.fill_missing_comments(df).select("o_orderkey", "comments"),
     ),
+    "d10_unread_labels": unread_counts,
     "d9_quarter_parts": _then(
         bindings.raw_ad_revenue,
         lambda df: cleaning.with_quarter_parts(df).select(
@@ -331,7 +418,10 @@ QUERIES |= {
     ),
     "d15_rate_table": rate_table,
     "d16_half_even": half_even_amounts,
-    "d22_sample": _then(_raw("ad_revenue"), lambda df: operators.sample_rows(df, 10, seed=7)),
+    "d22_sample": _then(
+        bindings.raw_ad_revenue,
+        lambda df: operators.sample_rows(df, 10, seed=7, by=["o_orderkey"]),
+    ),
     "d23_head": _then(_raw("city_readiness"), lambda df: operators.head(df, "row_id")),
     "d24_distinct_states": _then(
         _raw("print_sales"), lambda df: operators.distinct_values(df, "State")
@@ -344,6 +434,7 @@ QUERIES |= {
         lambda df: cleaning.clean_print_sales(df).select(*CLEAN["print_sales"].names),
     ),
     "q1_from_raw": _from_raw("q1_state_trend", "print_sales"),
+    "q1_from_mixed_case": state_trend_mixed_case,
     "q3_from_raw": _from_raw("q3_category_strength", "ad_revenue", amount="ad_revenue_inr"),
     "j3_fanout_sums": fanout_by_state,
     "w5_ntile": order_quartiles,

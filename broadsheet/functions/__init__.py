@@ -11,9 +11,10 @@ from .measures import (
     strict_greatest,
     strict_sum,
 )
-from .parsing import date_parts, parse_date, quarter_number, quarter_year, respell, tidy
+from .parsing import DATE_FORMATS, date_parts, parse_date, quarter_number, quarter_year, respell, tidy
 
 __all__ = [
+    "DATE_FORMATS",
     "band",
     "date_parts",
     "exact_mean",

@@ -1,7 +1,8 @@
 """Column expressions for amounts, ratios, labels and keys.
 
-Sums are taken over longs or decimals, so a result never depends on the order in which partial
-sums arrive; a division to double comes last, and rounding after that.
+Sums of well-formed figures are taken over longs, so they never depend on the order in which partial
+sums arrive; what figures have beyond their usual digits is added beside. A division to double comes
+last, and rounding after that.
 """
 
 from __future__ import annotations
@@ -14,26 +15,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SUM = T.DecimalType(37, 12)
+
+
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def exact_sum(value: Column | str, digits: int) -> Column:
-    """SUM of a double with that many decimals, the same whatever the order of the rows.
+    """SUM of a double, as DECIMAL(38,12): no row is rounded, only the sum, to twelve decimals.
 
-    Rows are added as whole units of the last digit, which costs a fraction of adding decimals.
-    The units go in two parts, 20 bits and the rest, so that neither sum can outgrow a long; the
-    decimal is made once per group.
+    Rows are added as whole units of the digit given, which costs a fraction of adding decimals.
+    The units go in two parts, 20 bits and the rest, so that neither sum can outgrow a long. What
+    the units leave of a row is summed as a double; it is exactly 0 for rows with no more digits,
+    whose sum is therefore the same in any order. The decimal is made once per group.
     """
-    units = F.rint(_column(value) * 10**digits).cast("long")
+    value, scale = _column(value).cast("double"), F.lit(float(10**digits))
+    units = F.rint(value * scale).cast("long")
     high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
     low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1)))
-    total = (high * F.lit(1 << 20) + low).cast("decimal(28,0)")
-    return (total * F.lit(Decimal(1).scaleb(-digits))).cast(T.DecimalType(26 + digits, digits))
+    total = (high * F.lit(1 << 20) + low).cast("decimal(26,0)")
+    rest = F.sum(value - units.cast("double") / scale).cast(SUM)
+    return (total * F.lit(Decimal(1).scaleb(-digits))).cast(SUM) + rest
 
 
 def money_sum(amount: Column | str) -> Column:
-    """SUM of an amount in whole hundredths, as DECIMAL(28,2)."""
+    """SUM of an amount, exact for whole hundredths."""
     return exact_sum(amount, 2)
 
 
@@ -43,7 +50,8 @@ def strict_sum(*columns: Column | str) -> Column:
 
 
 def exact_mean(value: Column | str) -> Column:
-    """AVG of values with up to six decimals, as double; null for a group without values."""
+    """AVG as double, exact before the division for values with up to six decimals; null for a
+    group without values."""
     total = exact_sum(value, 6).cast("double")
     return total / F.nullif(F.count(_column(value)), F.lit(0))
 

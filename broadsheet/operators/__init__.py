@@ -3,9 +3,9 @@ from .fanout import fanout_sums
 from .fill import forward_fill
 from .inspection import case_insensitive, distinct_values, head, sample_rows
 from .ordering import (
-    at_most_rows,
     exact_quantiles,
     global_ntile,
+    global_ntiles,
     global_row_number,
     rank_at_most,
     running_total,
@@ -22,7 +22,6 @@ from .profiling import (
 )
 
 __all__ = [
-    "at_most_rows",
     "case_insensitive",
     "categorical_profile",
     "column_types",
@@ -32,6 +31,7 @@ __all__ = [
     "fanout_sums",
     "forward_fill",
     "global_ntile",
+    "global_ntiles",
     "global_row_number",
     "head",
     "in_rupees",

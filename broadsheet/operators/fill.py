@@ -26,6 +26,8 @@ def forward_fill(
 ) -> DataFrame:
     """Replace nulls of `column` by the last non-null value before them in `order_by`.
 
+    A null or repeated row number is an error when the query runs: the order would be a guess.
+
     `order_by` is a whole-number column without nulls, unique within `partition_by` (the file's
     row number). Leading nulls stay. `partition_by` fills each group on its own.
     """
@@ -41,12 +43,20 @@ def forward_fill(
     rows = df.withColumns({"_block": F.shiftright(position, _BITS), "_row": F.lit(True)})
     block = Window.partitionBy(*keys, "_block").orderBy(F.asc_nulls_first(order_by))
     upto = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
+    repeated = F.raise_error(F.lit(f"{order_by} is not unique")).cast("boolean")
+    filled = (
         rows.unionByName(heads, allowMissingColumns=True)
-        .withColumn(column, F.last(column, ignorenulls=True).over(upto))
+        .withColumns(
+            {
+                column: F.last(column, ignorenulls=True).over(upto),
+                "_last": F.lag(order_by).over(block),
+            }
+        )
         .where("_row")
-        .select(*df.columns)
     )
+    # The row number itself carries the check, so that no column pruning can drop it.
+    unique = F.when(F.col("_last") == F.col(order_by), repeated).otherwise(F.lit(True))
+    return filled.where(unique).select(*df.columns)
 
 
 def _heads(values: DataFrame, keys: list[str], bits: int) -> DataFrame:

@@ -1,15 +1,13 @@
 """Positions in one global order, without sorting it in a single task.
 
-`running_total` is the shared step: the rows are range-partitioned on the order, pinned, summed
-per partition, and every partition adds what lies before it. The table of partition sums has one
-row per partition and group, so it stays small whatever the data does; a value that holds a large
-part of the rows is split as long as a further order column tells its rows apart.
+The rows are range-partitioned on the order, pinned, counted or summed per partition, and every
+partition adds what lies before it. The table of partition sums has one row per partition and group,
+so it stays small whatever the data does; a value that holds a large part of the rows is split as
+long as a further order column tells its rows apart. The functions that pin run a job when called.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,28 +74,91 @@ def running_total(
     return summed.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
 
 
+def _sorted_ranges(df: DataFrame, order: list[Column], group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The pinned, sorted range partitions with each row's place in its own, and per partition and
+    group the place of its first row and the rows before it in and in all of the group.
+
+    The group leads the order. Rows are shuffled once; the second table has about one row per
+    partition and group.
+    """
+    rows = pin(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_id", F.monotonically_increasing_id())
+    ).withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    of_group = Window.partitionBy(*group)
+    before = of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy(*group, "_part")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_total", F.sum("_n").over(of_group))
+        .drop("_n")
+    )
+    return rows, starts
+
+
 def global_row_number(
     df: DataFrame, order_by: list[Column | str], name: str, total: str | None = None
 ) -> DataFrame:
-    """ROW_NUMBER() OVER (ORDER BY order_by) for any number of rows; the order must be total."""
-    return running_total(df, F.lit(1).cast("long"), order_by, name, total=total)
+    """ROW_NUMBER() OVER (ORDER BY order_by) for any number of rows; the order must be total.
+
+    `total` also adds the number of rows. Runs the shuffle and a checkpoint when called.
+    """
+    rows, starts = _sorted_ranges(df, [_column(c) for c in order_by], [])
+    placed = rows.join(F.broadcast(starts), "_part")  # one row per partition
+    position = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    totals = [F.col("_total").alias(total)] if total else []
+    return placed.select(*df.columns, position.alias(name), *totals)
+
+
+def _tile(position: str, total: str, n: int) -> Column:
+    """NTILE from a position from 1: the first `total mod n` tiles get one row more."""
+    at, rows = F.col(position) - 1, F.col(total)
+    size, larger = F.floor(rows / n), rows % n
+    inside_larger = at < larger * (size + 1)
+    later = larger + F.floor((at - larger * (size + 1)) / F.greatest(size, F.lit(1)))
+    return (F.when(inside_larger, F.floor(at / (size + 1))).otherwise(later) + 1).cast("int")
 
 
 def global_ntile(df: DataFrame, n: int, order_by: list[Column | str], name: str) -> DataFrame:
-    """NTILE(n) OVER (ORDER BY order_by) for any number of rows; the order must be total.
+    """NTILE(n) OVER (ORDER BY order_by) for any number of rows; the order must be total."""
+    numbered = global_row_number(df, order_by, "_position", total="_rows")
+    return numbered.select(*df.columns, _tile("_position", "_rows", n).alias(name))
 
-    The first `rows mod n` tiles get one row more than the others.
+
+def global_ntiles(df: DataFrame, n: int, key: str, orders: dict[str, tuple[str, bool]]) -> DataFrame:
+    """NTILE(n) along several measures at once, from one shuffle and one checkpoint.
+
+    `orders` maps an output name to a numeric column and whether it rises; ties go by `key`, which
+    must be unique, and nulls come first in a rising order and last in a falling one, as Spark and
+    most databases have it. (key, names...) is returned.
     """
-    numbered = global_row_number(df, order_by, "_position", total="_rows")
-    tile = F.expr(
-        f"""CASE WHEN _position - 1 < (_rows % {n}) * (_rows div {n} + 1)
-                 THEN (_position - 1) div (_rows div {n} + 1) + 1
-                 ELSE _rows % {n}
-                      + (_position - 1 - (_rows % {n}) * (_rows div {n} + 1))
-                        div greatest(_rows div {n}, 1) + 1
-            END"""
-    ).cast("int")
-    return numbered.select(*df.columns, tile.alias(name))
+    stacked = df.select(
+        F.col(key).alias("_key"),
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(name).alias("_measure"),
+                        (F.col(c).isNull() != F.lit(rises)).alias("_late"),
+                        # Whole numbers beyond 2**53 keep their order by the decimal.
+                        (F.col(c) if rises else -F.col(c)).cast("double").alias("_double"),
+                        (F.col(c) if rises else -F.col(c)).cast("decimal(38,10)").alias("_decimal"),
+                    )
+                    for name, (c, rises) in orders.items()
+                ]
+            )
+        ).alias("_o"),
+    ).select("_key", "_o.*")
+    order = [F.col(c) for c in ("_measure", "_late", "_double", "_decimal", "_key")]
+    rows, starts = _sorted_ranges(stacked, order, ["_measure"])
+    placed = rows.join(F.broadcast(starts), ["_measure", "_part"])  # a few rows per partition
+    position = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    tiled = placed.withColumn("_position", position).withColumn("_tile", _tile("_position", "_total", n))
+    return tiled.groupBy(F.col("_key").alias(key)).agg(
+        *[F.max(F.when(F.col("_measure") == name, F.col("_tile"))).alias(name) for name in orders]
+    )
 
 
 def rank_at_most(df: DataFrame, value: str, k: int, name: str) -> DataFrame:
@@ -116,46 +177,69 @@ def rank_at_most(df: DataFrame, value: str, k: int, name: str) -> DataFrame:
     same = F.col(f"l.{value}").eqNullSafe(F.col(f"r.{value}"))
     return (
         df.alias("l")
-        .join(F.broadcast(ranks.alias("r")), same)  # at most k rows
+        .join(ranks.alias("r"), same)
         .select(*[F.col(f"l.{c}") for c in df.columns], F.col(f"r.{name}").alias(name))
     )
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], points: dict[str, float]) -> DataFrame:
-    """(column, <point names>…) with linearly interpolated quantiles; nulls and NaN are left out.
+def exact_quantiles(
+    df: DataFrame, columns: list[str], points: dict[str, float], accuracy: int = 20_000
+) -> DataFrame:
+    """(column, <point names>...) with linearly interpolated quantiles; nulls and NaN are left out.
 
-    Values are counted first and located by their position in the running count. The partition
-    sums tell which partitions hold a wanted position; only those are sorted.
+    A first pass brackets every wanted position by approximate quantiles, whose rank is wrong by at
+    most rows / accuracy. A second pass counts the values below a bracket and shuffles only those
+    inside it, a few in `accuracy`, counted by value; the wanted ones are found by their position.
     """
     values = long_values(df, columns, "double").where(~F.isnan("value"))
-    counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    order = [F.col("value")]
-    parts, offsets = _ranged(counted, "_n", order, ["column"])
-
-    def position(p: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(p)
-
-    def holds(start: Column, end: Column, rank: Column) -> Column:
-        return (start <= rank) & (rank < end)
-
-    ranks = {f"_lo_{q}": F.floor(position(p)) for q, p in points.items()}
-    ranks |= {f"_hi_{q}": F.ceil(position(p)) for q, p in points.items()}
-    start, end = F.col("_offset"), F.col("_offset") + F.col("_sum")
-    wanted = reduce(lambda a, b: a | b, [holds(start, end, r) for r in ranks.values()])
-    placed = _within(parts, offsets.where(wanted), order, ["column"], "_upto")
-    first = F.col("_upto") - F.col("_n")
-    found = placed.groupBy("column", "_total").agg(
-        *[
-            F.max(F.when(holds(first, F.col("_upto"), r), F.col("value"))).alias(name)
-            for name, r in ranks.items()
-        ]
+    slack = 3 / accuracy
+    ends = [(max(0.0, p - slack), min(1.0, p + slack)) for p in points.values()]
+    flat = F.array(*[F.lit(e) for pair in ends for e in pair])
+    bracket = values.groupBy("column").agg(
+        F.percentile_approx("value", flat, accuracy).alias("_ends"),
+        F.count(F.lit(1)).alias("_total"),
+    )
+    wanted = bracket.select(
+        "column",
+        "_total",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(name).alias("_point"),
+                        F.lit(float(p)).alias("_p"),
+                        # The outermost positions may lie beyond what an approximation returns.
+                        F.when(F.lit(p - slack > 0), F.get("_ends", F.lit(2 * i))).alias("_low"),
+                        F.when(F.lit(p + slack < 1), F.get("_ends", F.lit(2 * i + 1))).alias("_high"),
+                    )
+                    for i, (name, p) in enumerate(points.items())
+                ]
+            )
+        ).alias("_w"),
+    ).select("column", "_total", "_w.*")
+    # One row per column and point. Of the values outside the bracket, the nearest may be wanted.
+    met = values.join(F.broadcast(wanted), "column")
+    side = F.when(F.col("value") < F.col("_low"), -1).when(F.col("value") > F.col("_high"), 1).otherwise(0)
+    counted = (
+        met.withColumn("_side", side)
+        .groupBy("column", "_point", "_p", "_total", "_side", F.when(F.col("_side") == 0, F.col("value")).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_least"), F.max("value").alias("_most"))
+    )
+    along = Window.partitionBy("column", "_point").orderBy("_side", "_value")
+    placed = counted.withColumn("_upto", F.sum("_n").over(along))
+    first, position = F.col("_upto") - F.col("_n"), (F.col("_total") - 1) * F.col("_p")
+
+    def at(rank: Column) -> Column:
+        here = (first <= rank) & (rank < F.col("_upto"))
+        known = (F.col("_side") >= 0) | (rank == F.col("_upto") - 1)
+        return F.max(F.when(here & known, F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least"))))
+
+    share = F.max(position - F.floor(position))
+    low, high = at(F.floor(position)), at(F.ceil(position))
+    found = placed.groupBy("column", "_point").agg((low + (high - low) * share).alias("_found"))
+    return found.groupBy("column").agg(
+        *[F.max(F.when(F.col("_point") == name, F.col("_found"))).alias(name) for name in points]
     )
-
-    def between(q: str, p: float) -> Column:
-        share = position(p) - F.floor(position(p))
-        return F.col(f"_lo_{q}") + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * share
-
-    return found.select("column", *[between(q, p).alias(q) for q, p in points.items()])
 
 
 def long_values(df: DataFrame, columns: list[str], dtype: str) -> DataFrame:
@@ -164,8 +248,3 @@ def long_values(df: DataFrame, columns: list[str], dtype: str) -> DataFrame:
     return cast.unpivot([], [f"`{c}`" for c in columns], "column", "value").where(
         F.col("value").isNotNull()
     )
-
-
-def at_most_rows(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has no more than `rows` rows: the size check before a one-task window."""
-    return df.count() <= rows

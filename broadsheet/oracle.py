@@ -54,12 +54,12 @@ VIEWS = {
     "ad_revenue": f"""
         SELECT {code('ED', 'o_custkey % (SELECT COUNT(*) FROM supplier)', 6)} AS edition_id,
                'A00' || substr(o_orderpriority, 1, 1) AS ad_category,
-               CAST(o_totalprice AS DECIMAL(18,2)) AS ad_revenue,
+               CAST(o_totalprice AS DECIMAL(28,10)) AS ad_revenue,
                CAST(year(o_orderdate) + 24 AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter_num,
                CAST(round_even(o_totalprice
                     * CASE WHEN o_orderkey % 10 BETWEEN 4 AND 6 THEN CAST(88.14 AS DOUBLE)
                            WHEN o_orderkey % 10 BETWEEN 7 AND 8 THEN CAST(103.39 AS DOUBLE)
-                           ELSE CAST(1 AS DOUBLE) END * 100, 0) / 100 AS DECIMAL(18,2)) AS ad_revenue_inr
+                           ELSE CAST(1 AS DOUBLE) END * 100, 0) / 100 AS DECIMAL(28,10)) AS ad_revenue_inr
         FROM orders""",
     "raw_ad_revenue": f"""
         SELECT o_orderkey, {code('ED', 'o_custkey % (SELECT COUNT(*) FROM supplier)', 6)} AS edition_id,
@@ -98,7 +98,7 @@ VIEWS = {
                CAST(SUM(event_id % 1000) AS BIGINT) AS dev_cost,
                CAST(SUM(event_id % 100) AS BIGINT) AS marketing_cost,
                COUNT(DISTINCT user_id) AS users_reached, COUNT(*) AS downloads_or_accesses,
-               {rnd('CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*)', 2)}
+               {rnd('CAST(SUM(CAST(ROUND(value, 2) AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*)', 2)}
                  AS avg_bounce_rate,
                CASE WHEN COUNT(*) % 2 = 0
                     THEN event_type || ' from ' || {code('C', 'user_id % 25', 3)} END
@@ -108,9 +108,9 @@ VIEWS = {
         GROUP BY event_type, user_id % 25""",
     "readiness_scores": """
         SELECT city_id,
-               CAST(SUM(CAST(literacy_rate AS DECIMAL(18,6))
-                        + CAST(smartphone_penetration AS DECIMAL(18,6))
-                        + CAST(internet_penetration AS DECIMAL(18,6))) AS DOUBLE)
+               CAST(SUM(CAST(literacy_rate AS DECIMAL(28,12))
+                        + CAST(smartphone_penetration AS DECIMAL(28,12))
+                        + CAST(internet_penetration AS DECIMAL(28,12))) AS DOUBLE)
                  / COUNT(*) / 3 AS readiness
         FROM city_readiness GROUP BY city_id""",
     "engagement_scores": """
@@ -178,7 +178,9 @@ def pct(current: str, previous: str) -> str:
     return f"CAST(({current} - {previous}) * 100 AS DOUBLE) / NULLIF({previous}, 0)"
 
 
-def state_trend_body(source: str = "print_sales") -> str:
+def state_trend_body(
+    source: str = "print_sales", first_year: int = 2019, last_year: int = 2024
+) -> str:
     changes = ",\n".join(
         rnd(pct(c, f"LAG({c}) OVER w"), 2) + f" AS YoY_{m}_Change_Percent"
         for m, c in (
@@ -193,26 +195,26 @@ def state_trend_body(source: str = "print_sales") -> str:
         FROM (SELECT year, state, {big('SUM(copies_sold)')} AS Total_Copies_Sold,
                      {big('SUM(copies_returned)')} AS Total_Copies_Returned,
                      {big('SUM(net_circulation)')} AS Total_Net_Circulation
-              FROM {source} WHERE year BETWEEN 2019 AND 2024 GROUP BY year, state)
+              FROM {source} WHERE year BETWEEN {first_year} AND {last_year} GROUP BY year, state)
         WINDOW w AS (PARTITION BY state ORDER BY year)"""
 
 
-def state_trend() -> str:
-    return sql(state_trend_body(), "print_sales")
+def state_trend(**years: int) -> str:
+    return sql(state_trend_body(**years), "print_sales")
 
 
-def city_contribution() -> str:
+def city_contribution(year: int = 2024) -> str:
     def mean(c: str) -> str:
-        return even(f"CAST(SUM(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / COUNT({c})")
+        return even(f"CAST(SUM(CAST({c} AS DECIMAL(28,12))) AS DOUBLE) / COUNT({c})")
 
     return sql(
         f"""
-        WITH sold_2024 AS (
+        WITH sold AS (
             SELECT c.city_id, c.city, {big('SUM(copies_sold)')} AS sold,
                    {big('SUM(net_circulation)')} AS net,
                    {rnd('SUM(copies_returned) * 100 / NULLIF(SUM(copies_sold), 0)', 2)} AS pct
             FROM print_sales p JOIN city_data c USING (city_id)
-            WHERE p.year = 2024 GROUP BY c.city_id, c.city)
+            WHERE p.year = {year} GROUP BY c.city_id, c.city)
         SELECT city, sold AS Total_Copies_Sold, net AS Total_Net_Circulation,
                {mean('literacy_rate')} AS literacy_rate,
                {mean('smartphone_penetration')} AS smartphone_penetration,
@@ -221,8 +223,8 @@ def city_contribution() -> str:
                CASE WHEN pct < 10 THEN 'Highly Profitable' WHEN pct < 20 THEN 'Moderately Profitable'
                     WHEN pct < 30 THEN 'Marginally Profitable' ELSE 'Needs Review' END
                  AS Profitable_Category
-        FROM sold_2024 cs LEFT JOIN city_readiness cr ON cs.city_id = cr.city_id
-        WHERE cr.year = 2024
+        FROM sold cs LEFT JOIN city_readiness cr ON cs.city_id = cr.city_id
+        WHERE cr.year = {year}
         GROUP BY cs.city_id, city, sold, net, pct""",
         "print_sales",
         "city_data",
@@ -430,7 +432,7 @@ def frequent_declines(view: str = "joined_years") -> str:
 def pilot_performance() -> str:
     users, downloads = "SUM(users_reached)", "SUM(downloads_or_accesses)"
     cost = "SUM(dev_cost + marketing_cost)"
-    bounce = "CAST(SUM(CAST(avg_bounce_rate AS DECIMAL(18,6))) AS DOUBLE) / COUNT(avg_bounce_rate)"
+    bounce = "CAST(SUM(CAST(avg_bounce_rate AS DECIMAL(28,12))) AS DOUBLE) / COUNT(avg_bounce_rate)"
     return sql(
         f"""
         SELECT platform, {big(users)} AS users_reached, {big(downloads)} AS downloads_or_accesses,
@@ -484,7 +486,9 @@ def revenue_circulation_correlation() -> str:
 
 QUESTIONS = {
     "q1_state_trend": state_trend(),
+    "q1_state_trend_late": state_trend(first_year=2022, last_year=2025),
     "q2_city_contribution": city_contribution(),
+    "q2_city_contribution_2023": city_contribution(2023),
     "q3_category_strength": category_strength(),
     "q3_category_strength_inr": category_strength("ad_revenue_inr"),
     "q4_revenue_by_city": revenue_by_city(),
@@ -544,7 +548,7 @@ VIEWS |= {
 }
 VIEWS["joined_clean"] = """
         SELECT cd.city_id, cd.city, ar.year, SUM(CAST("Net_Circulation" AS HUGEINT)) AS net,
-               SUM(CAST(ar.ad_revenue_inr AS DECIMAL(18,2))) AS revenue
+               SUM(CAST(ar.ad_revenue_inr AS DECIMAL(28,10))) AS revenue
         FROM city_data cd
         JOIN clean_print_sales ps ON cd.city_id = ps."City_ID"
         JOIN clean_ad_revenue ar ON ps.edition_id = ar.edition_id AND year(ps."Month") = ar.year
@@ -749,6 +753,28 @@ OPERATORS = {
         FROM digital_plot""",
         "digital_plot",
     ),
+    "s1_columns_by_name": sql(
+        """
+        SELECT * REPLACE (CASE WHEN row_id % 5 <> 0 THEN literacy_rate END AS literacy_rate)
+        FROM raw_city_readiness""",
+        "raw_city_readiness",
+    ),
+    "s1_malformed_rows": sql(
+        """
+        SELECT COUNT(*) FILTER (n % 4 IN (1, 2)) AS malformed
+        FROM (SELECT CAST(substr(city_id, 2) AS INTEGER) AS n FROM city_data)""",
+        "city_data",
+    ),
+    "d10_unread_labels": sql(
+        """
+        SELECT 'ad_revenue' AS "table", 'quarter' AS "column", CAST(0 AS DOUBLE) AS unread
+        UNION ALL SELECT 'city_readiness', 'quarter', CAST(0 AS DOUBLE)
+        UNION ALL SELECT 'digital_plot', 'launch_month', CAST(0 AS DOUBLE)
+        UNION ALL
+        SELECT 'print_sales', 'Month', CAST(COUNT(*) FILTER (l_suppkey % 5 = 4) AS DOUBLE)
+        FROM edition_months""",
+        "edition_months",
+    ),
     "s2_every_format": sql(
         """
         SELECT r.*, format FROM raw_city_readiness r
@@ -795,7 +821,14 @@ OPERATORS = {
     "d5_numeric_profile": numeric_profile(),
     "d6_categorical_profile": categorical_profile(),
     "d_whole_profile": whole_profile(),
+    "a1_sums_of_long_decimals": """
+        SELECT l_returnflag, l_linestatus,
+               CAST(ROUND(SUM(net), 4) AS DOUBLE) AS net,
+               CAST(ROUND(CAST(CAST(SUM(net) AS DOUBLE) / COUNT(*) AS DECIMAL(38,12)), 8) AS DOUBLE) AS mean
+        FROM (SELECT *, CAST(l_extendedprice * (1 - l_discount) / 1000 AS DECIMAL(28,12)) AS net FROM lineitem)
+        GROUP BY l_returnflag, l_linestatus""",
     "d7_forward_fill": forward_fill(),
+    "d7_forward_fill_sparse": forward_fill(),
     "d7_forward_fill_by_user": forward_fill("PARTITION BY user_id"),
     "d8_constant_fill": """
         SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Seasonal booking'
@@ -822,6 +855,10 @@ OPERATORS = {
                CAST(SUM(round_even(CAST(floor(l_extendedprice) + l_quantity / 8 AS DECIMAL(18,4)), 2))
                     AS DOUBLE) AS amount
         FROM lineitem GROUP BY l_orderkey""",
+    "d22_sample": sql(
+        "SELECT * FROM raw_ad_revenue ORDER BY md5('7' || chr(31) || CAST(o_orderkey AS VARCHAR)) LIMIT 10",
+        "raw_ad_revenue",
+    ),
     "d23_head": sql("SELECT * FROM raw_city_readiness ORDER BY row_id LIMIT 5", "raw_city_readiness"),
     "d24_distinct_states": sql("SELECT DISTINCT State FROM raw_print_sales", "raw_print_sales"),
     "d25_clean_ad_revenue": sql("SELECT * FROM clean_ad_revenue", "clean_ad_revenue"),
@@ -844,8 +881,14 @@ OPERATORS = {
         state_trend_body("(SELECT *, CAST(year(\"Month\") AS INTEGER) AS year FROM clean_print_sales)"),
         "clean_print_sales",
     ),
+    "q1_from_mixed_case": "SELECT * REPLACE (upper(\"State\") AS \"State\") FROM ("
+    + sql(
+        state_trend_body("(SELECT *, CAST(year(\"Month\") AS INTEGER) AS year FROM clean_print_sales)"),
+        "clean_print_sales",
+    )
+    + ")",
     "q3_from_raw": category_strength(
-        "CAST(ad_revenue_inr AS DECIMAL(18,2))", "clean_ad_revenue", "clean_ad_revenue"
+        "CAST(ad_revenue_inr AS DECIMAL(28,10))", "clean_ad_revenue", "clean_ad_revenue"
     ),
     "j3_fanout_sums": sql(
         """

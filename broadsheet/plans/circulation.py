@@ -36,22 +36,30 @@ def sum_by(df: DataFrame, keys: list[str], **sums: str) -> DataFrame:
 
 
 def state_trend(tables: Tables, first_year: int = 2019, last_year: int = 2024) -> DataFrame:
-    """Q1: copies sold, returned and net per state and year, with year-over-year changes."""
+    """Q1: copies sold, returned and net per state and year, with year-over-year changes.
+
+    Spellings of a state that differ in case are one state, under the spelling that sorts first.
+    """
     measures = {"Sold": "Copies_Sold", "Returned": "Copies_Returned", "Net": "Net_Circulation"}
     yearly = (
         tables["print_sales"]
         .where(F.col("year").between(first_year, last_year))
-        .groupBy("year", "State")
-        .agg(*[F.sum(c).alias(f"Total_{c}") for c in measures.values()])
+        .groupBy("year", F.lower("State").alias("_state"))
+        .agg(
+            F.min("State").alias("State"),
+            *[F.sum(c).alias(f"Total_{c}") for c in measures.values()],
+        )
     )
-    by_year = Window.partitionBy("State").orderBy("year")
+    by_year = Window.partitionBy("_state").orderBy("year")
     changes = {
         f"YoY_{m}_Change_Percent": rounded(
             pct_change(f"Total_{c}", F.lag(f"Total_{c}").over(by_year)), 2
         )
         for m, c in measures.items()
     }
-    return yearly.withColumns(changes).orderBy("year", "State")
+    # One spelling for all years.
+    named = yearly.withColumn("State", F.min("State").over(Window.partitionBy("_state")))
+    return named.withColumns(changes).drop("_state").orderBy("year", "State")
 
 
 def city_contribution(tables: Tables, year: int = 2024) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exact_mean, half_even, pct_change, rounded, safe_ratio, strict_sum
-from ..operators import at_most_rows, global_ntile, pin
+from ..operators import global_ntiles, pin
 from .circulation import Tables, sum_by, with_city
 
 SCORE = "decimal(28,10)"  # for means over scores and comparisons with them
@@ -70,16 +70,13 @@ def ready_but_unengaged(tables: Tables) -> DataFrame:
 
 
 def relaunch_priority(
-    tables: Tables,
-    order: str = "as_scored",
-    limit: int | None = None,
-    one_task_rows: int = 1_000_000,
+    tables: Tables, order: str = "as_scored", limit: int | None = None
 ) -> DataFrame:
     """Q7: cities scored by readiness, engagement and print decline quartiles.
 
     Quartile 1 is the best candidate on each measure, yet the default order lists high scores
     first; `order="best_first"` with a `limit` answers which cities to start with. Ties go by
-    city id. A city table beyond `one_task_rows` gets its quartiles from a distributed order.
+    city id. All three quartiles come from one distributed order, made when this is called.
     """
     if order not in ("as_scored", "best_first"):
         raise ValueError(f"unknown order {order!r}")
@@ -88,20 +85,13 @@ def relaunch_priority(
         .join(engagement_scores(tables["digital_plot"]), "city_id")
         .join(decline_rates(tables["print_sales"]), "city_id")
     )
-    cities = with_city(scores, tables["city_data"], "city", "state", "tier")
+    cities = pin(with_city(scores, tables["city_data"], "city", "state", "tier"))
     priorities = {
-        "Readiness_Priority": [F.desc("readiness"), F.asc("city_id")],
-        "Engagement_Priority": [F.asc("engagement"), F.asc("city_id")],
-        "Decline_Priority": [F.asc("decline"), F.asc("city_id")],
+        "Readiness_Priority": ("readiness", False),
+        "Engagement_Priority": ("engagement", True),
+        "Decline_Priority": ("decline", True),
     }
-    if at_most_rows(tables["city_data"].select("city_id"), one_task_rows):
-        tiled = cities.withColumns(
-            {name: F.ntile(4).over(Window.orderBy(*keys)) for name, keys in priorities.items()}
-        )
-    else:
-        tiled = pin(cities)  # read by three orders
-        for name, keys in priorities.items():
-            tiled = global_ntile(tiled, 4, keys, name)
+    tiled = cities.join(global_ntiles(cities, 4, "city_id", priorities), "city_id")
     ranked = tiled.select(
         "city",
         "state",

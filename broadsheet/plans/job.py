@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import parse_date, quarter_number, quarter_year
 from ..operators import profile
-from ..schemas import CLEAN
-from ..sources import load_all, publish, write_clean
+from ..schemas import CLEAN, RAW
+from ..sources import load_all, malformed_rows, path_of, publish, write_clean
 from .cleaning import clean_all
 from .questions import QUESTIONS
 
@@ -19,9 +21,66 @@ def profile_all(tables: dict[str, DataFrame], quantiles: str = "exact") -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-def clean_to_files(spark: SparkSession, raw_folder: str, clean_folder: str, **load) -> dict[str, str]:
+def unread_labels(
+    tables: dict[str, DataFrame], date_formats: dict[str, str] | None = None
+) -> DataFrame:
+    """How many quarters and months of raw tables are there but cannot be read, in the shape of
+    the profile: (table, column, metric, value, text)."""
+    quarter = quarter_year("quarter").isNull() | quarter_number("quarter").isNull()
+    unread = {
+        ("ad_revenue", "quarter"): quarter,
+        ("city_readiness", "quarter"): quarter,
+        ("digital_plot", "launch_month"): parse_date("launch_month", date_formats).isNull(),
+        ("print_sales", "Month"): parse_date("Month", date_formats).isNull(),
+    }
+    parts = [
+        _figure(tables[t].where(F.col(c).isNotNull()).agg(F.count_if(test).alias("n")), t, c, "unread")
+        for (t, c), test in unread.items()
+        if t in tables
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def malformed_counts(
+    spark: SparkSession,
+    folder: str,
+    files: dict[str, str] | None = None,
+    multiline: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """How many rows of the CSV files do not fit their schemas, in the shape of the profile."""
+    parts = [
+        _figure(
+            malformed_rows(
+                spark, t, path_of(folder, t, "csv", files), None if multiline is None else t in multiline
+            ).agg(F.count(F.lit(1)).alias("n")),
+            t,
+            None,
+            "malformed",
+        )
+        for t in RAW
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _figure(counted: DataFrame, table: str, column: str | None, metric: str) -> DataFrame:
+    return counted.select(
+        F.lit(table).alias("table"),
+        F.lit(column).cast("string").alias("column"),
+        F.lit(metric).alias("metric"),
+        F.col("n").cast("double").alias("value"),
+        F.lit(None).cast("string").alias("text"),
+    )
+
+
+def clean_to_files(
+    spark: SparkSession,
+    raw_folder: str,
+    clean_folder: str,
+    date_formats: dict[str, str] | None = None,
+    **load,
+) -> dict[str, str]:
     """Load, clean and store every table as Parquet; returns the publish manifest."""
-    cleaned = clean_all(load_all(spark, raw_folder, **load))
+    cleaned = clean_all(load_all(spark, raw_folder, **load), date_formats)
     manifest = {}
     for name, df in cleaned.items():
         path = f"{clean_folder.rstrip('/')}/{name}.parquet"
@@ -30,15 +89,37 @@ def clean_to_files(spark: SparkSession, raw_folder: str, clean_folder: str, **lo
     return manifest
 
 
-def publish_quality(spark: SparkSession, raw_folder: str, **load) -> None:
-    """Store the quality profile of the raw files as table `data_quality` of the current database."""
-    quality = profile_all(load_all(spark, raw_folder, **load))
-    quality.write.mode("overwrite").saveAsTable("data_quality")
+def quality(
+    spark: SparkSession, raw_folder: str, date_formats: dict[str, str] | None = None, **load
+) -> DataFrame:
+    """The profile of all tables before and after cleaning, with what could not be read before.
+
+    (stage, table, column, metric, value, text); stage is `raw` or `clean`.
+    """
+    raw = load_all(spark, raw_folder, **load)
+    parts = [profile_all(raw), unread_labels(raw, date_formats)]
+    if load.get("fmt", "csv") == "csv":
+        parts.append(malformed_counts(spark, raw_folder, load.get("files"), load.get("multiline")))
+    before = reduce(DataFrame.unionByName, parts).withColumn("stage", F.lit("raw"))
+    after = profile_all(clean_all(raw, date_formats)).withColumn("stage", F.lit("clean"))
+    columns = ("stage", "table", "column", "metric", "value", "text")
+    return before.unionByName(after).select(*columns)
+
+
+def publish_quality(spark: SparkSession, raw_folder: str, database: str | None = None, **load) -> None:
+    """Store the quality of the files as table `data_quality` of the database, by default the
+    current one."""
+    found = quality(spark, raw_folder, **load)
+    found.write.mode("overwrite").saveAsTable(_qualified("data_quality", database))
+
+
+def _qualified(table: str, database: str | None) -> str:
+    return f"`{database}`.`{table}`" if database else table
 
 
-def published(spark: SparkSession) -> dict[str, DataFrame]:
-    """The published tables of the current database."""
-    return {name: spark.table(name) for name in CLEAN}
+def published(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
+    """The published tables of a database, by default the current one."""
+    return {name: spark.table(_qualified(name, database)) for name in CLEAN}
 
 
 def answer_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -46,16 +127,16 @@ def answer_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: ask(tables) for name, ask in QUESTIONS.items()}
 
 
-def publish_answers(answers: dict[str, DataFrame]) -> None:
-    """Store answers as tables of the current database, for dashboards to read."""
+def publish_answers(answers: dict[str, DataFrame], database: str | None = None) -> None:
+    """Store answers as tables of a database, by default the current one, for dashboards to read."""
     for name, df in answers.items():
-        df.write.mode("overwrite").saveAsTable(name)
+        df.write.mode("overwrite").saveAsTable(_qualified(name, database))
 
 
 def run(
     spark: SparkSession, raw_folder: str, clean_folder: str, database: str, **load
 ) -> dict[str, DataFrame]:
-    """Raw files to answers, through published tables."""
+    """Raw files to answers, through the published tables of `database`."""
     manifest = clean_to_files(spark, raw_folder, clean_folder, **load)
     publish(spark, manifest, database)
-    return answer_all(published(spark))
+    return answer_all(published(spark, database))

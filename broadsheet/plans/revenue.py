@@ -258,7 +258,10 @@ def category_share(tables: Tables, amount: str = "ad_revenue_inr") -> DataFrame:
 
 def revenue_circulation_correlation(tables: Tables) -> DataFrame:
     """K4: correlation of ad revenue with net circulation over edition-years, per state."""
-    circulation = sum_by(tables["print_sales"], ["edition_id", "year", "State"], net="Net_Circulation")
+    sales = tables["print_sales"].withColumn("_state", F.lower("State"))
+    circulation = sales.groupBy("edition_id", "year", "_state").agg(
+        F.sum("Net_Circulation").alias("net"), F.min("State").alias("State")
+    )
     revenue = (
         tables["ad_revenue"]
         .groupBy("edition_id", "year")
@@ -266,10 +269,12 @@ def revenue_circulation_correlation(tables: Tables) -> DataFrame:
     )
     return (
         circulation.join(revenue, ["edition_id", "year"])
-        .groupBy("State")
+        .groupBy("_state")
         .agg(
+            F.min("State").alias("State"),
             F.count(F.lit(1)).alias("edition_years"),
             rounded(F.corr("revenue", F.col("net").cast("double")), 6).alias("correlation"),
         )
+        .drop("_state")
         .orderBy("State")
     )

@@ -1,4 +1,4 @@
-from .readers import load_all, load_table, malformed_rows
+from .readers import load_all, load_table, malformed_rows, path_of
 from .writers import PublishError, publish, use_database, write_clean, write_jdbc
 
 __all__ = [
@@ -6,6 +6,7 @@ __all__ = [
     "load_all",
     "load_table",
     "malformed_rows",
+    "path_of",
     "publish",
     "use_database",
     "write_clean",

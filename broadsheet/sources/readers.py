@@ -26,16 +26,42 @@ def format_of(path: str) -> str | None:
     return suffix if suffix in FORMATS else None
 
 
-def csv_options(name: str) -> dict[str, str]:
-    """A cell may hold quoted newlines only in some tables; only those give up file splitting."""
+def csv_options(name: str, multiline: bool | None = None) -> dict[str, str]:
+    """Cells may hold quoted newlines only in tables known for it, or as the caller says; only
+    those give up file splitting."""
+    broken = name in MULTILINE if multiline is None else multiline
     return {
         "header": "true",
         "escape": '"',
-        "multiLine": str(name in MULTILINE).lower(),
+        "multiLine": str(broken).lower(),
         "mode": "PERMISSIVE",
+        # Every file's header is held against the order found in the first.
+        "enforceSchema": "false",
     }
 
 
+def csv_layout(
+    spark: SparkSession, name: str, path: str, schema: T.StructType, multiline: bool | None = None
+) -> tuple[T.StructType, dict[str, str]]:
+    """The schema in the order of the file's header, and the header cell of each column wanted.
+
+    Columns go by name; a blank first cell is the row number. Cells beyond the schema are read as
+    text and left out; a missing or repeated name is an error.
+    """
+    options = csv_options(name, multiline) | {"header": "false"}
+    first = spark.read.options(**options).csv(path).first()
+    cells = [c or "" for c in first] if first else list(schema.names)
+    wanted = {c: c for c in schema.names}
+    if "row_id" in wanted and "row_id" not in cells and cells[0] == "":
+        wanted["row_id"] = ""
+    missing = [c for c, cell in wanted.items() if cells.count(cell) != 1]
+    if missing or len(set(cells)) < len(cells):
+        raise ValueError(f"{path}: columns {missing or 'that repeat'} in the header {cells}")
+    types = {cell: schema[c].dataType for c, cell in wanted.items()}
+    fields = [T.StructField(c, types.get(c, T.StringType())) for c in cells]
+    return T.StructType(fields), wanted
+
+
 def load_table(
     spark: SparkSession,
     name: str,
@@ -43,11 +69,13 @@ def load_table(
     fmt: str | None = None,
     schema: T.StructType | None = None,
     missing_marks: tuple[str, ...] = MISSING_MARKS,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """One table under its schema (raw by default), format by argument or by suffix.
 
-    Texts of a CSV file that mark a missing value are read as null. A missing path or an
-    unsupported format fails here, before any job runs.
+    Columns of a CSV file go by the names in its header. Its texts that mark a missing value are
+    read as null, and so is what is not a number in any format. `multiline` says whether cells may
+    hold line breaks. A missing path, an unsupported format or a header without a column fails here.
     """
     fmt = fmt or format_of(path)
     if fmt not in FORMATS:
@@ -55,14 +83,28 @@ def load_table(
     schema = schema or RAW[name]
     reader = spark.read.schema(schema).format(fmt)
     if fmt != "csv":
-        return reader.load(path)
-    df = reader.options(**csv_options(name)).load(path)
+        return _numbers_or_null(reader.load(path))
+    layout, wanted = csv_layout(spark, name, path, schema, multiline)
+    df = spark.read.schema(layout).options(**csv_options(name, multiline)).csv(path)
+    df = _in_order(df, layout, wanted)
     texts = [f.name for f in schema if isinstance(f.dataType, T.StringType)]
-    if not missing_marks or not texts:
-        return df
-    return df.withColumns(
-        {c: F.when(~F.col(f"`{c}`").isin(*missing_marks), F.col(f"`{c}`")) for c in texts}
-    )
+    marked = {c: F.when(~F.col(f"`{c}`").isin(*missing_marks), F.col(f"`{c}`")) for c in texts}
+    return _numbers_or_null(df.withColumns(marked) if missing_marks and texts else df)
+
+
+def _in_order(df: DataFrame, layout: T.StructType, wanted: dict[str, str]) -> DataFrame:
+    """The wanted columns under their names; a blank name cannot be referred to, so by place."""
+    named = df.toDF(*[f"_{i}" for i in range(len(layout))], *df.columns[len(layout) :])
+    places = {cell: f"_{i}" for i, cell in enumerate(layout.names)}
+    rest = [F.col(c) for c in df.columns[len(layout) :]]
+    return named.select(*[F.col(places[cell]).alias(c) for c, cell in wanted.items()], *rest)
+
+
+def _numbers_or_null(df: DataFrame) -> DataFrame:
+    """What is not a number, in a column of doubles, is missing."""
+    doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
+    present = {c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in doubles}
+    return df.withColumns(present) if doubles else df
 
 
 def load_all(
@@ -71,30 +113,45 @@ def load_all(
     fmt: str = "csv",
     files: dict[str, str] | None = None,
     schemas: dict[str, T.StructType] | None = None,
+    multiline: tuple[str, ...] | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of a dataset; if one cannot be found the whole load fails.
 
     Each table is read from `<folder>/<table>.<fmt>` unless `files` names another file for it.
+    `multiline` names the tables with line breaks in cells, instead of those known for it.
     """
-    schemas = schemas or RAW
-    files = files or {}
-    tables = {}
-    for name, schema in schemas.items():
-        path = f"{folder.rstrip('/')}/{files.get(name, f'{name}.{fmt}')}"
-        tables[name] = load_table(spark, name, path, schema=schema)
-    return tables
+    return {
+        name: load_table(
+            spark,
+            name,
+            path_of(folder, name, fmt, files),
+            schema=schema,
+            multiline=None if multiline is None else name in multiline,
+        )
+        for name, schema in (schemas or RAW).items()
+    }
 
 
-def malformed_rows(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Rows of a CSV file that do not fit the schema, with the offending text.
+def path_of(folder: str, name: str, fmt: str = "csv", files: dict[str, str] | None = None) -> str:
+    return f"{folder.rstrip('/')}/{(files or {}).get(name, f'{name}.{fmt}')}"
+
+
+def malformed_rows(
+    spark: SparkSession, name: str, path: str, multiline: bool | None = None
+) -> DataFrame:
+    """Rows of a CSV file that do not fit the schema, with the offending text: cells too few or too
+    many, or no number where one is due.
 
     Only columns a query asks for are parsed, so the filter asks for all of them.
     """
-    schema = T.StructType([*RAW[name].fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = (
-        spark.read.schema(schema)
-        .options(**csv_options(name), columnNameOfCorruptRecord="_corrupt_record")
-        .csv(path)
+    layout, wanted = csv_layout(spark, name, path, RAW[name], multiline)
+    schema = T.StructType([*layout.fields, T.StructField("_corrupt_record", T.StringType())])
+    # The header has no cell for the record, so it cannot be held against this schema.
+    options = csv_options(name, multiline) | {"enforceSchema": "true"}
+    rows = _in_order(
+        spark.read.schema(schema).options(**options, columnNameOfCorruptRecord="_corrupt_record").csv(path),
+        layout,
+        wanted,
     )
     all_columns = F.hash(*[F.col(f"`{c}`") for c in RAW[name].names]) >= F.lit(-(2**31))
     return rows.where(F.col("_corrupt_record").isNotNull() & all_columns)

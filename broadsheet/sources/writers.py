@@ -40,10 +40,14 @@ def write_clean(df: DataFrame, name: str, path: str, fmt: str = "parquet") -> No
     (writer.partitionBy(*columns) if columns else writer).save(path)
 
 
-def use_database(spark: SparkSession, database: str, location: str | None = None) -> None:
-    """Make `database` current, creating it first if need be."""
+def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")
+
+
+def use_database(spark: SparkSession, database: str, location: str | None = None) -> None:
+    """Make `database` current, creating it first if need be."""
+    create_database(spark, database, location)
     spark.catalog.setCurrentDatabase(database)
 
 
@@ -53,26 +57,30 @@ def publish(
     database: str,
     location: str | None = None,
 ) -> DataFrame:
-    """Replace one table per manifest entry `path -> table`; returns a status row per entry.
+    """Replace one table of `database` per manifest entry `path -> table`; a status row per entry.
 
     A missing path or an unsupported suffix is skipped, as a status. Other failures do not stop
-    the remaining tables; they are raised together at the end.
+    the remaining tables; they are raised together at the end. The database is created if need be;
+    the session's current one stays.
     """
-    use_database(spark, database, location)
-    statuses = [(table, path, *_publish_one(spark, path, table)) for path, table in manifest.items()]
+    create_database(spark, database, location)
+    statuses = [
+        (table, path, *_publish_one(spark, path, table, database))
+        for path, table in manifest.items()
+    ]
     if any(status == "failed" for _, _, status, _ in statuses):
         raise PublishError(statuses)
     return spark.createDataFrame(statuses, STATUS_SCHEMA)
 
 
-def _publish_one(spark: SparkSession, path: str, table: str) -> tuple[str, str | None]:
+def _publish_one(spark: SparkSession, path: str, table: str, database: str) -> tuple[str, str | None]:
     if format_of(path) is None:
         return "unsupported", f"unsupported file format: {path}"
     try:
         df = load_table(spark, table, path, schema=CLEAN.get(table))
         columns = PARTITIONED_BY.get(table, [])
         writer = _laid_out(df, table).write.mode("overwrite")
-        (writer.partitionBy(*columns) if columns else writer).saveAsTable(table)
+        (writer.partitionBy(*columns) if columns else writer).saveAsTable(f"`{database}`.`{table}`")
     except Exception as error:  # kept as a status; publish raises it once all tables were tried
         analysis = isinstance(error, AnalysisException)
         missing = analysis and error.getCondition() == "PATH_NOT_FOUND"

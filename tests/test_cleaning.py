@@ -168,10 +168,10 @@ def test_clean_print_sales(spark, rows):
     ]
 
 
-def test_clean_all_leaves_dimensions(spark):
+def test_clean_all_keeps_the_columns_of_dimensions(spark):
     tables = {name: spark.createDataFrame([], schema) for name, schema in RAW.items()}
     cleaned = cleaning.clean_all(tables)
-    assert cleaned["city_data"] is tables["city_data"]
+    assert cleaned["city_data"].schema == tables["city_data"].schema
     for name, df in cleaned.items():
         assert df.columns == CLEAN[name].names
 
@@ -181,3 +181,18 @@ def test_cleaning_of_rows_is_narrow(spark):
         raw = spark.createDataFrame([], RAW[name])
         plan = cleaning.CLEANERS[name](raw)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_sums_round_no_row(table, rows):
+    df = table("a double", *[(0.004,)] * 1000)
+    total, mean = df.agg(fn.money_sum("a").alias("s"), fn.exact_mean("a").alias("m")).first()
+    assert float(total) == 4.0 and mean == 0.004
+    tiny = table("a double", (1e-7,), (3e-7,), (None,)).agg(fn.exact_mean("a").alias("m")).first()
+    assert tiny.m == pytest.approx(2e-7)
+    large = table("a double", *[(9e13 + 0.25,)] * 3).agg(fn.money_sum("a").alias("s")).first()
+    assert float(large.s) == 27e13 + 0.75
+
+
+def test_codes_are_the_same_in_any_case(table, rows):
+    df = table("edition_id string, City_ID string, note string", (" ed1", "c001 ", "x"), (None, "C001", "y"))
+    assert rows(cleaning.same_case(df)) == [("ED1", "C001", "x"), (None, "C001", "y")]

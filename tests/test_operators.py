@@ -118,6 +118,9 @@ def test_forward_fill_refuses_to_guess_the_order(table):
         operators.forward_fill(df, "a", "v")
     with pytest.raises(Exception, match="row_id is null"):
         operators.forward_fill(df, "v", "row_id").collect()
+    twice = table("v string, row_id long", ("a", 0), (None, 0), (None, 1), ("b", 1))
+    with pytest.raises(Exception, match="row_id is not unique"):
+        operators.forward_fill(twice, "v", "row_id").select("v").collect()
 
 
 # ---- global order -------------------------------------------------------------------------------
@@ -181,9 +184,22 @@ def test_quantiles_with_a_hot_value(table, rows):
     assert found == pytest.approx(expected)
 
 
-def test_at_most_rows(table):
-    df = table("a int", (1,), (2,))
-    assert operators.at_most_rows(df, 2) and not operators.at_most_rows(df, 1)
+@pytest.mark.parametrize("parts", [1, 5])
+def test_several_ntiles_from_one_order(table, rows, parts):
+    data = [(i, None if i % 11 == 0 else float(i * 7 % 13), 2**60 + i % 5) for i in range(101)]
+    df = table("id int, a double, b long", *data).repartition(parts)
+    orders = {"x": ("a", False), "y": ("b", True), "z": ("a", True)}
+    keys = {"x": F.desc("a"), "y": F.asc("b"), "z": F.asc("a")}
+    expected = df.select("id", *[F.ntile(4).over(Window.orderBy(k, "id")).alias(n) for n, k in keys.items()])
+    assert sorted(rows(operators.global_ntiles(df, 4, "id", orders))) == sorted(rows(expected))
+
+
+def test_quantiles_do_not_depend_on_the_bracket(table, rows):
+    df = table("a double", *[(float(i * 37 % 1009),) for i in range(1009)]).repartition(6)
+    points = {"low": 0.0, "x": 0.123, "p50": 0.5, "z": 0.999, "high": 1.0}
+    expected = [df.select(F.percentile("a", p)).first()[0] for p in points.values()]
+    for accuracy in (20, 100, 20_000):
+        assert rows(exact_quantiles(df, ["a"], points, accuracy))[0][1:] == pytest.approx(expected)
 
 
 # ---- quality ------------------------------------------------------------------------------------
@@ -251,6 +267,8 @@ def test_profile_of_awkward_column_names(table):
 
 def test_sample_is_seeded_and_sized(table, rows):
     df = table("a int", *[(i,) for i in range(50)])
+    split = df.repartition(7)
+    assert sorted(rows(operators.sample_rows(split, 10, seed=1))) == sorted(rows(operators.sample_rows(df.coalesce(1), 10, seed=1)))
     first = rows(operators.sample_rows(df, 10, seed=1))
     assert len(set(first)) == 10 and first == rows(operators.sample_rows(df, 10, seed=1))
 

@@ -27,12 +27,37 @@ def test_no_python_and_no_cartesian_product(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["q1_state_trend", "q2_city_contribution", "q9_print_efficiency", "q11_frequent_declines"]
+    "name",
+    ["q1_state_trend", "q2_city_contribution", "q9_print_efficiency", "q11_frequent_declines", "k2_circulation_change"],
 )
 def test_year_ranges_reach_the_scan(spark, sf_dir, name):
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate", plan(spark, sf_dir, name))
 
 
+@pytest.mark.parametrize("name", ["q2_city_contribution", "q10_internet_growth"])
+def test_year_ranges_reach_the_scan_of_readiness(spark, sf_dir, name):
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan(spark, sf_dir, name))
+
+
+def test_years_follow_the_parameters():
+    assert catalogue.years_of("q2_city_contribution", year=2023) == (2023, 2023)
+    assert catalogue.years_of("q1_state_trend", first_year=2020) == (2020, 2024)
+    assert catalogue.years_of("q8_sharpest_falls") is None
+    assert catalogue.years_of("q7_relaunch_priority") is None
+
+
+@pytest.mark.parametrize("name", ["w5_ntile", "w6_row_number"])
+def test_global_order_moves_rows_once(spark, sf_dir, name):
+    """After the checkpoint only the counts of partitions move."""
+    text = plan(spark, sf_dir, name)
+    assert "Window [row_number" not in text and "SortMergeJoin" not in text
+    assert "rangepartitioning" not in text
+
+
+def test_quantiles_need_no_checkpoint(spark, sf_dir):
+    assert "Scan ExistingRDD" not in plan(spark, sf_dir, "d5_numeric_profile")
+
+
 def test_columns_are_pruned_at_the_scan(spark, sf_dir):
     text = plan(spark, sf_dir, "q10_internet_growth")
     assert re.search(r"ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderdate", text)

@@ -86,6 +86,43 @@ def test_malformed_rows(spark, tmp_path):
     assert bad.count() == 1 and bad.first()["_corrupt_record"] == "A2,Auto,too many"
 
 
+def test_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("city,city_id,extra,state,tier\nPune,C1,x,MH,Tier 1\n")
+    row = load_table(spark, "city_data", str(tmp_path / "a.csv")).first()
+    assert row.asDict() == {"city_id": "C1", "city": "Pune", "state": "MH", "tier": "Tier 1"}
+    for header in ("city,city_id,state", "city,city_id,state,tier,tier"):
+        (tmp_path / "b.csv").write_text(header + "\nPune,C1,MH,Tier 1\n")
+        with pytest.raises(ValueError, match="header"):
+            load_table(spark, "city_data", str(tmp_path / "b.csv"))
+    both = tmp_path / "both.csv"
+    both.mkdir()
+    (both / "1.csv").write_text("city_id,city,state,tier\nC1,Pune,MH,Tier 1\n")
+    (both / "2.csv").write_text("city,city_id,state,tier\nAgra,C2,UP,Tier 2\n")
+    with pytest.raises(Exception, match="header"):
+        load_table(spark, "city_data", str(both)).collect()
+
+
+def test_row_number_without_a_name_in_any_place_of_a_pilot(spark, pilot_csv):
+    assert [r.row_id for r in load_table(spark, "digital_plot", pilot_csv).orderBy("row_id").collect()] == [0, 1]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_what_is_not_a_number_is_missing(spark, tmp_path, fmt):
+    path = str(tmp_path / f"ads.{fmt}")
+    rows = [("E1", "A1", "Q1-2020", float("nan"), "INR", None), ("E2", "A1", "Q1-2020", 5.0, "INR", None)]
+    spark.createDataFrame(rows, RAW["ad_revenue"]).write.format(fmt).option("header", True).save(path)
+    loaded = load_table(spark, "ad_revenue", path, fmt)
+    assert sorted(str(r.ad_revenue) for r in loaded.collect()) == ["5.0", "None"]
+
+
+def test_line_breaks_in_any_table_the_caller_names(spark, tmp_path):
+    path = tmp_path / "ad_revenue.csv"
+    path.write_text('edition_id,ad_category,quarter,ad_revenue,currency,comments\nE1,A1,Q1-2020,5,INR,"two\nlines"\n')
+    (row,) = load_table(spark, "ad_revenue", str(path), multiline=True).collect()
+    assert row.comments == "two\nlines" and row.ad_revenue == 5.0
+    assert malformed_rows(spark, "ad_revenue", str(path), multiline=True).count() == 0
+
+
 def test_load_all_is_all_or_nothing(spark, tmp_path):
     for name, schema in RAW.items():
         (tmp_path / f"{name}.csv").write_text(",".join(schema.names) + "\n")
@@ -103,10 +140,11 @@ def test_publish_reports_what_it_skipped(spark, tmp_path):
         str(tmp_path / "ad_category.csv"): "ad_category",
         str(tmp_path / "print_sales.xlsx"): "print_sales",
     }
+    before = spark.catalog.currentDatabase()
     status = {r.table: r.status for r in publish(spark, manifest, "skips").collect()}
     assert status == {"city_data": "published", "ad_category": "missing", "print_sales": "unsupported"}
-    assert spark.catalog.currentDatabase() == "skips"
-    assert spark.table("city_data").count() == 1
+    assert spark.catalog.currentDatabase() == before
+    assert spark.table("skips.city_data").count() == 1
     cities.write_text("city_id,city,state,tier\nC1,Pune,MH,Tier 1\nC2,Agra,UP,Tier 2\n")
     publish(spark, {str(cities): "city_data"}, "skips")
     assert spark.table("skips.city_data").count() == 2
@@ -126,9 +164,11 @@ def test_publish_goes_on_after_a_failure_and_raises_at_the_end(spark, tmp_path):
 
 
 def test_use_database_twice(spark):
+    before = spark.catalog.currentDatabase()
     use_database(spark, "twice")
     use_database(spark, "twice")
     assert spark.catalog.currentDatabase() == "twice"
+    spark.catalog.setCurrentDatabase(before)
 
 
 def test_year_directories(spark, sf_dir, tmp_path):
@@ -159,10 +199,15 @@ def test_raw_files_to_answers(spark, sf_dir, tmp_path):
     counts = {name: df.count() for name, df in answers.items()}
     assert set(counts) == set(job.QUESTIONS) and all(counts.values())
     assert counts["q9_print_efficiency"] >= 5 and counts["q8_sharpest_falls"] == 3
-    job.publish_quality(spark, str(raw))
+    job.publish_quality(spark, str(raw), "newspaper")
     quality = spark.table("newspaper.data_quality")
-    assert {r.table for r in quality.select("table").distinct().collect()} == set(RAW)
-    job.publish_answers({"q8_sharpest_falls": answers["q8_sharpest_falls"]})
+    assert {(r.stage, r.table) for r in quality.select("stage", "table").distinct().collect()} == {
+        (stage, table) for stage in ("raw", "clean") for table in RAW
+    }
+    unread = {r.table: r.value for r in quality.where("metric = 'unread'").collect()}
+    assert unread["print_sales"] > 0 and unread["ad_revenue"] == 0
+    assert {r.value for r in quality.where("metric = 'malformed'").collect()} == {0.0}
+    job.publish_answers({"q8_sharpest_falls": answers["q8_sharpest_falls"]}, "newspaper")
     assert spark.table("newspaper.q8_sharpest_falls").count() == 3
 
 
