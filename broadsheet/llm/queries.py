@@ -20,6 +20,7 @@ from . import (
 from broadsheet.operators.pinning import scratch_dir
 
 from .common import table
+from .oracle import ORACLE as ORACLE
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,4 +150,3 @@ QUERIES = {
         op10_repeated_paragraphs,
     )
 }
-ORACLE: dict[str, str] = {}
