@@ -16,6 +16,11 @@ def even(expression: str, digits: int = 2) -> str:
     return f"(round_even(({expression}) * {scale}, 0) / {scale} + CAST(0 AS DOUBLE))"
 
 
+def money(expression: str) -> str:
+    """A sum of amounts rounded to hundredths, as a double."""
+    return f"CAST(CAST({expression} AS DECIMAL(28,2)) AS DOUBLE)"
+
+
 def big(expression: str) -> str:
     return f"CAST({expression} AS BIGINT)"
 
@@ -261,7 +266,7 @@ def category_strength(
                            WHEN growth > -0.10 THEN 10 WHEN growth > -0.25 THEN 5 ELSE 0 END
                       + consistency * 6 + peak * 20 + recovery * 20 AS score
             FROM metrics)
-        SELECT standard_ad_category, {', '.join(f'CAST(r{y} AS DOUBLE) AS revenue_{y}' for y in years)},
+        SELECT standard_ad_category, {', '.join(f'{money(f"r{y}")} AS revenue_{y}' for y in years)},
                {even('growth * 100')} AS net_growth_percent,
                CAST(consistency AS INTEGER) AS consistency_score,
                CAST(peak AS DOUBLE) AS peak_timing_score,
@@ -281,7 +286,7 @@ def category_strength(
 def revenue_by_city() -> str:
     return sql(
         f"""
-        SELECT city, state, CAST(SUM(r.total) AS DOUBLE) AS Total_City_Ad_Revenue,
+        SELECT city, state, {money('SUM(r.total)')} AS Total_City_Ad_Revenue,
                {big('SUM(e.net)')} AS Total_City_Net_Circulation,
                {even('CAST(SUM(r.total) AS DOUBLE) / NULLIF(SUM(e.net), 0)')}
                  AS Revenue_Per_Net_Copy_Ratio
@@ -458,7 +463,7 @@ def circulation_change() -> str:
 def category_share() -> str:
     return sql(
         f"""
-        SELECT standard_ad_category, CAST(revenue AS DOUBLE) AS revenue,
+        SELECT standard_ad_category, {money('revenue')} AS revenue,
                {rnd('CAST(revenue * 100 AS DOUBLE) / CAST(SUM(revenue) OVER () AS DOUBLE)', 2)}
                  AS share_percent
         FROM (SELECT standard_ad_category, SUM(ad_revenue_inr) AS revenue
@@ -804,9 +809,9 @@ OPERATORS = {
         "print_sales",
     ),
     "s11_ad_revenue": sql(
-        """
-        SELECT edition_id, ad_category, year, quarter_num, CAST(ad_revenue AS DOUBLE) AS ad_revenue,
-               CAST(ad_revenue_inr AS DOUBLE) AS ad_revenue_inr
+        f"""
+        SELECT edition_id, ad_category, year, quarter_num, {money('ad_revenue')} AS ad_revenue,
+               {money('ad_revenue_inr')} AS ad_revenue_inr
         FROM ad_revenue""",
         "ad_revenue",
     ),
@@ -891,9 +896,9 @@ OPERATORS = {
         "CAST(ad_revenue_inr AS DECIMAL(28,10))", "clean_ad_revenue", "clean_ad_revenue"
     ),
     "j3_fanout_sums": sql(
-        """
+        f"""
         SELECT ps.state AS "State", ps.year, CAST(SUM(ps.net_circulation) AS BIGINT) AS net,
-               CAST(SUM(ar.ad_revenue_inr) AS DOUBLE) AS revenue
+               {money('SUM(ar.ad_revenue_inr)')} AS revenue
         FROM print_sales ps
         JOIN ad_revenue ar ON ps.edition_id = ar.edition_id AND ps.year = ar.year
         GROUP BY ps.state, ps.year""",
