@@ -32,9 +32,12 @@ def _starts(words: str, k: int) -> Column:
 
 
 def shingle_hashes(words: str, k: int) -> Column:
-    return F.when(
-        F.size(words) > 0, F.transform(_starts(words, k), lambda i: F.xxhash64(F.slice(words, i, k)))
-    ).otherwise(F.array().cast("array<bigint>"))
+    def of_run(i: Column) -> Column:
+        return F.xxhash64(*[F.get(words, i + (j - 1)) for j in range(k)])  # places past the end are null
+
+    return F.when(F.size(words) > 0, F.transform(_starts(words, k), of_run)).otherwise(
+        F.array().cast("array<bigint>")
+    )
 
 
 def shingle_texts(words: str, k: int) -> Column:
@@ -96,22 +99,18 @@ def contained_items(
     classed = stored(item_classes(items, item_id, text, k, smallest), "items")
     classes = sorted(r[0] for r in classed.select("class").distinct().collect())
     keyed = docs.select(F.col(doc_id).alias("doc"), F.sha2(F.col(text), 256).alias("key"), F.col(text).alias("text"))
-    hits = None
     kept = F.floor(F.col("class") / 2).cast("int") + sketch_size(0)
     signed = classed.select("item", "class", F.explode(F.slice(F.array_sort("hashes"), 1, kept)).alias("value"))
     signed = small(signed)
     worded = keyed.select("key", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     hashed = worded.select("key", shingle_hashes("words", k).alias("hashes"))
-    for size in classes:
-        values = hashed.select("key", F.explode(window_values("hashes", size)).alias("value"))
-        found = values.join(signed.where(F.col("class") == size), "value")
-        hits = found.select("key", "item") if hits is None else hits.union(found.select("key", "item"))
-    if hits is None:
-        return docs.select(
-            F.col(doc_id), F.lit(None).cast(items.schema[item_id].dataType).alias(item_id),
-            F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found"),
-        ).limit(0)
-    candidates = stored(hits.distinct(), "candidates")
+    # All classes in one pass; without any, of an empty benchmark, there are no windows.
+    of_class = [F.struct(F.lit(s).alias("class"), window_values("hashes", s).alias("values")) for s in classes]
+    none = F.array().cast("array<struct<class:int,values:array<bigint>>>")
+    windows = hashed.select("key", F.explode(F.array(*of_class) if classes else none).alias("w"))
+    values = windows.select("key", "w.class", F.explode("w.values").alias("value"))
+    hits = values.join(signed, ["class", "value"])
+    candidates = stored(hits.select("key", "item").distinct(), "candidates")
 
     # Only the texts of candidates are cut into shingles again, as text.
     wanted = small(candidates.select("key").distinct())
