@@ -30,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """`df`, a table of narrow rows, marked for broadcast if it has at most so many; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -31,6 +31,9 @@ from .common import portions, shingle_hashes, small, stored
 from .linking import linked_groups
 
 _PORTION = 4 << 20
+#: Tables of so many shingle hashes, some tens of megabytes, travel to every task; larger ones are
+#: joined by a shuffle.
+_FEW_TOKENS = 2_000_000
 
 
 def required(n: int, percent: int) -> int:
@@ -40,7 +43,7 @@ def required(n: int, percent: int) -> int:
 
 def emitted(n: int, percent: int, most_shared: int) -> int:
     """How many shingles of a set of n are indexed at first."""
-    return min(n, n - required(n, percent) + most_shared + max(8, n // 20))
+    return min(n, n - required(n, percent) + most_shared + max(8, n // 30))
 
 
 def chosen_prefix(
@@ -166,7 +169,7 @@ def jaccard_groups(
     doc_id: str = "doc_id",
     text: str = "text",
     most_shared: int = 6,
-    crowd: int = 64,
+    crowd: int = 128,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents joined by `percent` similar shingle sets.
 
@@ -183,24 +186,38 @@ def jaccard_groups(
     classes = stored(
         signed.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        .agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
         .withColumn("node", F.coalesce("doc", unnamed)),
         "classes",
     )
     # One id may stand on several texts: such classes are told apart by the digest.
-    shared_name = classes.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
-    if not shared_name.isEmpty():
+    shared_names = classes.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("node")
+    if shared_names.isEmpty():
+        shared_names = None
+    else:
         renamed = F.when(F.col("again").isNull(), F.col("node")).otherwise(unnamed)
-        again = shared_name.select("node", F.lit(True).alias("again"))
+        again = shared_names.select("node", F.lit(True).alias("again"))
         classes = stored(
             classes.join(again, "node", "left").withColumn("node", renamed).drop("again"), "classes"
         )
 
-    rows = classes.select("node", "n", F.posexplode("tokens").alias("rank", "token"))
+    # Tokens are taken from one row of each class, by leaving out the other rows.
+    copied = classes.where("copies > 1").select("digest", "doc")
+    others = signed.select("id", "digest").join(copied, "digest")
+    others = stored(others.where(~F.col("id").eqNullSafe(F.col("doc"))).select("id", "digest").distinct(), "copies")
+    other = small(others.select(F.col("id").alias("other_id"), F.col("digest").alias("other_digest")))
+    same = (F.col("digest") == F.col("other_digest")) & F.col("id").eqNullSafe(F.col("other_id"))
+    named = F.coalesce("id", unnamed) if shared_names is None else None
+    ones = signed.where("digest is not null").join(other, same, "left_anti")
+    if named is None:
+        by_digest = small(classes.where("node <> doc").select("digest", F.col("node").alias("renamed")))
+        ones = ones.join(by_digest, "digest", "left")
+        named = F.coalesce("renamed", "id", unnamed)
+    rows = ones.select(named.alias("node"), "n", F.posexplode("tokens").alias("rank", "token"))
     counts = stored(
         rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts"
     )
-    held = rows.join(counts, "token")
+    held = rows.join(small(counts, _FEW_TOKENS), "token")
     shared = held.groupBy("node", "n").agg(F.collect_list(F.struct("rank", "token", "df")).alias("shared"))
     choose = _choose("emitted", percent, most_shared, crowd)
     first = stored(
@@ -208,15 +225,18 @@ def jaccard_groups(
     )
 
     # Documents whose first shingles are crowded: their whole sets.
-    short = first.where("l is null").select("node").join(classes.drop("tokens", "n"), "node")
-    short_sets = stored(whole_sets(plain, "id", "text", words, short), "short-sets")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.select("node", "doc", "digest").join(small(nodes), "node", "left_semi")
+        return whole_sets(plain, "id", "text", words, stored(wanted, "wanted"))
+
+    short_sets = stored(sets_of(first.where("l is null").select("node")), "short-sets")
     unsigned = F.transform("items", lambda x: F.expr("1L << 63").bitwiseXOR(x))
     listed = short_sets.select(
         "node", F.size("items").alias("n"), F.posexplode(F.array_sort(unsigned)).alias("rank", "flipped")
     ).select("node", "n", "rank", F.col("flipped").bitwiseXOR(F.expr("1L << 63")).alias("token"))
     again = _choose("whole", percent, most_shared, crowd)
     second = stored(
-        listed.join(counts, "token", "left")
+        listed.join(small(counts, _FEW_TOKENS), "token", "left")
         .withColumn("df", F.coalesce("df", F.lit(1).cast("long")))
         .groupBy("node", "n")
         .agg(F.collect_list(F.struct("rank", "token", "df")).alias("shared"))
@@ -227,20 +247,18 @@ def jaccard_groups(
     prefix = first.where("l is not null").union(second)
     members = prefix.select("node", "n", F.col("l").alias("need"), F.explode("tokens").alias("key"))
     # What only the second look found may stand, counted once, among the others' first shingles.
-    added = second.select(F.explode("tokens").alias("token")).distinct().join(counts, "token", "left_anti")
+    seconds = second.select(F.explode("tokens").alias("token")).distinct()
+    added = stored(seconds.join(small(counts, _FEW_TOKENS), "token", "left_anti"), "added")
     met = (
-        rows.join(small(added), "token", "left_semi")
-        .join(second.select("node"), "node", "left_anti")
-        .join(first.select("node", "l"), "node", "left")
+        rows.join(small(added, _FEW_TOKENS), "token", "left_semi")
+        .join(small(second.select("node")), "node", "left_anti")
+        .join(small(first.select("node", "l")), "node", "left")
         .select("node", "n", F.coalesce("l", F.lit(1)).alias("need"), F.col("token").alias("key"))
     )
-    alone = members.union(met).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = stored(members.union(met).join(alone.select("key"), "key").distinct(), "members")
-
-    others = members.select("node").distinct().join(short_sets.select("node"), "node", "left_anti")
-    other_sets = whole_sets(plain, "id", "text", words, others.join(classes.drop("tokens", "n"), "node"))
-    sets = stored(short_sets.unionByName(other_sets), "sets")
-    groups = linked_groups(members.select("node", "n", "key", "need"), sets, percent)
+    members = stored(members.union(met).distinct(), "held-keys")
+    met_twice = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    members = stored(members.join(small(stored(met_twice, "keys"), _FEW_TOKENS), "key"), "members")
+    groups = linked_groups(members.select("node", "n", "key", "need"), sets_of, percent)
 
     named = classes.select("node", "digest", "doc").join(groups, "node", "left")
     linked = named.where("component is not null")

@@ -2,15 +2,17 @@
 
 `components` joins links into groups by alternating stars. `linked_groups` finds the links: nodes
 that share keys are candidates, and candidates are verified on their whole sets. In crowded keys
-one member is compared with all others first, and nodes already in one group are never compared
-again, so a group of any size costs about one comparison a member, while every pair of candidates
-in different groups is still compared. Nothing is collected; keys are joined on, so a hot key is
-split like any skewed join.
+the most central member is compared with all others first, and nodes already in one group are never
+compared again, so a group of any size costs about one comparison a member. Sets in a crowd that are
+too much their own to be similar to any other there, or to a given one, are not compared; every
+other pair of candidates in different groups still is. Nothing is collected; keys are joined on, so
+a hot key is split like any skewed join.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators.pinning import pin
 
-from .common import stored
+from .common import small, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -64,11 +66,17 @@ def common_items(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(found)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+#: The (node, items) of the nodes of a one-column table; items are sorted and distinct.
+Sets = Callable[[DataFrame], DataFrame]
+
+
+def verified(pairs: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    `sets` has (node, items), items sorted and distinct.
+    Only the sets of nodes in pairs are made, once, and moved to their pairs.
     """
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stored(sets_of(nodes), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -78,52 +86,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_groups(
-    members: DataFrame, sets: DataFrame, percent: int, crowd: int = 32, rounds: int = 3
+    members: DataFrame, sets_of: Sets, percent: int, crowd: int = 32, rounds: int = 3
 ) -> DataFrame:
     """(node, component) of the nodes linked to another by `percent` similar sets.
 
     `members` has (node, n, key, need): a set of n items holds the key, and similar sets share at
-    least the smaller `need` of theirs. `sets` has the items of every such node.
+    least the smaller `need` of theirs.
     """
-    near = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    # Two sets share at most what either shares with anyone, and have at least that similarity.
+    most = "least(n - lone, n2 - lone2)"
+    near = F.expr(
+        f"100 * least(n, n2) >= {percent} * greatest(n, n2) and 100 * {most} >= {percent} * (n + n2 - {most})"
+    )
     links, placed = [], None
+    members = _with_lone(members, sets_of, percent, crowd)
 
     def rows() -> DataFrame:
         if placed is None:
             return members.withColumn("c", F.col("node"))
-        return members.join(placed, "node", "left").withColumn(
+        return members.join(small(placed), "node", "left").withColumn(
             "c", F.coalesce("component", "node")
         ).drop("component")
 
     for turn in range(rounds):
         now = rows()
-        hubs = (
+        # The most central member that is in no group yet: of its items the fewest are its own.
+        central = F.struct("lone", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "c")
+        alone = F.col("c") == F.col("node") if placed is not None else F.lit(True)
+        hubs = stored(
             now.groupBy("key")
             .agg(
                 F.count(F.lit(1)).alias("held"),
                 F.min("c").alias("low"),
                 F.max("c").alias("high"),
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "c")).alias("hub"),
+                F.min(F.when(alone, central)).alias("hub"),
             )
-            .where(f"held >= {crowd} and low <> high")
-            .select("key", F.col("hub.node").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.c").alias("c2"))
-        )
-        pairs = stored(
-            now.join(hubs, "key").where("c <> c2").where(near).select(F.col("node").alias("a"), "b").distinct(),
-            "hub-pairs",
+            .where(f"held >= {crowd} and low <> high and hub is not null")
+            .select(
+                "key",
+                F.col("hub.node").alias("b"),
+                F.col("hub.n").alias("n2"),
+                F.col("hub.c").alias("c2"),
+                F.col("hub.lone").alias("lone2"),
+            ),
+            "hubs",
         )
+        met = now.join(small(hubs), "key").where("c <> c2").where(near)
+        pairs = stored(met.select(F.col("node").alias("a"), "b").distinct(), "hub-pairs")
         if pairs.isEmpty():
             break
-        links.append(pin(verified(pairs, sets, percent)))
+        links.append(pin(verified(pairs, sets_of, percent)))
         placed = pin(components(_all(links)))
 
     now = rows()
-    crossed = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    crossed = stored(
+        now.groupBy("key")
+        .agg(F.min("c").alias("low"), F.max("c").alias("high"))
+        .where("low <> high")
+        .select("key"),
+        "crossed",
+    )
     # Sizes of similar sets differ by less than one band, so a row meets its own and the next.
     width = math.log(100 / percent) * (1 + 1e-6)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-    now = now.join(crossed.select("key"), "key").withColumn("band", band)
-    left = now.select("key", "band", F.col("node").alias("a"), "n", "c", "need")
+    now = now.join(small(crossed), "key").withColumn("band", band)
+    left = now.select("key", "band", F.col("node").alias("a"), "n", "c", "need", "lone")
     right = now.select(
         "key",
         F.explode(F.array("band", F.col("band") + 1)).alias("band"),
@@ -131,6 +158,7 @@ def linked_groups(
         F.col("n").alias("n2"),
         F.col("c").alias("c2"),
         F.col("need").alias("need2"),
+        F.col("lone").alias("lone2"),
     )
     pairs = (
         left.join(right, ["key", "band"])
@@ -141,10 +169,31 @@ def linked_groups(
         .where("shared >= least")
         .select("a", "b")
     )
-    links.append(pin(verified(stored(pairs, "pairs"), sets, percent)))
+    links.append(pin(verified(stored(pairs, "pairs"), sets_of, percent)))
     return pin(components(_all(links)))
 
 
+def _with_lone(members: DataFrame, sets_of: Sets, percent: int, crowd: int) -> DataFrame:
+    """Add `lone` to the rows of crowded keys: how many items of the set no other set in any
+    crowded key has (0 elsewhere). Rows of sets with so many that none of those can be similar go.
+    """
+    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(f"held >= {crowd}")
+    crowded = stored(crowded.select("key"), "crowded")
+    if crowded.isEmpty():
+        return members.withColumn("lone", F.lit(0))
+    crowded = small(crowded)
+    inside = stored(members.join(crowded, "key"), "crowd")
+    sets = sets_of(stored(inside.select("node").distinct(), "crowd-nodes"))
+    items = sets.select("node", F.explode("items").alias("item"))
+    single = items.groupBy("item").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    lone = stored(single.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("lone")), "lone")
+    counted = inside.join(small(lone), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    kept = counted.where(f"100 * (n - lone) >= {percent} * n")
+    rest = members.join(crowded, "key", "left_anti").withColumn("lone", F.lit(0))
+    columns = ["node", "n", "key", "need", "lone"]
+    return stored(rest.select(*columns).union(kept.select(*columns)), "members")
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     found = parts[0]
     for part in parts[1:]:

@@ -234,20 +234,20 @@ def contained_items() -> str:
 
 
 def repeated_paragraphs() -> str:
-    """Paragraphs are numbered in the order of id and place, so the smallest number names a class."""
+    """Units are numbered in the order of id and place, so the smallest number names a class."""
     return f"""
         WITH RECURSIVE lines AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph
+                   generate_subscripts(string_split(text, chr(10)), 1) AS number
             FROM documents),
         placed AS (
-            SELECT doc_id, paragraph, line,
-                   sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY paragraph) - length(line) - 1 AS start,
-                   {words(plain_lower("line"))} AS words
-            FROM lines),
+            SELECT *, coalesce(sum(len(words)) OVER (PARTITION BY doc_id ORDER BY number
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM (SELECT doc_id, number, {words(plain_lower("line"))} AS words FROM lines)),
         paragraphs AS (
-            SELECT row_number() OVER (ORDER BY doc_id, paragraph) AS node, * FROM placed
-            WHERE len(words) >= {MIN_PARAGRAPH}),
+            SELECT row_number() OVER (ORDER BY doc_id, start) AS node, doc_id, words, start AS first,
+                   start + len(words) AS last
+            FROM placed WHERE len(words) >= {MIN_PARAGRAPH}),
         sets AS (SELECT DISTINCT node, shingle FROM ({shingles("paragraphs", "node", 5)})),
         sizes AS (SELECT node, count(*) AS n FROM sets GROUP BY node),
         links AS (
@@ -256,12 +256,46 @@ def repeated_paragraphs() -> str:
             JOIN sizes s ON s.node = a JOIN sizes t ON t.node = b
             WHERE 100 * i >= 80 * (s.n + t.n - i)),
         {components("sizes", "links")},
-        repeated AS (SELECT component FROM grouped GROUP BY component HAVING count(*) > 1)
-        SELECT p.doc_id, CAST(p.paragraph AS INTEGER) AS paragraph, CAST(p.start AS BIGINT) AS start,
-               CAST(p.start + length(p.line) AS BIGINT) AS "end", h.doc_id AS class_doc,
-               CAST(h.paragraph AS INTEGER) AS class_paragraph, p.node <> h.node AS removed
-        FROM grouped JOIN repeated USING (component)
-        JOIN paragraphs p ON p.node = grouped.node JOIN paragraphs h ON h.node = component"""
+        repeated AS (SELECT component FROM grouped GROUP BY component HAVING count(*) > 1),
+        all_words AS (
+            SELECT doc_id, list_reduce(list(words ORDER BY number), lambda x, y: x || y) AS words
+            FROM placed GROUP BY doc_id),
+        ends AS (
+            SELECT doc_id, start + len(words) AS stop FROM placed WHERE len(words) > 0
+            UNION
+            SELECT doc_id, place + 1 FROM (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place
+                                           FROM all_words)
+            WHERE regexp_matches(word, '[.!?]$')),
+        starts AS (SELECT doc_id, stop AS first FROM ends UNION SELECT doc_id, 0 FROM documents),
+        runs AS (
+            SELECT s.doc_id, s.first, min(e.stop) AS last
+            FROM starts s JOIN ends e ON s.doc_id = e.doc_id AND e.stop >= s.first + {MIN_PARAGRAPH}
+            GROUP BY s.doc_id, s.first),
+        spelt AS (
+            SELECT r.*, md5(array_to_string(list_slice(words, r.first + 1, r.last), ' ')) AS spelling
+            FROM runs r JOIN all_words USING (doc_id)),
+        run_heads AS (
+            SELECT spelling, min(struct_pack(doc := doc_id, first := first)) AS head
+            FROM spelt GROUP BY spelling HAVING count(*) > 1),
+        found AS (
+            SELECT p.doc_id, p.first, p.last, h.doc_id AS class_doc, h.first AS class_word
+            FROM grouped JOIN repeated USING (component)
+            JOIN paragraphs p ON p.node = grouped.node JOIN paragraphs h ON h.node = component
+            UNION ALL
+            SELECT doc_id, first, last, head.doc, head.first FROM spelt JOIN run_heads USING (spelling)),
+        marked AS (SELECT *, NOT (doc_id = class_doc AND first = class_word) AS removed FROM found),
+        opened AS (
+            SELECT *, CASE WHEN first < max(last) OVER (PARTITION BY doc_id, removed ORDER BY first, last
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+            FROM marked),
+        numbered AS (
+            SELECT *, sum(new) OVER (PARTITION BY doc_id, removed ORDER BY first, last
+                                     ROWS UNBOUNDED PRECEDING) AS stretch
+            FROM opened)
+        SELECT doc_id, CAST(min(first) AS INTEGER) AS first_word, CAST(max(last) AS INTEGER) AS last_word,
+               min(struct_pack(doc := class_doc, word := class_word)).doc AS class_doc,
+               CAST(min(struct_pack(doc := class_doc, word := class_word)).word AS INTEGER) AS class_word, removed
+        FROM numbered GROUP BY doc_id, removed, stretch"""
 
 
 ORACLE = {

@@ -6,97 +6,183 @@ of five words in bands of `rows`; paragraphs that collide in a band are joined a
 exact Jaccard similarity of their shingles. With ten bands of three, a pair at 0.8 collides with
 probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992. Of every component the first paragraph, by id and
 place, stays, and all others are removed.
+
+A passage may be a small part of the paragraphs it stands in, or run over several. So runs of whole
+sentences are units too, across lines: from the start of each sentence to the first end of one that
+makes `min_words`. They are classes by equality: hashes are counted, and where one occurs again its
+runs are cut anew and compared as words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import mix, run_hashes, small, stored
+from .common import mix, small, stored
 from .linking import linked_groups
 
-_WORDS = 1 << 19
+_WORDS = 1 << 17
+_FEW_KEYS = 2_000_000
+_BASE = 0x9E3779B97F4A7C15
+_STOPS = (b".", b"!", b"?")
+
+
+@dataclass
+class Portion:
+    """Words of some texts, one after the other, and where texts, lines and sentences end."""
+
+    first_text: int
+    words: list[bytes]
+    text_ends: list[int]
+    line_ends: list[int]
+    line_text: list[int]
+
+    def __post_init__(self):
+        self.hashes = (
+            pd.util.hash_array(np.array(self.words, dtype=object)) if self.words else np.empty(0, np.uint64)
+        )
+        self.text_starts = [0, *self.text_ends[:-1]]
+
+    def paragraphs(self, min_words: int) -> list[tuple[int, int, int]]:
+        """(text of the portion, first word, end) of the long lines."""
+        starts = [0, *self.line_ends[:-1]]
+        return [
+            (t, a, b) for t, a, b in zip(self.line_text, starts, self.line_ends) if b - a >= min_words
+        ]
 
+    def shingles(self, k: int) -> np.ndarray:
+        """The hash of the k words from every word on."""
+        rolled, n = np.zeros(len(self.words), np.uint64), len(self.words)
+        for i in range(k):
+            rolled[: max(0, n - i)] = rolled[: max(0, n - i)] * np.uint64(_BASE) + self.hashes[i:]
+        return mix(rolled)
 
-def paragraphs_of(text: str, min_words: int) -> list[tuple[int, int, int, list[bytes]]]:
-    """Number, start, end and words of every paragraph, by code points."""
-    found, start = [], 0
-    for i, line in enumerate(text.split("\n")):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= min_words:
-            found.append((i, start, start + len(line), words))
-        start += len(line) + 1
-    return found
+    def runs(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, end) of every run of whole sentences."""
+        n = len(self.words)
+        ends = np.zeros(n + 1, bool)
+        ends[1:] = np.fromiter((w.endswith(_STOPS) for w in self.words), bool, n)
+        ends[np.array(self.line_ends, np.int64)] = True
+        ends[0] = False
+        text_end = np.array(self.text_ends, np.int64)
+        at = np.flatnonzero(ends)
+        starts = np.unique(np.concatenate([at, np.array(self.text_starts, np.int64)]))
+        starts = starts[starts < n]
+        stop = np.searchsorted(at, starts + min_words)
+        text = np.searchsorted(text_end, starts, side="right")
+        inside = stop < len(at)
+        starts, stop, text = starts[inside], at[stop[inside]], text[inside]
+        own = stop <= text_end[text] if len(text) else inside[:0]
+        return text[own], starts[own], stop[own]
 
+    def run_hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """A hash of the words of every run, from running sums of words times powers."""
+        n = len(self.words)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
+        inverse = np.cumprod(
+            np.concatenate([[np.uint64(1)], np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)])
+        )
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * power[:n])])
+        length = mix((stops - starts).astype(np.uint64))
+        return mix((upto[stops] - upto[starts]) * inverse[starts] + length).view(np.int64)
 
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    def digest(self, first: int, end: int) -> bytes:
+        return hashlib.blake2b(b" ".join(self.words[first:end]), digest_size=16).digest()
 
 
-def _portions(texts: Iterator[str | None], min_words: int):
-    """Lists of (text number, paragraph) with a bounded number of words."""
-    held, words = [], 0
-    for number, text in enumerate(texts):
-        for paragraph in paragraphs_of(text or "", min_words):
-            held.append((number, paragraph))
-            words += len(paragraph[3])
-            if words >= _WORDS:
-                yield held
-                held, words = [], 0
-    if held:
-        yield held
+def portions(texts: Iterator[str | None]) -> Iterator[Portion]:
+    """Texts in portions with a bounded number of words, one text at least."""
+    number, first = 0, 0
+    words: list[bytes] = []
+    text_ends: list[int] = []
+    line_ends: list[int] = []
+    line_text: list[int] = []
+    for text in texts:
+        if text:
+            for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
+                words += line.split()
+                line_ends.append(len(words))
+                line_text.append(number - first)
+        number += 1
+        text_ends.append(len(words))
+        if len(words) >= _WORDS:
+            yield Portion(first, words, text_ends, line_ends, line_text)
+            first, words, text_ends, line_ends, line_text = number, [], [], [], []
+    if text_ends:
+        yield Portion(first, words, text_ends, line_ends, line_text)
 
 
-def band_keys(hashes: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """A key per list and band, of the smallest values under `rows` functions each."""
-    flat = np.concatenate(hashes)
-    offsets = np.cumsum([0] + [len(h) for h in hashes[:-1]])
-    keys = np.empty((len(hashes), bands), np.uint64)
+def band_keys(flat: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key per band of the shingles in every pair of bounds, from the smallest values under
+    `rows` functions each."""
+    keys = np.empty((len(bounds) // 2, bands), np.uint64)
     factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
     for band in range(bands):
-        key = np.full(len(hashes), band, np.uint64)
+        key = np.full(len(keys), band, np.uint64)
         for factor in factors[band * rows : (band + 1) * rows]:
-            key = mix(key ^ np.minimum.reduceat(flat * factor, offsets))
+            key = mix(key ^ np.minimum.reduceat(flat * factor, bounds)[::2])
         keys[:, band] = key
     return keys.view(np.int64)
 
 
-def _listed(values: list, counts: np.ndarray) -> pa.Array:
+def _listed(values: pa.Array, counts: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(counts)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def signed_paragraphs(docs: DataFrame, min_words: int, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, paragraph, start, end, n, digest, bands) of every paragraph of (id, text)."""
-    kind = "paragraph:int,start:bigint,end:bigint,n:int,digest:binary,bands:array<bigint>"
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.empty(0, np.int64), *parts])
+    return _listed(pa.array(flat, pa.int64()), np.array([len(p) for p in parts], np.int64))
+
 
-    @F.arrow_udf(f"array<struct<{kind}>>")
+def signed_units(docs: DataFrame, min_words: int, k: int, bands: int, rows: int) -> DataFrame:
+    """(id, paragraphs, runs) of (id, text): the paragraphs signed, and the hashes of the runs."""
+    kind = "first:int,last:int,n:int,digest:binary,bands:array<bigint>"
+
+    @F.arrow_udf(f"struct<paragraphs:array<struct<{kind}>>,runs:array<bigint>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             counts = np.zeros(len(batch), np.int64)
-            columns: list[list] = [[] for _ in range(5)]
-            keys = [np.empty((0, bands), np.int64)]
-            for held in _portions((t.as_py() for t in batch), min_words):
-                hashes = run_hashes([p[3] for _, p in held], k)
-                keys.append(band_keys(hashes, bands, rows))
-                for (number, (i, start, end, words)), h in zip(held, hashes, strict=True):
-                    counts[number] += 1
-                    for column, value in zip(columns, (i, start, end, len(np.unique(h)), _digest(words)), strict=True):
+            run_counts = np.zeros(len(batch), np.int64)
+            columns: list[list] = [[] for _ in range(4)]
+            keys, runs = [np.empty((0, bands), np.int64)], [np.empty(0, np.int64)]
+            for part in portions(t.as_py() for t in batch):
+                held = part.paragraphs(min_words)
+                if held:
+                    flat = np.append(part.shingles(k), np.uint64(0))
+                    bounds = np.array([x for _, a, b in held for x in (a, b - k + 1)], np.int64)
+                    keys.append(band_keys(flat, bounds, bands, rows))
+                for text, a, b in held:
+                    counts[part.first_text + text] += 1
+                    start = part.text_starts[text]
+                    distinct = len(np.unique(flat[a : b - k + 1]))
+                    for column, value in zip(columns, (a - start, b - start, distinct, part.digest(a, b)), strict=True):
                         column.append(value)
+                text, starts, stops = part.runs(min_words)
+                run_counts += np.bincount(text + part.first_text, minlength=len(batch))
+                runs.append(part.run_hashes(starts, stops))
             values = np.concatenate(keys)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
             fields = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             fields.append(_listed(pa.array(values.ravel()), np.full(len(values), bands)))
-            names = ["paragraph", "start", "end", "n", "digest", "bands"]
-            yield _listed(pa.StructArray.from_arrays(fields, names), counts)
+            names = ["first", "last", "n", "digest", "bands"]
+            yield pa.StructArray.from_arrays(
+                [
+                    _listed(pa.StructArray.from_arrays(fields, names), counts),
+                    _listed(pa.array(np.concatenate(runs)), run_counts),
+                ],
+                ["paragraphs", "runs"],
+            )
 
-    return docs.select("id", F.explode(sign("text")).alias("p")).select("id", "p.*")
+    return docs.select("id", sign("text").alias("s")).select("id", "s.*")
 
 
 def paragraph_sets(docs: DataFrame, min_words: int, k: int, wanted: DataFrame) -> DataFrame:
@@ -106,14 +192,14 @@ def paragraph_sets(docs: DataFrame, min_words: int, k: int, wanted: DataFrame) -
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             counts, nodes, items = np.zeros(len(batch), np.int64), [], []
-            for held in _portions((t.as_py() for t in batch), min_words):
-                for (number, p), h in zip(held, run_hashes([p[3] for _, p in held], k), strict=True):
-                    counts[number] += 1
-                    nodes.append(_digest(p[3]))
-                    items.append(np.unique(h.view(np.int64)))
-            flat = np.concatenate([np.empty(0, np.int64), *items])
-            lists = _listed(pa.array(flat), np.array([len(x) for x in items], np.int64))
-            yield _listed(pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), lists], ["node", "items"]), counts)
+            for part in portions(t.as_py() for t in batch):
+                flat = part.shingles(k)
+                for text, a, b in part.paragraphs(min_words):
+                    counts[part.first_text + text] += 1
+                    nodes.append(part.digest(a, b))
+                    items.append(np.unique(flat[a : b - k + 1].view(np.int64)))
+            fields = [pa.array(nodes, pa.binary()), _lists(items)]
+            yield _listed(pa.StructArray.from_arrays(fields, ["node", "items"]), counts)
 
     ids = small(wanted.select("doc").distinct())
     rows = docs.join(ids, F.col("id").eqNullSafe(F.col("doc")), "left_semi")
@@ -121,6 +207,43 @@ def paragraph_sets(docs: DataFrame, min_words: int, k: int, wanted: DataFrame) -
     return found.join(wanted.select("node"), "node").groupBy("node").agg(F.first("items").alias("items"))
 
 
+def repeated_runs(docs: DataFrame, signed: DataFrame, min_words: int) -> DataFrame:
+    """(id, first, last, head) of the runs of sentences that occur more than once."""
+
+    @F.arrow_udf("array<struct<first:int,last:int,hash:bigint,digest:binary>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            counts = np.zeros(len(batch), np.int64)
+            fields: list[list[pa.Array]] = [[] for _ in range(4)]
+            for part in portions(t.as_py() for t in batch):
+                text, starts, stops = part.runs(min_words)
+                counts += np.bincount(text + part.first_text, minlength=len(batch))
+                begin = np.array(part.text_starts, np.int64)[text]
+                digests = [part.digest(a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                own = (starts - begin, stops - begin, part.run_hashes(starts, stops), digests)
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                for field, values, t in zip(fields, own, kinds, strict=True):
+                    field.append(pa.array(values, t))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            joined = [pa.concat_arrays([pa.array([], t), *f]) for f, t in zip(fields, kinds, strict=True)]
+            yield _listed(pa.StructArray.from_arrays(joined, ["first", "last", "hash", "digest"]), counts)
+
+    hashes = signed.select("id", F.explode("runs").alias("hash"))
+    again = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
+    again = small(stored(again, "run-hashes"), _FEW_KEYS)
+    ids = small(stored(hashes.join(again, "hash", "left_semi").select(F.col("id").alias("doc")).distinct(), "run-docs"))
+    rows = docs.join(ids, F.col("id").eqNullSafe(F.col("doc")), "left_semi")
+    cuts = rows.select("id", F.explode(cut("text")).alias("c")).select("id", "c.*")
+    cuts = stored(cuts.join(again, "hash", "left_semi").drop("hash"), "runs")
+    heads = (
+        cuts.groupBy("digest")
+        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "first")).alias("head"))
+        .where("k > 1")
+        .select("digest", "head")
+    )
+    return cuts.join(heads, "digest").select("id", "first", "last", "head")
+
+
 def repeated_paragraphs(
     docs: DataFrame,
     min_words: int = 20,
@@ -131,20 +254,23 @@ def repeated_paragraphs(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """(doc_id, paragraph, start, end, class_doc, class_paragraph, removed) of repeated paragraphs.
+    """(doc_id, first_word, last_word, class_doc, class_word, removed) of repeated passages.
 
-    A row for every paragraph (line number, span in code points) that another one in the table
-    equals or is `percent` similar to, directly or by way of others. The class is named by its
-    first paragraph by id and place, the one that is not removed; rows that repeat its id and place
-    stay with it. Null and empty texts have no paragraphs; null ids come first. Other columns are
-    left out, so none can clash.
+    Every paragraph that another one in the table equals or is `percent` similar to, directly or by
+    way of others, and every run of sentences that occurs again, as stretches of words of its
+    document (from 0, the last one excluded); those that overlap are one stretch. Each class keeps
+    its first unit by id and place and names it; the others are removed. A stretch of several
+    classes names the first of them. Null and empty texts have no units; null ids come first.
+    Rows that share an id are taken as one document, each equal unit once. Other columns are left
+    out, so none can clash.
     """
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    signed = stored(signed_paragraphs(plain, min_words, k, bands, rows), "paragraphs")
+    signed = stored(signed_units(plain, min_words, k, bands, rows), "units")
+    units = signed.select("id", F.explode("paragraphs").alias("p")).select("id", "p.*")
     classes = stored(
-        signed.groupBy(F.col("digest").alias("node")).agg(
+        units.groupBy(F.col("digest").alias("node")).agg(
             F.count(F.lit(1)).alias("copies"),
-            F.min(F.struct("id", "paragraph")).alias("first"),
+            F.min(F.struct("id", "first")).alias("head"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
         ),
@@ -153,30 +279,45 @@ def repeated_paragraphs(
     keyed = classes.select("node", "n", F.explode("bands").alias("key"))
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     members = stored(
-        keyed.join(met, "key").select("node", "n", "key", F.lit(1).alias("need")).distinct(), "bands"
+        keyed.join(small(stored(met, "keys"), _FEW_KEYS), "key").select("node", "n", "key", F.lit(1).alias("need")),
+        "bands",
     )
-    wanted = members.select("node").distinct().join(classes, "node").select("node", F.col("first.id").alias("doc"))
-    sets = stored(paragraph_sets(plain, min_words, k, stored(wanted, "wanted")), "paragraph-sets")
-    groups = linked_groups(members, sets, percent)
 
-    placed = classes.select("node", "copies", "first").join(groups, "node", "left")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.select("node", F.col("head.id").alias("doc")).join(small(nodes), "node", "left_semi")
+        return paragraph_sets(plain, min_words, k, stored(wanted, "wanted"))
+
+    groups = linked_groups(members, sets_of, percent)
+    placed = classes.select("node", "copies", "head").join(groups, "node", "left")
     linked = placed.where("component is not null")
-    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    heads = linked.groupBy("component").agg(F.min("head").alias("least"))
     of_class = (
         linked.join(heads, "component")
-        .select("node", "head")
-        .union(placed.where("component is null and copies > 1").select("node", "first"))
+        .select("node", F.col("least").alias("head"))
+        .union(placed.where("component is null and copies > 1").select("node", "head"))
     )
-    return (
-        signed.select("id", "paragraph", "start", "end", F.col("digest").alias("node"))
-        .join(stored(of_class, "heads"), "node")
-        .select(
-            F.col("id").alias(doc_id),
-            "paragraph",
-            "start",
-            "end",
-            F.col("head.id").alias("class_doc"),
-            F.col("head.paragraph").alias("class_paragraph"),
-            (~F.struct("id", "paragraph").eqNullSafe(F.col("head"))).alias("removed"),
-        )
+    paragraphs = units.select("id", "first", "last", F.col("digest").alias("node")).join(
+        small(stored(of_class, "heads"), _FEW_KEYS // 4), "node"
+    )
+    found = paragraphs.select("id", "first", "last", "head").union(repeated_runs(plain, signed, min_words))
+    return _stretches(found).select(
+        F.col("id").alias(doc_id),
+        F.col("first").alias("first_word"),
+        F.col("last").alias("last_word"),
+        F.col("head.id").alias("class_doc"),
+        F.col("head.first").alias("class_word"),
+        "removed",
+    )
+
+
+def _stretches(found: DataFrame) -> DataFrame:
+    """Overlapping units of a document as one, those removed apart from those kept."""
+    own = ~F.struct("id", "first").eqNullSafe(F.col("head"))
+    marked = found.withColumn("removed", own)
+    along = Window.partitionBy("id", "removed").orderBy("first", "last")
+    before = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = marked.withColumn("new", F.when(F.col("first") < before, 0).otherwise(1))
+    numbered = opened.withColumn("stretch", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("id", "removed", "stretch").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("head").alias("head")
     )

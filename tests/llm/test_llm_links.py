@@ -109,30 +109,67 @@ def test_components_of_a_path_and_a_star(spark):
 # Paragraphs
 
 
-def test_paragraphs_equal_brute_force(spark):
+def stretches_by_hand(rows, least=20):
+    """Units by lines and by sentences, their classes, and the stretches they cover."""
+    lines, runs = {}, defaultdict(list)
+    for i, text in rows:
+        words, ends = [], set()
+        for line in (text or "").lower().split("\n"):
+            if len(line.split()) >= least:
+                lines[i, len(words)] = (len(words) + len(line.split()), shingles(line, 5), line.split())
+            words += line.split()
+            ends.add(len(words))
+        ends |= {j + 1 for j, w in enumerate(words) if w[-1] in ".!?"}
+        for start in {0} | ends:
+            stop = min((e for e in ends if e >= start + least), default=None)
+            if stop:
+                runs[tuple(words[start:stop])].append((i, start, stop))
+    linked = [
+        (a, b) for a in lines for b in lines
+        if a < b and (lines[a][2] == lines[b][2] or similar(lines[a][1], lines[b][1], 80))
+    ]
+    units = [(*p, lines[p][0], min(g)) for g in groups_of(lines, linked) if len(g) > 1 for p in g]
+    units += [(*u, min(x[:2] for x in us)) for us in runs.values() if len(us) > 1 for u in us]
+    found = set()
+    for key in {(u[0], u[1:2] + u[0:1] != u[3][::-1]) for u in units}:
+        own = sorted(u[1:] for u in units if u[0] == key[0] and ((u[0], u[1]) != u[3]) == key[1])
+        while own:
+            first, last, head = own.pop(0)
+            while own and own[0][0] < last:
+                last, head = max(last, own[0][1]), min(head, own.pop(0)[2])
+            found.add((key[0], first, last, *head, key[1]))
+    return found
+
+
+@pytest.mark.parametrize("crowd", [3, 32])
+def test_paragraphs_equal_brute_force(spark, crowd, monkeypatch):
+    monkeypatch.setattr(paragraphs, "linked_groups", lambda *a: linking.linked_groups(*a, crowd=crowd))
     rng = random.Random(8)
     lines = near_copies(9, 25, 8, 70) + ["a short line that repeats"] * 5
     rng.shuffle(lines)
+    passage = "Here it begins. " + " ".join(f"word{i}" + "." * (i % 7 == 0) for i in range(52)) + " and ends."
+    for i in (3, 11, 17):
+        words = lines[i].split()
+        lines[i] = " ".join([*words[:9], passage, *words[9:]])
     texts = ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)] + [None, "", "\n\n", lines[0] * 50]
     rows = list(enumerate(texts))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit("clash"))
     found = paragraphs.repeated_paragraphs(docs).collect()
-    held = {}
-    for i, text in rows:
-        at = 0
-        for number, line in enumerate((text or "").split("\n")):
-            if len(line.split()) >= 20:
-                held[i, number] = (at, at + len(line), shingles(line, 5), line.lower().split())
-            at += len(line) + 1
-    linked = [
-        (a, b) for a in held for b in held
-        if a < b and (held[a][3] == held[b][3] or similar(held[a][2], held[b][2], 80))
-    ]
-    expected = {(*p, *held[p][:2], *min(g), p != min(g)) for g in groups_of(held, linked) if len(g) > 1 for p in g}
-    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    assert {tuple(r) for r in found} == stretches_by_hand(rows) and len(found) == len({tuple(r) for r in found})
+    holding = {i for i, t in rows if passage in (t or "")}
+    assert len(holding) == 3 and holding <= {r["doc_id"] for r in found if r["last_word"] - r["first_word"] >= 20}
     assert paragraphs.repeated_paragraphs(docs.limit(0)).count() == 0
 
 
+def test_paragraphs_of_null_and_shared_ids(spark):
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, line), (3, line), (3, line), (4, "x"), (5, "Other words. " + line + " 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {tuple(r) for r in paragraphs.repeated_paragraphs(docs).collect()}
+    assert (None, 0, 30, None, 0, False) in found and (3, 0, 30, None, 0, True) in found
+    assert {r[0] for r in found} == {None, 3, 5}
+
+
 # Decontamination
 
 
