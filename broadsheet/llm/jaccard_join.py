@@ -169,7 +169,7 @@ def jaccard_groups(
     doc_id: str = "doc_id",
     text: str = "text",
     most_shared: int = 6,
-    crowd: int = 128,
+    crowd: int = 64,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents joined by `percent` similar shingle sets.
 
@@ -258,7 +258,8 @@ def jaccard_groups(
     members = stored(members.union(met).distinct(), "held-keys")
     met_twice = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     members = stored(members.join(small(stored(met_twice, "keys"), _FEW_TOKENS), "key"), "members")
-    groups = linked_groups(members.select("node", "n", "key", "need"), sets_of, percent)
+    # Only keys of crowded shingles are crowds, which few documents have in their prefix.
+    groups = linked_groups(members.select("node", "n", "key", "need"), sets_of, percent, crowd)
 
     named = classes.select("node", "digest", "doc").join(groups, "node", "left")
     linked = named.where("component is not null")
