@@ -11,6 +11,11 @@ A passage may be a small part of the paragraphs it stands in, or run over severa
 sentences are units too, across lines: from the start of each sentence to the first end of one that
 makes `min_words`. They are classes by equality: hashes are counted, and where one occurs again its
 runs are cut anew and compared as words.
+
+With `stretch`, every window of so many words that occurs again is a unit as well, wherever sentences
+and lines end. A window is known by the least hash among its shorter shingles, its anchor, which is
+the same wherever the window stands; an anchor that stands in one place only has no repeated window.
+The windows of the others are cut and compared, by 128 bits, so a crowd costs a row a window.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ _WORDS = 1 << 17
 _FEW_KEYS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _STOPS = (b".", b"!", b"?")
+_OTHER_KEY = "paragraph-window"
 
 
 @dataclass
@@ -58,11 +64,12 @@ class Portion:
             (t, a, b) for t, a, b in zip(self.line_text, starts, self.line_ends) if b - a >= min_words
         ]
 
-    def shingles(self, k: int) -> np.ndarray:
+    def shingles(self, k: int, hashes: np.ndarray | None = None) -> np.ndarray:
         """The hash of the k words from every word on."""
         rolled, n = np.zeros(len(self.words), np.uint64), len(self.words)
+        hashes = self.hashes if hashes is None else hashes
         for i in range(k):
-            rolled[: max(0, n - i)] = rolled[: max(0, n - i)] * np.uint64(_BASE) + self.hashes[i:]
+            rolled[: max(0, n - i)] = rolled[: max(0, n - i)] * np.uint64(_BASE) + hashes[i:]
         return mix(rolled)
 
     def runs(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,10 +101,56 @@ class Portion:
         length = mix((stops - starts).astype(np.uint64))
         return mix((upto[stops] - upto[starts]) * inverse[starts] + length).view(np.int64)
 
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the shorter shingles, whether a window lies in one text from every word on, and
+        its anchor."""
+        k = size // 2
+        hashes, n = self.shingles(k), len(self.words)
+        whole = np.zeros(n, bool)
+        for a, b in zip(self.text_starts, self.text_ends):
+            whole[a : max(a, b - size + 1)] = True
+        return hashes, whole, np.where(whole, _sliding(np.minimum, hashes, size - k + 1), np.uint64(0))
+
+    def anchors(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of every place that is the anchor of a window."""
+        hashes, whole, least = self.windows(size)
+        # A place is an anchor if its hash is the least of some window over it, so the largest of those.
+        reach = _sliding(np.maximum, least[::-1], size - size // 2 + 1)[::-1]
+        at = np.flatnonzero((reach == hashes) & (reach > 0))
+        return np.searchsorted(np.array(self.text_ends, np.int64), at, side="right"), hashes[at]
+
+    def window_runs(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, end, anchor): consecutive windows of one text that share the anchor."""
+        _, whole, least = self.windows(size)
+        text = np.searchsorted(np.array(self.text_ends, np.int64), np.arange(len(whole)), side="right")
+        starts = np.flatnonzero(whole)
+        new = np.ones(len(starts), bool)
+        new[1:] = (np.diff(starts) > 1) | (np.diff(least[starts]) != 0) | (np.diff(text[starts]) != 0)
+        first = starts[new]
+        counts = np.diff(np.append(np.flatnonzero(new), len(starts)))
+        return text[first], first, first + counts, least[first].view(np.int64)
+
+    def window_keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the window from every word on, by two independent hashes of its words."""
+        other = self.hashes
+        if self.words:
+            other = pd.util.hash_array(np.array(self.words, dtype=object), hash_key=_OTHER_KEY)
+        return self.shingles(size).view(np.int64), self.shingles(size, other).view(np.int64)
+
     def digest(self, first: int, end: int) -> bytes:
         return hashlib.blake2b(b" ".join(self.words[first:end]), digest_size=16).digest()
 
 
+def _sliding(choose: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The chosen of the `width` values from every place on, of fewer at the end."""
+    found, have = values.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        found[:-step] = choose(found[:-step], found[step:])
+        have += step
+    return found
+
+
 def portions(texts: Iterator[str | None]) -> Iterator[Portion]:
     """Texts in portions with a bounded number of words, one text at least."""
     number, first = 0, 0
@@ -143,17 +196,22 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return _listed(pa.array(flat, pa.int64()), np.array([len(p) for p in parts], np.int64))
 
 
-def signed_units(docs: DataFrame, min_words: int, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, paragraphs, runs) of (id, text): the paragraphs signed, and the hashes of the runs."""
+def signed_units(
+    docs: DataFrame, min_words: int, k: int, bands: int, rows: int, stretch: int | None = None
+) -> DataFrame:
+    """(id, paragraphs, runs, anchors) of (id, text): the paragraphs signed, the hashes of the runs,
+    and the anchors of the windows of `stretch` words."""
     kind = "first:int,last:int,n:int,digest:binary,bands:array<bigint>"
 
-    @F.arrow_udf(f"struct<paragraphs:array<struct<{kind}>>,runs:array<bigint>>")
+    @F.arrow_udf(f"struct<paragraphs:array<struct<{kind}>>,runs:array<bigint>,anchors:array<bigint>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             counts = np.zeros(len(batch), np.int64)
             run_counts = np.zeros(len(batch), np.int64)
+            anchor_counts = np.zeros(len(batch), np.int64)
             columns: list[list] = [[] for _ in range(4)]
             keys, runs = [np.empty((0, bands), np.int64)], [np.empty(0, np.int64)]
+            anchors = [np.empty(0, np.int64)]
             for part in portions(t.as_py() for t in batch):
                 held = part.paragraphs(min_words)
                 if held:
@@ -169,6 +227,10 @@ def signed_units(docs: DataFrame, min_words: int, k: int, bands: int, rows: int)
                 text, starts, stops = part.runs(min_words)
                 run_counts += np.bincount(text + part.first_text, minlength=len(batch))
                 runs.append(part.run_hashes(starts, stops))
+                if stretch:
+                    text, hashes = part.anchors(stretch)
+                    anchor_counts += np.bincount(text + part.first_text, minlength=len(batch))
+                    anchors.append(hashes.view(np.int64))
             values = np.concatenate(keys)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
             fields = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
@@ -178,8 +240,9 @@ def signed_units(docs: DataFrame, min_words: int, k: int, bands: int, rows: int)
                 [
                     _listed(pa.StructArray.from_arrays(fields, names), counts),
                     _listed(pa.array(np.concatenate(runs)), run_counts),
+                    _listed(pa.array(np.concatenate(anchors)), anchor_counts),
                 ],
-                ["paragraphs", "runs"],
+                ["paragraphs", "runs", "anchors"],
             )
 
     return docs.select("id", sign("text").alias("s")).select("id", "s.*")
@@ -244,6 +307,47 @@ def repeated_runs(docs: DataFrame, signed: DataFrame, min_words: int) -> DataFra
     return cuts.join(heads, "digest").select("id", "first", "last", "head")
 
 
+def repeated_windows(docs: DataFrame, signed: DataFrame, size: int) -> DataFrame:
+    """(id, first, last, head) of the windows of `size` words that occur more than once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(t.as_py() for t in batch.column("text")):
+                text, starts, stops, anchor = part.window_runs(size)
+                begin = np.array(part.text_starts, np.int64)[text]
+                inside = np.concatenate([np.empty(0, np.int64), *map(np.arange, starts, stops)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(pa.array(text + part.first_text)),
+                        pa.array(starts - begin, pa.int32()),
+                        pa.array(anchor),
+                        *[_listed(pa.array(key[inside]), stops - starts) for key in part.window_keys(size)],
+                    ],
+                    ["id", "first", "anchor", "x", "y"],
+                )
+
+    hashes = signed.select("id", F.explode("anchors").alias("anchor"))
+    again = hashes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    again = small(stored(again, "anchors"), _FEW_KEYS)
+    ids = hashes.join(again, "anchor", "left_semi").select(F.col("id").alias("doc")).distinct()
+    rows = docs.join(small(stored(ids, "anchor-docs")), F.col("id").eqNullSafe(F.col("doc")), "left_semi")
+    id_type = docs.schema["id"].dataType.simpleString()
+    runs = rows.select("id", "text").mapInArrow(
+        cut, f"id {id_type}, first int, anchor bigint, x array<bigint>, y array<bigint>"
+    )
+    kept = runs.join(again, "anchor", "left_semi")
+    cuts = kept.select("id", "first", F.posexplode(F.arrays_zip("x", "y")).alias("at", "key"))
+    cuts = stored(cuts.select("id", (F.col("first") + F.col("at")).alias("first"), "key.x", "key.y"), "windows")
+    heads = (
+        cuts.groupBy("x", "y")
+        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "first")).alias("head"))
+        .where("k > 1")
+        .select("x", "y", "head")
+    )
+    heads = small(stored(heads, "window-heads"), _FEW_KEYS // 4)
+    return cuts.join(heads, ["x", "y"]).select("id", "first", (F.col("first") + size).alias("last"), "head")
+
+
 def repeated_paragraphs(
     docs: DataFrame,
     min_words: int = 20,
@@ -253,19 +357,21 @@ def repeated_paragraphs(
     rows: int = 3,
     doc_id: str = "doc_id",
     text: str = "text",
+    stretch: int | None = None,
 ) -> DataFrame:
     """(doc_id, first_word, last_word, class_doc, class_word, removed) of repeated passages.
 
     Every paragraph that another one in the table equals or is `percent` similar to, directly or by
-    way of others, and every run of sentences that occurs again, as stretches of words of its
-    document (from 0, the last one excluded); those that overlap are one stretch. Each class keeps
-    its first unit by id and place and names it; the others are removed. A stretch of several
-    classes names the first of them. Null and empty texts have no units; null ids come first.
+    way of others, every run of sentences that occurs again, and with `stretch` every window of so
+    many words that does, as stretches of words of its document (from 0, the last one excluded);
+    those that overlap are one stretch. Each class keeps its first unit by id and place and names
+    it; the others are removed. A stretch of several classes names the first of them. Null and empty
+    texts have no units; null ids come first.
     Rows that share an id are taken as one document, each equal unit once. Other columns are left
     out, so none can clash.
     """
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    signed = stored(signed_units(plain, min_words, k, bands, rows), "units")
+    signed = stored(signed_units(plain, min_words, k, bands, rows, stretch), "units")
     units = signed.select("id", F.explode("paragraphs").alias("p")).select("id", "p.*")
     classes = stored(
         units.groupBy(F.col("digest").alias("node")).agg(
@@ -300,6 +406,8 @@ def repeated_paragraphs(
         small(stored(of_class, "heads"), _FEW_KEYS // 4), "node"
     )
     found = paragraphs.select("id", "first", "last", "head").union(repeated_runs(plain, signed, min_words))
+    if stretch:
+        found = found.union(repeated_windows(plain, signed, stretch))
     return _stretches(found).select(
         F.col("id").alias(doc_id),
         F.col("first").alias("first_word"),

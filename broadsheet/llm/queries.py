@@ -132,7 +132,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that repeat within or across documents, and which of them are removed."""
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"), stretch=50)
 
 
 QUERIES = {

@@ -161,6 +161,47 @@ def test_paragraphs_equal_brute_force(spark, crowd, monkeypatch):
     assert paragraphs.repeated_paragraphs(docs.limit(0)).count() == 0
 
 
+def test_repeated_windows_inside_longer_lines_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    passages = [[word() for _ in range(n)] for n in (49, 50, 51, 64, 82)]
+    texts = []
+    for i in range(40):
+        words = [word() for _ in range(rng.randint(150, 300))]
+        for passage in rng.sample(passages, rng.randint(0, 2)):
+            at = rng.randint(0, len(words))
+            words[at:at] = passage
+        words[40:40] = ["Own.", "ends", f"here{i}!"] * (i % 3)
+        texts.append(" ".join(words))
+    texts += [" ".join(passages[1]), "own " + "one two three " * 30 + "end", "same " * 120, None, ""]
+    rows = list(enumerate(texts)) + [(None, " ".join([word(), *passages[3], word()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    places = defaultdict(list)
+    for i, text in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        words = (text or "").lower().split()
+        for a in range(len(words) - 49):
+            places[tuple(words[a : a + 50])].append((i, a))
+    expected = defaultdict(set)
+    for held in places.values():
+        for i, a in held if len(held) > 1 else ():
+            expected[i, (i, a) != held[0]] |= set(range(a, a + 50))
+    found = defaultdict(set)
+    for r in paragraphs.repeated_paragraphs(docs, stretch=50).collect():
+        found[r["doc_id"], r["removed"]] |= set(range(r["first_word"], r["last_word"]))
+    assert found == expected and len({i for i, _ in expected}) > 20
+    assert not paragraphs.repeated_paragraphs(docs).count()
+
+
+def test_paragraphs_query_finds_a_passage_without_sentence_ends(spark, tmp_path):
+    rng = random.Random(13)
+    own = lambda: [f"w{rng.random()}" for _ in range(100)]
+    passage = [f"shared{i}" for i in range(51)]
+    rows = [(i, " ".join([*own(), *passage, *own()])) for i in (1, 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in queries.op10_repeated_paragraphs(spark, str(tmp_path)).collect()}
+    assert found == {(1, 100, 151, 1, 100, False), (2, 100, 151, 1, 100, True)}
+
+
 def test_paragraphs_of_null_and_shared_ids(spark):
     line = " ".join(f"w{i}" for i in range(30))
     rows = [(None, line), (3, line), (3, line), (4, "x"), (5, "Other words. " + line + " 1")]
