@@ -56,7 +56,7 @@ def run_hashes(split: list[list[bytes]], k: int) -> list[np.ndarray]:
     words = pd.util.hash_array(np.array([w for ws in split for w in ws], dtype=object))
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(words), np.uint64)
-        for i in range(k):
+        for i in range(min(k, len(words))):
             rolled[: len(words) - i] = (
                 rolled[: len(words) - i] * np.uint64(0x9E3779B97F4A7C15) + words[i:]
             )

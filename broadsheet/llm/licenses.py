@@ -9,7 +9,8 @@ least once with probability 1 - 0.81 ** bands: 0.9988 for 32. A verbatim piece h
 
 Retrieved templates are verified by exact containment: the share of their distinct shingles that
 the whole text has. A window without any shingle of any template cannot collide in any band, so
-only windows around such shingles are signed. The templates are a parameter of bounded size and
+only windows around such shingles are signed. A template of fewer words than a shingle is one
+shingle of its own length, and looked for among the text's shingles of that length. The templates are a parameter of bounded size and
 travel with the function; nothing is shuffled.
 """
 
@@ -64,6 +65,9 @@ TEMPLATES = {
     "cc-by-text": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+#: Notices shorter than a shingle of five words.
+NOTICES = {"all-rights-reserved": "All rights reserved."}
+
 
 def words_of(text: bytes) -> list[bytes]:
     """Runs of letters and digits, lower-case; marks and layout differ between copies."""
@@ -74,6 +78,7 @@ class Templates:
     """The templates' shingles, and the signatures of their pieces by size class."""
 
     def __init__(self, texts: dict[str, str], k: int, bands: int, piece: int):
+        self.k = k
         self.names = sorted(n for n, t in texts.items() if words_of(t.encode()))
         hashes = run_hashes([words_of(texts[n].encode()) for n in self.names], k)
         self.sets = [np.unique(h) for h in hashes]
@@ -104,6 +109,15 @@ class Templates:
                 found.update(owners[(signatures == own).any(axis=1)].tolist())
         return found
 
+    @classmethod
+    def by_length(cls, texts: dict[str, str], k: int, bands: int, piece: int) -> list[Templates]:
+        """The templates parted by the length of their shingles: k words, or all if there are fewer."""
+        parts: dict[int, dict[str, str]] = {}
+        for name, text in texts.items():
+            if size := min(k, len(words_of(text.encode()))):
+                parts.setdefault(size, {})[name] = text
+        return [cls(part, size, bands, piece) for size, part in sorted(parts.items())]
+
     def matches(self, hashes: np.ndarray, percent: int) -> list[tuple[str, int, int, int, int]]:
         """(name, shingles, found, first and last place) of the templates contained."""
         at = np.minimum(np.searchsorted(self.all, hashes), len(self.all) - 1)
@@ -129,10 +143,10 @@ def license_matches(
 ) -> DataFrame:
     """(doc_id, template, n_shingles, n_found, first_word, last_word), a row per template found.
 
-    A template is found in a text that has `percent` of its distinct shingles of k words (of fewer
-    words, the whole template must be the whole text); the words span the shingles found. A null or
+    A template is found in a text that has `percent` of its distinct shingles of k words (one of
+    fewer words, if the text has them all in a row); the words span the shingles found. A null or
     blank text matches nothing; repeated rows get theirs each; no template, no rows. Other columns
-    are left out, so none can clash.
+    are left out, so none can clash. Without `templates`, those of TEMPLATES are looked for.
     """
     texts = TEMPLATES if templates is None else templates
     kind = pa.struct(
@@ -144,18 +158,20 @@ def license_matches(
         "array<struct<template:string,n_shingles:bigint,n_found:bigint,first_word:bigint,last_word:bigint>>"
     )
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        held = Templates(texts, k, bands, piece)
+        held = Templates.by_length(texts, k, bands, piece)
         names = [f.name for f in kind]
         for batch in batches:
             values, found = batch.cast(pa.binary()).to_pylist(), []
             for a, b in portions(values, _PORTION):
-                for hashes in run_hashes([words_of(v or b"") for v in values[a:b]], k):
-                    found.append(
-                        [
-                            dict(zip(names, (*m[:4], m[4] + k - 1), strict=True))
-                            for m in held.matches(hashes, percent)
+                split = [words_of(v or b"") for v in values[a:b]]
+                rows: list[list[dict]] = [[] for _ in split]
+                for part in held:
+                    for row, hashes in zip(rows, run_hashes(split, part.k), strict=True):
+                        row += [
+                            dict(zip(names, (*m[:4], m[4] + part.k - 1), strict=True))
+                            for m in part.matches(hashes, percent)
                         ]
-                    )
+                found += rows
             yield pa.array(found, pa.list_(kind))
 
     scanned = docs.select(F.col(doc_id).alias("__id"), scan(F.col(text)).alias("__found"))

@@ -119,8 +119,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License templates found in every document."""
-    return licenses.license_matches(table(spark, sf_dir, "documents"))
+    """License templates and short notices found in every document."""
+    wanted = licenses.TEMPLATES | licenses.NOTICES
+    return licenses.license_matches(table(spark, sf_dir, "documents"), wanted)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,26 @@ def test_licenses_equal_brute_force(spark, sf_dir, odd):
     assert licenses.license_matches(docs, {}).count() == 0
 
 
+def test_short_notices_are_found_inside_long_texts(spark, sf_dir):
+    texts = ["word " * 50 + "\nAll rights reserved.", "all RIGHTS reserved", "all rights are reserved here " * 9, None, ""]
+    texts += ["All rights reserved. Released under the MIT License. All rights reserved.", "rights reserved", "x MIT y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = licenses.TEMPLATES | licenses.NOTICES | {"one": "MIT"}
+    found = {tuple(r) for r in licenses.license_matches(docs, wanted).collect()}
+    assert found == {
+        (0, "all-rights-reserved", 1, 1, 50, 52),
+        (1, "all-rights-reserved", 1, 1, 0, 2),
+        (5, "all-rights-reserved", 1, 1, 0, 10),
+        (5, "mit-notice", 1, 1, 3, 7),
+        (5, "one", 1, 1, 6, 6),
+        (7, "one", 1, 1, 1, 1),
+    }
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = {r["doc_id"] for r in queries.op8_licenses(spark, sf_dir).collect() if r["template"] == "all-rights-reserved"}
+    noticed = {r["doc_id"] for r in docs.collect() if "all rights reserved" in " ".join(re.findall("[a-z0-9]+", (r["text"] or "").lower()))}
+    assert told == noticed and told
+
+
 # Language
 
 
