@@ -6,7 +6,7 @@ knows will do. Every record is one gzip member; as a member of less than 16 MiB
 run of members. A longer record gets an empty member behind it, which ends in a zero byte too.
 
 Reading is splittable: a task gets a byte range, scans it for the gzip magic, and takes a place for
-a record if a WARC header decodes from it and the member ends with a right checksum, followed by
+a record if it decodes to a WARC header and the member ends with a right checksum, followed by
 another member or the end of the file. A task owns the records that start inside its range and
 reads past its end to finish the last. Memory is bounded by the range's read-ahead and one batch of
 records, or the longest record.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
 _BATCH = 8 << 20
-_HEADER_MOST = 1 << 16
 _STORED = 1 << 16
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -146,7 +145,8 @@ class _Source:
 def _unpacked(source: _Source, at: int) -> tuple[bytes, int] | None:
     """The record in the member at `at` and where the member ends; None if it is not one.
 
-    The header is decoded first, so a false magic costs one read. Empty data is an empty member.
+    The first bytes are judged first, so a false magic costs one read. The header may be of any length:
+    a url is. Empty data is an empty member.
     """
     unpacker, data, place, checked = zlib.decompressobj(31), bytearray(), at, False
     while not unpacker.eof:
@@ -162,8 +162,6 @@ def _unpacked(source: _Source, at: int) -> tuple[bytes, int] | None:
             if data and not data.startswith(b"WARC/"):
                 return None
             checked = True
-        if len(data) > _HEADER_MOST and data.find(b"\r\n\r\n", 0, _HEADER_MOST) < 0:
-            return None
     return bytes(data), place - len(unpacker.unused_data)
 
 

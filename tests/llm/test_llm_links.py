@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -346,6 +347,19 @@ def test_archive_round_trip(spark, range_bytes):
     assert found == expected
 
 
+def test_archive_keeps_pages_with_very_long_urls(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=70_000))
+    urls = ["u", "data:text/plain," + long, "https://example.org/?q=" + "".join(rng.choices("äöüß日本語", k=12_000)), long * 20, "v"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls * 3)], "page_id long, url string, html string")
+    path = scratch_dir(spark, "warc-urls")
+    archive.write_archive(pages.coalesce(1), path)
+    for range_bytes in (1000, 1 << 20):
+        read = archive.read_archive(spark, path, range_bytes).select("record_id", "target_uri", "payload").collect()
+        found = Counter((r["record_id"], unquote(r["target_uri"]), bytes(r["payload"])) for r in read)
+        assert found == Counter((f"urn:page:{i}", u, f"<p>{i}</p>".encode()) for i, u in enumerate(urls * 3))
+
+
 def test_archive_is_a_run_of_gzip_members(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "u", "b")], "page_id long, url string, html string")
     path = scratch_dir(spark, "warc-gzip")
