@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,14 +78,25 @@ def run_hashes(split: list[list[bytes]], k: int) -> list[np.ndarray]:
     return found
 
 
-def portions(texts: list[bytes | None], most_bytes: int):
-    """(first, end) of runs of texts with about `most_bytes` together, one text at least."""
+def bounds(sizes: list[int], most: int):
+    """(first, end) of runs of items whose sizes add up to about `most`, one item at least."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text or b"")
-        if held and held + size > most_bytes:
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
             yield start, i
             start, held = i, 0
         held += size
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def portions(texts: list[bytes | None], most_bytes: int):
+    """(first, end) of runs of texts with about `most_bytes` together, one text at least."""
+    return bounds([len(text or b"") for text in texts], most_bytes)
+
+
+def text_portions(texts: pa.Array, most_bytes: int):
+    """(first, texts as bytes) of runs of an Arrow array of strings; only one run is unpacked at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for start, end in bounds(sizes, most_bytes):
+        yield start, texts[start:end].cast(pa.binary()).to_pylist()

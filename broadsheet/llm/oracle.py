@@ -298,6 +298,124 @@ def repeated_paragraphs() -> str:
         FROM numbered GROUP BY doc_id, removed, stretch"""
 
 
+def fill_in_middle() -> str:
+    digits = ", ".join(
+        f"CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}"
+        for i in range(4)
+    )
+    blanks, word = BLANK + "*", r"[^\x20\x09-\x0D]+"
+    return f"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   {words("coalesce(text, '')", f"{blanks}{word}|{BLANK}+")} AS units, {digits}
+            FROM documents),
+        drawn AS (
+            SELECT *, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low,
+                   greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high,
+                   CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain'
+                        WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM texts),
+        cut AS (
+            SELECT *, array_to_string(list_slice(units, 1, low), '') AS prefix,
+                   array_to_string(list_slice(units, low + 1, high), '') AS middle,
+                   array_to_string(list_slice(units, high + 1, len(units)), '') AS suffix
+            FROM drawn)
+        SELECT doc_id, len(units) AS n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                                WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM cut"""
+
+
+def mixed_sources() -> str:
+    """A source is stopped if, filled up to where it is full, all together hold less than there is."""
+    return f"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, source, len({words("coalesce(text, '')")}) AS size,
+                   CAST('0x' || substr(md5(concat_ws('|', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''),
+                                                     md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h
+            FROM documents),
+        held AS (
+            SELECT source, CAST(sum(size) AS HUGEINT) AS source_size,
+                   CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS HUGEINT) AS weight,
+                   row_number() OVER (ORDER BY source NULLS LAST) AS number
+            FROM texts GROUP BY source),
+        everything AS (SELECT sum(source_size)::HUGEINT AS total FROM held),
+        stopped AS (
+            SELECT s.number, sum(least(3 * t.source_size * s.weight, 3 * s.source_size * t.weight))
+                               < any_value(total) * any_value(s.weight) AS capped
+            FROM held s CROSS JOIN held t CROSS JOIN everything GROUP BY s.number),
+        level AS (
+            SELECT any_value(total) AS total,
+                   any_value(total) - coalesce(sum(3 * source_size) FILTER (capped), 0)::HUGEINT AS over,
+                   greatest(coalesce(sum(weight) FILTER (NOT capped), 1), 1)::HUGEINT AS under
+            FROM held JOIN stopped USING (number) CROSS JOIN everything),
+        counted AS (SELECT *, (1::HUGEINT << greatest(1, CAST(ceil(log2(greatest(total, 1) / 64)) AS INTEGER))) AS n
+                    FROM level),
+        targets AS (
+            SELECT *, CASE WHEN capped THEN 3 * source_size * under ELSE weight * over END AS units,
+                   CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE)
+                        ELSE CAST(weight * over AS DOUBLE) / CAST(under AS DOUBLE) END AS target
+            FROM held JOIN stopped USING (number) CROSS JOIN counted),
+        summed AS (SELECT *, sum(units) OVER (ORDER BY number) AS upto FROM targets),
+        slotted AS (
+            SELECT *, (2 * upto::HUGEINT * n + total * under) // greatest(1, 2 * total * under)
+                      - (2 * (upto - units)::HUGEINT * n + total * under) // greatest(1, 2 * total * under) AS slots
+            FROM summed),
+        placed AS (
+            SELECT doc_id, size, source_size, target, slots * total // n AS filled,
+                   sum(size) OVER (PARTITION BY number ORDER BY h, r) AS upto
+            FROM texts JOIN slotted ON texts.source IS NOT DISTINCT FROM slotted.source)
+        SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+               CAST(list_sum(list_transform([0, 1, 2], lambda p: greatest(0,
+                   least(upto + p * source_size, filled) - least(upto - size + p * source_size, filled)))) AS BIGINT) AS taken
+        FROM placed"""
+
+
+def source_divergence() -> str:
+    lowered = plain_lower("coalesce(text, '')")
+    return f"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   {words(lowered, "[^\x00-\x40\x5B-\x60\x7B-\x7F]+")} AS terms
+            FROM documents),
+        spelt AS (SELECT r, lang, source, unnest(terms) AS term FROM texts),
+        kept AS (
+            SELECT lang, term, count(*) AS c FROM spelt GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        counts AS (
+            SELECT lang, source, term, count(*) AS c FROM spelt JOIN kept USING (lang, term) GROUP BY ALL),
+        langs AS (
+            SELECT lang, coalesce(any_value(v), 0) AS v, coalesce(any_value(n), 0) AS n
+            FROM texts LEFT JOIN (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang) USING (lang)
+            GROUP BY lang),
+        sources AS (
+            SELECT t.lang, t.source, coalesce(sum(c), 0) AS n
+            FROM (SELECT DISTINCT lang, source FROM texts) t LEFT JOIN counts USING (lang, source)
+            GROUP BY t.lang, t.source),
+        shares AS (
+            SELECT s.lang, s.source, kept.term, coalesce(counts.c, 0) AS c,
+                   1 + 1000000000::HUGEINT * (coalesce(counts.c, 0) + 1) // (s.n + v)::HUGEINT AS p,
+                   1 + 1000000000::HUGEINT * (kept.c + 1) // (langs.n + v)::HUGEINT AS q
+            FROM sources s JOIN langs USING (lang) JOIN kept USING (lang)
+            LEFT JOIN counts ON counts.lang = s.lang AND counts.source = s.source AND counts.term = kept.term),
+        pairs AS (
+            SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+            FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+            GROUP BY ALL),
+        found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM found QUALIFY part = 'pair' OR rank <= 200"""
+
+
 ORACLE = {
     "op1_quality_rules": quality_rules(),
     "op3_warc": warc(),
@@ -307,4 +425,7 @@ ORACLE = {
     "op8_licenses": license_matches(),
     "op9_decontamination": contained_items(),
     "op10_repeated_paragraphs": repeated_paragraphs(),
+    "op11_fill_in_middle": fill_in_middle(),
+    "op12_mixed_sources": mixed_sources(),
+    "op13_source_divergence": source_divergence(),
 }

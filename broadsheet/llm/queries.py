@@ -1,16 +1,20 @@
-"""The ten registered queries: each applies its operator to the whole of its table."""
+"""The registered queries: each applies its operator to the whole of its table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import (
     archive,
     decontaminate,
+    divergence,
     jaccard_join,
     language,
     licenses,
+    middle,
+    mixing,
     paragraphs,
     pieces,
     repetition,
@@ -136,6 +140,51 @@ def op10_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"), stretch=50)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved last, or as it is, and the text made of that again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = middle.filled_in_middle(docs, spm_percent=80)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mixture of all sources takes."""
+    mix = mixing.mixture(table(spark, sf_dir, "documents"))
+    taken = mix.pieces.groupBy("row").agg(F.sum("n_tokens").alias("taken"))
+    sources = mix.sources.select("source_number", "source_size", "target")
+    return (
+        mix.rows.join(sources, "source_number")
+        .join(taken, "row", "left")
+        .select(
+            F.col("id").alias("doc_id"),
+            "size",
+            "source_size",
+            "target",
+            F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        )
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's divergence from each other one of its language, and its 200 foremost terms."""
+    found = divergence.audit(table(spark, sf_dir, "documents"))
+    place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    pairs = found.pairs.withColumnRenamed("other", "item").withColumn("rank", place)
+    terms = found.terms.withColumnRenamed("term", "item").withColumn("rank", place).where("rank <= 200")
+    columns = ["item", "value", "rank"]
+    return pairs.select("lang", "source", F.lit("pair").alias("part"), *columns).union(
+        terms.select("lang", "source", F.lit("term").alias("part"), *columns)
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -149,5 +198,8 @@ QUERIES = {
         op8_licenses,
         op9_decontamination,
         op10_repeated_paragraphs,
+        op11_fill_in_middle,
+        op12_mixed_sources,
+        op13_source_divergence,
     )
 }
