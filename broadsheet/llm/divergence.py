@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import small, stored
 
 _SCALE = 1_000_000_000
 _HELD = 200_000
@@ -140,19 +140,20 @@ def _cell(group_block: int):
 def divergences(groups: DataFrame, sizes: DataFrame, shares: DataFrame, group_block: int) -> DataFrame:
     """(lang, a, b, value): the divergence of every source from every other of its language.
 
-    `groups` has (lang, number, base): numbers from 0, the share of an absent term. `sizes` has
-    (lang, term_at, terms): every block of terms. `shares` has (lang, number, term_at, term_id, p).
+    `groups` has (lang, number, group_blocks, base): numbers from 0, how many blocks of sources the
+    language has, the share of an absent term. `sizes` has (lang, term_at, terms): every block of
+    terms. `shares` has (lang, number, group_blocks, term_at, term_id, p).
     """
     # A slice tells its sources and how many terms there are, and the shares of those it has.
-    headers = groups.join(sizes, "lang").select(
-        "lang", "number", "term_at", F.lit(-1).cast("long").alias("term_id"), F.col("base").alias("p"), "terms"
+    columns = ["lang", "number", "group_blocks", "term_at", "term_id", "p", "terms"]
+    headers = sizes.join(small(groups), "lang").withColumns(
+        {"term_id": F.lit(-1).cast("long"), "p": F.col("base")}
     )
-    entries = shares.select("lang", "number", "term_at", "term_id", "p", F.lit(0).cast("long").alias("terms"))
-    blocks = groups.groupBy("lang").agg((F.floor(F.max("number") / group_block) + 1).alias("group_blocks"))
+    entries = shares.withColumn("terms", F.lit(0).cast("long"))
     own = F.floor(F.col("number") / group_block)
     cells = (
-        headers.union(entries)
-        .join(blocks, "lang")
+        headers.select(*columns)
+        .union(entries.select(*columns))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("group_blocks") - 1)))
         .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
@@ -192,18 +193,21 @@ def audit(
         "kept-terms",
     )
     of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
+    of_lang = stored(of_lang, "languages")
     held = stored(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "term_id", "n", "lang_n"), "kept-counts")
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     everyone = plain.select("lang", "source").distinct()
-    numbers = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    of = Window.partitionBy("lang")
+    numbers = F.row_number().over(of.orderBy("source")) - 1
     groups = everyone.join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left")
-    groups = groups.na.fill(0, ["total", "kept", "lang_total"]).withColumn("number", numbers.cast("long"))
+    groups = groups.na.fill(0, ["total", "kept", "lang_total"]).withColumns(
+        {"number": numbers.cast("long"), "group_blocks": F.ceil(F.count(F.lit(1)).over(of) / group_block)}
+    )
     # Without kept terms there is no share to speak of.
     none = F.when(F.col("kept") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))).otherwise(1)
     groups = stored(groups.withColumn("base", none.cast("long")), "groups")
 
-    shares = held.join(groups.select("lang", "source", "number", "total", "kept", "lang_total"), ["lang", "source"])
-    shares = shares.withColumns(
+    shares = held.join(small(groups.drop("base")), ["lang", "source"]).withColumns(
         {
             "p": share(F.col("n"), F.col("total"), F.col("kept")),
             "q": share(F.col("lang_n"), F.col("lang_total"), F.col("kept")),
@@ -211,14 +215,16 @@ def audit(
     )
     terms = shares.where("p > q").select("lang", "source", "term", "p", "q", excess(F.col("p"), F.col("q")).alias("value"))
 
-    block = F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / term_block))
-    sizes = kept.join(of_lang, "lang").groupBy("lang", block.alias("term_at")).agg(F.count(F.lit(1)).alias("terms"))
-    every = groups.groupBy("lang").agg(F.max("kept").alias("kept"))
-    last = F.greatest(F.lit(1), F.ceil(F.col("kept") / term_block)) - 1
-    every = every.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("term_at"))
-    sizes = every.join(sizes, ["lang", "term_at"], "left").na.fill(0, ["terms"])
-    sparse = shares.select("lang", "number", block.alias("term_at"), "term_id", "p")
-    found = divergences(groups.select("lang", "number", "base"), sizes, sparse, group_block)
+    blocks = F.ceil(F.col("kept") / term_block)
+    block = F.pmod(F.xxhash64("term"), blocks)
+    filled = kept.join(small(of_lang), "lang").groupBy("lang", block.alias("term_at")).agg(F.count(F.lit(1)).alias("terms"))
+    # A language without kept terms has one empty block.
+    every = groups.select("lang", "kept").distinct()
+    last = F.greatest(F.lit(1).cast("long"), blocks) - 1
+    every = every.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("term_at"))
+    sizes = every.join(filled, ["lang", "term_at"], "left").na.fill(0, ["terms"])
+    sparse = shares.withColumn("term_at", block)
+    found = divergences(groups, sizes, sparse, group_block)
     names = groups.select("lang", F.col("number"), "source")
     pairs = (
         found.join(names.withColumnRenamed("number", "a"), ["lang", "a"])

@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from broadsheet.operators.ordering import global_row_number, running_total
 from broadsheet.operators.pinning import pin
 
 from .common import stored
-from .sharding import _numbered, shuffle_hash
+from .sharding import shuffle_hash
 
 _CHUNK = 1 << 14
 _PARTS = 12
@@ -127,7 +128,8 @@ def mixture(
         return Mixture(rows, sources, docs.sparkSession.createDataFrame([], empty))
     pieces = _pieces(numbered.where("size > 0"), total, most, bits)
     schedule = _schedule(sources, bits)
-    scheduled = pieces.join(schedule, ["source_number", "rank"]).select(
+    # Both grow with the tokens, though they are made of small tables: neither is to be broadcast.
+    scheduled = pieces.hint("merge").join(schedule, ["source_number", "rank"]).select(
         "slot", "source_number", "rank", "row", "pass", "first_token", "n_tokens"
     )
     return Mixture(rows, sources, scheduled)
@@ -171,9 +173,17 @@ def _schedule(sources: DataFrame, bits: int) -> DataFrame:
     slots = runs.select("source_number", F.explode(F.sequence("at", last)).alias("mirror"))
     slots = slots.select("source_number", mirrored(F.col("mirror"), bits).alias("slot"))
     # A source's slots are spread evenly, so leading bits part them evenly.
-    parted = slots.withColumn("part", F.shiftright("slot", max(0, bits - _PARTS)))
-    ranked = _numbered(parted, ["source_number"], "part", [F.col("slot")], "rank", "of")
-    return ranked.select("slot", "source_number", "rank")
+    part = F.shiftright("slot", max(0, bits - _PARTS))
+    inside = F.row_number().over(Window.partitionBy("source_number", "part").orderBy("slot")) - 1
+    parted = slots.withColumn("part", part).withColumn("inside", inside)
+    before = Window.partitionBy("source_number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        slots.groupBy("source_number", part.alias("part"))
+        .agg(F.count(F.lit(1)).alias("held"))
+        .select("source_number", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    )
+    ranked = parted.hint("merge").join(starts, ["source_number", "part"])
+    return ranked.select("slot", "source_number", (F.col("start") + F.col("inside")).alias("rank"))
 
 
 def _pieces(rows: DataFrame, total: int, most: int, bits: int) -> DataFrame:
