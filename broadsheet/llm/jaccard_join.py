@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, shingle_hashes, small, stored
+from .common import shingle_hashes, small, stored, text_portions
 from .linking import linked_groups
 
-_PORTION = 4 << 20
+_PORTION = 1 << 20
 #: Tables of so many shingle hashes, some tens of megabytes, travel to every task; larger ones are
 #: joined by a shuffle.
 _FEW_TOKENS = 2_000_000
@@ -76,9 +76,10 @@ def chosen_prefix(
     return best, place < n - needed + best
 
 
-def _signed(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
-    for a, b in portions(texts, _PORTION):
-        for hashes in shingle_hashes([t or b"" for t in texts[a:b]], words):
+def _signed(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of every text; only a portion of the texts is unpacked at a time."""
+    for _, part in text_portions(texts, _PORTION):
+        for hashes in shingle_hashes([t or b"" for t in part], words):
             yield np.unique(hashes)
 
 
@@ -99,11 +100,12 @@ def shingle_sets(docs: DataFrame, text: str, words: int, percent: int, most_shar
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sizes, digests, tokens = [], [], []
-            for items in _signed(batch.cast(pa.binary()).to_pylist(), words):
+            for items in _signed(batch, words):
                 n = len(items)
                 sizes.append(n)
                 digests.append(_digest(items) if n else None)
-                tokens.append(items[: emitted(n, percent, most_shared)].view(np.int64))
+                # A copy, as a view would keep the whole set in memory.
+                tokens.append(items[: emitted(n, percent, most_shared)].view(np.int64).copy())
             yield pa.StructArray.from_arrays(
                 [pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), _lists(tokens, pa.int64())],
                 ["n", "digest", "tokens"],
@@ -119,14 +121,13 @@ def whole_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: Data
     @F.arrow_udf("struct<digest:binary,items:array<long>>")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            # By signed value, as the verification compares them.
-            found = list(_signed(batch.cast(pa.binary()).to_pylist(), words))
+            digests, items = [], []
+            for found in _signed(batch, words):
+                digests.append(_digest(found))
+                # By signed value, as the verification compares them.
+                items.append(np.sort(found.view(np.int64)))
             yield pa.StructArray.from_arrays(
-                [
-                    pa.array([_digest(f) for f in found], pa.binary()),
-                    _lists([np.sort(f.view(np.int64)) for f in found], pa.int64()),
-                ],
-                ["digest", "items"],
+                [pa.array(digests, pa.binary()), _lists(items, pa.int64())], ["digest", "items"]
             )
 
     ids = small(wanted.select("doc").distinct())

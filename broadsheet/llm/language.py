@@ -3,8 +3,9 @@
 A text is the mean of the embeddings of its character runs of two to four, hashed into a fixed
 table; a linear layer with softmax on that mean names the language. Embeddings and layer are
 learnt together by stochastic gradient descent in numpy, on a sample of labelled rows whose size is
-a parameter (`per_language` rows each). Their subword counts are made by Spark tasks from the whole
-texts; the driver gets only those counts.
+bounded by two parameters: about `per_language` rows of each language, fewer if there are so many
+languages that `most_rows` would be exceeded. Every label that has rows is learnt. Their subword
+counts are made by Spark tasks from the whole texts; the driver gets only those counts.
 
 A fifth of the sample is kept from the descent. On it a temperature is fitted, so that the score
 is a calibrated probability, and two bounds are set below which a text is rejected: the `reject`
@@ -14,7 +15,6 @@ at most `ceiling`.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 BUCKETS = 1 << 15
 RUNS = (2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
 
 
@@ -44,40 +45,42 @@ class Model:
 
 
 def subword_counts(text: str) -> np.ndarray:
-    """How often each bucket occurs among the text's runs of lower-case letters and gaps.
+    """How often each bucket occurs among the text's runs of lower-case characters and gaps.
 
-    Everything but letters is one gap, so digits, marks and layout say nothing. Long texts are
-    counted in chunks, so the memory does not grow with them.
+    Up to code point 169 everything but a to z is one gap, so digits, marks and layout of Latin
+    texts say nothing; beyond, every character counts, marks and digits of other scripts too. Long
+    texts are counted in chunks that carry the last characters over, so memory does not grow with
+    the counts and no run is lost or met twice.
     """
     counts = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text), _CHUNK):
-        # Chunks overlap so that no run is lost; the few inside the overlap count twice.
-        chunk = text[max(0, at - RUNS[-1] + 1) : at + _CHUNK].lower()
+    lowered = text.lower()
+    carry = np.array([32], np.uint64)
+    for at in range(0, len(lowered) + 1, _CHUNK):
+        chunk, last = lowered[at : at + _CHUNK], at + _CHUNK > len(lowered)
         codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        ascii_other = (codes < 97) | ((codes > 122) & (codes < 170))
-        codes[ascii_other] = 32
+        codes[(codes < 97) | ((codes > 122) & (codes < 170))] = 32
+        # The text ends in a gap, as it begins with one.
+        codes = np.concatenate([carry, codes, np.full(int(last), 32, np.uint64)])
         gap = codes == 32
         keep = np.ones(len(codes), bool)
         keep[1:] = ~(gap[1:] & gap[:-1])
-        codes = codes[keep]
-        codes = codes[int(len(codes) > 0 and codes[0] == 32) :]
-        codes = codes[: len(codes) - int(len(codes) > 0 and codes[-1] == 32)]
-        if not len(codes):
-            continue
-        codes = np.concatenate([[np.uint64(32)], codes, [np.uint64(32)]]).astype(np.uint64)
+        codes, old = codes[keep], len(carry)
         rolled = codes.copy()
         for n in range(2, RUNS[-1] + 1):
             if len(codes) < n:
                 break
             rolled = rolled[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+            # Runs that end in what was carried over are counted already.
+            new = rolled[max(0, old - n + 1) :]
             if n in RUNS:
-                spread = (rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
+                spread = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
                 counts += np.bincount(spread.astype(np.int64), minlength=BUCKETS)
+        carry = codes[-(RUNS[-1] - 1) :]
     return counts
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(map(str.isalpha, text))
 
 
 def bucket_fraction(doc_id: Column) -> Column:
@@ -86,20 +89,24 @@ def bucket_fraction(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def _sample(labelled: DataFrame, per_language: int, most_languages: int) -> list:
-    """(lang, order, buckets, counts) of about `per_language` rows of each language."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not common:
+def _sample(labelled: DataFrame, per_language: int, most_rows: int) -> list:
+    """(lang, order, buckets, counts) of about `per_language` rows of each language, and no more
+    than `most_rows` in all, but for a row of each language."""
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(bucket_fraction(F.col("doc_id"))).alias("least"))
+    counts = stored(counts, "labels")
+    languages = counts.count()
+    if not languages:
         return []
-    share = F.create_map(
-        *[x for r in common for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))]
-    )
-    # The rows of a language below its share of the even order, and a hard bound on all of them.
+    wanted = max(1, min(per_language, most_rows // languages))
+    # The rows of a language below its share of the even order, its first row at any rate, and a hard
+    # bound on all of them.
+    share = F.greatest(F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("n")), F.col("least") + F.lit(1e-12))
+    shares = counts.select(F.col("lang").alias("label"), share.alias("share"))
     chosen = (
         labelled.withColumn("order", bucket_fraction(F.col("doc_id")))
-        .where(F.col("order") < F.try_element_at(share, F.col("lang")))
-        .limit(2 * per_language * len(common))
+        .join(small(shares), F.col("lang") == F.col("label"))
+        .where(F.col("order") < F.col("share"))
+        .limit(2 * (wanted + 1) * languages)
     )
 
     # As bytes, which the driver holds in a tenth of the memory of lists.
@@ -127,7 +134,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(
     labelled: DataFrame,
     per_language: int = 400,
-    most_languages: int = 200,
+    most_rows: int = 20_000,
     dimensions: int = 16,
     epochs: int = 12,
     rate: float = 4.0,
@@ -137,10 +144,12 @@ def train(
 ) -> Model:
     """Learn from the columns doc_id, text and lang; rows without text or lang are left out.
 
-    Without any labelled row the model knows no language and answers `und` to everything.
+    The sample has `per_language` rows of a language, or `most_rows` divided by the number of
+    languages if that is less, twice as many at most. Without any labelled row the model knows no
+    language and answers `und` to everything, and rejects none but texts without letters.
     """
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    rows = [r for r in _sample(usable, per_language, most_languages) if r["bucket"]]
+    rows = [r for r in _sample(usable, per_language, most_rows) if r["bucket"]]
     names = sorted({r["lang"] for r in rows})
     if not rows:
         none = np.zeros(0, np.float32)
@@ -149,9 +158,15 @@ def train(
     for r in rows:
         n = np.frombuffer(r["n"], np.int32).astype(np.float32)
         shares.append((np.frombuffer(r["bucket"], np.int32), n / n.sum()))
-    y = np.array([names.index(r["lang"]) for r in rows])
-    held = np.arange(len(rows)) % 5 == 0
-    fit = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
+    number = {name: i for i, name in enumerate(names)}
+    y = np.array([number[r["lang"]] for r in rows])
+    # Every fifth row of a language, so that all have rows to learn from.
+    place = np.empty(len(rows), np.int64)
+    for i in range(len(names)):
+        of = np.flatnonzero(y == i)
+        place[of] = np.arange(len(of))
+    held = place % 5 == 4
+    fit = np.flatnonzero(~held)
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / dimensions, 1 / dimensions, (BUCKETS, dimensions)).astype(np.float32)
     layer = rng.uniform(-1, 1, (dimensions, len(names))).astype(np.float32)
@@ -193,9 +208,9 @@ def train(
 
 def predict(text: str | None, model: Model) -> tuple[str, float, bool]:
     """Language, calibrated score, and whether to reject it; `und` and 0 for null, for no letter,
-    or if no language is known."""
+    both rejected, or if no language is known."""
     if not model.languages or not has_letter(text):
-        return UNKNOWN, 0.0, True
+        return UNKNOWN, 0.0, not has_letter(text)
     counts = subword_counts(text)
     at = np.flatnonzero(counts)
     n = counts[at].astype(np.float64)

@@ -6,12 +6,13 @@ Two queries have none: a trained classifier and sampled pieces are beyond SQL.
 from __future__ import annotations
 
 from . import secrets
-from .licenses import TEMPLATES
+from .licenses import NOTICES, TEMPLATES
 
 BLANK = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 50, 50, 1000
 MIN_PARAGRAPH = 20
+STRETCH = 50
 
 
 def quoted(text: str) -> str:
@@ -200,20 +201,29 @@ def jaccard_join() -> str:
 
 
 def license_matches() -> str:
-    templates = ",\n".join(f"({quoted(name)}, {quoted(text)})" for name, text in sorted(TEMPLATES.items()))
+    """A template of fewer words than a shingle is one shingle of its own length, and looked for among
+    the texts' shingles of that length."""
+    wanted = TEMPLATES | NOTICES
+    templates = ",\n".join(f"({quoted(name)}, {quoted(text)})" for name, text in sorted(wanted.items()))
     letters = r"[a-z0-9]+"
     return f"""
         WITH templates AS (
-            SELECT name, {words(plain_lower("text"), letters)} AS words FROM (VALUES {templates}) AS t(name, text)),
-        needed AS (SELECT DISTINCT name, shingle FROM ({shingles("templates", "name", 5)})),
+            SELECT name, words, least(len(words), 5) AS k
+            FROM (SELECT name, {words(plain_lower("text"), letters)} AS words FROM (VALUES {templates}) AS t(name, text))),
+        needed AS (
+            SELECT DISTINCT name, k, array_to_string(list_slice(words, place + 1, place + k), ' ') AS shingle
+            FROM (SELECT *, unnest(range(len(words) - k + 1)) AS place FROM templates)),
         sizes AS (SELECT name, count(*) AS n FROM needed GROUP BY name),
         texts AS (
             SELECT row_number() OVER () AS r, doc_id, {words(plain_lower("coalesce(text, '')"), letters)} AS words
             FROM documents),
-        held AS ({shingles("texts", "r", 5)})
+        held AS (
+            SELECT r, k, place, array_to_string(list_slice(words, place + 1, place + k), ' ') AS shingle
+            FROM (SELECT r, k, words, unnest(range(len(words) - k + 1)) AS place
+                  FROM texts CROSS JOIN (SELECT DISTINCT k FROM templates) WHERE len(words) >= k))
         SELECT doc_id, name AS template, any_value(n) AS n_shingles, count(DISTINCT shingle) AS n_found,
-               min(place) AS first_word, max(place) + 4 AS last_word
-        FROM held JOIN needed USING (shingle) JOIN sizes USING (name) JOIN texts USING (r)
+               min(place) AS first_word, max(place) + any_value(k) - 1 AS last_word
+        FROM held JOIN needed USING (k, shingle) JOIN sizes USING (name) JOIN texts USING (r)
         GROUP BY r, doc_id, name
         HAVING 100 * count(DISTINCT shingle) >= 80 * any_value(n)"""
 
@@ -277,12 +287,21 @@ def repeated_paragraphs() -> str:
         run_heads AS (
             SELECT spelling, min(struct_pack(doc := doc_id, first := first)) AS head
             FROM spelt GROUP BY spelling HAVING count(*) > 1),
+        windows AS (
+            SELECT doc_id, first, first + {STRETCH} AS last,
+                   md5(array_to_string(list_slice(words, first + 1, first + {STRETCH}), ' ')) AS spelling
+            FROM (SELECT doc_id, words, unnest(range(len(words) - {STRETCH - 1})) AS first FROM all_words)),
+        window_heads AS (
+            SELECT spelling, min(struct_pack(doc := doc_id, first := first)) AS head
+            FROM windows GROUP BY spelling HAVING count(*) > 1),
         found AS (
             SELECT p.doc_id, p.first, p.last, h.doc_id AS class_doc, h.first AS class_word
             FROM grouped JOIN repeated USING (component)
             JOIN paragraphs p ON p.node = grouped.node JOIN paragraphs h ON h.node = component
             UNION ALL
-            SELECT doc_id, first, last, head.doc, head.first FROM spelt JOIN run_heads USING (spelling)),
+            SELECT doc_id, first, last, head.doc, head.first FROM spelt JOIN run_heads USING (spelling)
+            UNION ALL
+            SELECT doc_id, first, last, head.doc, head.first FROM windows JOIN window_heads USING (spelling)),
         marked AS (SELECT *, NOT (doc_id = class_doc AND first = class_word) AS removed FROM found),
         opened AS (
             SELECT *, CASE WHEN first < max(last) OVER (PARTITION BY doc_id, removed ORDER BY first, last

@@ -15,7 +15,12 @@ runs are cut anew and compared as words.
 With `stretch`, every window of so many words that occurs again is a unit as well, wherever sentences
 and lines end. A window is known by the least hash among its shorter shingles, its anchor, which is
 the same wherever the window stands; an anchor that stands in one place only has no repeated window.
-The windows of the others are cut and compared, by 128 bits, so a crowd costs a row a window.
+Consecutive windows of one anchor are a chain, and equal chains, as of copies, are one row and a
+count. Only where chains of one anchor differ are their windows compared one by one, those of one chain
+for all its equals. Chains and windows are compared by 128 bits.
+
+A document is told by its id and a hash of its text, so rows that share an id, or have none, are not
+mixed up.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from broadsheet.operators.ordering import global_row_number
+
 from .common import mix, small, stored
 from .linking import linked_groups
 
@@ -90,21 +97,27 @@ class Portion:
         own = stop <= text_end[text] if len(text) else inside[:0]
         return text[own], starts[own], stop[own]
 
-    def run_hashes(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    def other_hashes(self) -> np.ndarray:
+        """Hashes of the words that are independent of the first ones."""
+        if not self.words:
+            return self.hashes
+        return pd.util.hash_array(np.array(self.words, dtype=object), hash_key=_OTHER_KEY)
+
+    def run_hashes(self, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
         """A hash of the words of every run, from running sums of words times powers."""
-        n = len(self.words)
+        n, hashes = len(self.words), self.hashes if hashes is None else hashes
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
         inverse = np.cumprod(
             np.concatenate([[np.uint64(1)], np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)])
         )
-        upto = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * power[:n])])
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power[:n])])
         length = mix((stops - starts).astype(np.uint64))
         return mix((upto[stops] - upto[starts]) * inverse[starts] + length).view(np.int64)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the shorter shingles, whether a window lies in one text from every word on, and
         its anchor."""
-        k = size // 2
+        k = shingle_of(size)
         hashes, n = self.shingles(k), len(self.words)
         whole = np.zeros(n, bool)
         for a, b in zip(self.text_starts, self.text_ends):
@@ -112,35 +125,46 @@ class Portion:
         return hashes, whole, np.where(whole, _sliding(np.minimum, hashes, size - k + 1), np.uint64(0))
 
     def anchors(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text, hash) of every place that is the anchor of a window."""
+        """(place, hash) of every place that is the anchor of a window."""
         hashes, whole, least = self.windows(size)
         # A place is an anchor if its hash is the least of some window over it, so the largest of those.
-        reach = _sliding(np.maximum, least[::-1], size - size // 2 + 1)[::-1]
+        reach = _sliding(np.maximum, least[::-1], size - shingle_of(size) + 1)[::-1]
         at = np.flatnonzero((reach == hashes) & (reach > 0))
-        return np.searchsorted(np.array(self.text_ends, np.int64), at, side="right"), hashes[at]
+        return at, hashes[at]
+
+    def texts_at(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.array(self.text_ends, np.int64), places, side="right")
 
-    def window_runs(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word, end, anchor): consecutive windows of one text that share the anchor."""
+    def chains(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, windows, anchor, periodic) of the chains: consecutive windows of one
+        text that share the anchor. Only in a periodic one can two windows be equal, as its anchor
+        stands in several places.
+        """
         _, whole, least = self.windows(size)
-        text = np.searchsorted(np.array(self.text_ends, np.int64), np.arange(len(whole)), side="right")
+        text = self.texts_at(np.arange(len(whole)))
         starts = np.flatnonzero(whole)
         new = np.ones(len(starts), bool)
         new[1:] = (np.diff(starts) > 1) | (np.diff(least[starts]) != 0) | (np.diff(text[starts]) != 0)
         first = starts[new]
         counts = np.diff(np.append(np.flatnonzero(new), len(starts)))
-        return text[first], first, first + counts, least[first].view(np.int64)
+        at, hashes = self.anchors(size)
+        order = np.lexsort((at, hashes))
+        near = (np.diff(hashes[order]) == 0) & (np.diff(at[order]) <= 2 * size)
+        return text[first], first, counts, least[first], np.isin(least[first], hashes[order][1:][near])
 
     def window_keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of the window from every word on, by two independent hashes of its words."""
-        other = self.hashes
-        if self.words:
-            other = pd.util.hash_array(np.array(self.words, dtype=object), hash_key=_OTHER_KEY)
-        return self.shingles(size).view(np.int64), self.shingles(size, other).view(np.int64)
+        return self.shingles(size).view(np.int64), self.shingles(size, self.other_hashes()).view(np.int64)
 
     def digest(self, first: int, end: int) -> bytes:
         return hashlib.blake2b(b" ".join(self.words[first:end]), digest_size=16).digest()
 
 
+def shingle_of(size: int) -> int:
+    """The words of the shingles of which a window's anchor is one; shorter ones make longer chains."""
+    return size // 4 + 1
+
+
 def _sliding(choose: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     """The chosen of the `width` values from every place on, of fewer at the end."""
     found, have = values.copy(), 1
@@ -151,6 +175,10 @@ def _sliding(choose: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     return found
 
 
+def _texts(batch: pa.Array) -> Iterator[str | None]:
+    return (t.as_py() for t in batch)
+
+
 def portions(texts: Iterator[str | None]) -> Iterator[Portion]:
     """Texts in portions with a bounded number of words, one text at least."""
     number, first = 0, 0
@@ -199,8 +227,8 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def signed_units(
     docs: DataFrame, min_words: int, k: int, bands: int, rows: int, stretch: int | None = None
 ) -> DataFrame:
-    """(id, paragraphs, runs, anchors) of (id, text): the paragraphs signed, the hashes of the runs,
-    and the anchors of the windows of `stretch` words."""
+    """(id, twin, paragraphs, runs, anchors) of (id, twin, text): the paragraphs signed, the hashes of
+    the runs, and the anchors of the windows of `stretch` words."""
     kind = "first:int,last:int,n:int,digest:binary,bands:array<bigint>"
 
     @F.arrow_udf(f"struct<paragraphs:array<struct<{kind}>>,runs:array<bigint>,anchors:array<bigint>>")
@@ -212,7 +240,7 @@ def signed_units(
             columns: list[list] = [[] for _ in range(4)]
             keys, runs = [np.empty((0, bands), np.int64)], [np.empty(0, np.int64)]
             anchors = [np.empty(0, np.int64)]
-            for part in portions(t.as_py() for t in batch):
+            for part in portions(_texts(batch)):
                 held = part.paragraphs(min_words)
                 if held:
                     flat = np.append(part.shingles(k), np.uint64(0))
@@ -228,7 +256,8 @@ def signed_units(
                 run_counts += np.bincount(text + part.first_text, minlength=len(batch))
                 runs.append(part.run_hashes(starts, stops))
                 if stretch:
-                    text, hashes = part.anchors(stretch)
+                    at, hashes = part.anchors(stretch)
+                    text = part.texts_at(at)
                     anchor_counts += np.bincount(text + part.first_text, minlength=len(batch))
                     anchors.append(hashes.view(np.int64))
             values = np.concatenate(keys)
@@ -245,17 +274,17 @@ def signed_units(
                 ["paragraphs", "runs", "anchors"],
             )
 
-    return docs.select("id", sign("text").alias("s")).select("id", "s.*")
+    return docs.select("id", "twin", sign("text").alias("s")).select("id", "twin", "s.*")
 
 
 def paragraph_sets(docs: DataFrame, min_words: int, k: int, wanted: DataFrame) -> DataFrame:
-    """(node, items) of the classes in `wanted` (node, doc), from the document named."""
+    """(node, items) of the classes in `wanted` (node, head), from the document named."""
 
     @F.arrow_udf("array<struct<node:binary,items:array<bigint>>>")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             counts, nodes, items = np.zeros(len(batch), np.int64), [], []
-            for part in portions(t.as_py() for t in batch):
+            for part in portions(_texts(batch)):
                 flat = part.shingles(k)
                 for text, a, b in part.paragraphs(min_words):
                     counts[part.first_text + text] += 1
@@ -264,88 +293,212 @@ def paragraph_sets(docs: DataFrame, min_words: int, k: int, wanted: DataFrame) -
             fields = [pa.array(nodes, pa.binary()), _lists(items)]
             yield _listed(pa.StructArray.from_arrays(fields, ["node", "items"]), counts)
 
-    ids = small(wanted.select("doc").distinct())
-    rows = docs.join(ids, F.col("id").eqNullSafe(F.col("doc")), "left_semi")
+    rows = _of_docs(docs, wanted.select("head.id", "head.twin").distinct())
     found = rows.select(F.explode(whole("text")).alias("w")).select("w.*")
     return found.join(wanted.select("node"), "node").groupBy("node").agg(F.first("items").alias("items"))
 
 
-def repeated_runs(docs: DataFrame, signed: DataFrame, min_words: int) -> DataFrame:
-    """(id, first, last, head) of the runs of sentences that occur more than once."""
+def _of_docs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the documents in `wanted` (id, twin)."""
+    named = small(wanted.select(F.col("id").alias("doc"), F.col("twin").alias("doc_twin")))
+    return docs.join(named, F.col("id").eqNullSafe(F.col("doc")) & (F.col("twin") == F.col("doc_twin")), "left_semi")
+
 
-    @F.arrow_udf("array<struct<first:int,last:int,hash:bigint,digest:binary>>")
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+_RUN, _CHAIN = 0, 1
+
+
+def recut(docs: DataFrame, min_words: int, stretch: int | None) -> DataFrame:
+    """(kind, id, twin, first, size, probe, x, y, periodic) of the runs of sentences, `size` their
+    words, `probe` their hash, and of the chains of windows, `size` their windows, `probe` the anchor;
+    x and y are 128 bits of their words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.zeros(len(batch), np.int64)
-            fields: list[list[pa.Array]] = [[] for _ in range(4)]
-            for part in portions(t.as_py() for t in batch):
+            for part in portions(_texts(batch.column("text"))):
+                other, begin = part.other_hashes(), np.array(part.text_starts, np.int64)
                 text, starts, stops = part.runs(min_words)
-                counts += np.bincount(text + part.first_text, minlength=len(batch))
-                begin = np.array(part.text_starts, np.int64)[text]
-                digests = [part.digest(a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-                own = (starts - begin, stops - begin, part.run_hashes(starts, stops), digests)
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                for field, values, t in zip(fields, own, kinds, strict=True):
-                    field.append(pa.array(values, t))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            joined = [pa.concat_arrays([pa.array([], t), *f]) for f, t in zip(fields, kinds, strict=True)]
-            yield _listed(pa.StructArray.from_arrays(joined, ["first", "last", "hash", "digest"]), counts)
-
-    hashes = signed.select("id", F.explode("runs").alias("hash"))
-    again = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
-    again = small(stored(again, "run-hashes"), _FEW_KEYS)
-    ids = small(stored(hashes.join(again, "hash", "left_semi").select(F.col("id").alias("doc")).distinct(), "run-docs"))
-    rows = docs.join(ids, F.col("id").eqNullSafe(F.col("doc")), "left_semi")
-    cuts = rows.select("id", F.explode(cut("text")).alias("c")).select("id", "c.*")
-    cuts = stored(cuts.join(again, "hash", "left_semi").drop("hash"), "runs")
+                probe = part.run_hashes(starts, stops)
+                found = [(_RUN, text, starts, stops - starts, probe, stops, np.zeros(len(text), bool))]
+                if stretch:
+                    text, starts, counts, probe, periodic = part.chains(stretch)
+                    stops = starts + counts + stretch - 1
+                    found.append((_CHAIN, text, starts, counts, probe.view(np.int64), stops, periodic))
+                for kind, text, starts, sizes, probe, stops, periodic in found:
+                    at = pa.array(text + part.first_text)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(text), kind, np.int32)),
+                            batch.column("id").take(at),
+                            batch.column("twin").take(at),
+                            pa.array(starts - begin[text], pa.int32()),
+                            pa.array(sizes, pa.int32()),
+                            pa.array(probe),
+                            pa.array(part.run_hashes(starts, stops)),
+                            pa.array(part.run_hashes(starts, stops, other)),
+                            pa.array(periodic),
+                        ],
+                        ["kind", "id", "twin", "first", "size", "probe", "x", "y", "periodic"],
+                    )
+
+    id_type = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "twin", "text").mapInArrow(
+        cut,
+        f"kind int, id {id_type}, twin bigint, first int, size int, probe bigint, x bigint, y bigint, periodic boolean",
+    )
+
+
+def repeated_cuts(docs: DataFrame, signed: DataFrame, min_words: int, stretch: int | None) -> DataFrame:
+    """The runs of sentences whose hash occurs again, and the chains whose anchor does."""
+    probes = signed.select(
+        "id",
+        "twin",
+        F.explode(
+            F.concat(
+                F.transform("runs", lambda h: F.struct(F.lit(_RUN).alias("kind"), h.alias("probe"))),
+                F.transform("anchors", lambda h: F.struct(F.lit(_CHAIN).alias("kind"), h.alias("probe"))),
+            )
+        ).alias("p"),
+    ).select("id", "twin", "p.*")
+    again = probes.groupBy("kind", "probe").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kind", "probe")
+    again = small(stored(again, "probes"), _FEW_KEYS)
+    ids = stored(probes.join(again, ["kind", "probe"], "left_semi").select("id", "twin").distinct(), "probe-docs")
+    cuts = recut(_of_docs(docs, ids), min_words, stretch)
+    return stored(cuts.join(again, ["kind", "probe"], "left_semi"), "cuts")
+
+
+def repeated_runs(cuts: DataFrame) -> DataFrame:
+    """(id, twin, first, last, head, removed) of the runs of sentences that occur more than once."""
+    runs = cuts.where(F.col("kind") == _RUN)
+    place = F.struct("id", "twin", "first")
     heads = (
-        cuts.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "first")).alias("head"))
+        runs.groupBy("x", "y")
+        .agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("head"))
         .where("k > 1")
-        .select("digest", "head")
+        .select("x", "y", "head")
     )
-    return cuts.join(heads, "digest").select("id", "first", "last", "head")
+    last = (F.col("first") + F.col("size")).alias("last")
+    return runs.join(heads, ["x", "y"]).select("id", "twin", "first", last, "head", _removed("head"))
+
 
+def _removed(head: str) -> Column:
+    """Whether a unit is another than the first of its class."""
+    return (~F.struct("id", "twin", "first").eqNullSafe(F.col(head))).alias("removed")
 
-def repeated_windows(docs: DataFrame, signed: DataFrame, size: int) -> DataFrame:
-    """(id, first, last, head) of the windows of `size` words that occur more than once."""
+
+def repeated_windows(docs: DataFrame, cuts: DataFrame, size: int) -> DataFrame:
+    """(id, twin, first, last, head, removed) of the windows of `size` words that occur more than
+    once, those of a chain that overlap and are all removed or all kept as one, with the least head."""
+    chains = cuts.where(F.col("kind") == _CHAIN).select(
+        "id", "twin", "first", F.col("size").alias("n"), F.col("probe").alias("anchor"), "x", "y", "periodic"
+    )
+    place = F.struct("id", "twin", "first")
+    distinct = chains.groupBy("anchor", "x", "y").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.min(place).alias("head"),
+        F.first("n").alias("n"),
+        F.max("periodic").alias("periodic"),
+    )
+    # Numbered in the order of their heads, so the least number and place of a window is its head.
+    distinct = global_row_number(distinct, [F.col("head.id"), F.col("head.twin"), F.col("head.first")], "number")
+    several = distinct.groupBy("anchor").agg(
+        (F.count(F.lit(1)) > 1).alias("several"), F.max("periodic").alias("again")
+    )
+    several = stored(several.where("several or again").select("anchor"), "mixed-anchors")
+    mixed = distinct.join(small(several, _FEW_KEYS), "anchor", "left_semi")
+    alone = distinct.where("copies > 1").join(small(several, _FEW_KEYS), "anchor", "left_anti")
+
+    # Chains that alone have their anchor: all their windows are repeated, the head's are kept.
+    whole = alone.select(
+        "number",
+        F.explode(F.array(F.lit(True), F.lit(False))).alias("own"),
+        F.lit(0).alias("low"),
+        (F.col("n") - 1).alias("high"),
+        F.col("number").alias("head_number"),
+        F.lit(0).alias("head_at"),
+    ).withColumn("removed", ~F.col("own"))
+    columns = ["number", "own", "removed", "low", "high", "head_number", "head_at"]
+    found = stored(whole.select(*columns).union(_mixed_windows(docs, mixed, size).select(*columns)), "windows")
+
+    heads = distinct.select(F.col("number").alias("head_number"), F.col("head").alias("of"))
+    named = found.join(heads, "head_number").select(
+        "number", "own", "removed", "low", "high",
+        F.struct("of.id", "of.twin", (F.col("of.first") + F.col("head_at")).alias("first")).alias("head"),
+    )
+    spans = distinct.select("number", "anchor", "x", "y", F.col("head").alias("chain_head")).join(named, "number")
+    spans = spans.select(
+        "anchor", "x", "y", "own", "chain_head", "low", "high", F.col("head").alias("window_head"), "removed"
+    )
+    at_head = place.eqNullSafe(F.col("chain_head"))
+    return (
+        chains.join(spans, ["anchor", "x", "y"])
+        .where(at_head == F.col("own"))
+        .select(
+            "id", "twin", (F.col("first") + F.col("low")).alias("first"),
+            (F.col("first") + F.col("high") + size).alias("last"), F.col("window_head").alias("head"), "removed",
+        )
+    )
+
+
+def _mixed_windows(docs: DataFrame, mixed: DataFrame, size: int) -> DataFrame:
+    """(number, own, removed, low, high, head_number, head_at) of the repeated windows of chains that
+    differ from others of their anchor; `own` for the chain's head, else for its other places."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(t.as_py() for t in batch.column("text")):
-                text, starts, stops, anchor = part.window_runs(size)
-                begin = np.array(part.text_starts, np.int64)[text]
-                inside = np.concatenate([np.empty(0, np.int64), *map(np.arange, starts, stops)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").take(pa.array(text + part.first_text)),
-                        pa.array(starts - begin, pa.int32()),
-                        pa.array(anchor),
-                        *[_listed(pa.array(key[inside]), stops - starts) for key in part.window_keys(size)],
-                    ],
-                    ["id", "first", "anchor", "x", "y"],
-                )
-
-    hashes = signed.select("id", F.explode("anchors").alias("anchor"))
-    again = hashes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    again = small(stored(again, "anchors"), _FEW_KEYS)
-    ids = hashes.join(again, "anchor", "left_semi").select(F.col("id").alias("doc")).distinct()
-    rows = docs.join(small(stored(ids, "anchor-docs")), F.col("id").eqNullSafe(F.col("doc")), "left_semi")
-    id_type = docs.schema["id"].dataType.simpleString()
-    runs = rows.select("id", "text").mapInArrow(
-        cut, f"id {id_type}, first int, anchor bigint, x array<bigint>, y array<bigint>"
+            wanted = batch.column("wanted")
+            for part in portions(_texts(batch.column("text"))):
+                keys = part.window_keys(size)
+                for text, begin in enumerate(part.text_starts):
+                    runs = wanted[part.first_text + text].values
+                    first, n = (runs.field(c).to_numpy() for c in ("first", "n"))
+                    starts = np.repeat(first.astype(np.int64) + begin - (np.cumsum(n) - n), n)
+                    inside = starts + np.arange(int(n.sum()))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            runs.field("number"),
+                            runs.field("several"),
+                            *[_listed(pa.array(key[inside]), n.astype(np.int64)) for key in keys],
+                        ],
+                        ["number", "several", "x", "y"],
+                    )
+
+    of_doc = F.collect_list(F.struct(F.col("head.first").alias("first"), "n", "number", (F.col("copies") > 1).alias("several")))
+    wanted = mixed.groupBy(F.col("head.id").alias("doc"), F.col("head.twin").alias("doc_twin")).agg(of_doc.alias("wanted"))
+    same = F.col("id").eqNullSafe(F.col("doc")) & (F.col("twin") == F.col("doc_twin"))
+    # Rows that repeat id and text are met once.
+    texts = docs.join(wanted, same).groupBy("id", "twin").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    keys = texts.select("text", "wanted").mapInArrow(
+        cut, "number bigint, several boolean, x array<bigint>, y array<bigint>"
     )
-    kept = runs.join(again, "anchor", "left_semi")
-    cuts = kept.select("id", "first", F.posexplode(F.arrays_zip("x", "y")).alias("at", "key"))
-    cuts = stored(cuts.select("id", (F.col("first") + F.col("at")).alias("first"), "key.x", "key.y"), "windows")
+    windows = keys.select("number", "several", F.posexplode(F.arrays_zip("x", "y")).alias("at", "key"))
+    windows = stored(windows.select("number", "several", "at", "key.x", "key.y"), "mixed-windows")
     heads = (
-        cuts.groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "first")).alias("head"))
-        .where("k > 1")
+        windows.groupBy("x", "y")
+        .agg(
+            F.count(F.lit(1)).alias("k"),
+            F.max("several").alias("several"),
+            F.min(F.struct("number", "at")).alias("head"),
+        )
+        .where("k > 1 or several")
         .select("x", "y", "head")
     )
-    heads = small(stored(heads, "window-heads"), _FEW_KEYS // 4)
-    return cuts.join(heads, ["x", "y"]).select("id", "first", (F.col("first") + size).alias("last"), "head")
+    met = windows.join(heads, ["x", "y"])
+    here = ~F.struct("number", "at").eqNullSafe(F.col("head"))
+    at_head = F.struct(F.lit(True).alias("own"), here.alias("removed"))
+    elsewhere = F.struct(F.lit(False).alias("own"), F.lit(True).alias("removed"))
+    both = F.when(F.col("several"), F.array(at_head, elsewhere)).otherwise(F.array(at_head))
+    placed = met.select("number", "at", "head", F.explode(both).alias("b")).select("number", "at", "head", "b.*")
+    along = Window.partitionBy("number", "own", "removed").orderBy("at")
+    opened = (F.col("at") - F.lag("at").over(along) >= size).cast("int")
+    numbered = placed.withColumn("new", F.coalesce(opened, F.lit(0)))
+    numbered = numbered.withColumn(
+        "island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    return (
+        numbered.groupBy("number", "own", "removed", "island")
+        .agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min("head").alias("head"))
+        .select("*", F.col("head.number").alias("head_number"), F.col("head.at").alias("head_at"))
+    )
 
 
 def repeated_paragraphs(
@@ -367,16 +520,16 @@ def repeated_paragraphs(
     those that overlap are one stretch. Each class keeps its first unit by id and place and names
     it; the others are removed. A stretch of several classes names the first of them. Null and empty
     texts have no units; null ids come first.
-    Rows that share an id are taken as one document, each equal unit once. Other columns are left
-    out, so none can clash.
+    Rows that share an id but not the text are told apart; rows that repeat both are reported once.
+    Other columns are left out, so none can clash.
     """
-    plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("twin"), F.col(text).alias("text"))
     signed = stored(signed_units(plain, min_words, k, bands, rows, stretch), "units")
-    units = signed.select("id", F.explode("paragraphs").alias("p")).select("id", "p.*")
+    units = signed.select("id", "twin", F.explode("paragraphs").alias("p")).select("id", "twin", "p.*")
     classes = stored(
         units.groupBy(F.col("digest").alias("node")).agg(
             F.count(F.lit(1)).alias("copies"),
-            F.min(F.struct("id", "first")).alias("head"),
+            F.min(F.struct("id", "twin", "first")).alias("head"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
         ),
@@ -390,7 +543,7 @@ def repeated_paragraphs(
     )
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.select("node", F.col("head.id").alias("doc")).join(small(nodes), "node", "left_semi")
+        wanted = classes.select("node", "head").join(small(nodes), "node", "left_semi")
         return paragraph_sets(plain, min_words, k, stored(wanted, "wanted"))
 
     groups = linked_groups(members, sets_of, percent)
@@ -402,12 +555,13 @@ def repeated_paragraphs(
         .select("node", F.col("least").alias("head"))
         .union(placed.where("component is null and copies > 1").select("node", "head"))
     )
-    paragraphs = units.select("id", "first", "last", F.col("digest").alias("node")).join(
-        small(stored(of_class, "heads"), _FEW_KEYS // 4), "node"
-    )
-    found = paragraphs.select("id", "first", "last", "head").union(repeated_runs(plain, signed, min_words))
+    heads = small(stored(of_class, "heads"), _FEW_KEYS // 4)
+    paragraphs = units.withColumnRenamed("digest", "node").join(heads, "node")
+    found = paragraphs.select("id", "twin", "first", "last", "head", _removed("head"))
+    cuts = repeated_cuts(plain, signed, min_words, stretch)
+    found = found.union(repeated_runs(cuts))
     if stretch:
-        found = found.union(repeated_windows(plain, signed, stretch))
+        found = found.union(repeated_windows(plain, cuts, stretch))
     return _stretches(found).select(
         F.col("id").alias(doc_id),
         F.col("first").alias("first_word"),
@@ -420,12 +574,10 @@ def repeated_paragraphs(
 
 def _stretches(found: DataFrame) -> DataFrame:
     """Overlapping units of a document as one, those removed apart from those kept."""
-    own = ~F.struct("id", "first").eqNullSafe(F.col("head"))
-    marked = found.withColumn("removed", own)
-    along = Window.partitionBy("id", "removed").orderBy("first", "last")
+    along = Window.partitionBy("id", "twin", "removed").orderBy("first", "last")
     before = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    opened = marked.withColumn("new", F.when(F.col("first") < before, 0).otherwise(1))
+    opened = found.withColumn("new", F.when(F.col("first") < before, 0).otherwise(1))
     numbered = opened.withColumn("stretch", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("id", "removed", "stretch").agg(
+    return numbered.groupBy("id", "twin", "removed", "stretch").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.min("head").alias("head")
     )

@@ -9,13 +9,15 @@ it, and so on to the front. As every path meets at the chunk ends, that samples
 A vocabulary of merges has ranks, not probabilities. Pieces are weighted by Zipf's law over their
 rank, to the power of `sharpness`; a byte weighs as much as the last rank.
 
-The draw at a place depends only on the seed, the row's key and the place, so a row gets the same
-pieces however rows are split into batches and tasks. Characters without a piece, and the blank
+The draw at a place depends only on the seed, the row's key and the place, and the odds at a place, kept
+as whole numbers, on its chunk alone: a row gets the same pieces however rows are split into batches
+and tasks. Chunks are filtered together, place by place, but for long ones, which go one by one. Characters without a piece, and the blank
 mark itself where a text has it, are spelt as bytes, so that decoding gives back every text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,13 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import mix, portions
+from .common import mix, text_portions
 
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPREAD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _PORTION = 1 << 20
-_MOST_CHUNKS = 200_000
+_SLOTS = 18
+#: Chunks of more characters are filtered and drawn one by one and not kept.
+_LONG = 256
+#: Edges kept for later portions of a task, about ten bytes each, and chunks.
+_MOST_EDGES = 4_000_000
+_MOST_CHUNKS = 100_000
+#: Odds are whole numbers of `2 ** -31`.
+_ODDS = 31
 
 
 class Vocabulary:
@@ -77,7 +85,7 @@ class Vocabulary:
 
 
     def _index(self, spelt: list[str], ids: np.ndarray) -> None:
-        """Two open tables by different bits of the hash; what collides in one is in the next."""
+        """Open tables by different bits of the hash; what collides in one is in the next."""
         hashes = np.empty(len(spelt), np.uint64)
         for i, piece in enumerate(spelt):
             value = ord(piece[0]) + 1
@@ -88,11 +96,13 @@ class Vocabulary:
             raise ValueError("two pieces have the same hash")
         self.tables = []
         while len(ids):
-            shift = np.uint64(64 - 20)
-            slot = ((hashes * _SPREAD[len(self.tables)]) >> shift).astype(np.int64)
-            held, names = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
+            shift = np.uint64(64 - _SLOTS)
+            spread = mix(np.array([len(self.tables) + 1], np.uint64))[0] | np.uint64(1)
+            with np.errstate(over="ignore"):
+                slot = ((hashes * spread) >> shift).astype(np.int64)
+            held, names = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
             held[slot], names[slot] = hashes, ids
-            self.tables.append((_SPREAD[len(self.tables)], shift, held, names))
+            self.tables.append((spread, shift, held, names))
             rest = names[slot] != ids
             hashes, ids = hashes[rest], ids[rest]
 
@@ -112,11 +122,10 @@ def vocabulary(path: str, sharpness: float) -> Vocabulary:
 
 
 class Lattices:
-    """Filtered lattices of the chunks met so far, in arrays that grow by doubling.
+    """Filtered lattices of the chunks met so far, in arrays that grow by half.
 
     A node is a place in a chunk behind its first character. Its edges are the pieces that end
-    there, the most probable first, with the running sums of their probabilities given that a path
-    ends there.
+    there, the longest first, with the running sums of their odds given that a path ends there.
     """
 
     def __init__(self, words: Vocabulary):
@@ -127,7 +136,7 @@ class Lattices:
         self.number: dict[str, int] = {}
         self.base, self.length = np.empty(1024, np.int64), np.empty(1024, np.int64)
         self.first = np.empty(1 << 16, np.int64)
-        self.upto = np.empty(1 << 16, np.float32)
+        self.upto = np.empty(1 << 16, np.uint32)
         self.back, self.piece = np.empty(1 << 16, np.uint8), np.empty(1 << 16, np.int32)
         self.nodes = self.edges = 0
 
@@ -155,7 +164,8 @@ class Lattices:
         return x
 
     def _edges(self, text: str, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """End, length, piece and weight of every piece found, by rolling hashes of each length.
+        """End, length, piece and weight of every piece found, by rolling hashes of each length; by
+        end, the longest first.
 
         A character without a piece of its own gets an edge of piece -1: its bytes.
         """
@@ -176,6 +186,7 @@ class Lattices:
                 size_of = np.searchsorted([0x80, 0x800, 0x10000], codes[bare], side="right") + 1
                 found.append((bare, np.full(len(bare), -1, np.int32), size_of * words.byte_weight, 1))
             found.append((at[hit], piece[hit], words.weight[piece[hit]], size))
+        found.reverse()
         end = np.concatenate([f[0] for f in found])
         back = np.repeat([f[3] for f in found], [len(f[0]) for f in found])
         order = np.argsort(end, kind="stable")
@@ -210,27 +221,48 @@ class Lattices:
             total = np.add.reduceat(e, offset)
             level[nodes] = top + np.log(total)
             share[flat] = e / np.repeat(total, count)
-        order = np.argsort(end - 0.999 * share)
-        share = share[order]
-        run = np.cumsum(share)
-        run -= np.repeat(run[first] - share[first], per_node)
-        run[first + per_node - 1] = 2.0  # no draw goes past the last edge
-        return first, run, back[order], piece[order]
+        # Whole numbers add up to the same wherever a chunk stands.
+        run = np.cumsum((share * (1 << _ODDS)).astype(np.int64))
+        run -= np.repeat(run[first] - (share[first] * (1 << _ODDS)).astype(np.int64), per_node)
+        run[first + per_node - 1] = 1 << _ODDS  # no draw goes past the last edge
+        return first, run, back, piece
+
+    def drawn(self, chunk: str, draws: np.ndarray) -> tuple[list[int], list[int]]:
+        """Pieces, last to first, and their ends in a long chunk, by the draws at its places."""
+        end, back, piece, weight = self._edges(chunk, np.arange(len(chunk)))
+        first = np.searchsorted(end, np.arange(len(chunk) + 1)).tolist()
+        sizes, weights, level = back.tolist(), weight.tolist(), [0.0] * (len(chunk) + 1)
+        odds: list[list[float]] = []
+        for at in range(len(chunk)):
+            paths = [weights[e] + level[at + 1 - sizes[e]] for e in range(first[at], first[at + 1])]
+            top = max(paths)
+            shares = [math.exp(w - top) for w in paths]
+            total = sum(shares)
+            level[at + 1] = top + math.log(total)
+            odds.append([s / total for s in shares])
+        pieces, ends, bound = [], [], draws.tolist()
+        at = len(chunk)
+        while at:
+            left, edge = bound[at - 1] / (1 << _ODDS), first[at - 1]
+            for share in odds[at - 1][:-1]:
+                left -= share
+                if left < 0:
+                    break
+                edge += 1
+            pieces.append(int(piece[edge]))
+            ends.append(at)
+            at -= sizes[edge]
+        return pieces, ends
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The number of every chunk; new ones are filtered first."""
-        if len(self.number) > _MOST_CHUNKS:
+        if len(self.number) > _MOST_CHUNKS or self.edges > _MOST_EDGES:
             self.clear()
         if new := set(chunks).difference(self.number):
             self.add(list(new))
         return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
 
-@lru_cache(maxsize=2)
-def lattices(path: str, sharpness: float) -> Lattices:
-    return Lattices(vocabulary(path, sharpness))
-
-
 def sample(
     texts: list[str], keys: np.ndarray, held: Lattices, seed: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -241,21 +273,25 @@ def sample(
     if not per_text.sum():
         return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int32)
     flat = [c for s in split for c in s]
-    chunk = held.numbers(flat)
-    length, base = held.length[chunk], held.base[chunk]
+    length = np.fromiter(map(len, flat), np.int64, len(flat))
     row = np.repeat(np.arange(len(texts)), per_text)
     ends = np.cumsum(length)
     of_row = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
     start = ends - length - of_row[row]  # where each chunk begins in its text
+    stream = mix(keys.astype(np.uint64) ^ mix(np.array([seed], np.uint64)))[row]
+
+    def draws(chunk: np.ndarray, node_end: np.ndarray) -> np.ndarray:
+        place = (start[chunk] + node_end).astype(np.uint64)
+        return mix(stream[chunk] + place * _BASE) >> np.uint64(64 - _ODDS)
+
+    steps = []
     with np.errstate(over="ignore"):
-        stream = mix(keys.astype(np.uint64) ^ mix(np.array([seed], np.uint64)))[row]
-        where, node_end, steps = np.arange(len(chunk)), length.copy(), []
+        where = np.flatnonzero(length <= _LONG)
+        number = held.numbers([flat[i] for i in where.tolist()])
+        base, node_end = held.base[number], length[where]
         while len(where):
-            place = (start[where] + node_end).astype(np.uint64)
-            bits = mix(stream[where] + place * np.uint64(0x9E3779B97F4A7C15))
-            u = (bits >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            node = base[where] + node_end - 1
-            edge = held.first[node]
+            u = draws(where, node_end)
+            edge = held.first[base + node_end - 1]
             past = np.flatnonzero(held.upto[edge] <= u)
             while len(past):
                 edge[past] += 1
@@ -263,15 +299,23 @@ def sample(
             steps.append((where, held.piece[edge], node_end))
             node_end = node_end - held.back[edge]
             going = node_end > 0
-            where, node_end = where[going], node_end[going]
-    taken = np.zeros(len(chunk), np.int64)
+            where, node_end, base = where[going], node_end[going], base[going]
+        long = np.flatnonzero(length > _LONG).tolist()
+        each = [
+            held.drawn(flat[i], draws(np.full(length[i], i), np.arange(1, length[i] + 1))) for i in long
+        ]
+    taken = np.zeros(len(flat), np.int64)
     for w, _, _ in steps:
         taken[w] += 1
+    taken[long] = [len(pieces) for pieces, _ in each]
     last = np.cumsum(taken)
     ids, ends_at = np.empty(int(last[-1]), np.int32), np.empty(int(last[-1]), np.int64)
     for i, (w, piece, end) in enumerate(steps):
         ids[last[w] - 1 - i] = piece
         ends_at[last[w] - 1 - i] = end
+    for w, (pieces, places) in zip(long, each, strict=True):
+        ids[last[w] - len(pieces) : last[w]] = pieces[::-1]
+        ends_at[last[w] - len(pieces) : last[w]] = places[::-1]
     sizes = np.bincount(row, taken, len(texts)).astype(np.int64)
     spelt = np.flatnonzero(ids < 0)
     if len(spelt):
@@ -314,14 +358,14 @@ def encoded(
 
     @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        held = lattices(model_path, sharpness)
+        # Kept for one task, as a worker that waits for the next should hold no memory.
+        held = Lattices(vocabulary(model_path, sharpness))
         for texts, keys in batches:
-            values = texts.to_pylist()
             numbers = np.array(keys.to_pylist(), np.int64).astype(np.uint64)
             sizes, ids, same = [np.zeros(1, np.int64)], [np.empty(0, np.int32)], []
-            for a, b in portions(values, _PORTION):
-                part = [v or "" for v in values[a:b]]
-                offsets, found = sample(part, numbers[a:b], held, seed)
+            for a, values in text_portions(texts, _PORTION):
+                part = [(v or b"").decode("utf-8", "surrogatepass") for v in values]
+                offsets, found = sample(part, numbers[a : a + len(part)], held, seed)
                 back = spelt_texts(offsets, found, held.words)
                 same += [x == y for x, y in zip(back, part, strict=True)]
                 sizes.append(sizes[-1][-1] + offsets[1:])
@@ -329,7 +373,7 @@ def encoded(
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(sizes), pa.int32()),
                 pa.array(np.concatenate(ids), pa.int32()),
-                mask=pa.array([v is None for v in values], pa.bool_()),
+                mask=texts.is_null(),
             )
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "lossless"])
 

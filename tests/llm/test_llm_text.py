@@ -129,7 +129,7 @@ def test_sampling_follows_the_weights_of_the_paths():
 
     weights = {p: math.exp(w) for p, w in paths("▁hello")}
     total, n = sum(weights.values()), 20_000
-    offsets, ids = pieces.sample([" hello"] * n, np.arange(n), pieces.lattices(path, 1.0), 11)
+    offsets, ids = pieces.sample([" hello"] * n, np.arange(n), pieces.Lattices(words), 11)
     drawn = Counter(tuple(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:]))
     assert set(drawn) <= set(weights)
     assert all(abs(w / total - drawn[p] / n) < 0.015 for p, w in weights.items())
