@@ -171,6 +171,7 @@ def jaccard_groups(
     text: str = "text",
     most_shared: int = 6,
     crowd: int = 64,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents joined by `percent` similar shingle sets.
 
@@ -178,10 +179,14 @@ def jaccard_groups(
     one, the whole. A null text or one without words has none, is linked with nothing and is its
     own component. The component is the smallest id reachable by links. Rows are kept one by one:
     repeated rows and ids each get theirs. A null id counts for links but never names a component,
-    unless none of it has an id. Other columns are left out, so none can clash.
+    unless none of it has an id. Other columns are left out, so none can clash, but for those in
+    `carry`, which follow `component`: a number of the component that it has even without any id,
+    null for a text without words.
     """
     plain = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    signed = stored(shingle_sets(plain, "text", words, percent, most_shared), "shingles")
+    kept = [(c, f"kept_{i}") for i, c in enumerate(carry or [])]
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *[F.col(c).alias(k) for c, k in kept])
+    signed = stored(shingle_sets(rows, "text", words, percent, most_shared), "shingles")
     # A class is named by its smallest id; one without any by a number from its digest.
     unnamed = F.expr("-1 - (xxhash64(digest) & 9223372036854775806)")
     classes = stored(
@@ -265,14 +270,16 @@ def jaccard_groups(
     named = classes.select("node", "digest", "doc").join(groups, "node", "left")
     linked = named.where("component is not null")
     smallest = linked.groupBy("component").agg(F.min("doc").alias("smallest"))
-    linked = linked.join(smallest, "component").select("digest", "smallest")
-    single = named.where("component is null").select("digest", F.col("doc").alias("smallest"))
+    linked = linked.join(smallest, "component").select("digest", "smallest", "component")
+    single = named.where("component is null").select("digest", F.col("doc").alias("smallest"), F.col("node").alias("component"))
+    further = ["component", *[F.col(k).alias(c) for c, k in kept]] if carry else []
     return (
-        signed.select("id", "n", "digest")
+        signed.select("id", "n", "digest", *[k for _, k in kept])
         .join(linked.union(single), "digest", "left")
         .select(
             F.col("id").alias(doc_id),
             F.col("n").cast("long").alias("n_shingles"),
             F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("smallest")).alias("component_id"),
+            *further,
         )
     )

@@ -212,6 +212,39 @@ def test_paragraphs_of_null_and_shared_ids(spark):
     assert {r[0] for r in found} == {None, 3, 5}
 
 
+def test_paragraphs_of_one_id_and_other_texts_are_apart(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(70))
+    rows = [(None, line), (None, other), (5, "x " + line), (6, line), (6, other + " y"), (6, other + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(tuple(r) for r in paragraphs.repeated_paragraphs(docs, stretch=50).collect())
+    assert sorted((r[0] or 0, r[1], r[2], r[5]) for r in found.elements()) == [
+        (0, 0, 60, False), (0, 0, 70, False), (5, 0, 61, True), (6, 0, 60, True),
+        (6, 0, 71, False), (6, 0, 71, True),  # the first of its like, and near to a row without an id
+    ]
+
+
+def test_periodic_texts_equal_brute_force(spark):
+    """Windows equal to others of their own chain, in texts whose copies differ at the ends."""
+    rng = random.Random(17)
+    base = [rng.choice("ab") * rng.randint(1, 3) for _ in range(4)] * 40
+    texts = [["q", *base[: rng.randint(60, 160)], f"z{i}"] for i in range(8)]
+    texts += [["a"] * 200, ["a"] * 120, ["b", *["a"] * 77], list("abc") * 50]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    places = defaultdict(list)
+    for i, t in enumerate(texts):
+        for a in range(len(t) - 19):
+            places[tuple(t[a : a + 20])].append((i, a))
+    expected, found = defaultdict(set), defaultdict(set)
+    for held in places.values():
+        for i, a in held if len(held) > 1 else ():
+            expected[i, (i, a) != held[0]] |= set(range(a, a + 20))
+    for r in paragraphs.repeated_paragraphs(docs, min_words=10**6, stretch=20).collect():
+        found[r["doc_id"], r["removed"]] |= set(range(r["first_word"], r["last_word"]))
+    assert found == expected
+
+
 # Decontamination
 
 
@@ -428,6 +461,22 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert set(kept[4]) == set(kept[3]) and all(r["lossless"] for r in kept[4].values())
 
 
+def test_pipeline_tells_rows_by_id_and_text(spark, sf_dir):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(80)) for w in ("ein", "zwei", "drei"))
+    rows = [(1, one), (2, one + " x"), (2, two), (None, one + " y"), (None, three), (None, three + " z"), (7, three + " z z"), (8, two), (9, "")]
+    rows += [(11, "alone " + two.upper().replace("ZWEI", "Q")), (11, "alone " + two.upper().replace("ZWEI", "Q"))]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, sf_dir).collect())
+    assert kept == Counter([(1, one), (2, two), (7, three + " z z"), (9, ""), rows[-1]])
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows = [(1, "the " + item), (1, one), (None, item + " the"), (None, two)]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in rows], docs.schema)
+    clean = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.without_benchmark(spark, docs, sf_dir).collect())
+    assert clean == Counter([(1, one), (None, two)])
+    unlabelled = spark.createDataFrame([(1, one, None, "s", 1), (2, "12", None, "s", 1)], docs.schema)
+    assert [r["doc_id"] for r in corpus_pipeline.known_language(spark, unlabelled, sf_dir).collect()] == [1]
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):

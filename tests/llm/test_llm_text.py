@@ -113,6 +113,49 @@ def test_pieces_give_every_text_back(odd):
     assert Counter((r["doc_id"], str(r["ids"])) for r in split) == Counter((r["doc_id"], str(r["ids"])) for r in rows)
 
 
+def drawn_in_portions(docs, portion, held):
+    """The ids of every row, sampled `portion` rows at a time."""
+    found = {}
+    for at in range(0, len(docs), portion):
+        part = docs[at : at + portion]
+        keys = np.array([i * 7919 for i, _ in part], np.int64).astype(np.uint64)
+        offsets, ids = pieces.sample([t for _, t in part], keys, held, 0)
+        found |= {i: ids[a:b].tolist() for (i, _), a, b in zip(part, offsets, offsets[1:])}
+    return found
+
+
+@pytest.fixture(scope="module")
+def texts_of_the_table(spark, sf_dir):
+    return [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+
+
+def test_pieces_do_not_depend_on_the_portion(texts_of_the_table):
+    words, docs = pieces.vocabulary(queries.default_model(), 1.0), texts_of_the_table
+    whole = drawn_in_portions(docs, len(docs), pieces.Lattices(words))
+    for portion, order in ((7, 1), (31, 1), (len(docs), -1), (7, -1)):
+        assert drawn_in_portions(docs[::order], portion, pieces.Lattices(words)) == whole
+
+
+def test_long_chunks_are_drawn_like_short_ones(texts_of_the_table, monkeypatch):
+    words, docs = pieces.vocabulary(queries.default_model(), 1.0), texts_of_the_table[:40]
+    docs = [*docs, (-1, "Donaudampfschiffahrt" * 9 + " 日本語の文章 x")]
+    together = drawn_in_portions(docs, 50, pieces.Lattices(words))
+    monkeypatch.setattr(pieces, "_LONG", 3)
+    assert drawn_in_portions(docs, 50, pieces.Lattices(words)) == together
+
+
+def test_a_million_characters_without_a_blank():
+    words = pieces.vocabulary(queries.default_model(), 1.0)
+    text = "漢字だけの文章です" * 55_000 + "abcdefgh" * 62_500
+    offsets, ids = pieces.sample([text], np.array([1], np.uint64), pieces.Lattices(words), 0)
+    assert pieces.spelt_texts(offsets, ids, words) == [text]
+
+
+def test_pieces_of_an_empty_table(odd):
+    found = pieces.encoded(F.col("text"), F.col("doc_id"), queries.default_model())
+    assert odd.limit(0).select(found.alias("p")).collect() == []
+
+
 def test_sampling_follows_the_weights_of_the_paths():
     path = queries.default_model()
     words = pieces.vocabulary(path, 1.0)
@@ -217,7 +260,9 @@ def test_language_of_odd_rows(spark, sf_dir, odd):
     unread = language.identified(spark.createDataFrame([(1, "漢字だけの文章です。" * 5)], "doc_id long, text string"), model)
     assert unread.first()["rejected"]
     nothing = language.train(docs.limit(0))
-    assert {r["lang_pred"] for r in language.identified(odd, nothing).collect()} == {"und"}
+    unlearnt = language.identified(odd, nothing).collect()
+    assert {r["lang_pred"] for r in unlearnt} == {"und"}
+    assert all(r["rejected"] != any(c.isalpha() for c in r["text"] or "") for r in unlearnt)
     assert language.identified(odd.limit(0), model).count() == 0
 
 
@@ -229,6 +274,59 @@ def test_only_letters_are_counted():
     assert (language.subword_counts("ab, 12 ab") == language.subword_counts(" ab ab!")).all()
 
 
+def buckets_by_hand(text):
+    found = Counter()
+    folded = "".join(c if "a" <= c <= "z" or ord(c) >= 170 else " " for c in text.lower())
+    codes = [ord(c) for c in f" {' '.join(folded.split(' '))} "]
+    codes = [c for i, c in enumerate(codes) if not (i and c == 32 and codes[i - 1] == 32)]
+    for n in (2, 3, 4):
+        for i in range(len(codes) - n + 1):
+            value = 0
+            for c in codes[i : i + n]:
+                value = (value * 0x100000001B3 + c) % 2**64
+            found[value * 0x9E3779B97F4A7C15 % 2**64 >> 49] += 1
+    return found
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 1 << 20])
+def test_subwords_equal_plain_counts_in_chunks_of_any_size(monkeypatch, chunk):
+    monkeypatch.setattr(language, "_CHUNK", chunk)
+    for text in ("", "a", "Ab  c1d", "x" * 9, "1 2 3", "Größe, Σίσυφος ½²! ", " ab\n\ncd ef" * 3):
+        counts = language.subword_counts(text)
+        assert {i: n for i, n in enumerate(counts.tolist()) if n} == buckets_by_hand(text)
+
+
+def test_predictions_equal_plain_counts_and_softmax(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.train(docs.where(~language.held_out()))
+    told = language.identified(docs, model).collect()
+    for r in told[:60]:
+        counts = buckets_by_hand(r["text"] or "")
+        total = sum(counts.values())
+        z = [
+            (sum(n * float(model.scores[b, j]) for b, n in counts.items()) / total + float(model.bias[j])) / model.temperature
+            for j in range(len(model.languages))
+        ]
+        e = [math.exp(x - max(z)) for x in z]
+        best = e.index(max(e))
+        assert r["lang_pred"] == model.languages[best] and abs(r["score"] - e[best] / sum(e)) < 1e-6
+        seen = sum(n for b, n in counts.items() if model.seen[b])
+        assert r["rejected"] == (r["score"] < model.threshold or seen < model.least_seen * total)
+
+
+def test_texts_without_letters_have_no_language(spark, sf_dir):
+    model = language.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for text in ("½ ²", "①", "Ⅷ", "٣", "_", " ", "!"):
+        assert language.predict(text, model) == ("und", 0.0, True)
+    assert language.predict("ª", model)[0] != "und"
+
+
+def test_every_label_is_learnt(spark):
+    rows = [(i, f"wort{i % 300} nummer{i % 300} text", f"l{i % 300:03}") for i in range(600)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=400, epochs=1)
+    assert len(model.languages) == 300
+
+
 # Sharding
 
 
