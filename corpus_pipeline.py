@@ -19,33 +19,52 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; null and letterless texts go.
 
-    The model learns from the labelled documents, its calibration fold apart.
+    The model learns from the labelled documents, its calibration fold apart. Without any labelled
+    document there is nothing to tell by, and all texts with letters stay.
     """
     model = language.train(docs.where(~language.held_out()))
     return language.identified(docs, model).where(~F.col("rejected")).select(*COLUMNS)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id and text are not those of a row in `gone` (doc_id, text_key)."""
+    named = small(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
+    return docs.join(named, same, "left_anti")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates.
+    """One document, that with the smallest id, of each group of near duplicates; one without an id
+    only if no other has one.
 
-    Similar are 0.8 of five-word shingles. Rows without an id stay, and rows without words; of rows
-    that repeat an id and a text one stays.
+    Similar are 0.8 of five-word shingles. Rows without words stay. Rows are told by id and text: an
+    id on two texts goes with one of them only, and of rows that repeat both one stays.
     """
-    groups = stored(jaccard_join.jaccard_groups(docs, words=5, percent=80), "groups")
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(others), "doc_id", "left_anti").select(*COLUMNS)
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    keyed = docs.withColumn("text_key", F.sha2(F.col("text"), 256))
+    found = jaccard_join.jaccard_groups(keyed, words=5, percent=80, carry=["text_key"])
+    groups = stored(found.where("component is not null"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    least = groups.groupBy("component").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("rows"))
+    members = groups.join(small(stored(least.where("rows > 1"), "least")), "component")
+    stays = order.eqNullSafe(F.col("least"))
+    others = stored(members.where(~stays).select("doc_id", "text_key").distinct(), "others")
+    twice = members.where(stays).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = stored(twice.select("doc_id", "text_key"), "twice")
+    kept = _without(keyed, others)
     if twice.isEmpty():
-        return kept
-    repeated = kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(small(twice), "doc_id", "left_anti").select(*COLUMNS).union(repeated.select(*COLUMNS))
+        return kept.select(*COLUMNS)
+    again = twice.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("text_key") == F.col("again_key"))
+    repeated = kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return _without(kept, twice).select(*COLUMNS).union(repeated.select(*COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item; rows without an id stay."""
-    leaks = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    leaked = stored(leaks.where("doc_id is not null").select("doc_id").distinct(), "leaked")
-    return docs.join(small(leaked), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents whose text contains no benchmark item."""
+    keyed = docs.withColumn("text_key", F.sha2(F.col("text"), 256))
+    leaks = decontaminate.contained_items(keyed, table(spark, sf_dir, "benchmark"), doc_id="text_key")
+    leaked = stored(leaks.select(F.col("text_key").alias("leaked_key")).distinct(), "leaked")
+    return keyed.join(small(leaked), F.col("text_key") == F.col("leaked_key"), "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
