@@ -20,6 +20,7 @@ Equal sets are one node throughout; crowds of similar ones are joined without ma
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,11 +253,19 @@ def jaccard_groups(
     )
     prefix = first.where("l is not null").union(second)
     members = prefix.select("node", "n", F.col("l").alias("need"), F.explode("tokens").alias("key"))
-    # What only the second look found may stand, counted once, among the others' first shingles.
-    seconds = second.select(F.explode("tokens").alias("token")).distinct()
-    added = stored(seconds.join(small(counts, _FEW_TOKENS), "token", "left_anti"), "added")
+    # What only the second look found may stand, counted once, among the others' first shingles. Sizes
+    # of similar sets differ by less than one band, so of the others only those of a band beside are met:
+    # a passage of many documents makes up few of them.
+    width = math.log(100 / percent) * (1 + 1e-6)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
+    seconds = second.select(F.explode("tokens").alias("token"), band.alias("band"))
+    seconds = seconds.join(small(counts, _FEW_TOKENS), "token", "left_anti")
+    beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    added = stored(seconds.select("token", beside).distinct(), "added")
     met = (
-        rows.join(small(added, _FEW_TOKENS), "token", "left_semi")
+        rows.join(small(added.select("token").distinct(), _FEW_TOKENS), "token", "left_semi")
+        .withColumn("band", band)
+        .join(small(added, _FEW_TOKENS), ["token", "band"], "left_semi")
         .join(small(second.select("node")), "node", "left_anti")
         .join(small(first.select("node", "l")), "node", "left")
         .select("node", "n", F.coalesce("l", F.lit(1)).alias("need"), F.col("token").alias("key"))
