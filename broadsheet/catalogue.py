@@ -10,11 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings, operators, oracle
-from .functions import DATE_FORMATS, exact_mean, half_even, money_sum, month_key, rounded, strict_greatest
+from .functions import (
+    DATE_FORMATS,
+    exact_mean,
+    half_even,
+    money_sum,
+    month_key,
+    rounded,
+    strict_greatest,
+    wide_sum,
+)
 from .plans import cleaning, job
 from .plans.questions import QUESTIONS
 from .schemas import CLEAN, RAW
-from .sources import load_all, load_table, malformed_rows, publish, write_clean
+from .sources import (
+    RESCUED,
+    STATUS_SCHEMA,
+    PublishError,
+    load_all,
+    load_table,
+    publish,
+    publish_together,
+    split_rows,
+    write_clean,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,20 +202,83 @@ def reordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_table(spark, "city_readiness", path)
 
 
-def malformed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows of a CSV file have too few or too many cells."""
-    path = operators.scratch_dir(spark, "malformed") + ".csv"
-    cells = [F.coalesce(F.col(c), F.lit("")) for c in ("city_id", "city", "state", "tier")]
-    number = F.substring("city_id", 2, 9).cast("int")
+def malformed_sales(spark: SparkSession, sf_dir: str) -> str:
+    """Raw print sales as CSV files, three of seven editions with rows that do not fit: too few
+    cells, too many, or no number of copies."""
+    path = operators.scratch_dir(spark, "print_sales") + ".csv"
+    names = RAW["print_sales"].names
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]
+    fault = F.substring("edition_id", 3, 9).cast("int") % 7
+    unread = [F.lit("many") if c == "Copies Sold" else cell for c, cell in zip(names, cells, strict=True)]
     line = (
-        F.when(number % 4 == 1, F.concat_ws(",", *cells[:3]))
-        .when(number % 4 == 2, F.concat_ws(",", *cells, F.lit("more")))
+        F.when(fault == 1, F.concat_ws(",", *cells[:-2]))
+        .when(fault == 2, F.concat_ws(",", *cells, F.lit("more")))
+        .when(fault == 3, F.concat_ws(",", *unread))
         .otherwise(F.concat_ws(",", *cells))
     )
-    lines = bindings.city_data(spark, sf_dir).select(line.alias("value"))
-    header = spark.createDataFrame([("city_id,city,state,tier",)], "value string")
-    header.union(lines).coalesce(1).write.text(path)
-    return malformed_rows(spark, "city_data", path).agg(F.count(F.lit(1)).alias("malformed"))
+    # One column whose name is the header, so that every task's file gets one.
+    lines = _raw("print_sales")(spark, sf_dir).repartition(8, "edition_id").select(line.alias(",".join(names)))
+    lines.write.options(header=True, sep="\u0001", quote="").csv(path)
+    return path
+
+
+def split_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and copies of the sales that fit their schema and of those that don't, by cells."""
+    split = split_rows(
+        spark, "print_sales", malformed_sales(spark, sf_dir), operators.scratch_dir(spark, "split")
+    )
+
+    def figures(rows: DataFrame, cells) -> DataFrame:
+        return rows.groupBy(cells.cast("int").alias("cells")).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("Copies Sold").alias("copies")
+        )
+
+    good = figures(split.good, F.lit(len(RAW["print_sales"].names))).withColumn("fits", F.lit(True))
+    bad = figures(split.bad, F.size(F.split(RESCUED, ","))).withColumn("fits", F.lit(False))
+    return good.unionByName(bad)
+
+
+def cleaning_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was counted while the raw files, sales that don't fit among them, were cleaned."""
+    sales = malformed_sales(spark, sf_dir)
+    folder = raw_files(spark, sf_dir)
+    files = {"print_sales": f"../{sales.rsplit('/', 1)[-1]}"}
+    _, counts = job.clean_and_count(spark, folder, operators.scratch_dir(spark, "clean"), files=files)
+    wanted = (F.col("metric") != "nulls") | (F.col("table") == "print_sales")
+    return counts.where(wanted).select("table", F.coalesce("column", F.lit("")).alias("column"), "metric", "value")
+
+
+def published_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every table as published, after all were published at once, after a second attempt in
+    which one of them failed, and after a third in which it was missing.
+
+    The second and third hold fewer print sales; only the third replaces the tables.
+    """
+    folder = operators.scratch_dir(spark, "versions")
+    star = bindings.star(spark, sf_dir)
+    first = {f"{folder}/first/{name}.parquet": name for name in CLEAN}
+    for path, name in first.items():
+        write_clean(star[name], name, path)
+    fewer, broken = f"{folder}/late/print_sales.parquet", f"{folder}/late/ad_revenue.parquet"
+    write_clean(star["print_sales"].where("year >= 2022"), "print_sales", fewer)
+    spark.range(1).selectExpr("'no Parquet' as value").write.text(broken)
+    late = {p: n for p, n in first.items() if n not in ("print_sales", "ad_revenue")} | {fewer: "print_sales"}
+    database = "together_" + folder.rsplit("-", 1)[-1][:12]
+    parts = []
+    try:
+        attempts = {"first": first, "failed": late | {broken: "ad_revenue"}, "missing": late | {f"{folder}/none.parquet": "ad_revenue"}}
+        for step, manifest in attempts.items():
+            try:
+                statuses = publish_together(spark, manifest, f"{folder}/published", database)
+            except PublishError as error:
+                statuses = spark.createDataFrame(error.statuses, STATUS_SCHEMA)
+            for r in statuses.collect():
+                # A view stands for the files of the version that it named when it was asked.
+                rows = spark.table(f"{database}.{r.table}").agg(F.count(F.lit(1)).alias("rows"))
+                parts.append(rows.select(F.lit(step).alias("step"), F.lit(r.table).alias("table"), F.lit(r.status).alias("status"), "rows"))
+        return reduce(DataFrame.unionByName, parts)
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
 
 
 def unread_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +373,18 @@ def net_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def huge_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of prices of which those of first lines are moved up by 60 bits, beyond any long of
+    hundredths; as text, as a double holds no such sum."""
+    first = F.col("l_linenumber") == 1
+    huge = F.floor("l_extendedprice").cast("double") * F.lit(float(1 << 60))
+    signed = F.when(F.col("l_tax") > 0.04, -huge).otherwise(huge)
+    lines = bindings.source(spark, sf_dir, "lineitem")
+    price = F.when(first, signed).otherwise(F.col("l_extendedprice"))
+    sums = lines.groupBy("l_returnflag", "l_linestatus").agg(wide_sum(price).alias("total"))
+    return sums.withColumn("total", F.col("total").cast("decimal(38,2)").cast("string"))
+
+
 def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = bindings.source(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
@@ -354,9 +448,11 @@ QUERIES |= {
     "s1_csv_round_trip": csv_round_trip,
     "s2_every_format": every_format,
     "s1_columns_by_name": reordered_files,
-    "s1_malformed_rows": malformed_files,
+    "s1_malformed_rows": split_sales,
+    "s1_cleaning_counts": cleaning_counts,
     "s3_load_all": loaded_shapes,
     "s7_published_answer": published_answer,
+    "s8_published_together": published_together,
     "q6_from_files": answer_from_files,
     "s10_print_sales": _star_table("print_sales"),
     "s11_ad_revenue": _star_table(
@@ -405,6 +501,7 @@ QUERIES |= {
         lambda df: operators.forward_fill(_last_purchase(df), "last", "event_id", ["user_id"]),
     ),
     "a1_sums_of_long_decimals": net_prices,
+    "a1_sums_of_huge_amounts": huge_prices,
     "d8_constant_fill": _then(
         bindings.raw_ad_revenue,
         lambda df: cleaning.fill_missing_comments(df).select("o_orderkey", "comments"),

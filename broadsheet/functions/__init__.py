@@ -10,6 +10,7 @@ from .measures import (
     safe_ratio,
     strict_greatest,
     strict_sum,
+    wide_sum,
 )
 from .parsing import DATE_FORMATS, date_parts, parse_date, quarter_number, quarter_year, respell, tidy
 
@@ -32,4 +33,5 @@ __all__ = [
     "strict_greatest",
     "strict_sum",
     "tidy",
+    "wide_sum",
 ]

@@ -16,27 +16,47 @@ from pyspark.sql import types as T
 
 
 SUM = T.DecimalType(37, 12)
+WIDE = T.DecimalType(38, 6)
 
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def exact_sum(value: Column | str, digits: int) -> Column:
-    """SUM of a double, as DECIMAL(38,12): no row is rounded, only the sum, to twelve decimals.
+def exact_sum(value: Column | str, digits: int, result: T.DecimalType = SUM) -> Column:
+    """SUM of a double, as DECIMAL(38,12) or `result`: no row is rounded, only the sum, to its decimals.
 
     Rows are added as whole units of the digit given, which costs a fraction of adding decimals.
     The units go in two parts, 20 bits and the rest, so that neither sum can outgrow a long. What
     the units leave of a row is summed as a double; it is exactly 0 for rows with no more digits,
-    whose sum is therefore the same in any order. The decimal is made once per group.
+    whose sum is therefore the same in any order. Rows too large for a long of units are added
+    apart, as whole numbers in limbs of 20 bits above which 60 bits are left for the rest: such
+    numbers have next to no digits behind the point. The decimal is made once per group.
     """
     value, scale = _column(value).cast("double"), F.lit(float(10**digits))
-    units = F.rint(value * scale).cast("long")
+    scaled = value * scale
+    fits = F.abs(scaled) < F.lit(float(1 << 62))
+    units = F.rint(F.when(fits, scaled)).cast("long")
     high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)")
     low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1)))
-    total = (high * F.lit(1 << 20) + low).cast("decimal(26,0)")
-    rest = F.sum(value - units.cast("double") / scale).cast(SUM)
-    return (total * F.lit(Decimal(1).scaleb(-digits))).cast(SUM) + rest
+    total = F.coalesce((high * F.lit(1 << 20) + low).cast("decimal(26,0)"), F.lit(0).cast("decimal(26,0)"))
+
+    whole = F.rint(F.when(~fits, value))
+    top = F.floor(whole / F.lit(float(1 << 60)))
+    below = (whole - top.cast("double") * F.lit(float(1 << 60))).cast("long")
+    limbs = [top] + [F.shiftright(below, n).bitwiseAND(F.lit((1 << 20) - 1)) for n in (40, 20, 0)]
+    large = reduce(
+        lambda upper, limb: (upper * F.lit(1 << 20) + limb).cast("decimal(38,0)"),
+        [F.coalesce(F.sum(limb), F.lit(0)).cast("decimal(38,0)") for limb in limbs],
+    )
+    rest = F.sum(F.coalesce(value - units.cast("double") / scale, value - whole)).cast(result)
+    small = (total * F.lit(Decimal(1).scaleb(-digits))).cast(result)
+    return (small + large.cast(result)).cast(result) + rest
+
+
+def wide_sum(value: Column | str, digits: int = 2) -> Column:
+    """SUM of amounts of any size, as DECIMAL(38,6): sums below 10 ** 32, six decimals."""
+    return exact_sum(value, digits, WIDE).cast(WIDE)
 
 
 def money_sum(amount: Column | str) -> Column:

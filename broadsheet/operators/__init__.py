@@ -7,13 +7,15 @@ from .ordering import (
     global_ntile,
     global_ntiles,
     global_row_number,
+    quantile_search,
     rank_at_most,
     running_total,
 )
-from .pinning import pin, scratch_dir
+from .pinning import checked, local_rows, pin, scratch_dir
 from .profiling import (
     categorical_profile,
     column_types,
+    counted,
     duplicate_rows,
     null_counts,
     numeric_profile,
@@ -24,7 +26,9 @@ from .profiling import (
 __all__ = [
     "case_insensitive",
     "categorical_profile",
+    "checked",
     "column_types",
+    "counted",
     "distinct_values",
     "duplicate_rows",
     "exact_quantiles",
@@ -35,10 +39,12 @@ __all__ = [
     "global_row_number",
     "head",
     "in_rupees",
+    "local_rows",
     "null_counts",
     "numeric_profile",
     "pin",
     "profile",
+    "quantile_search",
     "rank_at_most",
     "running_total",
     "sample_rows",

@@ -26,8 +26,9 @@ def in_rupees(
     `(currency, rate)` with one row per code, left-joined; Spark broadcasts it when it is small.
     """
     if not isinstance(rates, DataFrame):
-        codes = (rates or RUPEE_RATES).items()
-        rate = reduce(lambda case, r: case.when(F.col(currency) == r[0], F.lit(r[1])), codes, F)
+        codes = (RUPEE_RATES if rates is None else rates).items()
+        known = F.when(F.lit(False), F.lit(0.0))  # no rate at all, for an empty mapping
+        rate = reduce(lambda case, r: case.when(F.col(currency) == r[0], F.lit(r[1])), codes, known)
         return df.withColumn(name, half_even(F.col(amount) * rate))
     table = rates.select(F.col("currency").alias("_code"), F.col("rate").alias("_rate"))
     joined = df.join(table, F.col(currency) == F.col("_code"), "left")

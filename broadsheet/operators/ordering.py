@@ -8,11 +8,14 @@ long as a further order column tells its rows apart. The functions that pin run
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .pinning import pin
+from .pinning import local_rows, pin
 
 
 def _column(c: Column | str) -> Column:
@@ -182,64 +185,129 @@ def rank_at_most(df: DataFrame, value: str, k: int, name: str) -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], points: dict[str, float], accuracy: int = 20_000
-) -> DataFrame:
-    """(column, <point names>...) with linearly interpolated quantiles; nulls and NaN are left out.
-
-    A first pass brackets every wanted position by approximate quantiles, whose rank is wrong by at
-    most rows / accuracy. A second pass counts the values below a bracket and shuffles only those
-    inside it, a few in `accuracy`, counted by value; the wanted ones are found by their position.
+@dataclass
+class _Search:
+    """One wanted position of one column: the value there lies in `low` to `high`, both of them
+    values of the column, with at most `inside` rows strictly between them."""
+
+    column: str
+    point: str
+    rank: int
+    share: float
+    low: float
+    high: float
+    inside: float
+    found: float | None = None
+
+    def counts(self, value: Column) -> list[Column]:
+        """Rows below, up to and including either end."""
+        return [F.count_if(value < self.low), F.count_if(value <= self.low),
+                F.count_if(value < self.high), F.count_if(value <= self.high)]
+
+    def between(self, value: Column) -> Column:
+        return F.when((value > self.low) & (value < self.high), value)
+
+    def narrow(self, counted: tuple, values: list[float], total: int, ends: tuple, grid: int, accuracy: int) -> None:
+        """Take the value found, or a closer bracket, from the counts and what lies between."""
+        below, low_end, high_start, upto = counted
+        last = self.rank + (self.share > 0)
+        if not (below <= self.rank and last < upto):  # beyond what an approximation promises
+            self.low, self.high, self.inside = *ends, total
+            return
+        all_here = len(values) == high_start - low_end
+
+        def at(rank: int) -> float | None:
+            if rank < low_end:
+                return self.low
+            if rank >= high_start:
+                return self.high
+            return values[rank - low_end] if all_here else None
+
+        first, second = at(self.rank), at(last)
+        if first is not None and second is not None:
+            self.found = first if first == second else first + (second - first) * self.share
+            return
+        # The grid's values are off by up to `1 / accuracy` of the rows between; its ends are the least
+        # and the largest of those, so each pass leaves fewer values strictly between.
+        rows = high_start - low_end
+        margin = 2 + -(-grid // accuracy)
+        left = max(0, (self.rank - low_end) * grid // rows - margin)
+        right = min(grid, -(-(last - low_end + 1) * grid // rows) + margin)
+        self.low = self.low if self.rank < low_end else values[left]
+        self.high = self.high if last >= high_start else values[right]
+        self.inside = rows * ((right - left) / grid + 2 / accuracy) + 2
+
+
+def quantile_search(
+    df: DataFrame,
+    columns: list[str],
+    points: dict[str, float],
+    extra: list[Column] | None = None,
+    accuracy: int = 20_000,
+    most: int = 10_000,
+    grid: int = 1000,
+) -> tuple[dict[str, dict[str, float | None]], Row]:
+    """Linearly interpolated quantiles per column and point, nulls and NaN left out, and the row of
+    `extra` aggregates, taken in the first pass.
+
+    Distributed selection: a first pass brackets every position between two approximate quantiles,
+    whose rank is wrong by at most rows / accuracy. Each further pass counts the rows below and at
+    either end of the bracket and narrows it, by a grid of approximate quantiles of what lies between,
+    some hundredfold. What is strictly between is known to be at most so many rows however the values
+    tie; once that is no more than `most`, those rows are returned and the position is read off.
+    Each pass is one aggregation over all columns without a shuffle of rows; the driver gets a row.
     """
-    values = long_values(df, columns, "double").where(~F.isnan("value"))
+    # Adding 0.0 makes one zero of two.
+    values = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double") + 0.0) for c in columns}
     slack = 3 / accuracy
-    ends = [(max(0.0, p - slack), min(1.0, p + slack)) for p in points.values()]
-    flat = F.array(*[F.lit(e) for pair in ends for e in pair])
-    bracket = values.groupBy("column").agg(
-        F.percentile_approx("value", flat, accuracy).alias("_ends"),
-        F.count(F.lit(1)).alias("_total"),
-    )
-    wanted = bracket.select(
-        "column",
-        "_total",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("_point"),
-                        F.lit(float(p)).alias("_p"),
-                        # The outermost positions may lie beyond what an approximation returns.
-                        F.when(F.lit(p - slack > 0), F.get("_ends", F.lit(2 * i))).alias("_low"),
-                        F.when(F.lit(p + slack < 1), F.get("_ends", F.lit(2 * i + 1))).alias("_high"),
-                    )
-                    for i, (name, p) in enumerate(points.items())
-                ]
-            )
-        ).alias("_w"),
-    ).select("column", "_total", "_w.*")
-    # One row per column and point. Of the values outside the bracket, the nearest may be wanted.
-    met = values.join(F.broadcast(wanted), "column")
-    side = F.when(F.col("value") < F.col("_low"), -1).when(F.col("value") > F.col("_high"), 1).otherwise(0)
-    counted = (
-        met.withColumn("_side", side)
-        .groupBy("column", "_point", "_p", "_total", "_side", F.when(F.col("_side") == 0, F.col("value")).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_least"), F.max("value").alias("_most"))
-    )
-    along = Window.partitionBy("column", "_point").orderBy("_side", "_value")
-    placed = counted.withColumn("_upto", F.sum("_n").over(along))
-    first, position = F.col("_upto") - F.col("_n"), (F.col("_total") - 1) * F.col("_p")
-
-    def at(rank: Column) -> Column:
-        here = (first <= rank) & (rank < F.col("_upto"))
-        known = (F.col("_side") >= 0) | (rank == F.col("_upto") - 1)
-        return F.max(F.when(here & known, F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least"))))
-
-    share = F.max(position - F.floor(position))
-    low, high = at(F.floor(position)), at(F.ceil(position))
-    found = placed.groupBy("column", "_point").agg((low + (high - low) * share).alias("_found"))
-    return found.groupBy("column").agg(
-        *[F.max(F.when(F.col("_point") == name, F.col("_found"))).alias(name) for name in points]
-    )
+    ends = [e for p in points.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    wanted = F.array(*[F.lit(e) for e in ends])
+    firsts = [
+        F.struct(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"),
+                 F.percentile_approx(v, wanted, accuracy).alias("ends"))
+        for v in values.values()
+    ]
+    row = df.agg(*[f.alias(f"_c{i}") for i, f in enumerate(firsts)], *(extra or [])).first()
+    found: dict[str, dict[str, float | None]] = {c: dict.fromkeys(points) for c in columns}
+    searches, limits = [], {}
+    for i, c in enumerate(columns):
+        n, least, greatest, near = row[f"_c{i}"]
+        limits[c] = (n, (least, greatest))
+        for j, (name, p) in enumerate(points.items()) if n else ():
+            position = (n - 1) * float(p)
+            rank = math.floor(position)
+            low = near[2 * j] if p - slack > 0 else least
+            high = near[2 * j + 1] if p + slack < 1 else greatest
+            searches.append(_Search(c, name, rank, position - rank, low, high, n * (2 * slack + 2 / accuracy) + 2))
+    # The brackets of a small column's three points may be the same; they are counted once each still.
+    probabilities = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
+    while searches:
+        parts = []
+        for s in searches:
+            v = values[s.column]
+            inner = s.between(v)
+            if s.inside <= most:
+                held = F.array_sort(F.collect_list(inner))
+            else:
+                held = F.coalesce(F.percentile_approx(inner, probabilities, accuracy), F.array().cast("array<double>"))
+            parts.append(F.struct(*[c.alias(f"n{i}") for i, c in enumerate(s.counts(v))], held.alias("held")))
+        counted = df.agg(*[p.alias(f"_s{i}") for i, p in enumerate(parts)]).first()
+        for i, s in enumerate(searches):
+            *counts, held = counted[f"_s{i}"]
+            s.narrow(tuple(counts), held, *limits[s.column], grid, accuracy)
+            found[s.column][s.point] = s.found
+        searches = [s for s in searches if s.found is None]
+    return found, row
+
+
+def exact_quantiles(
+    df: DataFrame, columns: list[str], points: dict[str, float], accuracy: int = 20_000, most: int = 10_000
+) -> DataFrame:
+    """(column, <point names>...) of `quantile_search`, whose passes run when this is called."""
+    found, _ = quantile_search(df, columns, points, accuracy=accuracy, most=most)
+    rows = [(c, *of.values()) for c, of in found.items() if any(v is not None for v in of.values())]
+    schema = ", ".join(["column string", *[f"{name} double" for name in points]])
+    return local_rows(df.sparkSession, schema, rows)
 
 
 def long_values(df: DataFrame, columns: list[str], dtype: str) -> DataFrame:

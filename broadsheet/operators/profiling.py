@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import exact_quantiles, long_values
+from .ordering import long_values, quantile_search
+from .pinning import FEW_BYTES, checked, local_rows, pin
 
+_CATEGORICAL = "table string, column string, count long, unique long, top string, freq long"
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
@@ -36,14 +39,38 @@ def null_counts(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame, name: str) -> DataFrame:
-    """(table, duplicates): rows beyond the first of each set of equal rows, nulls equal."""
-    groups = df.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates")).select(
-        F.lit(name).alias("table"), "duplicates"
+def duplicate_rows(df: DataFrame, name: str, digest: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """(table, duplicates): rows beyond the first of each set of equal rows, nulls equal.
+
+    A first pass counts digests of 128 bits, so only those are shuffled. Rows whose digest was met
+    twice are compared whole in a second pass; a table without any needs none. The first pass runs
+    when this is called.
+    """
+    marked = df.withColumn("_digest", (digest or row_digest)(df))
+    counts = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
+    met = pin(counts.where("_n > 1").select("_digest"))
+    if not (n := met.count()):
+        return local_rows(df.sparkSession, "table string, duplicates long", [(name, 0)])
+    few = F.broadcast(met) if 16 * n <= FEW_BYTES else met
+    groups = marked.join(few, "_digest", "left_semi").groupBy(*[f"`{c}`" for c in df.columns])
+    return (
+        groups.agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+        .select(F.lit(name).alias("table"), "duplicates")
     )
 
 
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a row as two longs, the same for rows that group as equal."""
+    cells = []
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        # One zero of two; the hash leaves nulls out, so they are told beside.
+        double = isinstance(field.dataType, (T.DoubleType, T.FloatType))
+        cells += [c + F.lit(0.0) if double else c, c.isNull()]
+    return F.struct(*_hashes(*cells))
+
+
 def shape(df: DataFrame, name: str) -> DataFrame:
     """(table, rows, columns)."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
@@ -64,8 +91,9 @@ def column_types(df: DataFrame, name: str) -> DataFrame:
 def numeric_profile(df: DataFrame, name: str, quantiles: str = "exact") -> DataFrame:
     """(table, column, count, mean, std, min, p25, p50, p75, max) per numeric column.
 
-    `quantiles="approx"` replaces the exact quartiles (a shuffle of the distinct values) by
-    approx_percentile, which stays within the one aggregation pass.
+    The exact quartiles are searched for when this is called, in two passes over a table of up to
+    some millions of rows, in a few more over any other; the first gives the other figures too.
+    `quantiles="approx"` replaces them by approx_percentile, which stays within one pass.
     """
     columns = numeric_columns(df)
     values = {c: F.when(~_missing(df, c), F.col(f"`{c}`").cast("double")) for c in columns}
@@ -84,49 +112,65 @@ def numeric_profile(df: DataFrame, name: str, quantiles: str = "exact") -> DataF
             parts += [F.percentile_approx(v, p).alias(q) for q, p in QUARTILES.items()]
         return F.struct(*parts)
 
-    rows = df.agg(F.array(*[figures(c) for c in columns]).alias("_f")).select(
-        F.explode("_f").alias("_f")
-    )
-    rows = rows.select("_f.*")
+    rows = F.array(*[figures(c) for c in columns]).alias("_f")
     if quantiles == "exact":
-        rows = rows.join(exact_quantiles(df, columns, QUARTILES), "column", "left")
+        found, first = quantile_search(df, columns, QUARTILES, [rows])
+        cells = [(name, *f[:5], *found[f.column].values(), f.max) for f in first["_f"]]
+        schema = ", ".join(f"{c} double" for c in ("mean", "std", "min", *QUARTILES, "max"))
+        return local_rows(df.sparkSession, f"table string, column string, count long, {schema}", cells)
+    rows = df.agg(rows).select(F.explode("_f").alias("_f")).select("_f.*")
     return rows.select(
         F.lit(name).alias("table"), "column", "count", "mean", "std", "min", *QUARTILES, "max"
     )
 
 
 def categorical_profile(df: DataFrame, name: str) -> DataFrame:
-    """(table, column, count, unique, top, freq) per text column; ties for top: smallest value."""
-    columns = text_columns(df)
-    counted = (
-        long_values(df, columns, "string")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    return (
-        counted.groupBy("column")
-        .agg(
-            F.sum("_n").alias("count"),
-            F.count(F.lit(1)).alias("unique"),
-            F.min(F.struct((-F.col("_n")).alias("_n"), "value")).alias("_top"),
-        )
-        .select(
-            F.lit(name).alias("table"),
-            "column",
-            "count",
-            "unique",
-            F.col("_top.value").alias("top"),
-            (-F.col("_top._n")).alias("freq"),
-        )
-    )
-
+    """(table, column, count, unique, top, freq) per text column; ties for top: smallest value.
 
-def profile(df: DataFrame, name: str, quantiles: str = "exact") -> DataFrame:
+    Values are counted by 128 bits of hash, so no text is shuffled. The hashes that are met most
+    often survive, and a second pass takes the smallest text among theirs, which each task reduces
+    to one a column; only where so many tie that they can't be broadcast are texts shuffled. A column
+    without a repeated value needs its smallest only. The passes run when this is called; the driver
+    gets a row a column.
+    """
+    spark, columns = df.sparkSession, text_columns(df)
+    if not columns:
+        return local_rows(spark, _CATEGORICAL, [])
+    hashed = long_values(df, columns, "string").select("column", "value", *_hashes("value"))
+    counts = pin(hashed.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    figures = counts.groupBy("column").agg(F.sum("n"), F.count(F.lit(1)), F.max("n")).collect()
+    repeated = {c: freq for c, _, _, freq in figures if freq > 1}
+    plain = [c for c, *_ in figures if c not in repeated]
+    tops = df.agg(*[F.min(F.col(f"`{c}`").cast("string")) for c in plain]).first() if plain else []
+    top = dict(zip(plain, tops, strict=True))
+    if repeated:
+        often = reduce(lambda a, b: a | b, [(F.col("column") == c) & (F.col("n") == n) for c, n in repeated.items()])
+        survivors = checked(counts.where(often).select("column", "x", "y"), 40)
+        met = hashed.join(survivors, ["column", "x", "y"]).groupBy("column").agg(F.min("value"))
+        top |= dict(map(tuple, met.collect()))
+    return local_rows(spark, _CATEGORICAL, [(name, c, n, unique, top[c], freq) for c, n, unique, freq in figures])
+
+
+def _hashes(*columns: Column | str) -> list[Column]:
+    """Two independent hashes of the columns, as x and y."""
+    return [F.xxhash64(F.lit(seed), *columns).alias(n) for seed, n in ((0, "x"), (1, "y"))]
+
+
+def profile(
+    df: DataFrame,
+    name: str,
+    quantiles: str = "exact",
+    more: list[Column] | None = None,
+    columns: list[str] | None = None,
+) -> DataFrame:
     """The whole profile in long form: (table, column, metric, value, text).
 
     Table-wide metrics have a null column. Numbers are in `value`, types and top values in `text`.
-    Shape, null counts, types and moments come out of one pass over the table.
+    Shape, null counts, types, moments, the first brackets of the exact quartiles and any `more`
+    cells come out of one pass over the table, made when this is called. `columns` are those to
+    describe, all by default; `more` may look at others.
     """
+    whole, df = df, df.select(*[f"`{c}`" for c in columns or df.columns])
     numeric, text = numeric_columns(df), text_columns(df)
     numeric_metrics = ["count", "mean", "std", "min", "max"]
 
@@ -141,22 +185,21 @@ def profile(df: DataFrame, name: str, quantiles: str = "exact") -> DataFrame:
         return F.array(*cells)
 
     table_cells = F.array(
-        _cell(None, "rows", F.count(F.lit(1))), _cell(None, "columns", F.lit(len(df.columns)))
+        _cell(None, "rows", F.count(F.lit(1))), _cell(None, "columns", F.lit(len(df.columns))), *(more or [])
     )
-    one_pass = df.agg(F.concat(table_cells, *[facts(c) for c in df.columns]).alias("_cells"))
+    cells = F.concat(table_cells, *[facts(c) for c in df.columns]).alias("_cells")
+    exact = quantiles == "exact"
+    found, first = quantile_search(whole, numeric if exact else [], QUARTILES, [cells])
+    known = [tuple(cell) for cell in first["_cells"]]
+    known += [(c, q, v, None) for c, of in found.items() for q, v in of.items() if v is not None]
     parts = [
-        one_pass.select(F.inline("_cells")),
+        local_rows(df.sparkSession, "column string, metric string, value double, text string", known),
         duplicate_rows(df, name).select(
             F.inline(F.array(_cell(None, "duplicates", F.col("duplicates"))))
         ),
     ]
-    if numeric:
-        quartiles = (
-            exact_quantiles(df, numeric, QUARTILES)
-            if quantiles == "exact"
-            else numeric_profile(df, name, quantiles).select("column", *QUARTILES)
-        )
-        parts.append(_cells_of(quartiles, list(QUARTILES)))
+    if numeric and not exact:
+        parts.append(_cells_of(numeric_profile(df, name, quantiles).select("column", *QUARTILES), list(QUARTILES)))
     if text:
         parts.append(
             _cells_of(categorical_profile(df, name), ["count", "unique", "freq"], text=["top"])
@@ -165,6 +208,11 @@ def profile(df: DataFrame, name: str, quantiles: str = "exact") -> DataFrame:
     return cells.select(F.lit(name).alias("table"), "column", "metric", "value", "text")
 
 
+def counted(metric: str, column: str | None, test: Column) -> Column:
+    """A further cell of a profile: the rows of which a test holds."""
+    return _cell(column, metric, F.count_if(test))
+
+
 def _cell(
     column: str | Column | None, metric: str, value: Column | None = None, text: Column | None = None
 ) -> Column:

@@ -628,6 +628,46 @@ def shapes_body() -> str:
     )
 
 
+def cleaning_counts() -> str:
+    """Rows, rows that don't fit and labels not read per raw table, nulls per column of print sales."""
+    cells = []
+    for table, view, label in (
+        ("ad_category", "ad_category", None), ("city_data", "city_data", None), ("ad_revenue", "raw_ad_revenue", "quarter"),
+        ("city_readiness", "raw_city_readiness", "quarter"), ("digital_plot", "digital_plot", "launch_month"),
+    ):
+        cells.append(f"SELECT '{table}', '', 'rows', COUNT(*) FROM {view}")
+        cells.append(f"SELECT '{table}', '', 'malformed', 0")
+        if label:
+            cells.append(f"SELECT '{table}', '{label}', 'unread', 0")
+    sales = {
+        ("", "rows"): "true", ("", "malformed"): "n IN (1, 2, 3)", ("Month", "unread"): "Month = 'unknown'",
+        ("Copies Sold", "nulls"): "n = 3", ("copies_returned", "nulls"): "n = 1", ("Net_Circulation", "nulls"): "n = 1",
+        **{(c, "nulls"): "false" for c in ("edition_id", "City_ID", "State", "Month")},
+    }
+    for (column, metric), test in sales.items():
+        cells.append(f"SELECT 'print_sales', '{column}', '{metric}', COUNT(*) FILTER ({test}) FROM numbered")
+    return sql(
+        """
+        WITH numbered AS (SELECT *, CAST(substr(edition_id, 3) AS INTEGER) % 7 AS n FROM raw_print_sales),
+        cells("table", "column", metric, value) AS ("""
+        + "\nUNION ALL ".join(cells)
+        + """)
+        SELECT "table", "column", metric, CAST(value AS DOUBLE) AS value FROM cells""",
+        "ad_category", "city_data", "raw_ad_revenue", "raw_city_readiness", "digital_plot", "raw_print_sales",
+    )
+
+
+def published_together() -> str:
+    tables = ("ad_category", "city_data", "ad_revenue", "city_readiness", "digital_plot", "print_sales")
+    rows = []
+    for step, good, revenue in (("first", "published", "published"), ("failed", "staged", "failed"), ("missing", "published", "missing")):
+        for table in tables:
+            status = revenue if table == "ad_revenue" else good
+            late = " WHERE year >= 2022" if step == "missing" and table == "print_sales" else ""
+            rows.append(f"SELECT '{step}' AS step, '{table}' AS \"table\", '{status}' AS status, COUNT(*) AS rows FROM {table}{late}")
+    return sql("\nUNION ALL ".join(rows), *tables)
+
+
 def shapes() -> str:
     return sql(shapes_body(), *RAW_VIEWS.values())
 
@@ -766,10 +806,14 @@ OPERATORS = {
     ),
     "s1_malformed_rows": sql(
         """
-        SELECT COUNT(*) FILTER (n % 4 IN (1, 2)) AS malformed
-        FROM (SELECT CAST(substr(city_id, 2) AS INTEGER) AS n FROM city_data)""",
-        "city_data",
+        SELECT n NOT IN (1, 2, 3) AS fits, CASE n WHEN 1 THEN 5 WHEN 2 THEN 8 ELSE 7 END AS cells,
+               COUNT(*) AS rows, CAST(SUM(CASE WHEN n <> 3 THEN sold END) AS BIGINT) AS copies
+        FROM (SELECT CAST(substr(edition_id, 3) AS INTEGER) % 7 AS n, "Copies Sold" AS sold FROM raw_print_sales)
+        GROUP BY 1, 2""",
+        "raw_print_sales",
     ),
+    "s1_cleaning_counts": cleaning_counts(),
+    "s8_published_together": published_together(),
     "d10_unread_labels": sql(
         """
         SELECT 'ad_revenue' AS "table", 'quarter' AS "column", CAST(0 AS DOUBLE) AS unread
@@ -832,6 +876,17 @@ OPERATORS = {
                CAST(ROUND(CAST(CAST(SUM(net) AS DOUBLE) / COUNT(*) AS DECIMAL(38,12)), 8) AS DOUBLE) AS mean
         FROM (SELECT *, CAST(l_extendedprice * (1 - l_discount) / 1000 AS DECIMAL(28,12)) AS net FROM lineitem)
         GROUP BY l_returnflag, l_linestatus""",
+    "a1_sums_of_huge_amounts": """
+        SELECT l_returnflag, l_linestatus,
+               CAST(CAST(COALESCE(SUM(huge), 0) AS DECIMAL(38,2)) + CAST(COALESCE(SUM(price), 0) AS DECIMAL(38,2)) AS VARCHAR)
+                 AS total
+        FROM (SELECT l_returnflag, l_linestatus,
+                     CASE WHEN l_linenumber = 1
+                          THEN CAST(floor(l_extendedprice) AS HUGEINT) * 1152921504606846976
+                               * CASE WHEN l_tax > CAST(0.04 AS DOUBLE) THEN -1 ELSE 1 END END AS huge,
+                     CASE WHEN l_linenumber <> 1 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS price
+              FROM lineitem)
+        GROUP BY l_returnflag, l_linestatus""",
     "d7_forward_fill": forward_fill(),
     "d7_forward_fill_sparse": forward_fill(),
     "d7_forward_fill_by_user": forward_fill("PARTITION BY user_id"),

@@ -4,64 +4,63 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_date, quarter_number, quarter_year
-from ..operators import profile
+from ..operators import counted, local_rows, profile
 from ..schemas import CLEAN, RAW
-from ..sources import load_all, malformed_rows, path_of, publish, write_clean
+from ..sources import (
+    RESCUED,
+    does_not_fit,
+    load_all,
+    observing,
+    publish,
+    publish_together,
+    read_set,
+    write_clean,
+)
 from .cleaning import clean_all
 from .questions import QUESTIONS
 
 
-def profile_all(tables: dict[str, DataFrame], quantiles: str = "exact") -> DataFrame:
-    """One quality table for a whole dataset."""
-    parts = [profile(df, name, quantiles) for name, df in tables.items()]
+def profile_all(
+    tables: dict[str, DataFrame], quantiles: str = "exact", more: dict[str, list[Column]] | None = None
+) -> DataFrame:
+    """One quality table for a whole dataset, with further cells of some tables."""
+    parts = [profile(df, name, quantiles, (more or {}).get(name)) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def unread_tests(date_formats: dict[str, str] | None = None) -> dict[str, dict[str, Column]]:
+    """Per raw table and column, whether a quarter or month is there but cannot be read."""
+    quarter = quarter_year("quarter").isNull() | quarter_number("quarter").isNull()
+
+    def unread(column: str, test: Column) -> dict[str, Column]:
+        return {column: F.col(column).isNotNull() & test}
+
+    return {
+        "ad_revenue": unread("quarter", quarter),
+        "city_readiness": unread("quarter", quarter),
+        "digital_plot": unread("launch_month", parse_date("launch_month", date_formats).isNull()),
+        "print_sales": unread("Month", parse_date("Month", date_formats).isNull()),
+    }
+
+
 def unread_labels(
     tables: dict[str, DataFrame], date_formats: dict[str, str] | None = None
 ) -> DataFrame:
     """How many quarters and months of raw tables are there but cannot be read, in the shape of
     the profile: (table, column, metric, value, text)."""
-    quarter = quarter_year("quarter").isNull() | quarter_number("quarter").isNull()
-    unread = {
-        ("ad_revenue", "quarter"): quarter,
-        ("city_readiness", "quarter"): quarter,
-        ("digital_plot", "launch_month"): parse_date("launch_month", date_formats).isNull(),
-        ("print_sales", "Month"): parse_date("Month", date_formats).isNull(),
-    }
     parts = [
-        _figure(tables[t].where(F.col(c).isNotNull()).agg(F.count_if(test).alias("n")), t, c, "unread")
-        for (t, c), test in unread.items()
+        _figure(tables[t].agg(F.count_if(test).alias("n")), t, c, "unread")
+        for t, tests in unread_tests(date_formats).items()
+        for c, test in tests.items()
         if t in tables
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def malformed_counts(
-    spark: SparkSession,
-    folder: str,
-    files: dict[str, str] | None = None,
-    multiline: tuple[str, ...] | None = None,
-) -> DataFrame:
-    """How many rows of the CSV files do not fit their schemas, in the shape of the profile."""
-    parts = [
-        _figure(
-            malformed_rows(
-                spark, t, path_of(folder, t, "csv", files), None if multiline is None else t in multiline
-            ).agg(F.count(F.lit(1)).alias("n")),
-            t,
-            None,
-            "malformed",
-        )
-        for t in RAW
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _figure(counted: DataFrame, table: str, column: str | None, metric: str) -> DataFrame:
     return counted.select(
         F.lit(table).alias("table"),
@@ -72,6 +71,36 @@ def _figure(counted: DataFrame, table: str, column: str | None, metric: str) ->
     )
 
 
+def clean_and_count(
+    spark: SparkSession,
+    raw_folder: str,
+    clean_folder: str,
+    date_formats: dict[str, str] | None = None,
+    **load,
+) -> tuple[dict[str, str], DataFrame]:
+    """Load, clean and store every table as Parquet: the publish manifest, and what was counted on
+    the way, in the shape of the profile: per raw table its rows, those that do not fit the schema,
+    labels that cannot be read, and nulls per column.
+
+    The counts are observed on the rows that are being cleaned, so a file is read once for all of it.
+    """
+    tests, manifest, cells = unread_tests(date_formats), {}, []
+    for name, raw in load_all(spark, raw_folder, rescue=True, **load).items():
+        wanted = {
+            (None, "rows"): F.count(F.lit(1)),
+            (None, "malformed"): F.count_if(does_not_fit(RAW[name])),
+            **{(c, "unread"): F.count_if(test) for c, test in tests.get(name, {}).items()},
+            **{(c, "nulls"): F.count_if(F.col(f"`{c}`").isNull()) for c in RAW[name].names},
+        }
+        observed, counts = observing(raw, {f"n{i}": count for i, count in enumerate(wanted.values())})
+        cleaned = clean_all({name: observed.drop(RESCUED)}, date_formats)[name]
+        path = f"{clean_folder.rstrip('/')}/{name}.parquet"
+        write_clean(cleaned, name, path)
+        manifest[path] = name
+        cells += [(name, *w, float(n), None) for w, n in zip(wanted, counts().values(), strict=True)]
+    return manifest, local_rows(spark, "table string, column string, metric string, value double, text string", cells)
+
+
 def clean_to_files(
     spark: SparkSession,
     raw_folder: str,
@@ -80,13 +109,7 @@ def clean_to_files(
     **load,
 ) -> dict[str, str]:
     """Load, clean and store every table as Parquet; returns the publish manifest."""
-    cleaned = clean_all(load_all(spark, raw_folder, **load), date_formats)
-    manifest = {}
-    for name, df in cleaned.items():
-        path = f"{clean_folder.rstrip('/')}/{name}.parquet"
-        write_clean(df, name, path)
-        manifest[path] = name
-    return manifest
+    return clean_and_count(spark, raw_folder, clean_folder, date_formats, **load)[0]
 
 
 def quality(
@@ -94,13 +117,19 @@ def quality(
 ) -> DataFrame:
     """The profile of all tables before and after cleaning, with what could not be read before.
 
-    (stage, table, column, metric, value, text); stage is `raw` or `clean`.
+    (stage, table, column, metric, value, text); stage is `raw` or `clean`. Labels that cannot be
+    read and rows that don't fit are counted in the first pass of the raw tables' profile.
     """
-    raw = load_all(spark, raw_folder, **load)
-    parts = [profile_all(raw), unread_labels(raw, date_formats)]
+    rescued = load_all(spark, raw_folder, rescue=True, **load)
+    raw = {name: df.drop(RESCUED) for name, df in rescued.items()}
+    more = {t: [counted("unread", c, test) for c, test in tests.items()] for t, tests in unread_tests(date_formats).items()}
     if load.get("fmt", "csv") == "csv":
-        parts.append(malformed_counts(spark, raw_folder, load.get("files"), load.get("multiline")))
-    before = reduce(DataFrame.unionByName, parts).withColumn("stage", F.lit("raw"))
+        for name in rescued:
+            more.setdefault(name, []).append(counted("malformed", None, does_not_fit(RAW[name])))
+    before = reduce(
+        DataFrame.unionByName,
+        [profile(df, name, columns=RAW[name].names, more=more.get(name)) for name, df in rescued.items()],
+    ).withColumn("stage", F.lit("raw"))
     after = profile_all(clean_all(raw, date_formats)).withColumn("stage", F.lit("clean"))
     columns = ("stage", "table", "column", "metric", "value", "text")
     return before.unionByName(after).select(*columns)
@@ -134,9 +163,16 @@ def publish_answers(answers: dict[str, DataFrame], database: str | None = None)
 
 
 def run(
-    spark: SparkSession, raw_folder: str, clean_folder: str, database: str, **load
+    spark: SparkSession, raw_folder: str, clean_folder: str, database: str, versions: str | None = None, **load
 ) -> dict[str, DataFrame]:
-    """Raw files to answers, through the published tables of `database`."""
+    """Raw files to answers, through the published tables of `database`.
+
+    Tables are replaced one after the other. With `versions`, a folder, all of them are replaced in
+    one step or none is, the database has views of them, and the answers are those of one version.
+    """
     manifest = clean_to_files(spark, raw_folder, clean_folder, **load)
+    if versions:
+        publish_together(spark, manifest, versions, database)
+        return answer_all(read_set(spark, versions))
     publish(spark, manifest, database)
     return answer_all(published(spark, database))

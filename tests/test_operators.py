@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from broadsheet import operators
 from broadsheet.functions import money_sum
-from broadsheet.operators.ordering import exact_quantiles
+from broadsheet.operators.ordering import exact_quantiles, quantile_search
+from broadsheet.operators.profiling import row_digest
 
 
 # ---- fan-out sums ---------------------------------------------------------------------------
@@ -202,9 +203,63 @@ def test_quantiles_do_not_depend_on_the_bracket(table, rows):
         assert rows(exact_quantiles(df, ["a"], points, accuracy))[0][1:] == pytest.approx(expected)
 
 
+@pytest.mark.parametrize(("accuracy", "most", "grid"), [(20, 5, 40), (200, 1, 100), (20_000, 10_000, 1000)])
+def test_quantiles_by_repeated_bracketing(table, spark, accuracy, most, grid):
+    """Narrowing in many passes, over ties, signed zeros, infinities and columns without values."""
+    rng = random.Random(accuracy)
+    rows = [
+        (
+            rng.choice([0.0, -0.0, 1.5, 1.5, 2.0, math.inf, -math.inf, math.nan, None]),
+            rng.gauss(0, 1) if i % 3 else 0.25,
+            i // 100,
+            None,
+        )
+        for i in range(700)
+    ]
+    df = table("ties double, mixed double, steps int, none double", *rows).repartition(5)
+    points = {"low": 0.0, "a": 0.1, "p50": 0.5, "b": 0.777, "high": 1.0}
+    found, row = quantile_search(df, df.columns, points, [F.count(F.lit(1)).alias("n")], accuracy, most, grid)
+    assert row["n"] == 700 and set(found["none"].values()) == {None}
+    for c in ("ties", "mixed", "steps"):
+        held = sorted(float(r[c]) for r in df.collect() if r[c] is not None and not math.isnan(r[c]))
+        for name, p in points.items():
+            at = (len(held) - 1) * p
+            low, high = held[math.floor(at)], held[math.ceil(at)]
+            expected = low if low == high else low + (high - low) * (at - math.floor(at))
+            assert found[c][name] == pytest.approx(expected, nan_ok=True)
+
+
+def test_quantiles_gather_no_rows(spark, sf_dir):
+    """Every pass is an aggregation to one row; the result is a relation of the plan."""
+    from broadsheet import catalogue
+
+    df = catalogue.QUERIES["d5_numeric_profile"](spark, sf_dir)
+    text = df._jdf.queryExecution().toString()
+    assert "Window" not in text and "Exchange" not in text
+
+
 # ---- quality ------------------------------------------------------------------------------------
 
 
+def test_forged_digests_are_compared_whole(messy, table, rows):
+    same = lambda df: F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"))
+    assert rows(operators.duplicate_rows(messy, "t", same)) == [("t", 2)]
+    apart = table("a int, b double, c string", (None, 1.0, "x"), (1, None, "x"), (None, None, None), (None, 0.0, "x"), (None, -0.0, "x"))
+    assert rows(operators.duplicate_rows(apart, "t", same)) == rows(operators.duplicate_rows(apart, "t")) == [("t", 1)]
+
+
+def test_digests_are_all_that_is_shuffled_first(messy):
+    counts = messy.withColumn("_digest", row_digest(messy)).groupBy("_digest").count()
+    text = counts._jdf.queryExecution().toString()
+    assert dict(counts.dtypes)["_digest"] == "struct<x:bigint,y:bigint>" and "hashpartitioning(_digest" in text
+
+
+def test_top_values_by_hash(table, rows):
+    df = table("a string, b string, c string", ("x", "q", None), ("x", "p", None), ("y", "r", None), ("y", "", None), ("", "s", None))
+    assert sorted(rows(operators.categorical_profile(df, "t"))) == [("t", "a", 5, 3, "x", 2), ("t", "b", 5, 5, "", 1)]
+    assert rows(operators.categorical_profile(table("a int", (1,)), "t")) == []
+
+
 @pytest.fixture
 def messy(table):
     return table(

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 from broadsheet import bindings
 from broadsheet.operators.pinning import checkpoint_dir
 from broadsheet.plans import job
-from broadsheet.schemas import RAW
+from broadsheet.schemas import CLEAN, RAW
 from broadsheet.sources import (
+    RESCUED,
     PublishError,
+    current_set,
     load_all,
     load_table,
     malformed_rows,
+    point_to,
     publish,
+    publish_together,
+    read_set,
+    split_rows,
     use_database,
     write_clean,
+    writers,
 )
 from broadsheet.sources.readers import format_of
 
@@ -163,6 +173,117 @@ def test_publish_goes_on_after_a_failure_and_raises_at_the_end(spark, tmp_path):
     assert spark.table("fails.city_data").count() == 1
 
 
+@pytest.fixture
+def six_tables(spark, tmp_path):
+    """A small CSV file of every table, and the manifest of all of them."""
+
+    def build(folder, rows):
+        made = {}
+        for name, schema in RAW.items():
+            path = tmp_path / folder / f"{name}.parquet"
+            values = [tuple(_cell(f.dataType, i) for f in CLEAN[name]) for i in range(rows)]
+            spark.createDataFrame(values, CLEAN[name]).write.parquet(str(path))
+            made[str(path)] = name
+        return made
+
+    return build
+
+
+def _cell(kind, i):
+    if isinstance(kind, T.DateType):
+        return datetime.date(2024, 1, 1)
+    return {"string": f"t{i}", "double": float(i)}.get(kind.simpleString(), i)
+
+
+def test_all_tables_are_published_or_none(spark, six_tables, tmp_path):
+    folder = str(tmp_path / "published")
+    assert current_set(spark, folder) == (0, {}) and read_set(spark, folder) == {}
+    statuses = publish_together(spark, six_tables("one", 1), folder, "together")
+    assert {r.status for r in statuses.collect()} == {"published"}
+    before = read_set(spark, folder)
+
+    second = six_tables("two", 2)
+    fourth = list(second)[3]
+    broken = tmp_path / "broken.parquet"
+    broken.write_text("not parquet")
+    failing = {(str(broken) if p == fourth else p): n for p, n in second.items()}
+    with pytest.raises(PublishError) as error:
+        publish_together(spark, failing, folder, "together")
+    assert [s[2] for s in error.value.statuses].count("failed") == 1
+    assert {s[2] for s in error.value.statuses} == {"staged", "failed"}
+    for name in RAW:
+        assert read_set(spark, folder)[name].count() == spark.table(f"together.{name}").count() == 1
+
+    publish_together(spark, second, folder, "together")
+    for name in RAW:
+        assert read_set(spark, folder)[name].count() == spark.table(f"together.{name}").count() == 2
+        assert before[name].count() == 1  # who reads the old version goes on reading it
+    assert read_set(spark, folder)["print_sales"].schema.names == CLEAN["print_sales"].names
+
+    point_to(spark, folder, 1, "together")
+    assert current_set(spark, folder)[0] == 3 and spark.table("together.city_data").count() == 1
+    with pytest.raises(ValueError, match="no version 9"):
+        point_to(spark, folder, 9)
+
+
+def test_skipped_tables_keep_their_last_version(spark, six_tables, tmp_path):
+    folder = str(tmp_path / "published")
+    publish_together(spark, six_tables("one", 1), folder)
+    later = {p: n for p, n in six_tables("two", 2).items() if n == "city_data"}
+    later |= {str(tmp_path / "none.parquet"): "ad_category", str(tmp_path / "x.xlsx"): "print_sales"}
+    status = {r.table: r.status for r in publish_together(spark, later, folder).collect()}
+    assert status == {"city_data": "published", "ad_category": "missing", "print_sales": "unsupported"}
+    counts = {n: df.count() for n, df in read_set(spark, folder).items()}
+    assert counts == {n: 2 if n == "city_data" else 1 for n in RAW}
+
+
+def test_a_version_is_written_once(spark, six_tables, tmp_path):
+    """Of two publishers of the same version the second fails, and changes nothing."""
+    folder = str(tmp_path / "published")
+    publish_together(spark, six_tables("one", 1), folder)
+    with pytest.raises(AnalysisException):
+        writers._point(spark, folder, 1, {"city_data": "elsewhere"}, None)
+    assert len(current_set(spark, folder)[1]) == 6
+
+
+def test_an_error_without_a_text_is_a_status(spark, monkeypatch, tmp_path):
+    def fail(*_, **__):
+        raise RuntimeError
+
+    monkeypatch.setattr(writers, "load_table", fail)
+    with pytest.raises(PublishError) as error:
+        publish(spark, {str(tmp_path / "a.parquet"): "city_data"}, "silent")
+    assert error.value.statuses[0][2:] == ("failed", "")
+
+
+def test_rows_that_do_not_fit_are_split_off_in_one_scan(spark, tmp_path):
+    path = tmp_path / "print_sales.csv"
+    head = ",".join(RAW["print_sales"].names)
+    path.write_text(f"{head}\nE1,C1,S,2024-01,5,1,4\nE2,C1,S\nE3,C1,S,2024-01,many,1,4\nE4,C1,S,2024-01,5,1,4,9\n")
+    split = split_rows(spark, "print_sales", str(path), str(tmp_path / "split"))
+    assert split.counts == {"rows": 4, "malformed": 3}
+    assert [r.edition_id for r in split.good.collect()] == ["E1"] and split.good.columns == RAW["print_sales"].names
+    assert sorted(r[RESCUED] for r in split.bad.collect()) == [
+        "E2,C1,S", "E3,C1,S,2024-01,many,1,4", "E4,C1,S,2024-01,5,1,4,9",
+    ]
+    empty = tmp_path / "empty.csv"
+    empty.write_text(head + "\n")
+    assert split_rows(spark, "print_sales", str(empty), str(tmp_path / "none")).counts == {"rows": 0, "malformed": 0}
+
+
+def test_cleaning_counts_on_the_way(spark, tmp_path):
+    for name, schema in RAW.items():
+        (tmp_path / f"{name}.csv").write_text(",".join(schema.names) + "\n")
+    sales = ["E1,C1,S,2024-01,5,1,4", "E2,C1,S,unknown,5,1,4", "E3,C1,S"]
+    (tmp_path / "print_sales.csv").write_text("\n".join([",".join(RAW["print_sales"].names), *sales]) + "\n")
+    manifest, counts = job.clean_and_count(spark, str(tmp_path), str(tmp_path / "clean"))
+    found = {(r.table, r.column, r.metric): r.value for r in counts.collect()}
+    assert found["print_sales", None, "rows"] == 3 and found["print_sales", None, "malformed"] == 1
+    assert found["print_sales", "Month", "unread"] == 1 and found["print_sales", "Copies Sold", "nulls"] == 1
+    assert found["city_data", None, "rows"] == 0 and sorted(manifest.values()) == sorted(RAW)
+    assert spark.read.parquet(next(p for p, n in manifest.items() if n == "print_sales")).count() == 3
+
+
 def test_use_database_twice(spark):
     before = spark.catalog.currentDatabase()
     use_database(spark, "twice")
@@ -207,6 +328,8 @@ def test_raw_files_to_answers(spark, sf_dir, tmp_path):
     unread = {r.table: r.value for r in quality.where("metric = 'unread'").collect()}
     assert unread["print_sales"] > 0 and unread["ad_revenue"] == 0
     assert {r.value for r in quality.where("metric = 'malformed'").collect()} == {0.0}
+    at_once = job.run(spark, str(raw), str(tmp_path / "clean2"), "newspaper_views", versions=str(tmp_path / "versions"))
+    assert {n: df.count() for n, df in at_once.items()} == counts
     job.publish_answers({"q8_sharpest_falls": answers["q8_sharpest_falls"]}, "newspaper")
     assert spark.table("newspaper.q8_sharpest_falls").count() == 3
 
