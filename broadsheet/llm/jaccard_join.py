@@ -32,9 +32,9 @@ from .common import shingle_hashes, small, stored, text_portions
 from .linking import linked_groups
 
 _PORTION = 1 << 20
-#: Tables of so many shingle hashes, some tens of megabytes, travel to every task; larger ones are
-#: joined by a shuffle.
-_FEW_TOKENS = 2_000_000
+#: Tables of so many shingle hashes, some thirty megabytes once hashed for a join, travel to every
+#: task by way of the driver; larger ones are joined by a shuffle.
+_FEW_TOKENS = 400_000
 
 
 def required(n: int, percent: int) -> int:

@@ -8,8 +8,8 @@ least once with probability 1 - 0.81 ** bands: 0.9988 for 32. A verbatim piece h
 0.9999.
 
 Retrieved templates are verified by exact containment: the share of their distinct shingles that
-the whole text has. A window without any shingle of any template cannot collide in any band, so
-only windows around such shingles are signed. A template of fewer words than a shingle is one
+the whole text has. An exact lookup of all templates' shingles goes ahead: a window without any of
+them cannot collide in any band but by chance, so only windows around such shingles are signed. A template of fewer words than a shingle is one
 shingle of its own length, and looked for among the text's shingles of that length. The templates are a parameter of bounded size and
 travel with the function; nothing is shuffled.
 """

@@ -7,8 +7,9 @@ characters between them, a secret beside an identifier or an endpoint. A scope i
 without a blank line.
 
 The interval join needs no pairs: for intervals in order, the nearest part of a role is the one
-before that ends last or the one behind that starts first, which two windows find. Equal texts are
-scanned as one; positions come from the lengths of the matches and of the text between them.
+before that ends last or the one behind that starts first, which two windows find. Every row is
+scanned; the matches of equal texts are then taken as one. Positions come from the lengths of the
+matches and of the text between them.
 """
 
 from __future__ import annotations
