@@ -55,11 +55,12 @@ def chosen_prefix(
     `ranks` are the places by hash of the shingles that others have too, `counts` how many have
     them, `known` is how many shingles by hash are known at all. None if those are too few.
     """
+    # Crowded shingles come last, so where not all of the set is known they are beyond any prefix.
     crowded = counts >= crowd
-    place = ranks - (np.cumsum(crowded) - crowded)
     light = known - int(crowded.sum())
+    last = light + np.cumsum(crowded) - 1 if known == n else n
+    place = np.where(crowded, last, ranks - (np.cumsum(crowded) - crowded))
     if known == n:
-        place = np.where(crowded, light + np.cumsum(crowded) - 1, place)
         light = n
     needed = required(n, percent)
     best, best_cost = 0, np.inf

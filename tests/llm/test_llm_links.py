@@ -98,6 +98,10 @@ def test_a_prefix_holds_the_least_shared_shingles():
         assert 1 <= level <= jaccard_join.required(n, 85)
         assert inside.sum() == n - jaccard_join.required(n, 85) + level
     assert jaccard_join.chosen_prefix(100, ranks[:20], np.full(20, 99), 25, 85, 6, 64) is None
+    # Crowded shingles are in no prefix as long as there are enough others.
+    counts = np.where(np.arange(30) % 3 == 0, 99, 2)
+    level, inside = jaccard_join.chosen_prefix(100, np.arange(30), counts, 40, 85, 6, 64)
+    assert level and inside[counts == 2].sum() >= 15 and not inside[counts == 99].any()
 
 
 def test_components_of_a_path_and_a_star(spark):
