@@ -135,7 +135,9 @@ def whole_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: Data
     ids = small(wanted.select("doc").distinct())
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     rows = rows.join(ids, F.col("id").eqNullSafe(F.col("doc")), "left_semi")
-    signed = rows.select(whole("t").alias("w")).select("w.*")
+    # A deterministic function would move below this join, as the next one's test for nulls, and sign
+    # every document.
+    signed = rows.select(whole.asNondeterministic()("t").alias("w")).select("w.*")
     # Rows with one id may have several texts, and one class may be met again: one row a class.
     return (
         signed.join(wanted.select("node", "digest"), "digest")
