@@ -227,7 +227,7 @@ def jaccard_groups(
     counts = stored(
         rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts"
     )
-    held = rows.join(small(counts, _FEW_TOKENS), "token")
+    held = rows.join(counts, "token")
     shared = held.groupBy("node", "n").agg(F.collect_list(F.struct("rank", "token", "df")).alias("shared"))
     choose = _choose("emitted", percent, most_shared, crowd)
     first = stored(
@@ -246,7 +246,7 @@ def jaccard_groups(
     ).select("node", "n", "rank", F.col("flipped").bitwiseXOR(F.expr("1L << 63")).alias("token"))
     again = _choose("whole", percent, most_shared, crowd)
     second = stored(
-        listed.join(small(counts, _FEW_TOKENS), "token", "left")
+        listed.join(counts, "token", "left")
         .withColumn("df", F.coalesce("df", F.lit(1).cast("long")))
         .groupBy("node", "n")
         .agg(F.collect_list(F.struct("rank", "token", "df")).alias("shared"))
@@ -262,7 +262,7 @@ def jaccard_groups(
     width = math.log(100 / percent) * (1 + 1e-6)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
     seconds = second.select(F.explode("tokens").alias("token"), band.alias("band"))
-    seconds = seconds.join(small(counts, _FEW_TOKENS), "token", "left_anti")
+    seconds = seconds.join(counts, "token", "left_anti")
     beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     added = stored(seconds.select("token", beside).distinct(), "added")
     met = (
