@@ -21,6 +21,7 @@ SOURCES = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey long, c_nationkey int",
+    "part": "p_partkey long, p_brand string",
     "supplier": "s_suppkey long, s_nationkey int",
     "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
     "o_orderdate timestamp_ntz, o_orderpriority string",

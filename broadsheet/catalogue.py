@@ -373,6 +373,22 @@ def net_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hot_part_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity and items by brand and return flag, with every even line item moved to part 1, so that
+    one key holds more than two fifths of the fact."""
+    moved = F.when(F.col("l_linenumber") % 2 == 0, F.lit(1).cast("long")).otherwise(F.col("l_partkey"))
+    lines = bindings.source(spark, sf_dir, "lineitem").select(
+        moved.alias("p_partkey"), "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"
+    )
+    parts = bindings.source(spark, sf_dir, "part")
+    joined = operators.sliced_join(
+        lines, parts, ["p_partkey"], rows_per_slice=4096, told_by=["l_orderkey", "l_linenumber"]
+    )
+    return joined.groupBy("p_brand", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("items"), money_sum("l_quantity").cast("double").alias("quantity")
+    )
+
+
 def huge_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of prices of which those of first lines are moved up by 60 bits, beyond any long of
     hundredths; as text, as a double holds no such sum."""
@@ -533,6 +549,7 @@ QUERIES |= {
     "q1_from_raw": _from_raw("q1_state_trend", "print_sales"),
     "q1_from_mixed_case": state_trend_mixed_case,
     "q3_from_raw": _from_raw("q3_category_strength", "ad_revenue", amount="ad_revenue_inr"),
+    "j1_hot_part_sums": hot_part_sums,
     "j3_fanout_sums": fanout_by_state,
     "w5_ntile": order_quartiles,
     "w6_row_number": order_positions,

@@ -22,6 +22,7 @@ from .profiling import (
     profile,
     shape,
 )
+from .skew import sliced_join
 
 __all__ = [
     "case_insensitive",
@@ -50,4 +51,5 @@ __all__ = [
     "sample_rows",
     "scratch_dir",
     "shape",
+    "sliced_join",
 ]

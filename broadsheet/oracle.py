@@ -950,6 +950,11 @@ OPERATORS = {
     "q3_from_raw": category_strength(
         "CAST(ad_revenue_inr AS DECIMAL(28,10))", "clean_ad_revenue", "clean_ad_revenue"
     ),
+    "j1_hot_part_sums": """
+        SELECT p_brand, l_returnflag, COUNT(*) AS items, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
+        FROM lineitem
+        JOIN part ON p_partkey = CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE l_partkey END
+        GROUP BY p_brand, l_returnflag""",
     "j3_fanout_sums": sql(
         f"""
         SELECT ps.state AS "State", ps.year, CAST(SUM(ps.net_circulation) AS BIGINT) AS net,
