@@ -24,34 +24,46 @@ from broadsheet.operators.pinning import pin
 from .common import small, stored
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of the links (a, b); a component is its smallest node.
+#: Rows of links that one task holds.
+_TASK_ROWS = 1 << 20
 
-    Large and small stars by turns, until nothing changes: about the logarithm of the longest path
-    in rounds. Each round is checkpointed.
+
+def _star(links: DataFrame, before: DataFrame | None = None, turns: int | None = None) -> DataFrame:
+    """(u, v), v < u, with the same components as the links (a, b) and the star `before` together.
+
+    Large and small stars by turns: every link is moved to the least neighbour of its smaller end, then
+    every node and its smaller neighbours are linked with the least of those. Without `turns` this goes
+    on until nothing changes, about the logarithm of the longest path in turns: then `v` is the smallest
+    node of the component of `u`. Each turn is checkpointed, in partitions that fit the number of links,
+    which no turn raises.
     """
-    edges = pin(
-        links.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if before is not None:
+        edges = edges.union(before)
+    edges = pin(edges.distinct())
     signature = None
-    while True:
+    while turns is None or turns > 0:
         state = edges.agg(
             F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")
         ).first()
         if state == signature:
             break
         signature = state
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        down = edges.groupBy(F.col("u").alias("end")).agg(F.min("v").alias("m"))
+        large = edges.join(down, F.col("v") == F.col("end"), "left")
+        large = large.select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = pin(moved.union(least).distinct())
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return found.union(found.select("component", "component")).distinct()
+        edges = pin(moved.union(least).distinct().coalesce(state[0] // _TASK_ROWS + 1))
+        turns = turns and turns - 1
+    return edges
+
+
+def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(node, component) of every node of the links (a, b) and of `before`, a star of some of them; a
+    component is its smallest node."""
+    found = _star(links, before).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.union(found.select("component", "component").distinct())
 
 
 def common_items(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -98,7 +110,7 @@ def linked_groups(
     near = F.expr(
         f"100 * least(n, n2) >= {percent} * greatest(n, n2) and 100 * {most} >= {percent} * (n + n2 - {most})"
     )
-    links, placed = [], None
+    star, placed = None, None
     members = _with_lone(members, sets_of, percent, crowd)
 
     def rows() -> DataFrame:
@@ -135,8 +147,11 @@ def linked_groups(
         pairs = stored(met.select(F.col("node").alias("a"), "b").distinct(), "hub-pairs")
         if pairs.isEmpty():
             break
-        links.append(pin(verified(pairs, sets_of, percent)))
-        placed = pin(components(_all(links)))
+        # Two turns join nearly all of what hubs link. Equal labels are in one group; what these leave
+        # apart is compared needlessly, no more.
+        star = _star(pin(verified(pairs, sets_of, percent)), star, turns=2)
+        labels = star.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        placed = pin(labels.coalesce(star.count() // _TASK_ROWS + 1))
 
     now = rows()
     crossed = stored(
@@ -169,8 +184,7 @@ def linked_groups(
         .where("shared >= least")
         .select("a", "b")
     )
-    links.append(pin(verified(stored(pairs, "pairs"), sets_of, percent)))
-    return pin(components(_all(links)))
+    return pin(components(pin(verified(stored(pairs, "pairs"), sets_of, percent)), star))
 
 
 def _with_lone(members: DataFrame, sets_of: Sets, percent: int, crowd: int) -> DataFrame:
@@ -192,10 +206,3 @@ def _with_lone(members: DataFrame, sets_of: Sets, percent: int, crowd: int) -> D
     rest = members.join(crowded, "key", "left_anti").withColumn("lone", F.lit(0))
     columns = ["node", "n", "key", "need", "lone"]
     return stored(rest.select(*columns).union(kept.select(*columns)), "members")
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    return found
