@@ -32,9 +32,6 @@ from .common import shingle_hashes, small, stored, text_portions
 from .linking import linked_groups
 
 _PORTION = 1 << 20
-#: Tables of so many shingle hashes, some thirty megabytes once hashed for a join, travel to every
-#: task by way of the driver; larger ones are joined by a shuffle.
-_FEW_TOKENS = 400_000
 
 
 def required(n: int, percent: int) -> int:
@@ -266,16 +263,15 @@ def jaccard_groups(
     beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     added = stored(seconds.select("token", beside).distinct(), "added")
     met = (
-        rows.join(small(added.select("token").distinct(), _FEW_TOKENS), "token", "left_semi")
-        .withColumn("band", band)
-        .join(small(added, _FEW_TOKENS), ["token", "band"], "left_semi")
+        rows.withColumn("band", band)
+        .join(added, ["token", "band"], "left_semi")
         .join(small(second.select("node")), "node", "left_anti")
         .join(small(first.select("node", "l")), "node", "left")
         .select("node", "n", F.coalesce("l", F.lit(1)).alias("need"), F.col("token").alias("key"))
     )
     members = stored(members.union(met).distinct(), "held-keys")
     met_twice = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    members = stored(members.join(small(stored(met_twice, "keys"), _FEW_TOKENS), "key"), "members")
+    members = stored(members.join(stored(met_twice, "keys"), "key"), "members")
     # Only keys of crowded shingles are crowds, which few documents have in their prefix.
     groups = linked_groups(members.select("node", "n", "key", "need"), sets_of, percent, crowd)
 
