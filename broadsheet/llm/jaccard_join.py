@@ -140,29 +140,55 @@ def whole_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: Data
     signed = rows.select(whole.asNondeterministic()("t").alias("w")).select("w.*")
     # Rows with one id may have several texts, and one class may be met again: one row a class.
     return (
-        signed.join(wanted.select("node", "digest"), "digest")
+        signed.join(small(wanted.select("node", "digest")), "digest")
         .groupBy("node")
         .agg(F.first("items").alias("items"))
     )
 
 
-def _choose(known: str, percent: int, most_shared: int, crowd: int):
+def _chosen(found: list[tuple[int, np.ndarray] | None]) -> pa.Array:
+    levels = [f and f[0] for f in found]
+    tokens = [f[1] if f else np.empty(0, np.int64) for f in found]
+    return pa.StructArray.from_arrays([pa.array(levels, pa.int32()), _lists(tokens, pa.int64())], ["l", "tokens"])
+
+
+def _choose(percent: int, most_shared: int, crowd: int):
+    """The l and the tokens of the prefix of a set of n, from the first shingles that others have too."""
+
     @F.arrow_udf("struct<l:int,tokens:array<long>>")
     def choose(n: pa.Array, shared: pa.Array) -> pa.Array:
-        levels, tokens = [], []
+        prefixes = []
         for size, held in zip(n.to_pylist(), shared, strict=True):
             values = held.values
             ranks = values.field("rank").to_numpy()
             order = np.argsort(ranks)
             counts = values.field("df").to_numpy()[order]
-            have = size if known == "whole" else emitted(size, percent, most_shared)
+            have = emitted(size, percent, most_shared)
             found = chosen_prefix(size, ranks[order], counts, have, percent, most_shared, crowd)
-            levels.append(found and found[0])
             names = values.field("token").to_numpy()[order]
-            tokens.append(names[found[1]] if found else names[:0])
-        return pa.StructArray.from_arrays(
-            [pa.array(levels, pa.int32()), _lists(tokens, pa.int64())], ["l", "tokens"]
-        )
+            prefixes.append(found and (found[0], names[found[1]]))
+        return _chosen(prefixes)
+
+    return choose
+
+
+def _choose_whole(percent: int, most_shared: int, crowd: int):
+    """The same from a whole set; shingles that are not among those counted are its own."""
+
+    @F.arrow_udf("struct<l:int,tokens:array<long>>")
+    def choose(items: pa.Array, counted: pa.Array) -> pa.Array:
+        prefixes = []
+        for held, known in zip(items, counted, strict=True):
+            # In the order of the first look, which is by unsigned value.
+            names = np.sort(held.values.to_numpy().view(np.uint64))
+            counts = np.ones(len(names), np.int64)
+            if known.is_valid:
+                tokens = known.values.field("token").to_numpy().view(np.uint64)
+                counts[np.searchsorted(names, tokens)] = known.values.field("df").to_numpy()
+            n = len(names)
+            found = chosen_prefix(n, np.arange(n), counts, n, percent, most_shared, crowd)
+            prefixes.append(found and (found[0], names[found[1]].view(np.int64)))
+        return _chosen(prefixes)
 
     return choose
 
@@ -227,9 +253,11 @@ def jaccard_groups(
     counts = stored(
         rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts"
     )
-    held = rows.join(counts, "token")
-    shared = held.groupBy("node", "n").agg(F.collect_list(F.struct("rank", "token", "df")).alias("shared"))
-    choose = _choose("emitted", percent, most_shared, crowd)
+    # The size of a set is not moved with each of its shingles.
+    held = rows.select("node", "rank", "token").join(counts, "token")
+    shared = held.groupBy("node").agg(F.collect_list(F.struct("rank", "token", "df")).alias("shared"))
+    shared = shared.join(classes.select("node", "n"), "node")
+    choose = _choose(percent, most_shared, crowd)
     first = stored(
         shared.select("node", "n", choose("n", "shared").alias("p")).select("node", "n", "p.*"), "prefixes"
     )
@@ -240,17 +268,12 @@ def jaccard_groups(
         return whole_sets(plain, "id", "text", words, stored(wanted, "wanted"))
 
     short_sets = stored(sets_of(first.where("l is null").select("node")), "short-sets")
-    unsigned = F.transform("items", lambda x: F.expr("1L << 63").bitwiseXOR(x))
-    listed = short_sets.select(
-        "node", F.size("items").alias("n"), F.posexplode(F.array_sort(unsigned)).alias("rank", "flipped")
-    ).select("node", "n", "rank", F.col("flipped").bitwiseXOR(F.expr("1L << 63")).alias("token"))
-    again = _choose("whole", percent, most_shared, crowd)
+    listed = short_sets.select("node", F.explode("items").alias("token"))
+    counted = listed.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("counted"))
+    again = _choose_whole(percent, most_shared, crowd)
     second = stored(
-        listed.join(counts, "token", "left")
-        .withColumn("df", F.coalesce("df", F.lit(1).cast("long")))
-        .groupBy("node", "n")
-        .agg(F.collect_list(F.struct("rank", "token", "df")).alias("shared"))
-        .select("node", "n", again("n", "shared").alias("p"))
+        short_sets.join(counted, "node", "left")
+        .select("node", F.size("items").alias("n"), again("items", "counted").alias("p"))
         .select("node", "n", "p.*"),
         "second-prefixes",
     )
@@ -272,9 +295,8 @@ def jaccard_groups(
         .join(small(first.select("node", "l")), "node", "left")
         .select("node", "n", F.coalesce("l", F.lit(1)).alias("need"), F.col("token").alias("key"))
     )
-    members = stored(members.union(met).distinct(), "held-keys")
-    met_twice = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    members = stored(members.join(stored(met_twice, "keys"), "key"), "members")
+    # Keys that only one set holds lead to no pair; few are, as prefixes are of shingles that others have.
+    members = stored(members.union(met).distinct(), "members")
     # Only keys of crowded shingles are crowds, which few documents have in their prefix.
     groups = linked_groups(members.select("node", "n", "key", "need"), sets_of, percent, crowd)
 

@@ -85,10 +85,11 @@ Sets = Callable[[DataFrame], DataFrame]
 def verified(pairs: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    Only the sets of nodes in pairs are made, once, and moved to their pairs.
+    Only the sets of nodes in pairs are made, once, and moved to their pairs: grouped by node, they
+    already lie as the joins need them, and Spark uses their shuffle for both.
     """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stored(sets_of(nodes), "sets")
+    sets = sets_of(nodes)
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -111,17 +112,17 @@ def linked_groups(
         f"100 * least(n, n2) >= {percent} * greatest(n, n2) and 100 * {most} >= {percent} * (n + n2 - {most})"
     )
     star, placed = None, None
-    members = _with_lone(members, sets_of, percent, crowd)
+    rest, crowded = _crowded(members, sets_of, percent, crowd)
 
-    def rows() -> DataFrame:
+    def rows(of: DataFrame) -> DataFrame:
         if placed is None:
-            return members.withColumn("c", F.col("node"))
-        return members.join(small(placed), "node", "left").withColumn(
+            return of.withColumn("c", F.col("node"))
+        return of.join(small(placed), "node", "left").withColumn(
             "c", F.coalesce("component", "node")
         ).drop("component")
 
-    for turn in range(rounds):
-        now = rows()
+    for turn in range(rounds if crowded is not None else 0):
+        now = rows(crowded)
         # The most central member that is in no group yet: of its items the fewest are its own.
         central = F.struct("lone", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "c")
         alone = F.col("c") == F.col("node") if placed is not None else F.lit(True)
@@ -153,18 +154,25 @@ def linked_groups(
         labels = star.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         placed = pin(labels.coalesce(star.count() // _TASK_ROWS + 1))
 
-    now = rows()
-    crossed = stored(
-        now.groupBy("key")
-        .agg(F.min("c").alias("low"), F.max("c").alias("high"))
-        .where("low <> high")
-        .select("key"),
-        "crossed",
-    )
+    everyone = rest if crowded is None else rest.unionByName(crowded)
+    now = rows(everyone)
+    if placed is not None:
+        # Keys whose members are all in one group have nothing left to compare. Only those with a member
+        # that has a group, or is one's smallest node, can be such.
+        in_group = placed.select("node").union(placed.select("component")).distinct()
+        touched = everyone.join(small(in_group), "node", "left_semi").select("key").distinct()
+        closed = (
+            now.join(small(stored(touched, "touched")), "key", "left_semi")
+            .groupBy("key")
+            .agg(F.min("c").alias("low"), F.max("c").alias("high"))
+            .where("low = high")
+            .select("key")
+        )
+        now = now.join(small(stored(closed, "closed")), "key", "left_anti")
     # Sizes of similar sets differ by less than one band, so a row meets its own and the next.
     width = math.log(100 / percent) * (1 + 1e-6)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-    now = now.join(small(crossed), "key").withColumn("band", band)
+    now = now.withColumn("band", band)
     left = now.select("key", "band", F.col("node").alias("a"), "n", "c", "need", "lone")
     right = now.select(
         "key",
@@ -187,22 +195,26 @@ def linked_groups(
     return pin(components(pin(verified(stored(pairs, "pairs"), sets_of, percent)), star))
 
 
-def _with_lone(members: DataFrame, sets_of: Sets, percent: int, crowd: int) -> DataFrame:
-    """Add `lone` to the rows of crowded keys: how many items of the set no other set in any
-    crowded key has (0 elsewhere). Rows of sets with so many that none of those can be similar go.
+def _crowded(
+    members: DataFrame, sets_of: Sets, percent: int, crowd: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of `members` in keys that are no crowds, and those in crowds, or None without any.
+
+    Added is `lone`: how many items of the set no other set in any crowded key has (0 elsewhere). Rows
+    of sets with so many that none of those can be similar go.
     """
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(f"held >= {crowd}")
-    crowded = stored(crowded.select("key"), "crowded")
-    if crowded.isEmpty():
-        return members.withColumn("lone", F.lit(0))
-    crowded = small(crowded)
-    inside = stored(members.join(crowded, "key"), "crowd")
+    columns = ["node", "n", "key", "need", "lone"]
+    everyone = members.withColumn("lone", F.lit(0)).select(*columns)
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(f"held >= {crowd}")
+    keys = stored(keys.select("key"), "crowded")
+    if keys.isEmpty():
+        return everyone, None
+    keys = small(keys)
+    inside = stored(members.join(keys, "key"), "crowd")
     sets = sets_of(stored(inside.select("node").distinct(), "crowd-nodes"))
     items = sets.select("node", F.explode("items").alias("item"))
     single = items.groupBy("item").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
     lone = stored(single.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("lone")), "lone")
     counted = inside.join(small(lone), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     kept = counted.where(f"100 * (n - lone) >= {percent} * n")
-    rest = members.join(crowded, "key", "left_anti").withColumn("lone", F.lit(0))
-    columns = ["node", "n", "key", "need", "lone"]
-    return stored(rest.select(*columns).union(kept.select(*columns)), "members")
+    return everyone.join(keys, "key", "left_anti"), stored(kept.select(*columns), "crowd-members")

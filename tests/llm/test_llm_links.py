@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 from urllib.parse import unquote
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,66 @@ def test_components_equal_brute_force(spark, crowd, k, percent):
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
 
 
+def test_whole_sets_are_signed_once_and_not_written(spark, monkeypatch):
+    signed, written = spark.sparkContext.accumulator(0), []
+
+    def counted(texts, words, of=jaccard_join._signed):
+        for items in of(texts, words):
+            signed.add(1)
+            yield items
+
+    def recorded(df, name, of=linking.stored):
+        written.append(name)
+        return of(df, name)
+
+    monkeypatch.setattr(jaccard_join, "_signed", counted)
+    monkeypatch.setattr(linking, "stored", recorded)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in (3, 50)] + ["quite another text of six words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = jaccard_join.jaccard_groups(docs, words=4, percent=75).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {0: 0, 1: 0, 2: 2}
+    # Every text for its first shingles, and the two of the pair for the verification.
+    assert signed.value == 5
+    assert "sets" not in written and "crossed" not in written
+
+
+def test_keys_within_one_group_are_closed_and_others_compared(spark, monkeypatch):
+    tables = {}
+
+    def recorded(df, name, of=linking.stored):
+        tables[name] = of(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(linking, "stored", recorded)
+    # Nodes 0 to 5 are alike and crowd key 1; 6 is like 5 and meets it at key 2; 0 and 1 alone are at key 3.
+    sets = {i: [*range(40), 100 + i] for i in range(6)} | {6: [*range(40), 105, 106]}
+    held = [(i, 1) for i in range(6)] + [(5, 2), (6, 2), (0, 3), (1, 3)]
+    members = spark.createDataFrame([(i, len(sets[i]), k, 1) for i, k in held], "node long, n int, key long, need int")
+    items = spark.createDataFrame(list(sets.items()), "node long, items array<long>")
+    found = linking.linked_groups(members, lambda nodes: items.join(nodes, "node", "left_semi"), 80, crowd=4)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(7)}
+    assert {r["key"] for r in tables["closed"].collect()} == {1, 3}
+    assert {tuple(sorted(r)) for r in tables["pairs"].collect()} == {(5, 6)}
+
+
+def test_a_second_look_joins_only_counted_shingles(spark):
+    rng = random.Random(21)
+    for _ in range(40):
+        n = rng.randint(1, 60)
+        tokens = rng.sample(range(-(1 << 40), 1 << 40), n)
+        counts = {t: rng.choice([2, 3, 70, 90]) for t in rng.sample(tokens, rng.randint(0, n))}
+        order = sorted(tokens, key=lambda t: t % (1 << 64))
+        level, inside = jaccard_join.chosen_prefix(
+            n, np.arange(n), np.array([counts.get(t, 1) for t in order]), n, 80, 6, 64
+        )
+        row = spark.createDataFrame(
+            [(sorted(tokens), list(counts.items()) or None)], "items array<long>, c array<struct<token:long,df:long>>"
+        )
+        found = row.select(jaccard_join._choose_whole(80, 6, 64)("items", "c").alias("p")).select("p.*").first()
+        assert tuple(found) == (level, [t for t, i in zip(order, inside, strict=True) if i])
+
+
 def test_join_rows_without_and_with_one_id(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, text), (5, text), (5, text + " x"), (5, "other words entirely here now"), (None, "no id at all"), (None, None)]
@@ -282,6 +343,7 @@ def test_contained_items_equal_brute_force(spark, sf_dir):
     assert decontaminate.contained_items(left, right.limit(0)).count() == 0
 
 
+
 # Secrets
 
 
