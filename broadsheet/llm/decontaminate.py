@@ -9,6 +9,9 @@ sketches meet. A window misses an item only if none of its smallest hashes is th
 default sizes and an item at the threshold in the least favourable class, three in a thousand, and
 less than one in ten thousand for a verbatim one.
 
+Ahead of that, all shingles of the documents are looked up among the values of the items' sketches: a
+text that holds none of them has none in any window, and is not cut into windows.
+
 What is found is verified by exact containment of the item's shingles, as text, in the whole
 document.
 """
@@ -101,13 +104,23 @@ def contained_items(
     keyed = docs.select(F.col(doc_id).alias("doc"), F.sha2(F.col(text), 256).alias("key"), F.col(text).alias("text"))
     kept = F.floor(F.col("class") / 2).cast("int") + sketch_size(0)
     signed = classed.select("item", "class", F.explode(F.slice(F.array_sort("hashes"), 1, kept)).alias("value"))
+    signed = stored(signed, "signed")
+    # Not by the number of words: that test would move below the cutting and cut every text twice.
+    worded = keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        cut = rows.select("key", words_of(F.col("text")).alias("words"))
+        return cut.select("key", shingle_hashes("words", k).alias("hashes"))
+
+    # Outer, or Spark would test the hashes for any below the cutting, where each is made anew.
+    each = hashed(worded).select("key", F.explode_outer("hashes").alias("value"))
+    met = each.join(small(signed.select("value").distinct()), "value", "left_semi").select("key").distinct()
+    holders = worded.join(small(stored(met, "holders")), "key", "left_semi").select("key", "text")
     signed = small(signed)
-    worded = keyed.select("key", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    hashed = worded.select("key", shingle_hashes("words", k).alias("hashes"))
     # All classes in one pass; without any, of an empty benchmark, there are no windows.
     of_class = [F.struct(F.lit(s).alias("class"), window_values("hashes", s).alias("values")) for s in classes]
     none = F.array().cast("array<struct<class:int,values:array<bigint>>>")
-    windows = hashed.select("key", F.explode(F.array(*of_class) if classes else none).alias("w"))
+    windows = hashed(holders).select("key", F.explode(F.array(*of_class) if classes else none).alias("w"))
     values = windows.select("key", "w.class", F.explode("w.values").alias("value"))
     hits = values.join(signed, ["class", "value"])
     candidates = stored(hits.select("key", "item").distinct(), "candidates")

@@ -343,6 +343,23 @@ def test_contained_items_equal_brute_force(spark, sf_dir):
     assert decontaminate.contained_items(left, right.limit(0)).count() == 0
 
 
+def test_only_texts_with_a_value_of_an_item_are_cut_into_windows(spark, monkeypatch):
+    tables = {}
+
+    def recorded(df, name, of=decontaminate.stored):
+        tables[name] = of(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(decontaminate, "stored", recorded)
+    item = " ".join(f"i{n}" for n in range(12))
+    texts = [f"before {item} behind", "nothing of the kind in these words", None, " \n", f"before {item} behind"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = decontaminate.contained_items(docs, items)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 7, 8, 8), (4, 7, 8, 8)]
+    assert [r["key"] for r in tables["holders"].collect()] == [hashlib.sha256(texts[0].encode()).hexdigest()]
+
+
 
 # Secrets
 
