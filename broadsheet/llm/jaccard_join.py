@@ -258,9 +258,10 @@ def jaccard_groups(
     shared = held.groupBy("node").agg(F.collect_list(F.struct("rank", "token", "df")).alias("shared"))
     shared = shared.join(classes.select("node", "n"), "node")
     choose = _choose(percent, most_shared, crowd)
-    first = stored(
-        shared.select("node", "n", choose("n", "shared").alias("p")).select("node", "n", "p.*"), "prefixes"
-    )
+    # Those that are looked at again keep the counts found here.
+    seen = F.when(F.col("p.l").isNull(), F.transform("shared", lambda x: F.struct(x["token"].alias("token"), x["df"].alias("df"))))
+    chosen = shared.select("node", "n", "shared", choose("n", "shared").alias("p"))
+    first = stored(chosen.select("node", "n", "p.*", seen.alias("seen")), "prefixes")
 
     # Documents whose first shingles are crowded: their whole sets.
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -268,16 +269,18 @@ def jaccard_groups(
         return whole_sets(plain, "id", "text", words, stored(wanted, "wanted"))
 
     short_sets = stored(sets_of(first.where("l is null").select("node")), "short-sets")
-    listed = short_sets.select("node", F.explode("items").alias("token"))
-    counted = listed.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("counted"))
+    looked = short_sets.join(first.where("l is null").select("node", "seen"), "node")
+    listed = looked.select("node", F.explode(F.array_except("items", "seen.token")).alias("token"))
+    counted = listed.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("more"))
     again = _choose_whole(percent, most_shared, crowd)
     second = stored(
-        short_sets.join(counted, "node", "left")
+        looked.join(counted, "node", "left")
+        .withColumn("counted", F.when(F.col("more").isNull(), F.col("seen")).otherwise(F.concat("seen", "more")))
         .select("node", F.size("items").alias("n"), again("items", "counted").alias("p"))
         .select("node", "n", "p.*"),
         "second-prefixes",
     )
-    prefix = first.where("l is not null").union(second)
+    prefix = first.where("l is not null").drop("seen").unionByName(second)
     members = prefix.select("node", "n", F.col("l").alias("need"), F.explode("tokens").alias("key"))
     # What only the second look found may stand, counted once, among the others' first shingles. Sizes
     # of similar sets differ by less than one band, so of the others only those of a band beside are met:
