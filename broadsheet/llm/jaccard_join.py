@@ -78,11 +78,17 @@ def chosen_prefix(
     return best, place < n - needed + best
 
 
-def _signed(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of every text; only a portion of the texts is unpacked at a time."""
-    for _, part in text_portions(texts, _PORTION):
-        for hashes in shingle_hashes([t or b"" for t in part], words):
-            yield np.unique(hashes)
+def _signed(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of every text."""
+    for hashes in shingle_hashes([t or b"" for t in texts], words):
+        yield np.unique(hashes)
+
+
+def _portions(batches: Iterator[pa.Array]) -> Iterator[list[bytes | None]]:
+    """The texts a portion at a time, as what is made of one is handed on before the next is unpacked."""
+    for batch in batches:
+        for _, part in text_portions(batch, _PORTION):
+            yield part
 
 
 def _digest(items: np.ndarray) -> bytes:
@@ -100,9 +106,9 @@ def shingle_sets(docs: DataFrame, text: str, words: int, percent: int, most_shar
 
     @F.arrow_udf("struct<n:int,digest:binary,tokens:array<long>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for texts in _portions(batches):
             sizes, digests, tokens = [], [], []
-            for items in _signed(batch, words):
+            for items in _signed(texts, words):
                 n = len(items)
                 sizes.append(n)
                 digests.append(_digest(items) if n else None)
@@ -122,9 +128,9 @@ def whole_sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: Data
 
     @F.arrow_udf("struct<digest:binary,items:array<long>>")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for texts in _portions(batches):
             digests, items = [], []
-            for found in _signed(batch, words):
+            for found in _signed(texts, words):
                 digests.append(_digest(found))
                 # By signed value, as the verification compares them.
                 items.append(np.sort(found.view(np.int64)))
@@ -290,7 +296,8 @@ def jaccard_groups(
     seconds = second.select(F.explode("tokens").alias("token"), band.alias("band"))
     seconds = seconds.join(counts, "token", "left_anti")
     beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-    added = stored(seconds.select("token", beside).distinct(), "added")
+    # Near copies have most of them in common, so each is met once before its bands are.
+    added = stored(seconds.select("token", "band").distinct().select("token", beside).distinct(), "added")
     met = (
         rows.withColumn("band", band)
         .join(small(added, _FEW_TOKENS), ["token", "band"], "left_semi")

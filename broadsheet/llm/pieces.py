@@ -31,7 +31,7 @@ from .common import mix, text_portions
 
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_PORTION = 1 << 20
+_PORTION = 1 << 18
 _SLOTS = 18
 #: Chunks of more characters are filtered and drawn one by one and not kept.
 _LONG = 256
@@ -353,7 +353,7 @@ def encoded(
     key, and whether decoding them has given back the text (null: true).
 
     Rows of equal key and text get equal pieces. A null key is a key like any other. Texts are
-    handled some two million bytes at a time, or one by one if longer.
+    handled some 260,000 bytes at a time, or one by one if longer.
     """
 
     @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
@@ -362,24 +362,26 @@ def encoded(
         held = Lattices(vocabulary(model_path, sharpness))
         for texts, keys in batches:
             numbers = np.array(keys.to_pylist(), np.int64).astype(np.uint64)
-            sizes, ids, same = [np.zeros(1, np.int64)], [np.empty(0, np.int32)], []
+            # A portion is handed on before the next is taken, so no batch's ids are held together.
             for a, values in text_portions(texts, _PORTION):
-                part = [(v or b"").decode("utf-8", "surrogatepass") for v in values]
-                offsets, found = sample(part, numbers[a : a + len(part)], held, seed)
-                back = spelt_texts(offsets, found, held.words)
-                same += [x == y for x, y in zip(back, part, strict=True)]
-                sizes.append(sizes[-1][-1] + offsets[1:])
-                ids.append(found)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(sizes), pa.int32()),
-                pa.array(np.concatenate(ids), pa.int32()),
-                mask=texts.is_null(),
-            )
-            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "lossless"])
+                yield _portion(texts[a : a + len(values)], values, numbers[a : a + len(values)], held, seed)
 
     return encode(text, F.xxhash64(key))
 
 
+def _portion(
+    texts: pa.Array, values: list[bytes | None], keys: np.ndarray, held: Lattices, seed: int
+) -> pa.Array:
+    """(ids, lossless) of the texts, whose bytes are `values`."""
+    part = [(v or b"").decode("utf-8", "surrogatepass") for v in values]
+    offsets, ids = sample(part, keys, held, seed)
+    same = [x == y for x, y in zip(spelt_texts(offsets, ids, held.words), part, strict=True)]
+    lists = pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null()
+    )
+    return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "lossless"])
+
+
 def spelt_texts(offsets: np.ndarray, ids: np.ndarray, words: Vocabulary) -> list[str]:
     """The texts that runs of ids spell."""
     spelling, ends = words.bytes_of, offsets.tolist()

@@ -105,6 +105,19 @@ def test_whole_sets_are_signed_once_and_not_written(spark, monkeypatch):
     assert "sets" not in written and "crossed" not in written
 
 
+def test_sets_are_verified_without_python(spark):
+    rng = random.Random(5)
+    sets = {i: sorted(rng.sample(range(-30, 30), rng.randint(1, 50))) for i in range(60)} | {60: [7], 61: [7], 62: [8]}
+    items = spark.createDataFrame(list(sets.items()), "node long, items array<long>")
+    pairs = [(a, b) for a in sets for b in sets if b < a]
+    found = linking.verified(
+        spark.createDataFrame(pairs, "a long, b long"), lambda nodes: items.join(nodes, "node", "left_semi"), 60
+    )
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    expected = {(a, b) for a, b in pairs if similar(set(sets[a]), set(sets[b]), 60)}
+    assert (61, 60) in expected and {tuple(r) for r in found.collect()} == expected
+
+
 def test_keys_within_one_group_are_closed_and_others_compared(spark, monkeypatch):
     tables = {}
 

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,20 @@ def test_pieces_of_an_empty_table(odd):
     assert odd.limit(0).select(found.alias("p")).collect() == []
 
 
+def test_pieces_are_handed_on_portion_by_portion(monkeypatch):
+    # What a task gets is the function itself.
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: lambda *columns: f)
+    texts = [None, "", *(f"word {i} of many others" for i in range(90))]
+    batch = pa.array(texts, pa.string()), pa.array(range(len(texts)), pa.int64())
+    encode = pieces.encoded(F.lit(""), F.lit(0), queries.default_model())
+    whole = [x for found in encode(iter([batch])) for x in found.to_pylist()]
+    monkeypatch.setattr(pieces, "_PORTION", 200)
+    parts = [found.to_pylist() for found in encode(iter([batch, batch]))]
+    assert len(parts) >= 18 and max(map(len, parts)) <= 12
+    assert [x for part in parts for x in part] == whole * 2
+    assert whole[:2] == [{"ids": None, "lossless": True}, {"ids": [], "lossless": True}]
+
+
 def test_sampling_follows_the_weights_of_the_paths():
     path = queries.default_model()
     words = pieces.vocabulary(path, 1.0)
