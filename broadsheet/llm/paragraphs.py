@@ -28,9 +28,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +38,14 @@ from pyspark.sql.window import Window
 
 from broadsheet.operators.ordering import global_row_number
 
-from .common import mix, small, stored
+from .common import mix, small, stored, word_hashes
 from .linking import linked_groups
 
 _WORDS = 1 << 17
 _FEW_KEYS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
-_STOPS = (b".", b"!", b"?")
+#: Whether a word that ends in this byte ends a sentence.
+_STOPS = np.isin(np.arange(256), list(b".!?"))
 _OTHER_KEY = "paragraph-window"
 
 
@@ -59,9 +60,7 @@ class Portion:
     line_text: list[int]
 
     def __post_init__(self):
-        self.hashes = (
-            pd.util.hash_array(np.array(self.words, dtype=object)) if self.words else np.empty(0, np.uint64)
-        )
+        self.hashes = word_hashes(self.words) if self.words else np.empty(0, np.uint64)
         self.text_starts = [0, *self.text_ends[:-1]]
 
     def paragraphs(self, min_words: int) -> list[tuple[int, int, int]]:
@@ -83,7 +82,7 @@ class Portion:
         """(text, first word, end) of every run of whole sentences."""
         n = len(self.words)
         ends = np.zeros(n + 1, bool)
-        ends[1:] = np.fromiter((w.endswith(_STOPS) for w in self.words), bool, n)
+        ends[1:] = _STOPS[np.fromiter(map(itemgetter(-1), self.words), np.uint8, n)]
         ends[np.array(self.line_ends, np.int64)] = True
         ends[0] = False
         text_end = np.array(self.text_ends, np.int64)
@@ -101,7 +100,7 @@ class Portion:
         """Hashes of the words that are independent of the first ones."""
         if not self.words:
             return self.hashes
-        return pd.util.hash_array(np.array(self.words, dtype=object), hash_key=_OTHER_KEY)
+        return word_hashes(self.words, hash_key=_OTHER_KEY)
 
     def run_hashes(self, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
         """A hash of the words of every run, from running sums of words times powers."""
@@ -175,6 +174,12 @@ def _sliding(choose: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     return found
 
 
+def _distinct(values: np.ndarray) -> int:
+    """How many different values there are."""
+    ordered = np.sort(values)
+    return min(len(ordered), 1) + int(np.count_nonzero(ordered[1:] != ordered[:-1]))
+
+
 def _texts(batch: pa.Array) -> Iterator[str | None]:
     return (t.as_py() for t in batch)
 
@@ -249,7 +254,7 @@ def signed_units(
                 for text, a, b in held:
                     counts[part.first_text + text] += 1
                     start = part.text_starts[text]
-                    distinct = len(np.unique(flat[a : b - k + 1]))
+                    distinct = _distinct(flat[a : b - k + 1])
                     for column, value in zip(columns, (a - start, b - start, distinct, part.digest(a, b)), strict=True):
                         column.append(value)
                 text, starts, stops = part.runs(min_words)

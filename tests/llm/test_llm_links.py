@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 from urllib.parse import unquote
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from broadsheet.llm import archive, decontaminate, jaccard_join, linking, paragraphs, queries, secrets
+from broadsheet.llm import archive, common, decontaminate, jaccard_join, linking, paragraphs, queries, secrets
 from broadsheet.operators.pinning import scratch_dir
 
 
@@ -220,6 +221,22 @@ def stretches_by_hand(rows, least=20):
     return found
 
 
+def test_words_are_hashed_one_by_one(monkeypatch):
+    words = [b"a", b"word", b"a", b"\xff\xfe", b"ends.", b"a!", b"?", b"."]
+    held = [pd.util.hash_array(np.array(words, dtype=object), hash_key=k) for k in ("0123456789123456", paragraphs._OTHER_KEY)]
+
+    def grouped(*args, **kind):
+        raise AssertionError("equal words are looked for")
+
+    monkeypatch.setattr(pd, "factorize", grouped)
+    part = paragraphs.Portion(0, words, [len(words)], [len(words)], [0])
+    assert part.hashes.tolist() == held[0].tolist() and part.other_hashes().tolist() == held[1].tolist()
+    assert common.run_hashes([words], 3)[0].tolist() == part.shingles(3)[:-2].tolist()
+    _, starts, stops = part.runs(1)
+    assert starts.tolist() == [0, 5, 6, 7] and stops.tolist() == [5, 6, 7, 8]
+    assert [paragraphs._distinct(np.array(x, np.uint64)) for x in ([], [4], [4, 4], [3, 4, 3])] == [0, 1, 1, 2]
+
+
 @pytest.mark.parametrize("crowd", [3, 32])
 def test_paragraphs_equal_brute_force(spark, crowd, monkeypatch):
     monkeypatch.setattr(paragraphs, "linked_groups", lambda *a: linking.linked_groups(*a, crowd=crowd))
